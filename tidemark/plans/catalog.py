@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["indicators"]
+MODULES = ["indicators", "feature_queries"]
 
 
 def load():

@@ -90,11 +90,11 @@ def _same(a: str, keys: Iterable[str], left: DataFrame, right: DataFrame) -> Col
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join in which null keys match each other; the keys stay single."""
     renamed = right.select(
-        *[F.col(k).alias(f"_r_{k}") for k in keys],
+        *[F.col(k).alias(f"_jk_{k}") for k in keys],
         *[c for c in right.columns if c not in keys],
     )
-    joined = left.join(renamed, _same("_r_", keys, left, renamed), "left")
-    return joined.drop(*[f"_r_{k}" for k in keys])
+    joined = left.join(renamed, _same("_jk_", keys, left, renamed), "left")
+    return joined.drop(*[f"_jk_{k}" for k in keys])
 
 
 def ordinal(df: DataFrame, name: str) -> Column:
