@@ -262,12 +262,12 @@ query(
 
 # --- sentiment series --------------------------------------------------------------
 
-HOURLY = NEWS + ", sents AS (SELECT symbol, date_trunc('hour', time) AS time, avg(score) + avg(length(content)) / 100000 AS sentiment, CAST(count(*) AS DOUBLE) AS volume, avg(length(content)) * (avg(p_pos) + 1) AS price FROM news GROUP BY 1, 2)"
+HOURLY = NEWS + ", sents AS (SELECT symbol, date_trunc('hour', time) AS time, avg(score) + avg(length(content)) / 77777 AS sentiment, CAST(count(*) AS DOUBLE) AS volume, avg(length(content)) * (avg(p_pos) + 1) AS price FROM news GROUP BY 1, 2)"
 
 
 def sents(s, d):
     return V.news(s, d).groupBy("symbol", F.date_trunc("hour", "time").alias("time")).agg(
-        (F.avg("score") + F.avg(F.length("content")) / 100000).alias("sentiment"),
+        (F.avg("score") + F.avg(F.length("content")) / 77777).alias("sentiment"),
         F.count(F.lit(1)).cast("double").alias("volume"),
         (F.avg(F.length("content")) * (F.avg("p_pos") + 1)).alias("price"))
 
