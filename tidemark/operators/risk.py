@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,8 +68,8 @@ def _t_cdf(t: float, dof: float) -> float:
     steps = 2000
     top = math.atan(abs(t) / math.sqrt(dof))
     h = top / steps
-    total = 1.0 + math.cos(top) ** (dof - 1)
-    total += sum((4 if i % 2 else 2) * math.cos(i * h) ** (dof - 1) for i in range(1, steps))
+    y = np.cos(np.linspace(0.0, top, steps + 1)) ** (dof - 1)
+    total = y[0] + y[-1] + 4 * y[1:-1:2].sum() + 2 * y[2:-1:2].sum()
     scale = math.exp(math.lgamma((dof + 1) / 2) - math.lgamma(dof / 2)) / math.sqrt(math.pi)
     half = scale * total * h / 3
     return 0.5 + half if t >= 0 else 0.5 - half

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["indicators", "feature_queries", "aggregate_queries", "decision_queries"]
+MODULES = ["indicators", "feature_queries", "aggregate_queries", "decision_queries", "table_queries"]
 
 
 def load():

@@ -140,7 +140,7 @@ def news(spark, d) -> DataFrame:
         "doc_id",
         F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 600).alias("time"),
         F.concat(F.lit("S"), (F.col("doc_id") % 5).cast("string")).alias("symbol"),
-        F.substring("text", 1, 60).alias("title"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         F.col("text").alias("content"),
         "source",
         F.col("lang").alias("language"),
@@ -157,7 +157,7 @@ def news(spark, d) -> DataFrame:
 
 
 NEWS = """news0 AS (SELECT doc_id, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id * 600) AS time,
-  concat('S', CAST(doc_id % 5 AS VARCHAR)) AS symbol, substring(text, 1, 60) AS title, text AS content, source,
+  concat('S', CAST(doc_id % 5 AS VARCHAR)) AS symbol, split_part(text, chr(10), 1) AS title, text AS content, source,
   lang AS language, concat('u/', CAST(doc_id % 900 AS VARCHAR)) AS url,
   CAST(n_chars % 7 AS DOUBLE) / 14 AS p_pos, CAST(doc_id % 7 AS DOUBLE) / 14 AS p_neg FROM documents),
 news AS (SELECT *, CAST(1 AS DOUBLE) - p_pos - p_neg AS p_neu, p_pos - p_neg AS score,
