@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["indicators", "feature_queries", "aggregate_queries", "decision_queries", "table_queries"]
+MODULES = ["indicators", "feature_queries", "aggregate_queries", "decision_queries", "table_queries", "search_queries",
+           "stream_queries"]
 
 
 def load():

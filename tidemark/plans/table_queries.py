@@ -67,7 +67,7 @@ query("f07_screener", "symbol | price volume change_percent gold_correlation", d
 query("f08_category", "p_partkey category", sql="SELECT p_partkey, CASE WHEN p_brand IN ('Brand#1','Brand#2') THEN 'ETF' WHEN p_brand IN ('Brand#3') THEN 'Mining' WHEN p_brand IN ('Brand#4') THEN 'Index' ELSE 'Other' END AS category FROM part")(
     lambda s, d: V.table(s, d, "part").select("p_partkey", RW.category(F.col("p_brand"), ["Brand#1", "Brand#2"], ["Brand#3"], ["Brand#4"]).alias("category")))
 query("f09_quote_change", "o_orderkey | change change_pct",
-      sql="SELECT o_orderkey, CASE WHEN p <> 0 AND q <> 0 THEN round(p - q, 4) END AS change, CASE WHEN p <> 0 AND q <> 0 THEN round((p - q) / q * 100, 2) END AS change_pct FROM (SELECT o_orderkey, o_totalprice AS p, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_custkey * CAST(1.0371 AS DOUBLE) END AS q FROM orders) z", dp=2)(
+      sql="SELECT o_orderkey, CASE WHEN p <> 0 AND q <> 0 THEN round(p - q, 4) END AS change, CASE WHEN p <> 0 AND q <> 0 THEN round((p - q) / q * 100, 2) END AS change_pct FROM (SELECT o_orderkey, o_totalprice AS p, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_custkey * CAST(1.0371 AS DOUBLE) END AS q FROM orders) z", dp=4)(
     lambda s, d: RW.quote_change(V.table(s, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"),
                                  F.when(F.col("o_orderkey") % 7 == 0, 0.0).otherwise(F.col("o_custkey") * 1.0371).alias("previous_close"))))
 RQ = "rq AS (SELECT o_orderkey, [' gld ','SLV','Iau','NOPE','x'][CAST(o_custkey % 5 AS INT) + 1] AS symbol, ['1D','5m','2d',' 1h '][CAST(o_orderkey % 4 AS INT) + 1] AS interval, CAST(o_orderdate AS DATE) AS start_date, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN DATE '1997-01-01' ELSE CAST(o_orderdate AS DATE) END AS end_date FROM orders)"
