@@ -138,10 +138,10 @@ query("r06_continuous_sentiment_stream", "symbol bucket | avg_sentiment | news_c
       sql="SELECT symbol, CAST(date_trunc('day', time) AS TIMESTAMP) AS bucket, count(*) AS news_count, avg(score) AS avg_sentiment, count_if(label = 'positive') AS positive_count FROM news GROUP BY 1, 2 HAVING CAST(date_trunc('day', time) AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(time) FROM news) - INTERVAL 3 DAYS")(
     lambda s, d: SF.replay(SF.sentiment_stream(_news(stream_of(s, d, "documents"))), name="r06s"))
 LIVE = """st AS (SELECT symbol, time_bucket(INTERVAL 1 HOUR, time) AS b, count(*) AS n, sum(score) AS x, count_if(label = 'positive') AS p, count_if(label = 'negative') AS q FROM news GROUP BY 1, 2),
-ws AS (SELECT symbol, b + INTERVAL 1 HOUR + to_hours(CAST(h AS INT)) AS asof, sum(n) AS n, sum(x) AS x, sum(p) AS p, sum(q) AS q FROM st, range(24) r(h) GROUP BY 1, 2)"""
-LIVEX = """SELECT symbol, asof, n AS news_volume_24h, x / n AS current_sentiment, CASE WHEN x / n > 0.2 THEN 'positive' WHEN x / n < -0.2 THEN 'negative' ELSE 'neutral' END AS sentiment_label, p / CAST(n AS DOUBLE) AS bullish_ratio, q / CAST(n AS DOUBLE) AS bearish_ratio,
+ws AS (SELECT symbol, b + INTERVAL 1 HOUR + to_hours(CAST(h AS INT)) AS until, sum(n) AS n, sum(x) AS x, sum(p) AS p, sum(q) AS q FROM st, range(24) r(h) GROUP BY 1, 2)"""
+LIVEX = """SELECT symbol, until, n AS news_volume_24h, x / n AS current_sentiment, CASE WHEN x / n > 0.2 THEN 'positive' WHEN x / n < -0.2 THEN 'negative' ELSE 'neutral' END AS sentiment_label, p / CAST(n AS DOUBLE) AS bullish_ratio, q / CAST(n AS DOUBLE) AS bearish_ratio,
   greatest(0, least(100, ((x / n + 1) * 50 * 0.6 + p / CAST(n AS DOUBLE) * 100 * 0.4) * least(1.5, greatest(0.5, n / CAST(10 AS DOUBLE))))) AS heat_index FROM ws"""
-LSPEC = "symbol asof sentiment_label | current_sentiment bullish_ratio bearish_ratio heat_index | news_volume_24h"
+LSPEC = "symbol until sentiment_label | current_sentiment bullish_ratio bearish_ratio heat_index | news_volume_24h"
 query("r08_live_dashboard", LSPEC, ctes=NEWS + "," + LIVE, sql=LIVEX)(lambda s, d: SF.live_dashboard(_news(V.table(s, d, "documents")), every="1 hour"))
 both(
     "r09_live_quotes", "symbol time | price",
@@ -178,3 +178,22 @@ query("r12_daily_budget", "date exceeded | spent | calls", ctes="us AS (SELECT C
 query("r12_daily_budget_stream", "date exceeded | spent | calls", ctes="us AS (SELECT CAST(ts AS DATE) AS date, CAST(CASE event_type WHEN 'click' THEN 0.002 WHEN 'view' THEN 0.003 ELSE 0.001 END AS DOUBLE) AS c FROM events)",
       sql="SELECT date, count(*) AS calls, sum(c) AS spent, sum(c) > 0.57 AS exceeded FROM us GROUP BY date")(
     lambda s, d: SF.replay(SF.budget_stream(_usage(stream_of(s, d, "events")), 0.57), "complete", "r12"))
+
+
+def _record_high():
+    """A user's rule: emits a price whenever it beats every earlier one of its symbol."""
+    from tidemark.streaming.stateful import Rule
+
+    def step(best, price):
+        price = float(price)
+        return (price, (price,)) if best is None or price > best else (best, None)
+
+    return Rule(lambda: None, step, ("price",), (("record", "double"),))
+
+
+both(
+    "x04_stream_processor", "event_id symbol | record",
+    lambda s, d: apply_table(_ticks(V.table(s, d, "events")), _record_high(), ["symbol"], ["event_id", "symbol"], ORDER),
+    lambda s, d: SF.replay(apply_stream(_ticks(stream_of(s, d, "events")), _record_high(), ["symbol"], ["event_id", "symbol"], ORDER), name="x04"),
+    "SELECT event_id, symbol, price AS record FROM (SELECT *, max(price) OVER (PARTITION BY symbol ORDER BY time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM ticks) z WHERE best IS NULL OR price > best",
+)

@@ -67,7 +67,7 @@ def live_dashboard(news: DataFrame, span: str = "24 hours", every: str = "5 minu
     n = F.col("news_volume_24h")
     avg, bull = F.col("_x") / n, F.col("_p") / n
     return wide.select(
-        "symbol", F.col("_w.end").alias("asof"), "news_volume_24h", avg.alias("current_sentiment"),
+        "symbol", F.col("_w.end").alias("until"), "news_volume_24h", avg.alias("current_sentiment"),
         label_by_threshold(avg).alias("sentiment_label"), bull.alias("bullish_ratio"), (F.col("_q") / n).alias("bearish_ratio"),
         composite_index(avg, bull, n).alias("heat_index"))
 
