@@ -55,12 +55,13 @@ def top_features(importance: DataFrame, n: int = 20) -> DataFrame:
 def walk_forward_scores(df: DataFrame, fit, score, n_splits: int = 5, test: int = 20, gap: int = 0,
                         method: str = "expanding", **layout) -> list[float]:
     """``fit(train) -> model`` and ``score(model, test) -> float`` on each fold in time order."""
-    folds = walk_forward_splits(df, n_splits, test, gap, method, **layout)
+    folds = walk_forward_splits(df, n_splits, test, gap, method, **layout).persist()
     out = []
     for i in range(n_splits):
         part = folds.where(F.col("fold") == i)
         train, held = part.where("role = 'train'"), part.where("role = 'test'")
         out.append(score(fit(train), held))
+    folds.unpersist()
     return out
 
 

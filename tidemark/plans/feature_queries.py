@@ -405,7 +405,7 @@ query(
         + " FROM flows WHERE time IN (SELECT DISTINCT time FROM flows ORDER BY time DESC LIMIT 20) GROUP BY time",
 )(lambda s, d: FL.pivot_flows(V.flows(s, d), B3).withColumnsRenamed({b: f"b{i + 1}" for i, b in enumerate(B3)}))
 query(
-    "a09_flow_summary", "symbol | total_flow_30d avg_daily_flow last_flow | flow_count", dp=2, ctes=FLOWS,
+    "a09_flow_summary", "symbol | total_flow_30d avg_daily_flow last_flow | flow_count", dp=5, ctes=FLOWS,
     sql="""SELECT symbol, sum(net_flow) AS total_flow_30d, avg(net_flow) AS avg_daily_flow, arg_max(net_flow, time) AS last_flow, count(*) AS flow_count
   FROM flows WHERE time >= DATE '2001-06-01' - 30 GROUP BY symbol""",
 )(lambda s, d: FL.flow_summary(V.flows(s, d), "2001-06-01"))

@@ -155,7 +155,7 @@ def replay(stream: DataFrame, mode: str = "append", name: str = "stream") -> Dat
     """Run a stream over all available input and return what it emitted."""
     spark = stream.sparkSession
     root = scratch_path(spark, name)
-    old = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions")}
+    old = {k: spark.conf.get(k) for k in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions")}
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     shards = min(int(old["spark.sql.shuffle.partitions"]), 2 * spark.sparkContext.defaultParallelism)
     spark.conf.set("spark.sql.shuffle.partitions", str(shards))
@@ -169,5 +169,5 @@ def replay(stream: DataFrame, mode: str = "append", name: str = "stream") -> Dat
         query.awaitTermination()
     finally:
         for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+            spark.conf.set(k, v)
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
