@@ -40,6 +40,19 @@ def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str =
     return s.add(**{name: place.cast("long")}).close()
 
 
+def _picks(probs: dict[str, float]):
+    """Per probability: name, weight of the upper neighbour, and the two position tests."""
+    for name, p in probs.items():
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        low = F.floor(h)
+        yield name, h - low, F.col("_at") == low + 1, F.col("_at") == F.least(low + 2, F.col("_n"))
+
+
+def _small(df: DataFrame, by, max_rows, block_rows) -> bool:
+    size = block_rows or int(df.sparkSession.conf.get("spark.tidemark.blockRows", str(S.BLOCK_ROWS)))
+    return (S.largest_key_rows(df, by) if max_rows is None else max_rows) <= size
+
+
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ("symbol",),
               max_rows: int | None = None, block_rows: int | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles per key, one column per entry of ``probs``.
@@ -49,14 +62,14 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[s
     """
     by = list(by)
     kept = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    sizes = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    placed = numbered(kept, by, ["_v"], "_at", max_rows, block_rows)
-    rows = attach(placed, sizes, by)
-    picks = []
-    for name, p in probs.items():
-        h = (F.col("_n") - 1) * F.lit(float(p))
-        low = F.floor(h)
-        picks.append((name, h - low, F.col("_at") == low + 1, F.col("_at") == F.least(low + 2, F.col("_n"))))
+    if _small(kept, by, max_rows, block_rows):
+        # position and size from one sort
+        key = Window.partitionBy(*by)
+        rows = kept.withColumns({"_at": F.row_number().over(key.orderBy("_v")), "_n": F.count(F.lit(1)).over(key)})
+    else:
+        sizes = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+        rows = attach(numbered(kept, by, ["_v"], "_at", max_rows, block_rows), sizes, by)
+    picks = list(_picks(probs))
     wanted = functools.reduce(lambda a, b: a | b, [c for _, _, lo, hi in picks for c in (lo, hi)])
     aggs = []
     for name, part, lo, hi in picks:
@@ -65,14 +78,34 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[s
     return rows.where(wanted).groupBy(*by).agg(*aggs)
 
 
+def with_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ("symbol",),
+                   max_rows: int | None = None, block_rows: int | None = None) -> DataFrame:
+    """Every row with a value, next to its key's quantiles."""
+    by = list(by)
+    df = df.where(F.col(value).isNotNull())
+    if not _small(df, by, max_rows, block_rows):
+        return attach(df, quantiles(df, value, probs, by, max_rows, block_rows), by)
+    key, v = Window.partitionBy(*by), F.col(value).cast("double")
+    df = df.withColumns({"_at": F.row_number().over(key.orderBy(value)), "_n": F.count(F.lit(1)).over(key)})
+    out = {}
+    for name, part, lo, hi in _picks(probs):
+        a, b = F.max(F.when(lo, v)).over(key), F.max(F.when(hi, v)).over(key)
+        out[name] = a + (b - a) * part
+    return df.withColumns(out).drop("_at", "_n")
+
+
 def average_rank(df: DataFrame, value: str, by: Sequence[str], out: str,
                  max_rows: int | None = None, block_rows: int | None = None) -> DataFrame:
     """Add the rank of ``value`` in its key, ties sharing their mean rank; null for null.
 
-    Ranks distinct values by the running total of their counts, so neither ties
-    nor large keys meet in one task.
+    Small keys rank inside one sort. Otherwise distinct values are ranked by the
+    running total of their counts, so neither ties nor large keys meet in one task.
     """
     by = list(by)
+    if _small(df, by, max_rows, block_rows):
+        order = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
+        return df.withColumn(out, F.when(F.col(value).isNotNull(), F.rank().over(order) + (ties - 1) / 2))
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_k"))
     s = S.open_series(counts, by, (value,), max_rows=max_rows, block_rows=block_rows)
     s = S.running(s, _upto=("sum", F.col("_k")))
@@ -111,7 +144,7 @@ def above_running_median(s: S.Series, value: str, out: str) -> S.Series:
         less[got] = smaller_before(pdf[value].to_numpy(dtype=float)[got])
         return {"_x_less": less}
 
-    s = S.per_block(s, inside, [("_x_less", "long")])
+    s = s.later(inside, [("_x_less", "long")]).flush()
     less = F.col("_x_less")
     if s.blocked:
         s = s.with_df(S.join_null_safe(s.df, _smaller_in_earlier_blocks(s, value), [*s.by, S.POS]))

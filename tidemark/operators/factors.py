@@ -44,18 +44,16 @@ def calculate_factors(prices: DataFrame, gold: DataFrame | None = None, by=("sym
     spans = {"return_1m": 21, "return_3m": 63, "return_6m": 126, "return_12m": 252}
     s = s.add(**{k: S.change(s, "close", n) for k, n in spans.items()}, _r=S.change(s, "close"))
     kept = list(s.df.columns)
-    s = trend.macd.on(s)
     s, rsi = momentum.rsi_columns(s, 14)
     s = trend.bollinger.on(s)
     low, high = F.col("bb_lower"), F.col("bb_upper")
     s = s.add(
-        rsi=rsi, _ms=F.col("macd") - F.col("macd_signal"),
+        rsi=rsi,
         bb_position=S.ratio(F.col("close") - low, high - low),
         volume_surge=S.ratio(F.col("volume"), S.mean(s, "volume", 20)),
         volatility_20d=S.std(s, "_r", 20) * YEAR,
     )
     kept += ["rsi", "bb_position", "volume_surge", "volatility_20d", "macd_signal"]
-    s = s.add(macd_signal=F.col("_ms"))
     if gold is not None:
         s = s.add(_g=S.change(s, "gold_price"))
         corr, cov, var = S.frame_corr(s, "_r", "_g", 60)
@@ -67,7 +65,10 @@ def calculate_factors(prices: DataFrame, gold: DataFrame | None = None, by=("sym
         if src in s.df.columns:
             s = s.add(**{out: S.change(s, src, 4)})
             kept.append(out)
-    return s.with_df(s.df.select(*dict.fromkeys(kept))).close("_r")
+    s = trend.macd.on(s).flush()
+    s = s.add(macd_signal=F.col("macd") - F.col("macd_signal"))
+    helpers = [c for c in (S.POS, S.BLOCK, S.OWN) if s.blocked]
+    return s.with_df(s.df.select(*dict.fromkeys([*kept, *helpers]))).close("_r")
 
 
 def normalize_factors(df: DataFrame, cols, method: str = "z_score", by=("symbol",),

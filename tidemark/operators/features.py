@@ -61,11 +61,11 @@ def volatility_features(s: Series) -> Series:
     s = s.add(_x_r=S.change(s, "close"), _x_hl=F.pow(F.ln(S.ratio("high", "low")), 2))
     s = s.add(squared_returns=F.col("_x_r") * F.col("_x_r"),
               **{f"volatility_{n}d": S.std(s, "_x_r", n) * YEAR for n in (5, 10, 20, 60)})
-    s = S.ewm_columns(s, ewm_variance=("squared_returns", S.span_alpha(20), True))
     s = s.add(
         volatility_ratio_5_20=F.col("volatility_5d") / (F.col("volatility_20d") + EPS),
         parkinson_vol=F.sqrt(S.mean(s, "_x_hl", 20) / (4 * math.log(2))) * YEAR,
     )
+    s = S.ewm_columns(s, ewm_variance=("squared_returns", S.span_alpha(20), True))
     return above_running_median(s, "volatility_20d", "high_volatility_regime")
 
 
@@ -123,7 +123,6 @@ def training_target(s: Series, h: int = 1, col: str = "close", drop: bool = True
 @series_operator(lambda **_: max(S.ewm_reach(S.span_alpha(26)), 61))
 def direction_features(s: Series, drop: bool = True) -> Series:
     close = F.col("close")
-    s = S.ewm_columns(s, _x_f=("close", S.span_alpha(12), True), _x_s=("close", S.span_alpha(26), True))
     s = s.add(**{f"returns_{n}d": S.change(s, "close", n) for n in (1, 5, 20)})
     s, rsi = momentum.rsi_columns(s, 14)
     mid, sd = S.mean(s, "close", 20), S.std(s, "close", 20)
@@ -132,7 +131,6 @@ def direction_features(s: Series, drop: bool = True) -> Series:
     made |= {f"volatility_{n}d": S.std(s, "returns_1d", n) for n in (5, 20)}
     made |= {
         "rsi": rsi,
-        "macd": S.ratio(F.col("_x_f") - F.col("_x_s"), close),
         "bb_position": S.ratio(close - (mid - 2 * sd), 4 * sd),
         "volume_ratio": S.ratio(F.col("volume"), S.mean(s, "volume", 20)),
         "volume_change": S.change(s, "volume"),
@@ -141,7 +139,9 @@ def direction_features(s: Series, drop: bool = True) -> Series:
         "momentum_20": S.change(s, "close", 20),
     }
     s = s.add(**made)
-    return s.with_df(s.df.dropna(subset=list(made))) if drop else s
+    s = S.ewm_columns(s, _x_f=("close", S.span_alpha(12), True), _x_s=("close", S.span_alpha(26), True)).flush()
+    s = s.add(macd=S.ratio(F.col("_x_f") - F.col("_x_s"), close))
+    return s.with_df(s.df.dropna(subset=[*made, "macd"])) if drop else s
 
 
 DIRECTION_COLUMNS = [

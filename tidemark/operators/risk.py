@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import series as S
-from tidemark.functions.stats import attach, moments, quantiles
+from tidemark.functions.stats import moments, with_quantiles
 
 # Scenario, probability, shocks.
 SCENARIOS = [
@@ -26,8 +26,7 @@ SCENARIOS = [
 
 def historical_var(df: DataFrame, level: float = 0.95, col: str = "returns", by=("symbol",), **layout) -> DataFrame:
     """Interpolated percentile of the returns and the mean of the returns at or below it."""
-    q = quantiles(df, col, {"var": 1 - level}, by, **layout)
-    rows = attach(df.where(F.col(col).isNotNull()), q, by)
+    rows = with_quantiles(df.select(*by, col), col, {"var": 1 - level}, by, **layout)
     return rows.groupBy(*by).agg(F.max("var").alias("var"), F.avg(F.when(F.col(col) <= F.col("var"), F.col(col))).alias("cvar"))
 
 
@@ -141,9 +140,9 @@ def monte_carlo_stress(df: DataFrame, level: float = 0.99, n: int = 10000, dof:
         chi = chi + F.pow(f"z{j}", 2)
     t = F.col("z0") / F.sqrt(chi / dof)
     sims = _simulated(stats, t, dof + 1, n, seed)
-    q = quantiles(sims, "x", {"worst_percentile": 1 - level}, by, max_rows=n)
+    rows = with_quantiles(sims.select(*by, "x"), "x", {"worst_percentile": 1 - level}, by, max_rows=n)
     tail = F.col("x") <= F.col("worst_percentile")
-    return attach(sims, q, by).groupBy(*by).agg(
+    return rows.groupBy(*by).agg(
         F.min("x").alias("worst_case"), F.max("worst_percentile").alias("worst_percentile"),
         F.avg(F.when(tail, F.col("x"))).alias("expected_shortfall"),
         S.ratio(F.count_if(tail), F.count(F.lit(1))).alias("extreme_loss_probability"))

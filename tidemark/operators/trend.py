@@ -29,7 +29,7 @@ def wma(s: Series, n: int = 10, col: str = "close", out: str = "wma") -> Series:
 @series_operator(lambda n=20, **_: 2 * S.ewm_reach(S.span_alpha(n)))
 def dema(s: Series, n: int = 20, col: str = "close", out: str = "dema") -> Series:
     a = S.span_alpha(n)
-    s = S.ewm_columns(s, _x1=(col, a, False), _x2=("_x1", a, False))
+    s = S.ewm_columns(s, _x1=(col, a, False), _x2=("_x1", a, False)).flush()
     return s.add(**{out: 2 * F.col("_x1") - F.col("_x2")})
 
 
@@ -52,7 +52,7 @@ def macd(s: Series, fast: int = 12, slow: int = 26, signal: int = 9, col: str =
         return made | {f"ema_{n}": mean(pdf[col], n) for n in extra}
 
     names = ["macd", "macd_signal", "macd_hist", *[f"ema_{n}" for n in extra]]
-    return S.per_block(s, fn, [(k, "double") for k in names])
+    return s.later(fn, [(k, "double") for k in names])
 
 
 @series_operator(lambda n=20, **_: n)

@@ -22,8 +22,8 @@ def atr(s: Series, n: int = 14, out: str = "atr") -> Series:
 
 @series_operator(lambda span=20, n=10, **_: max(S.ewm_reach(S.span_alpha(span)), n + 1))
 def keltner(s: Series, span: int = 20, n: int = 10, k: float = 2.0) -> Series:
-    s = S.ewm_columns(s, kc_middle=("close", S.span_alpha(span), False))
     s = atr.on(s, n=n, out="_x_atr")
+    s = S.ewm_columns(s, kc_middle=("close", S.span_alpha(span), False)).flush()
     mid, width = F.col("kc_middle"), F.col("_x_atr") * k
     return s.add(kc_upper=mid + width, kc_lower=mid - width)
 

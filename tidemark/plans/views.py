@@ -71,10 +71,8 @@ bars AS (SELECT symbol, date_trunc('hour', time) AS time,
   last(price ORDER BY time, event_id) AS close, sum(volume) AS volume
   FROM ticks GROUP BY symbol, date_trunc('hour', time))"""
 
-_TRADE_ORDER = [
-    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-    "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
-]
+# price depends on the last two, so rows that tie on all four have the same price
+_TRADE_ORDER = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"]
 
 
 def trades(spark, d) -> DataFrame:

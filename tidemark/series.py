@@ -42,6 +42,7 @@ class Series:
     by: tuple[str, ...]
     order: tuple[str, ...]
     blocked: bool
+    waiting: tuple = ()
 
     @property
     def keys(self) -> list[str]:
@@ -60,7 +61,35 @@ class Series:
         return self.w.rowsBetween(-(n - 1), 0)
 
     def with_df(self, df: DataFrame) -> "Series":
-        return Series(df, self.by, self.order, self.blocked)
+        return Series(df, self.by, self.order, self.blocked, self.waiting)
+
+    def later(self, fn: Callable, schema: Sequence[tuple[str, str]]) -> "Series":
+        """Queue ``fn(block) -> columns`` for one shared pass over the ordered blocks.
+
+        Window columns keep the key's partitioning, a pandas pass loses it. Running
+        all queued functions in one pass after the windows needs no extra shuffle.
+        A function may read the columns of functions queued before it.
+        """
+        return Series(self.df, self.by, self.order, self.blocked, (*self.waiting, (fn, tuple(schema))))
+
+    def flush(self) -> "Series":
+        """Run the queued functions."""
+        if not self.waiting:
+            return self
+        fns = [f for f, _ in self.waiting]
+        schema = [c for _, cols in self.waiting for c in cols]
+        plain = Series(self.df, self.by, self.order, self.blocked)
+
+        def run(pdf):
+            made = {}
+            for f in fns:
+                new = f(pdf)
+                made |= new
+                for k, v in new.items():
+                    pdf[k] = v
+            return made
+
+        return per_block(plain, run, schema)
 
     def add(self, **cols: Column) -> "Series":
         return self.with_df(self.df.withColumns(cols))
@@ -70,6 +99,8 @@ class Series:
         return F.when(F.col(OWN), c) if self.blocked else c
 
     def close(self, *drop: str) -> DataFrame:
+        if self.waiting:
+            return self.flush().close(*drop)
         if not self.blocked:
             return self.df.drop(*drop)
         return self.df.where(F.col(OWN)).drop(POS, BLOCK, OWN, *drop)
@@ -337,9 +368,10 @@ def per_block(s: Series, fn: Callable, schema: Sequence[tuple[str, str]]) -> Ser
 
 
 def ewm_columns(s: Series, **what: tuple[str, float, bool]) -> Series:
-    """Add exponential means: name -> (column, alpha, adjust).
+    """Queue exponential means: name -> (column, alpha, adjust).
 
-    Later entries may read earlier ones.
+    Later entries may read earlier ones. Call ``flush`` before using them in
+    expressions; ``close`` does it by itself.
     """
 
     def fn(pdf):
@@ -349,7 +381,7 @@ def ewm_columns(s: Series, **what: tuple[str, float, bool]) -> Series:
             made[name] = col.ewm(alpha=alpha, adjust=adjust).mean()
         return made
 
-    return per_block(s, fn, [(k, "double") for k in what])
+    return s.later(fn, [(k, "double") for k in what])
 
 
 # --- inherently sequential rules ----------------------------------------------

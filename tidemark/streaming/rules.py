@@ -60,8 +60,8 @@ def sentiment_ewma(decay: float = 0.95) -> Rule:
 def sentiment_ewma_table(df: DataFrame, decay: float = 0.95, by=("symbol",), order=("time",), **layout) -> DataFrame:
     """The same values as an exponential mean with weight 1 - decay."""
     s = S.open_series(df, by, order, back=S.ewm_reach(1 - decay), **layout)
-    s = S.ewm_columns(s, current_sentiment=("score", 1 - decay, False))
-    return S.running(s, message_count=("count", F.col("current_sentiment"))).close()
+    s = S.running(s, message_count=("count", F.col("score")))
+    return S.ewm_columns(s, current_sentiment=("score", 1 - decay, False)).close()
 
 
 def cooldown(seconds: float) -> Rule:
