@@ -156,7 +156,7 @@ def above_running_median(s: S.Series, value: str, out: str) -> S.Series:
 def _smaller_in_earlier_blocks(s: S.Series, value: str) -> DataFrame:
     by = list(s.by)
     own = s.df.where(F.col(S.OWN) & F.col(value).isNotNull()).select(
-        *by, S.POS, F.col(S.BLOCK).alias("_tb"), F.col(value).cast("double").alias("_v"))
+        *by, F.col(S.POS).alias("_row"), F.col(S.BLOCK).alias("_tb"), F.col(value).cast("double").alias("_v"))
     sizes = own.groupBy(*by, "_tb").count().agg(F.max("count")).first()[0] or 1
     ranked = numbered(own, by, ["_v"], "_vpos", block_rows=sizes)
     cells = ranked.withColumn("_vb", F.floor((F.col("_vpos") - 1) / sizes))
@@ -177,7 +177,7 @@ def _smaller_in_earlier_blocks(s: S.Series, value: str) -> DataFrame:
     )
 
     def in_bucket(pdf):
-        pdf = pdf.sort_values(S.POS)
+        pdf = pdf.sort_values("_row")
         v, tb = pdf["_v"].to_numpy(), pdf["_tb"].to_numpy()
         less = smaller_before(v)
         for t in np.unique(tb):
@@ -189,7 +189,7 @@ def _smaller_in_earlier_blocks(s: S.Series, value: str) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields)
     counted = cells.groupBy(*by, "_vb").applyInPandas(in_bucket, fields + ", _less long")
     return S.join_null_safe(counted, table, [*by, "_tb", "_vb"]).select(
-        *by, S.POS, (F.col("_less") + F.coalesce("_below", F.lit(0))).alias("_x_earlier"))
+        *by, F.col("_row").alias(S.POS), (F.col("_less") + F.coalesce("_below", F.lit(0))).alias("_x_earlier"))
 
 
 def moments(value: str) -> dict[str, Column]:

@@ -22,9 +22,9 @@ def signal_backtest(df: DataFrame, signal: str = "direction", slippage: float =
     ``signal`` is 1, -1, 0 or null; 0 and null keep the position. A bar's signal
     acts from the next bar on.
     """
-    s = S.open_series(df, by, order, back=3, **layout)
+    s = S.open_series(df, by, order, back=4, **layout)
     acted = F.when(F.col(signal) != 0, F.col(signal).cast("double"))
-    s = S.running(s, _held=("last", acted))
+    s = S.reopen(S.running(s, _held=("last", acted)), back=4)
     target = F.coalesce("_held", F.lit(0.0))
     s = s.add(target=target if allow_short else F.greatest(target, F.lit(0.0)))
     s = s.add(position=F.coalesce(S.lag(s, "target"), F.lit(0.0)))

@@ -24,7 +24,7 @@ from __future__ import annotations
 import functools
 import math
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -43,6 +43,7 @@ class Series:
     order: tuple[str, ...]
     blocked: bool
     waiting: tuple = ()
+    size: int = 0
 
     @property
     def keys(self) -> list[str]:
@@ -61,7 +62,7 @@ class Series:
         return self.w.rowsBetween(-(n - 1), 0)
 
     def with_df(self, df: DataFrame) -> "Series":
-        return Series(df, self.by, self.order, self.blocked, self.waiting)
+        return replace(self, df=df)
 
     def later(self, fn: Callable, schema: Sequence[tuple[str, str]]) -> "Series":
         """Queue ``fn(block) -> columns`` for one shared pass over the ordered blocks.
@@ -70,7 +71,7 @@ class Series:
         all queued functions in one pass after the windows needs no extra shuffle.
         A function may read the columns of functions queued before it.
         """
-        return Series(self.df, self.by, self.order, self.blocked, (*self.waiting, (fn, tuple(schema))))
+        return replace(self, waiting=(*self.waiting, (fn, tuple(schema))))
 
     def flush(self) -> "Series":
         """Run the queued functions."""
@@ -78,7 +79,7 @@ class Series:
             return self
         fns = [f for f, _ in self.waiting]
         schema = [c for _, cols in self.waiting for c in cols]
-        plain = Series(self.df, self.by, self.order, self.blocked)
+        plain = replace(self, waiting=())
 
         def run(pdf):
             made = {}
@@ -192,6 +193,11 @@ def open_series(
         return Series(df, by, order, False)
     size = max(size, 4 * (back + ahead), 2)
     placed = with_position(df, by, order, size, max_rows)
+    return Series(_cut(placed, size, back, ahead), by, order, True, size=size)
+
+
+def _cut(placed: DataFrame, size: int, back: int, ahead: int) -> DataFrame:
+    """Copy every row to its block and to the neighbours that borrow it."""
     zero = F.col(POS) - 1
     home = F.floor(zero / size).cast("long")
     inside = zero % size
@@ -202,13 +208,21 @@ def open_series(
             F.when((inside < ahead) & (home > 0), home - 1),
         )
     )
-    cut = (
+    return (
         placed.withColumn("_home", home)
         .withColumn(BLOCK, F.explode(copies))
         .withColumn(OWN, F.col("_home") == F.col(BLOCK))
         .drop("_home")
     )
-    return Series(cut, by, order, True)
+
+
+def reopen(s: Series, back: int = 0, ahead: int = 0) -> Series:
+    """Borrow rows anew, so that frames may reach over running values."""
+    s = s.flush()
+    if not s.blocked:
+        return s
+    own = s.df.where(F.col(OWN)).drop(BLOCK, OWN)
+    return s.with_df(_cut(own, s.size, back, ahead))
 
 
 # --- frames -----------------------------------------------------------------
@@ -292,47 +306,41 @@ def running(s: Series, **what: tuple[str, Column]) -> Series:
     """Add running aggregates from the first row of the key to the current row.
 
     ``what`` maps a column name to (kind, expression) with kind one of sum, count,
-    max, min, last. In the blocked layout only block totals cross block borders.
+    max, min, last. In the blocked layout only block totals cross block borders, and
+    the results hold on a block's own rows: ``reopen`` before framing them.
     """
     upto = s.w.rowsBetween(Window.unboundedPreceding, 0)
     if not s.blocked:
         return s.with_df(
             s.df.withColumns({k: _RUN[kind][0](c).over(upto) for k, (kind, c) in what.items()})
         )
+    # Borrowed rows are left out: their block counts them, and an expression that
+    # looks back may not be right on the first of them.
     df = s.df.withColumns({f"_in_{k}": s.owned(c) for k, (_, c) in what.items()})
 
-    def block_total(kind: str, name: str) -> Column:
-        if kind == "last":
-            return F.max_by(name, F.when(F.col(name).isNotNull(), F.col(POS)))
-        return _RUN[kind][0](F.col(name))
+    def total_of(kind: str, name: str) -> Column:
+        c = F.col(name)
+        return F.max_by(c, F.when(c.isNotNull(), F.col(POS))) if kind == "last" else _RUN[kind][0](c)
 
-    totals = (
-        df.where(F.col(OWN))
-        .groupBy(*s.keys)
-        .agg(*[block_total(kind, f"_in_{k}").alias(f"_tot_{k}") for k, (kind, _) in what.items()])
-    )
-    earlier = (
-        Window.partitionBy(*s.by).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    totals = df.where(F.col(OWN)).groupBy(*s.keys).agg(
+        *[total_of(kind, f"_in_{k}").alias(f"_tot_{k}") for k, (kind, _) in what.items()])
+    before = Window.partitionBy(*s.by).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     merge = {k: "sum" if kind == "count" else kind for k, (kind, _) in what.items()}
-    carried = totals.select(
-        *s.keys,
-        *[_RUN[merge[k]][0](F.col(f"_tot_{k}")).over(earlier).alias(f"_car_{k}") for k in what],
-    )
+    carried = totals.select(*s.keys, *[
+        _RUN[kind][0](F.col(f"_tot_{k}")).over(before).alias(f"_car_{k}") for k, kind in merge.items()])
     df = join_null_safe(df, carried, s.keys)
-    out = {}
-    for k, (kind, _) in what.items():
-        inside = _RUN[kind][0](F.col(f"_in_{k}")).over(upto)
-        carry = F.col(f"_car_{k}")
-        if kind in ("sum", "count"):
-            joined = F.when(carry.isNull(), inside).otherwise(carry + F.coalesce(inside, F.lit(0)))
-        else:
-            joined = _RUN[kind][1](carry, inside)
-        out[k] = joined
-    df = df.withColumns(out)
+    df = df.withColumns({
+        k: _merge(merge[k], F.col(f"_car_{k}"), _RUN[kind][0](F.col(f"_in_{k}")).over(upto))
+        for k, (kind, _) in what.items()})
     return s.with_df(df.drop(*[f"{p}{k}" for k in what for p in ("_in_", "_car_")]))
 
 
+def _merge(kind: str, earlier: Column, later: Column) -> Column:
+    """Combine two running values, either of which may be null."""
+    both = _RUN[kind][1](earlier, later)
+    return both if kind == "last" else F.when(earlier.isNull(), later).when(later.isNull(), earlier).otherwise(both)
+
+
 # --- exponential means -------------------------------------------------------
 
 
