@@ -107,3 +107,14 @@ def test_daily_metrics(bars):
 
 def test_same_helper(bars):
     same(bars, bars)
+
+
+def test_sequential_rules_in_blocks(bars):
+    from tidemark.operators import trend
+    from tidemark.streaming import rules as SR
+    from tidemark.streaming.stateful import apply_table
+
+    both(lambda df, **k: trend.parabolic_sar(df, **k), bars, warm=5)
+    timed = bars.withColumn("epoch", F.unix_timestamp("time").cast("double")).withColumn("event_id", F.unix_timestamp("time"))
+    for rule in (SR.cooldown(30 * 3600), SR.rate_limit(3, 86400, 7, 5 * 86400)):
+        both(lambda df, r=rule, **k: apply_table(df, r, ["symbol"], ["symbol", "time"], ["time"], **k), timed, warm=5)

@@ -91,7 +91,7 @@ def mmr(found: DataFrame, n: int, weight: float = 0.7, query_key: str = "query_i
         d = pdf["distance"].to_numpy()
         order, left = [0], list(range(1, len(d)))
         if len(d) <= n:
-            order = list(range(len(d)))
+            order, left = list(range(len(d))), []
         while len(order) < n and left:
             score = [weight * (1 - d[i]) + (1 - weight) * min(abs(d[i] - d[j]) for j in order) for i in left]
             order.append(left.pop(int(np.argmax(score))))

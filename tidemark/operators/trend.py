@@ -61,9 +61,10 @@ def bollinger(s: Series, n: int = 20, k: float = 2.0, col: str = "close") -> Ser
     return s.add(bb_upper=mid + sd * k, bb_middle=mid, bb_lower=mid - sd * k)
 
 
-def parabolic_sar(df, step: float = 0.02, limit: float = 0.2, by=("symbol",), order=("time",)):
-    """Stop-and-reverse line. The next value needs the last state, so each symbol
-    is read in order with four numbers of memory."""
+def parabolic_sar(df, step: float = 0.02, limit: float = 0.2, by=("symbol",), order=("time",),
+                  **layout):
+    """Stop-and-reverse line. The next value needs the last state of four numbers,
+    which forgets its start after a few reversals."""
 
     def advance(state, high, low, close):
         if state is None:
@@ -78,8 +79,7 @@ def parabolic_sar(df, step: float = 0.02, limit: float = 0.2, by=("symbol",), or
             peak, rate = reach, min(rate + step, limit)
         return (sar, peak, rate, rising), (sar,)
 
-    return S.ordered_scan(df, by, order, lambda: None, advance,
-                          ["high", "low", "close"], [("sar", "double")])
+    return S.scan(df, by, order, lambda: None, advance, ["high", "low", "close"], [("sar", "double")], **layout)
 
 
 def true_range(s: Series):

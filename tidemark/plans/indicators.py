@@ -67,7 +67,7 @@ walk AS (
     sql="SELECT symbol, time, sar FROM walk",
 )
 def w07(spark, d):
-    return trend.parabolic_sar(V.bars(spark, d))
+    return trend.parabolic_sar(V.bars(spark, d), max_rows=V.hours_bound(spark, d))
 
 
 DM = f"""d AS (SELECT *, {TR} AS tr, high - {lag('high')} AS up, {lag('low')} - low AS down FROM bars),

@@ -27,6 +27,11 @@ def pick(values, index):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
+def first_line(c):
+    """The title of a text: its first line."""
+    return F.split_part(c, F.lit("\n"), F.lit(1))
+
+
 # --- filters ------------------------------------------------------------------------
 query("f01_prices_by_symbol", f"symbol time | {O}", ctes=BARS,
       sql="SELECT * FROM bars WHERE symbol = 'click' AND time >= TIMESTAMP '2024-01-03' AND time <= TIMESTAMP '2024-01-25 12:00:00' ORDER BY time DESC LIMIT 300")(
@@ -89,11 +94,10 @@ def _quotes(s, d):
 query("f11_valid_quote", "event_id is_valid is_stale", ctes=QT,
       sql="SELECT event_id, symbol IS NOT NULL AND coalesce(price > 0, false) AND timestamp IS NOT NULL AS is_valid, coalesce(timestamp < TIMESTAMP '2024-01-20' - INTERVAL 24 HOURS, false) AS is_stale FROM qt")(
     lambda s, d: RW.valid_quote(_quotes(s, d), "2024-01-20"))
-AV = "av AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '' ELSE substring(text, 1, CAST(doc_id % 40 AS INT)) END AS title, CASE WHEN doc_id % 8 = 0 THEN NULL ELSE 'u' END AS url, substring(text, 1, CAST(doc_id % 90 AS INT)) AS content FROM documents)"
+AV = "av AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, CASE WHEN lang = 'fr' THEN NULL ELSE source END AS url, text AS content FROM documents)"
 query("f12_valid_articles", "doc_id", ctes=AV, sql="SELECT doc_id FROM av WHERE length(coalesce(title, '')) > 0 AND length(coalesce(url, '')) > 0 AND NOT (length(coalesce(content, '')) < 50 AND length(coalesce(title, '')) < 20)")(
     lambda s, d: RW.valid_articles(V.table(s, d, "documents").select(
-        "doc_id", F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.left("text", (F.col("doc_id") % 40).cast("int"))).alias("title"),
-        F.when(F.col("doc_id") % 8 != 0, "u").alias("url"), F.left("text", (F.col("doc_id") % 90).cast("int")).alias("content"))))
+        "doc_id", first_line("text").alias("title"), F.when(F.col("lang") != "fr", F.col("source")).alias("url"), F.col("text").alias("content"))))
 query("f13_is_fresh", "event_id fresh", ctes=QT, sql="SELECT event_id, coalesce(timestamp >= TIMESTAMP '2024-01-20' - INTERVAL 60 MINUTES, false) AS fresh FROM qt")(
     lambda s, d: _quotes(s, d).withColumn("fresh", RW.is_fresh(F.col("timestamp"), "2024-01-20")))
 query("f14_quality_report", "is_valid | | rows null_close extreme_changes duplicate_keys missing_columns",
@@ -175,24 +179,24 @@ def symbol_sql(text, gold=X.GOLD, silver=X.SILVER):
 
 
 query("s06_parse_articles", "article_id time title content source url author keywords symbol language",
-      ctes="ar AS (SELECT doc_id, substring(text, 1, 80) AS title, CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS description, lang AS snippet, source, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE '2024-02-03 04:05:06' END AS published_at FROM documents)",
+      ctes="ar AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS description, lang AS snippet, source, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE '2024-02-03 04:05:06' END AS published_at FROM documents)",
       sql=f"""SELECT substr(md5(concat(title, source, coalesce(published_at, ''))), 1, 16) AS article_id, CASE WHEN published_at IS NULL THEN TIMESTAMP '2024-05-01' ELSE TIMESTAMP '2024-02-03 04:05:06' END AS time,
   {clean_sql('title')} AS title, {clean_sql("CASE WHEN description <> '' THEN description ELSE snippet END")} AS content, source, concat('u', doc_id) AS url, CAST(NULL AS VARCHAR) AS author,
   {hit_list("concat(title, ' ', description)")} AS keywords, {symbol_sql('title')} AS symbol, 'en' AS language FROM ar""")(
     lambda s, d: PL.parse_articles(V.table(s, d, "documents").select(F.to_json(F.struct(F.array(F.struct(
-        F.substring("text", 1, 80).alias("title"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("text")).alias("description"), F.col("lang").alias("snippet"), "source",
+        first_line("text").alias("title"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("text")).alias("description"), F.col("lang").alias("snippet"), "source",
         F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), F.when(F.col("doc_id") % 4 != 0, "2024-02-03 04:05:06").alias("published_at"))).alias("data"))).alias("payload")),
         "2024-05-01", keywords=WORDS))
 query("s07_shape_feeds", "title content url source published_at image_url fetch_source",
-      sql="""SELECT substring(text, 1, 50) AS title, text AS content, concat('u', doc_id) AS url, coalesce(CASE WHEN doc_id % 5 <> 0 THEN source END, 'RSS Feed') AS source, CASE WHEN doc_id % 2 = 0 THEN TIMESTAMP '2024-01-01' WHEN doc_id % 3 = 0 THEN TIMESTAMP '2024-01-02' ELSE TIMESTAMP '2024-05-01' END AS published_at,
-  CAST(NULL AS VARCHAR) AS image_url, 'RSS' AS fetch_source FROM documents WHERE contains(lower(concat(substring(text, 1, 50), ' ', text)), 'the') OR contains(lower(concat(substring(text, 1, 50), ' ', text)), 'und')
-  UNION ALL SELECT substring(html, 1, 40), html, url, concat('Reddit/r/', page_id % 5), make_timestamp((1704067200 + page_id * 60) * 1000000), NULL, 'Reddit' FROM pages""")(
+      sql="""SELECT split_part(text, chr(10), 1) AS title, text AS content, concat('u', doc_id) AS url, coalesce(CASE WHEN doc_id % 5 <> 0 THEN source END, 'RSS Feed') AS source, CASE WHEN doc_id % 2 = 0 THEN TIMESTAMP '2024-01-01' WHEN doc_id % 3 = 0 THEN TIMESTAMP '2024-01-02' ELSE TIMESTAMP '2024-05-01' END AS published_at,
+  CAST(NULL AS VARCHAR) AS image_url, 'RSS' AS fetch_source FROM documents WHERE contains(lower(concat(split_part(text, chr(10), 1), ' ', text)), 'the') OR contains(lower(concat(split_part(text, chr(10), 1), ' ', text)), 'und')
+  UNION ALL SELECT regexp_extract(html, '<title>([^<]*)', 1), html, url, concat('Reddit/r/', page_id % 5), make_timestamp((1704067200 + page_id * 60) * 1000000), NULL, 'Reddit' FROM pages""")(
     lambda s, d: TB.union_feeds([
         PL.shape_rss(V.table(s, d, "documents").select(
-            F.substring("text", 1, 50).alias("title"), F.col("text").alias("summary"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("link"),
+            first_line("text").alias("title"), F.col("text").alias("summary"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("link"),
             F.when(F.col("doc_id") % 5 != 0, F.col("source")).alias("feed_title"), F.when(F.col("doc_id") % 2 == 0, F.lit("2024-01-01").cast("timestamp")).alias("published"),
             F.when(F.col("doc_id") % 3 == 0, F.lit("2024-01-02").cast("timestamp")).alias("updated")), "2024-05-01", ["the", "und"]),
-        PL.shape_posts(V.table(s, d, "pages").select(F.substring("html", 1, 40).alias("title"), F.col("html").alias("selftext"), "url",
+        PL.shape_posts(V.table(s, d, "pages").select(F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), F.col("html").alias("selftext"), "url",
                                                      (F.col("page_id") % 5).cast("string").alias("subreddit"), (F.lit(1704067200) + F.col("page_id") * 60).alias("created_utc")))]))
 query("s08_explode_rates", "metal timestamp source | price", ctes="rt AS (SELECT CAST(ts AS TIMESTAMP) AS timestamp, unnest(['gold', 'silver']) AS metal, unnest([value, value * 2]) AS rate FROM events)",
       sql="SELECT metal, timestamp, 'Metals-API' AS source, coalesce(1 / nullif(rate, 0), 0) AS price FROM rt")(
@@ -219,15 +223,15 @@ def _written(s, d, write, read):
 query("s12_prediction_log", "model symbol | n", ctes=V.PREDICTIONS, sql="SELECT model, symbol, count(*) AS n FROM predictions GROUP BY 1, 2")(
     lambda s, d: _written(s, d, lambda p: TB.write_prediction_log(V.predictions(s, d).withColumn("time", F.lit("2024-01-01 10:00:00").cast("timestamp")), p),
                           lambda p: s.read.schema("model string, symbol string").json(p).groupBy("model", "symbol").agg(F.count(F.lit(1)).alias("n"))))
-UPD = DAILY + ", base AS (SELECT *, 'old' AS source FROM daily WHERE day(time) % 3 <> 0), delta AS (SELECT symbol, time, close + 1 AS close, open, high, low, volume * 2 AS volume, 'new' AS source FROM daily WHERE day(time) % 2 = 0)"
+UPD = DAILY + ", base AS (SELECT *, 'old' AS source FROM daily WHERE time < DATE '1999-06-01'), delta AS (SELECT symbol, time, close + 1 AS close, open, high, low, volume * 2 AS volume, 'new' AS source FROM daily WHERE time >= DATE '1998-06-01')"
 
 
 def _base(s, d):
-    return V.daily(s, d).where(F.dayofmonth("time") % 3 != 0).withColumn("source", F.lit("old"))
+    return V.daily(s, d).where("time < DATE '1999-06-01'").withColumn("source", F.lit("old"))
 
 
 def _delta(s, d):
-    b = V.daily(s, d).where(F.dayofmonth("time") % 2 == 0)
+    b = V.daily(s, d).where("time >= DATE '1998-06-01'")
     return b.withColumns({"close": F.col("close") + 1, "volume": F.col("volume") * 2, "source": F.lit("new")})
 
 
@@ -237,9 +241,9 @@ query("s13_upsert", "symbol time source | close open volume", dp=8, ctes=UPD,
 query("s14_insert_ignore", "symbol time source | close volume", dp=8, ctes=UPD,
       sql="SELECT symbol, time, source, close, volume FROM base UNION ALL SELECT symbol, time, source, close, volume FROM delta WHERE (symbol, time) NOT IN (SELECT (symbol, time) FROM base)")(
     lambda s, d: TB.insert_ignore(_base(s, d), _delta(s, d), ["symbol", "time"]))
-query("s15_save_new_articles", "doc_id url", ctes=NEWS + ", inc AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE url END AS url FROM news WHERE doc_id % 2 = 0)",
-      sql="SELECT doc_id, url FROM inc WHERE url IS NULL OR url NOT IN (SELECT url FROM news WHERE doc_id % 3 = 0)")(
-    lambda s, d: TB.new_articles(V.news(s, d).where("doc_id % 2 = 0").select("doc_id", F.when(F.col("doc_id") % 10 != 0, F.col("url")).alias("url")), V.news(s, d).where("doc_id % 3 = 0")))
+query("s15_save_new_articles", "doc_id url", ctes=NEWS + ", inc AS (SELECT doc_id, CASE WHEN language = 'fr' THEN NULL ELSE url END AS url FROM news)",
+      sql="SELECT doc_id, url FROM inc WHERE url IS NULL OR url NOT IN (SELECT url FROM news WHERE label = 'positive')")(
+    lambda s, d: TB.new_articles(V.news(s, d).select("doc_id", F.when(F.col("language") != "fr", F.col("url")).alias("url")), V.news(s, d).where("label = 'positive'")))
 query("s16_bulk_write", "o_orderkey | o_totalprice", sql="SELECT o_orderkey, o_totalprice FROM orders")(
     lambda s, d: _written(s, d, lambda p: TB.write_table(V.table(s, d, "orders").select("o_orderkey", "o_totalprice"), p), lambda p: s.read.parquet(p)))
 
@@ -268,8 +272,8 @@ query("j14_exclude_existing", "c_custkey", sql="SELECT c_custkey FROM customer W
     lambda s, d: TB.exclude_existing(V.table(s, d, "customer").select("c_custkey"), V.table(s, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]))
 query("u03_intersect_keys", "symbol time", ctes=DAILY, sql="SELECT symbol, time FROM daily WHERE volume > 30 INTERSECT SELECT symbol, time FROM daily WHERE volume < 60")(
     lambda s, d: V.daily(s, d).where("volume > 30").select("symbol", "time").intersect(V.daily(s, d).where("volume < 60").select("symbol", "time")))
-query("u04_except_keys", "url", ctes=NEWS, sql="SELECT url FROM news WHERE doc_id % 2 = 0 EXCEPT ALL SELECT url FROM news WHERE doc_id % 3 = 0")(
-    lambda s, d: V.news(s, d).where("doc_id % 2 = 0").select("url").exceptAll(V.news(s, d).where("doc_id % 3 = 0").select("url")))
+query("u04_except_keys", "url", ctes=NEWS, sql="SELECT url FROM news EXCEPT ALL SELECT url FROM news WHERE label = 'positive'")(
+    lambda s, d: V.news(s, d).select("url").exceptAll(V.news(s, d).where("label = 'positive'").select("url")))
 query("u05_distinct_keywords", "doc_id keywords", sql=f"SELECT doc_id, {hit_list('text')} AS keywords FROM documents")(
     lambda s, d: V.table(s, d, "documents").select("doc_id", X.extract_keywords(F.col("text"), WORDS).alias("keywords")))
 query("k02_rank_by_abs_corr", "symbol | correlation | place", dp=4, ctes=DAILY + ", cc AS (SELECT a.symbol, round(corr(a.close, g.close), 4) AS correlation FROM daily a JOIN daily g ON a.time = g.time AND g.symbol = 'Brand#11' GROUP BY 1)",
@@ -281,10 +285,13 @@ query("k09_tail", "symbol time | close | back", ctes=BARS, sql="SELECT symbol, t
     lambda s, d: tail(V.bars(s, d), 20))
 
 # --- text ---------------------------------------------------------------------------
-query("t01_article_id", "doc_id article_id", sql="SELECT doc_id, substr(md5(concat(substring(text, 1, 60), source, CAST(doc_id AS VARCHAR))), 1, 16) AS article_id FROM documents")(
-    lambda s, d: V.table(s, d, "documents").select("doc_id", X.article_id(F.substring("text", 1, 60), F.col("source"), F.col("doc_id")).alias("article_id")))
-query("t02_clean_text", "page_id clean scored", sql=f"SELECT page_id, {clean_sql('html')} AS clean, CASE WHEN length({clean_sql('url')}) > 30 THEN concat(substring({clean_sql('url')}, 1, 30), '...') ELSE {clean_sql('url')} END AS scored FROM pages")(
-    lambda s, d: V.table(s, d, "pages").select("page_id", X.clean_text(F.col("html")).alias("clean"), X.clean_for_scoring(F.col("url"), 30).alias("scored")))
+query("t01_article_id", "doc_id article_id", sql="SELECT doc_id, substr(md5(concat(split_part(text, chr(10), 1), source, CAST(doc_id AS VARCHAR))), 1, 16) AS article_id FROM documents")(
+    lambda s, d: V.table(s, d, "documents").select("doc_id", X.article_id(first_line("text"), F.col("source"), F.col("doc_id")).alias("article_id")))
+query("t02_clean_text", "page_id clean", sql=f"SELECT page_id, {clean_sql('html')} AS clean FROM pages")(
+    lambda s, d: V.table(s, d, "pages").select("page_id", X.clean_text(F.col("html")).alias("clean")))
+query("t02_scoring_text", "doc_id scored", ctes=f"sq AS (SELECT doc_id, {clean_sql('text').replace("regexp_replace(text, '<[^>]+>', '', 'g')", 'text')} AS t FROM documents)",
+      sql="SELECT doc_id, CASE WHEN length(t) > 1000 THEN concat(substring(t, 1, 1000), '...') ELSE t END AS scored FROM sq")(
+    lambda s, d: V.table(s, d, "documents").select("doc_id", X.clean_for_scoring(F.col("text")).alias("scored")))
 
 
 def any_sql(text, words):

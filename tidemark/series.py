@@ -22,6 +22,7 @@ which adds the totals of earlier blocks to the value inside the block.
 from __future__ import annotations
 
 import functools
+import json
 import math
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, replace
@@ -30,6 +31,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import cut_lineage
+
 BLOCK_ROWS = 1_000_000
 # Buckets are drawn finer than blocks so that busy hours still fit into a task.
 BUCKETS_PER_BLOCK = 16
@@ -428,3 +431,63 @@ def ordered_scan(
 
     placed = df.repartition(*by).sortWithinPartitions(*by, *order)
     return placed.mapInPandas(run, out)
+
+
+def scan(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], make_state: Callable, step: Callable,
+    inputs: Sequence[str], outputs: Sequence[tuple[str, str]], warm: int = 1000,
+    max_rows: int | None = None, block_rows: int | None = None,
+) -> DataFrame:
+    """A sequential rule over every key, in parallel inside large keys too.
+
+    Small keys go through ``ordered_scan``. A large key is cut into blocks that all
+    start at once, each from a fresh state ``warm`` rows early: such rules soon
+    forget where they started. A block's start state is then compared with the end
+    state of the block before; blocks that differ run again from that state until
+    none differs, so the result is the sequential one whatever the rule.
+    """
+    s = open_series(df, by, order, back=warm, max_rows=max_rows, block_rows=block_rows)
+    if not s.blocked:
+        return ordered_scan(df, by, order, make_state, step, inputs, outputs)
+    inputs, names = list(inputs), [n for n, _ in outputs]
+    have = [f for f in s.df.schema.fields if f.name != OWN]
+    out = T.StructType(have + [T.StructField(n, T._parse_datatype_string(t)) for n, t in outputs] + [
+        T.StructField(n, T.StringType()) for n in ("_entry", "_exit")])
+
+    def run(pdf):
+        pdf = pdf.sort_values(POS)
+        own = pdf[pdf[OWN]]
+        if own.empty:
+            return own.reindex(columns=out.fieldNames())
+        start = pdf["_start"].iloc[0]
+        if isinstance(start, str):
+            state = json.loads(start)
+        else:
+            state = make_state()
+            for row in zip(*[pdf[~pdf[OWN]][c] for c in inputs]):
+                state, _ = step(state, *row)
+        entry, made = json.dumps(state), []
+        for row in zip(*[own[c] for c in inputs]):
+            state, vals = step(state, *row)
+            made.append(vals)
+        own = own[[f.name for f in have]].copy()
+        for i, n in enumerate(names):
+            own[n] = [m[i] for m in made]
+        own["_entry"], own["_exit"] = None, None
+        own.iloc[0, own.columns.get_loc("_entry")] = entry
+        own.iloc[0, own.columns.get_loc("_exit")] = json.dumps(state)
+        return own
+
+    rows = cut_lineage(s.df)
+    done = cut_lineage(rows.withColumn("_start", F.lit(None).cast("string")).groupBy(*s.keys).applyInPandas(run, out))
+    while True:
+        states = done.where(F.col("_entry").isNotNull()).select(*s.keys, "_entry", "_exit")
+        before = states.select(*by, (F.col(BLOCK) + 1).alias(BLOCK), F.col("_exit").alias("_start"))
+        wrong = cut_lineage(
+            join_null_safe(states, before, s.keys).where("_start <> _entry").select(*s.keys, "_start"))
+        if wrong.isEmpty():
+            return done.drop(POS, BLOCK, "_entry", "_exit")
+        again = join_null_safe(rows, wrong, s.keys).where(F.col("_start").isNotNull())
+        again = again.groupBy(*s.keys).applyInPandas(run, out)
+        right = join_null_safe(done, wrong, s.keys).where(F.col("_start").isNull()).drop("_start")
+        done = cut_lineage(right.unionByName(again))

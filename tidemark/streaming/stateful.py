@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
-from tidemark.series import ordered_scan
+from tidemark.series import scan
 
 
 @dataclass(frozen=True)
@@ -67,14 +67,15 @@ def apply_stream(df: DataFrame, rule: Rule, by: Sequence[str], keep: Sequence[st
         RuleProcessor(rule, keep, order), _schema(df, keep, rule), "Append", "None")
 
 
-def apply_table(df: DataFrame, rule: Rule, by: Sequence[str], keep: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The same rule over a finished table: each key streams through one task."""
+def apply_table(df: DataFrame, rule: Rule, by: Sequence[str], keep: Sequence[str], order: Sequence[str],
+                **layout) -> DataFrame:
+    """The same rule over a finished table."""
     silent = (None,) * len(rule.outputs)
 
     def step(state, *vals):
         state, out = rule.step(state, *vals)
         return state, (out is not None, *(silent if out is None else out))
 
-    scanned = ordered_scan(df, by, order, rule.make_state, step, rule.inputs,
-                           [("_emitted", "boolean"), *rule.outputs])
+    scanned = scan(df, by, order, rule.make_state, step, rule.inputs,
+                   [("_emitted", "boolean"), *rule.outputs], **layout)
     return scanned.where("_emitted").select(*keep, *[F.col(n) for n, _ in rule.outputs])
