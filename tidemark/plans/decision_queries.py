@@ -140,7 +140,7 @@ def _joined(s, d):
     return A.rules_on_quotes(rules, q, "Brand#11", P.corr_with(V.daily(s, d), "Brand#11"))
 
 
-query("j09_rules_x_quotes", "symbol rule_id type direction | price change_percent gold_change_percent gold_correlation rsi", ctes=QUOTES, dp=4, sql="SELECT * FROM jr")(_joined)
+query("j09_rules_x_quotes", "symbol rule_id type direction | price change_percent gold_change_percent gold_correlation rsi", ctes=QUOTES, dp=8, sql="SELECT * FROM jr")(_joined)
 FIRED = """CASE WHEN type = 'PriceBreakoutRule' AND ((direction = 'above' AND price >= 60) OR (direction = 'below' AND price <= 60)) THEN 'PRICE_BREAKOUT'
   WHEN type = 'PercentChangeRule' AND abs(change_percent) >= 20 THEN 'PERCENT_CHANGE'
   WHEN type = 'CorrelationDivergenceRule' AND gold_correlation >= -1 AND abs(change_percent - gold_change_percent) >= 5 AND sign(change_percent) * sign(gold_change_percent) < 0 THEN 'CORRELATION_DIVERGENCE'

@@ -29,7 +29,7 @@ def _ticks(df):
     return df.select(
         "event_id", F.col("event_type").alias("symbol"), F.col("ts").alias("time"), (F.col("value") + 1.0).alias("price"),
         F.regexp_extract("props", "([0-9]+)", 1).cast("double").alias("volume"), F.col("user_id").alias("client"),
-        (F.unix_micros("ts") / 1e6).alias("epoch"), (F.col("value") / 50 - 1).alias("score"))
+        (F.unix_micros("ts") / 1e6).alias("epoch"), (F.col("value") / 53 - 1).alias("score"))
 
 
 def both(name, spec, table_fn, stream_fn, sql, ctes=TICKS, dp=6):
@@ -49,7 +49,7 @@ both(
   CASE WHEN {N} >= 20 THEN avg(price) OVER {W.format(19)} END AS ma_long, CASE WHEN {N} >= 20 THEN CASE WHEN avg(price) OVER {W.format(4)} > avg(price) OVER {W.format(19)} THEN 'bullish' ELSE 'bearish' END END AS signal FROM ticks) z WHERE n >= 2""",
     dp=5,
 )
-SC = "sc AS (SELECT event_id, event_type AS symbol, ts AS time, value / 50 - 1 AS score, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS k FROM events)"
+SC = "sc AS (SELECT event_id, event_type AS symbol, ts AS time, value / CAST(53 AS DOUBLE) - 1 AS score, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS k FROM events)"
 both(
     "r02_sentiment_ewma", "event_id symbol | current_sentiment | message_count",
     lambda s, d: SR.sentiment_ewma_table(_ticks(V.table(s, d, "events")), order=tuple(ORDER)),

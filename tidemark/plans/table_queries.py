@@ -67,7 +67,7 @@ def _screen(s, d):
     return RW.screener(q, -0.5, 40, 5, None, "volume", P.corr_with(V.daily(s, d), "Brand#11"))
 
 
-query("f07_screener", "symbol | price volume change_percent gold_correlation", dp=4, ctes=SQ,
+query("f07_screener", "symbol | price volume change_percent gold_correlation", dp=8, ctes=SQ,
       sql=f"SELECT symbol, price, volume, change_percent, gold_correlation FROM q JOIN c USING (symbol) WHERE volume >= 5 AND coalesce({PE}, 0) <= 40 AND gold_correlation >= -0.5")(_screen)
 query("f08_category", "p_partkey category", sql="SELECT p_partkey, CASE WHEN p_brand IN ('Brand#1','Brand#2') THEN 'ETF' WHEN p_brand IN ('Brand#3') THEN 'Mining' WHEN p_brand IN ('Brand#4') THEN 'Index' ELSE 'Other' END AS category FROM part")(
     lambda s, d: V.table(s, d, "part").select("p_partkey", RW.category(F.col("p_brand"), ["Brand#1", "Brand#2"], ["Brand#3"], ["Brand#4"]).alias("category")))
