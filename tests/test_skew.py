@@ -118,3 +118,21 @@ def test_sequential_rules_in_blocks(bars):
     timed = bars.withColumn("epoch", F.unix_timestamp("time").cast("double")).withColumn("event_id", F.unix_timestamp("time"))
     for rule in (SR.cooldown(30 * 3600), SR.rate_limit(3, 86400, 7, 5 * 86400)):
         both(lambda df, r=rule, **k: apply_table(df, r, ["symbol"], ["symbol", "time"], ["time"], **k), timed, warm=5)
+
+
+@pytest.mark.parametrize("kw", [{}, {"block_rows": 150, "tile": 2}])
+def test_pair_correlation_matches_pandas(spark, kw):
+    from tidemark.operators import pairs
+
+    rng = np.random.default_rng(9)
+    wide = pd.DataFrame(rng.normal(1e5, 3, (90, 6)), columns=list("ABCDEF"))
+    wide["E"], wide["F"] = 7.0, wide["A"] * 2 + rng.normal(0, 1, 90)
+    wide = wide.mask(rng.random(wide.shape) < 0.2)
+    long = wide.stack().reset_index()
+    long.columns = ["time", "symbol", "close"]
+    got = {(r["a"], r["b"]): r for r in pairs.pair_correlation(spark.createDataFrame(long), "close", **kw).collect()}
+    want = wide.corr()
+    assert len(got) == 15
+    for (a, b), r in got.items():
+        assert a < b and r["n"] == int((wide[a].notna() & wide[b].notna()).sum())
+        assert r["correlation"] is None if "E" in (a, b) else abs(r["correlation"] - want.loc[a, b]) < 1e-9

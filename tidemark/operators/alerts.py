@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import series as S
 from tidemark.functions.stats import tail
-from tidemark.operators.pairs import pair_rows, safe_corr
+from tidemark.operators.pairs import pair_correlation
 
 ALERT = ["alert_type", "severity", "symbol", "title", "description", "value", "threshold"]
 
@@ -67,18 +67,13 @@ def flow_reversals(df: DataFrame, n: int = 5, share: float = 0.5, floor: float =
 
 def correlated_flows(df: DataFrame, n: int = 20, limit: float = 0.8, floor: float = 10e6, col: str = "net_flow",
                      time: str = "time") -> DataFrame:
-    """Pairs of symbols whose flows of the newest n dates move together.
-
-    Only n dates are joined with themselves, so a date contributes at most the
-    number of symbols squared.
-    """
+    """Pairs of symbols whose flows of the newest n dates move together."""
     daily = df.groupBy(time, "symbol").agg(F.sum(col).alias(col))
     dates = daily.select(time).distinct().orderBy(F.col(time).desc()).limit(n)
     recent = daily.join(dates, time, "left_semi")
     five = dates.orderBy(F.col(time).desc()).limit(5)
     sums = recent.join(five, time, "left_semi").groupBy("symbol").agg(F.sum(col).alias("_f"))
-    corr = pair_rows(recent, [col], on=time).groupBy("a", "b").agg(
-        safe_corr(F.col(f"a_{col}"), F.col(f"b_{col}")).alias("_c"))
+    corr = pair_correlation(recent, col, on=time).withColumnRenamed("correlation", "_c")
     got = (
         corr.where(F.abs("_c") > limit)
         .join(sums.select(F.col("symbol").alias("a"), F.col("_f").alias("_fa")), "a")

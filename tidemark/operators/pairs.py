@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,12 +81,61 @@ def corr_with(df: DataFrame, ref: str, col: str = "close", by: str = "symbol", o
     )
 
 
-def pair_rows(df: DataFrame, cols: list[str], by: str = "symbol", on: str = "time") -> DataFrame:
-    """Unordered symbol pairs that share a time. The pairs of one time are bounded
-    by the number of symbols squared, and times spread the work."""
-    left = df.select(on, F.col(by).alias("a"), *[F.col(c).alias(f"a_{c}") for c in cols])
-    right = df.select(on, F.col(by).alias("b"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    return left.join(right, on).where(F.col("a") < F.col("b"))
+PAIR_ROWS = 500_000
+TILE = 1_000
+
+
+def pair_correlation(df: DataFrame, col: str, by: str = "symbol", on: str = "time", block_rows: int = PAIR_ROWS,
+                     tile: int = TILE) -> DataFrame:
+    """Pearson correlation of every unordered pair of symbols over their shared times.
+
+    Times are dealt into blocks and symbols into groups, so a task multiplies a
+    (times x symbols) matrix with itself and sends one row of sums per pair of its
+    block, not one row per pair and time. Rows of one (symbol, time) are unique.
+    """
+    rows = df.where(F.col(col).isNotNull()).select(by, on, F.col(col).cast("double").alias("_x"))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(by).alias("k")).first()
+    blocks, groups = max(1, math.ceil(size["n"] / block_rows)), max(1, math.ceil(size["k"] / tile))
+    # correlation does not change with a shift; centred values keep their digits
+    mean = rows.groupBy(by).agg(F.avg("_x").alias("_m"))
+    rows = S.join_null_safe(rows, mean, [by]).withColumn("_x", F.col("_x") - F.col("_m")).drop("_m")
+    rows = rows.withColumns({"_b": F.pmod(F.xxhash64(on), F.lit(blocks)), "_g": F.pmod(F.xxhash64(by), F.lit(groups))})
+    tiles = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")),
+        lambda h: F.struct(F.least(F.col("_g"), h).alias("i"), F.greatest(F.col("_g"), h).alias("j")))
+    rows = rows.withColumn("_t", F.explode(tiles)).select(by, on, "_x", "_b", "_g", "_t.i", "_t.j")
+
+    def sums(pdf):
+        names, s = np.unique(pdf[by].to_numpy(dtype=object).astype(str), return_inverse=True)
+        times, t = np.unique(pdf[on].to_numpy(), return_inverse=True)
+        x, i, j = pdf["_x"].to_numpy(), pdf["i"].iloc[0], pdf["j"].iloc[0]
+        group = np.zeros(len(names), dtype=int)
+        group[s] = pdf["_g"].to_numpy()
+        k = len(names)
+        n, sx, sxx, sxy = (np.zeros((k, k)) for _ in range(4))
+        step = max(1, 4_000_000 // k)
+        order = np.argsort(t, kind="stable")
+        s, t, x = s[order], t[order], x[order]
+        for lo in range(0, len(times), step):
+            a, b = np.searchsorted(t, [lo, lo + step])
+            v, m = np.zeros((min(step, len(times) - lo), k)), np.zeros((min(step, len(times) - lo), k))
+            v[t[a:b] - lo, s[a:b]], m[t[a:b] - lo, s[a:b]] = x[a:b], 1.0
+            n, sx, sxx, sxy = n + m.T @ m, sx + v.T @ m, sxx + (v * v).T @ m, sxy + v.T @ v
+        wanted = np.triu(n > 0, 1)
+        pair = group[:, None] != group[None, :] if i != j else np.ones((k, k), dtype=bool)
+        p, q = np.nonzero(wanted & pair)
+        return pd.DataFrame({"a": names[p], "b": names[q], "n": n[p, q].astype("int64"), "_sa": sx[p, q], "_sb": sx[q, p],
+                             "_saa": sxx[p, q], "_sbb": sxx[q, p], "_sab": sxy[p, q]})
+
+    made = rows.groupBy("_b", "i", "j").applyInPandas(
+        sums, "a string, b string, n long, _sa double, _sb double, _saa double, _sbb double, _sab double")
+    total = made.groupBy("a", "b").agg(F.sum("n").alias("n"), *[
+        F.sum(c).alias(c) for c in ("_sa", "_sb", "_saa", "_sbb", "_sab")])
+    n = F.col("n")
+    va = F.col("_saa") / n - F.pow(F.col("_sa") / n, 2)
+    vb = F.col("_sbb") / n - F.pow(F.col("_sb") / n, 2)
+    cov = F.col("_sab") / n - F.col("_sa") / n * (F.col("_sb") / n)
+    return total.select("a", "b", "n", F.when((va > 1e-24) & (vb > 1e-24), S.ratio(cov, F.sqrt(va * vb))).alias("correlation"))
 
 
 def corr_matrix(df: DataFrame, symbols: list[str], col: str = "close", by: str = "symbol",
@@ -93,9 +146,4 @@ def corr_matrix(df: DataFrame, symbols: list[str], col: str = "close", by: str =
         picked.groupBy(on).agg(F.count_distinct(by).alias("_k"))
         .where(F.col("_k") == len(set(symbols))).select(on)
     )
-    rows = picked.join(complete, on, "left_semi")
-    return (
-        pair_rows(rows, [col], by, on)
-        .groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("n"), safe_corr(F.col(f"a_{col}"), F.col(f"b_{col}")).alias("correlation"))
-    )
+    return pair_correlation(picked.join(complete, on, "left_semi"), col, by, on)

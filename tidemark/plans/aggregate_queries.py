@@ -135,8 +135,7 @@ full_days AS (SELECT time FROM pk GROUP BY time HAVING count(DISTINCT symbol) =
 )(lambda s, d: P.corr_matrix(V.daily(s, d), SY))
 query("j06_correlated_pairs", "a b | correlation | n", ctes=BARS,
       sql="SELECT x.symbol AS a, y.symbol AS b, count(*) AS n, corr(x.volume, y.volume) AS correlation FROM bars x JOIN bars y ON x.time = y.time AND x.symbol < y.symbol GROUP BY 1, 2")(
-    lambda s, d: P.pair_rows(V.bars(s, d), ["volume"]).groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("n"), P.safe_corr(F.col("a_volume"), F.col("b_volume")).alias("correlation")))
+    lambda s, d: P.pair_correlation(V.bars(s, d), "volume"))
 query(
     "j13_outer_align", "symbol time | sentiment close",
     ctes=BARS + "," + NEWS + ", s AS (SELECT ['click','view','error','purchase','signup'][CAST(doc_id % 5 AS INT) + 1] AS symbol, date_trunc('hour', time) AS time, avg(score) AS sentiment FROM news GROUP BY 1, 2)",
