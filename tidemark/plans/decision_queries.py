@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-import math
 from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
 from tidemark.operators import alerts as A
-from tidemark.operators import composites, momentum
+from tidemark.operators import momentum
 from tidemark.operators import pairs as P
 from tidemark.operators import performance as PF
 from tidemark.operators import risk as R
 from tidemark.operators import signals as SG
 from tidemark.plans import views as V
 from tidemark.plans.feature_queries import small_returns
-from tidemark.plans.indicators import bar_query
 from tidemark.plans.registry import query
-from tidemark.plans.sqlparts import TR, avg, chg, gains, lag, roll, rsi, sd, win
+from tidemark.plans.sqlparts import TR, avg, chg, gains, lag, rsi, sd, win
 from tidemark.plans.views import BARS, DAILY, FLOWS
 
 PT = "PARTITION BY symbol ORDER BY time"

@@ -46,8 +46,6 @@ def ema_cte(name: str, src: str, cols: dict[str, tuple[str, int]], adjust=False,
             f"(SELECT *, row_number() OVER ({part}) - 1 AS _k FROM {src}))")
 
 
-RSI_STEPS = "greatest({c} - {l}, 0)"
-
 
 def gains(src: str, name: str = "g", col: str = "close", part=P) -> str:
     d = f"({col} - {lag(col, 1, part)})"
