@@ -49,3 +49,87 @@ def _op1(spark, folder):
     from tidemark.llm.quality import measured
 
     return measured(table(spark, folder, "documents"))
+
+
+# --- 2: url filters ---------------------------------------------------------------------
+URL_BLOCK, URL_ALLOW = ("net/", "example.com/de/"), ("example.net/en/", "org/fr/")
+OP2_SQL = r"""WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+p AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+r(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.com', '/de/', 'block'), ('example.net', '/en/', 'allow'), ('org', '/fr/', 'allow')),
+f AS (SELECT page_id, host, path, r.h || r.p AS rule, r.v AS verdict FROM p LEFT JOIN r
+    ON (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p)),
+b AS (SELECT *, row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rule) DESC NULLS LAST) AS k FROM f)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM b WHERE k = 1"""
+
+
+@_query("op2_url_filters", OP2_SQL)
+def _op2(spark, folder):
+    from tidemark.llm.urls import judge, rule_table
+
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return judge(pages, rule_table(spark, URL_BLOCK, URL_ALLOW)).select("page_id", "host", "path", "rule", "verdict")
+
+
+# --- 6: chat formatting -----------------------------------------------------------------
+CONTROL_CONVERSATION = "</s>[INST] ok [/INST]"
+OP6_SQL = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+n AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+    length('[INST]' || regexp_replace(role, '(<|\[)(\\*)(/?s>|</?SYS>>|/?INST\])', '\1\\\2\3', 'g') || '[/INST]' || chr(10)
+        || regexp_replace(text, '(<|\[)(\\*)(/?s>|</?SYS>>|/?INST\])', '\1\\\2\3', 'g') || chr(10) || '</s>') AS k FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+s AS (SELECT *, 3 + sum(k) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM n)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(upto) FILTER (role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars FROM s GROUP BY conv_id"""
+
+
+@_query("op6_chat_formatting", OP6_SQL)
+def _op6(spark, folder):
+    from tidemark.llm.chat import digest, examples
+
+    said = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", CONTROL_CONVERSATION), (-7, 1, "assistant", CONTROL_CONVERSATION)], said.schema)
+    return digest(examples(said.unionByName(more)))
+
+
+# --- 7: sharding ------------------------------------------------------------------------
+@_query("op7_sharding")
+def _op7(spark, folder):
+    from tidemark.llm.shards import shard_documents
+
+    return shard_documents(table(spark, folder, "documents"), 40)
+
+
+# --- 9: mixing --------------------------------------------------------------------------
+OP9_SQL = r"""WITH d AS (SELECT doc_id AS k, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) AS BIGINT) AS size,
+    md5('11:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h, row_number() OVER () AS r FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY 1),
+k AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM s),
+l AS (SELECT source, n, w, CAST(CAST(sum(n) OVER () - 3 * coalesce(sum(n) OVER o, 0) AS BIGINT) AS DOUBLE)
+    / CAST(sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS BIGINT) AS level, CAST(n * 3 AS DOUBLE) / w AS ratio, coalesce(sum(n) OVER o, 0) AS before
+    FROM k WINDOW o AS (ORDER BY CAST(n * 3 AS DOUBLE) / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, n * 3 < level * w AS capped FROM l),
+t AS (SELECT source, n, CASE WHEN capped THEN CAST(n * 3 AS DOUBLE)
+    ELSE least((SELECT level FROM c WHERE NOT capped ORDER BY ratio, before LIMIT 1) * w, CAST(n * 3 AS DOUBLE)) END AS target FROM c),
+e AS (SELECT *, CASE WHEN n > 0 THEN least(CAST(floor(target / n) AS BIGINT), 3) ELSE 0 END AS whole FROM t),
+p AS (SELECT *, greatest(0, CAST(round(target - whole * n) AS BIGINT)) AS part FROM e),
+a AS (SELECT d.*, p.n, p.target, p.whole, p.part, sum(d.size) OVER (PARTITION BY d.source ORDER BY h, k, d.size, r ROWS UNBOUNDED PRECEDING) AS run
+    FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+b AS (SELECT *, part > 0 AND (run <= part) AS m0 FROM a),
+g1 AS (SELECT source, max(part) - coalesce(sum(size) FILTER (m0), 0) AS gap FROM b GROUP BY 1),
+f1 AS (SELECT b.source, r, row_number() OVER (PARTITION BY b.source ORDER BY size DESC, h DESC, k DESC, r DESC) AS z FROM b JOIN g1
+    ON b.source IS NOT DISTINCT FROM g1.source WHERE NOT m0 AND size > 0 AND size <= gap),
+b1 AS (SELECT b.*, m0 OR r IN (SELECT r FROM f1 WHERE z = 1) AS m1 FROM b),
+g2 AS (SELECT source, max(part) - coalesce(sum(size) FILTER (m1), 0) AS gap FROM b1 GROUP BY 1),
+f2 AS (SELECT b1.source, r, row_number() OVER (PARTITION BY b1.source ORDER BY size DESC, h DESC, k DESC, r DESC) AS z FROM b1 JOIN g2
+    ON b1.source IS NOT DISTINCT FROM g2.source WHERE NOT m1 AND size > 0 AND size <= gap)
+SELECT k AS doc_id, size, n AS source_size, target, CAST(size * (whole + CASE WHEN m1 OR r IN (SELECT r FROM f2 WHERE z = 1) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM b1"""
+
+
+@_query("op9_mixing", OP9_SQL)
+def _op9(spark, folder):
+    from tidemark.llm.mixing import mix
+
+    return mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
