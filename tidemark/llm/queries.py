@@ -133,3 +133,21 @@ def _op9(spark, folder):
     from tidemark.llm.mixing import mix
 
     return mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+# --- 8: simhash near-duplicates ---------------------------------------------------------
+@_query("op8_simhash")
+def _op8(spark, folder):
+    from tidemark.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"))
+
+
+# --- 10: packing ------------------------------------------------------------------------
+@_query("op10_packing")
+def _op10(spark, folder):
+    import public_tokenizers
+
+    from tidemark.llm.packing import pack_documents
+
+    return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
