@@ -151,3 +151,25 @@ def _op10(spark, folder):
     from tidemark.llm.packing import pack_documents
 
     return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+# --- 4: nearest neighbours --------------------------------------------------------------
+@_query("op4_nearest_neighbours")
+def _op4(spark, folder):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.neighbours import nearest
+
+    return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+# --- 5: token counts --------------------------------------------------------------------
+@_query("op5_token_counts")
+def _op5(spark, folder):
+    import public_tokenizers
+
+    from tidemark.llm.tokens import count
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    got = count(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return got.select("doc_id", "n_bytes", "n_tokens", "over_limit", "fits_chars")
