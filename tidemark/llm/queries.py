@@ -173,3 +173,11 @@ def _op5(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     got = count(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return got.select("doc_id", "n_bytes", "n_tokens", "over_limit", "fits_chars")
+
+
+# --- 3: html extraction -----------------------------------------------------------------
+@_query("op3_html_extraction")
+def _op3(spark, folder):
+    from tidemark.llm.markup import extract
+
+    return extract(table(spark, folder, "pages"))
