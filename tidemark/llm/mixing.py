@@ -49,7 +49,8 @@ def targets(sources: DataFrame, weights=(5, 2, 1), epochs: int = 3) -> DataFrame
 
 def _sized(docs: DataFrame, key: str, source: str, text: str, seed: int) -> DataFrame:
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
-    return docs.select(F.col(key).alias("k"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), digest.alias("h"), F.monotonically_increasing_id().alias("r"))
+    return docs.select(F.col(key).alias("k"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), digest.alias("h"), F.monotonically_increasing_id().alias("r"),
+                       F.xxhash64(text).alias("digest"))
 
 
 def _attach(rows: DataFrame, per_source: DataFrame, sources: int) -> DataFrame:
@@ -58,8 +59,9 @@ def _attach(rows: DataFrame, per_source: DataFrame, sources: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), epochs: int = 3, seed: int = 11, fill: int = 2, key: str = "doc_id",
-        source: str = "source", text: str = "text") -> DataFrame:
-    """(key, source, size, source_size, target, times, taken) per document: taken = times x size words."""
+        source: str = "source", text: str = "text", digest: bool = False) -> DataFrame:
+    """(key, source, size, source_size, target, times, taken) per document: taken = times x size words; with ``digest``
+    also a hash of the text."""
     rows = cut_lineage(_sized(docs, key, source, text, seed).withColumn("b", F.conv(F.substring("h", 1, 2), 16, 10).cast("int")))
     blocks = cut_lineage(rows.groupBy("source", "b").agg(F.sum("size").alias("n")))  # sources x BLOCKS rows
     per = targets(blocks.groupBy("source").agg(F.sum("n").alias("source_size")), weights, epochs)
@@ -85,7 +87,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), epochs: int = 3, seed: int = 11, fil
         chosen = cut_lineage(_fill(chosen, n))
     times = F.col("whole") + F.col("more")
     return chosen.select(F.col("k").alias(key), F.col("source").alias(source), "size", F.col("source_size").cast("long").alias("source_size"), "target",
-                         times.alias("times"), (F.col("size") * times).cast("long").alias("taken"))
+                         times.alias("times"), (F.col("size") * times).cast("long").alias("taken"), *(["digest"] if digest else []))
 
 
 def _fill(chosen: DataFrame, n: int) -> DataFrame:
@@ -96,3 +98,19 @@ def _fill(chosen: DataFrame, n: int) -> DataFrame:
     best = best.select(F.col("source").alias("__s"), "best")
     with_best = chosen.join(F.broadcast(best) if n <= MOST_SOURCES else best, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
     return with_best.withColumn("more", F.when((F.col("more") == 0) & (F.struct("size", "h", "k", "r") == F.col("best")), 1).otherwise(F.col("more"))).drop("best")
+
+
+def mix_documents(docs: DataFrame, weights=(5, 2, 1), epochs: int = 3, seed: int = 11, key: str = "doc_id",
+                  source: str = "source", text: str = "text") -> DataFrame:
+    """Every document as often as the mix takes it; columns unchanged. Rows and decisions meet by key, source and a digest
+    of the text, and repeated rows by their number among those."""
+    order = Window.partitionBy("__k", "__s", "__t")
+    decided = mix(docs, weights, epochs, seed, key=key, source=source, text=text, digest=True)
+    decided = decided.select(F.col(key).alias("__k"), F.col(source).alias("__s"), F.col("digest").alias("__t"), "times")
+    decided = decided.withColumn("__n", F.row_number().over(order.orderBy(F.desc("times")))).where("times > 0").withColumnsRenamed(
+        {"__k": "__dk", "__s": "__ds", "__t": "__dt", "__n": "__dn"})
+    rows = docs.withColumns({"__k": F.col(key), "__s": F.col(source), "__t": F.xxhash64(text)})
+    rows = rows.withColumn("__n", F.row_number().over(order.orderBy(F.lit(1))))
+    same = [F.col(f"__{c}").eqNullSafe(F.col(f"__d{c}")) for c in "kst"] + [F.col("__n") == F.col("__dn")]
+    taken = rows.join(decided, same)
+    return taken.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
