@@ -27,10 +27,16 @@ from tidemark.session import cut_lineage
 CAPACITY = 4096
 END_ID = 1
 CACHED = 700_000
+AT_ONCE = 1_000_000
 MARKS = frozenset(".,;:!?")
 PIECE = "d long, piece int, start long, length long, ids_crc32 long"
 
 
+def _word_and_mark(run: str) -> bool:
+    """Letters and a mark, which the tokeniser splits before any merge; not letters that lower-casing takes apart."""
+    return run[-1:] in MARKS and run[:-1].lower().isalpha() and max(run) < "\u2000"
+
+
 class Ids(dict):
     """Little-endian ids of a run of characters without space, tab or line break, as the library gives them; bounded."""
 
@@ -38,11 +44,12 @@ class Ids(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.digit = self.tokenizer.encode("0", add_special_tokens=False).ids[0]
 
     def __missing__(self, run: str) -> bytes:
         if len(self) > CACHED:
             self.clear()
-        if len(run) > 1 and run[-1] in MARKS and run[:-1].isalpha():  # letters and the mark are split before any merge
+        if _word_and_mark(run):
             got = self[run[:-1]] + self[run[-1]]
         else:
             got = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
@@ -50,11 +57,29 @@ class Ids(dict):
             self[run] = got
         return got
 
-    def of(self, text: str) -> bytes:
+    def fill(self, runs: set[str]) -> None:
+        """Learn the words among ``runs`` in few calls: words in one text, apart by a digit, which is a token of its own."""
+        new = runs - self.keys()
+        if len(self) + len(new) > CACHED:
+            self.clear()
+            new = runs
+        words = {r[:-1] if _word_and_mark(r) else r for r in new}
+        words = [w for w in words if w.isalpha() and len(w) < 64 and w not in self]
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            ids = np.array(self.tokenizer.encode(" 0 ".join(part) + " 0", add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(ids == self.digit)
+            for w, a, b in zip(part, [0, *(stops[:-1] + 1).tolist()], stops.tolist(), strict=True):
+                self[w] = ids[a:b].tobytes()
+
+    def runs(self, text: str) -> list[str]:
         text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
         if text.isascii() and "<|" not in text:  # special strings are matched as written, before lower-casing
             text = text.lower()
-        return b"".join([self[run] for run in text.split(" ")])
+        return text.split(" ")
+
+    def of(self, runs: list[str]) -> bytes:
+        return b"".join([self[run] for run in runs])
 
 
 _IDS: dict[str, Ids] = {}
@@ -70,13 +95,28 @@ def ids_of(path: str) -> Ids:
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(d, piece, start, length, ids_crc32): the pieces of every document, end id included."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encoded(texts: pd.Series) -> Iterator[bytes]:
         ids = ids_of(path)
+        held: list[list[str]] = []
+        seen: set[str] = set()
+        size = 0
+        for t in texts:
+            held.append(ids.runs(t) if t else [])
+            seen.update(held[-1])
+            size += len(t or "")
+            if size > AT_ONCE:
+                ids.fill(seen)
+                yield from map(ids.of, held)
+                held, seen, size = [], set(), 0
+        ids.fill(seen)
+        yield from map(ids.of, held)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for d, t in zip(batch["d"], batch["t"]):
-                got = ids.of(t) + end if t else end
+            for d, got in zip(batch["d"], encoded(batch["t"])):
+                got += end
                 for p, at in enumerate(range(0, len(got), 4 * capacity)):
                     part = got[at : at + 4 * capacity]
                     rows.append((d, p, at // 4, len(part) // 4, zlib.crc32(part)))
