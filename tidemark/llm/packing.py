@@ -26,15 +26,18 @@ from tidemark.session import cut_lineage
 
 CAPACITY = 4096
 END_ID = 1
-CACHED = 700_000
+CACHED = 1_300_000
 AT_ONCE = 1_000_000
-MARKS = frozenset(".,;:!?")
+#: ASCII punctuation but the apostrophe, which may start a token with the letters after it
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 PIECE = "d long, piece int, start long, length long, ids_crc32 long"
 
 
-def _word_and_mark(run: str) -> bool:
-    """Letters and a mark, which the tokeniser splits before any merge; not letters that lower-casing takes apart."""
-    return run[-1:] in MARKS and run[:-1].lower().isalpha() and max(run) < "\u2000"
+def _split(run: str) -> tuple[str, str]:
+    """Letters and the punctuation behind them, which the tokeniser parts before any merge; ('', run) where that is not
+    sure: other characters, or letters that lower-casing takes apart."""
+    word = run.rstrip(MARKS)
+    return (word, run[len(word) :]) if word.lower().isalpha() and max(word) < "\u2000" else ("", run)
 
 
 class Ids(dict):
@@ -49,8 +52,9 @@ class Ids(dict):
     def __missing__(self, run: str) -> bytes:
         if len(self) > CACHED:
             self.clear()
-        if _word_and_mark(run):
-            got = self[run[:-1]] + self[run[-1]]
+        word, marks = _split(run)
+        if word and marks:
+            got = self[word] + self[marks]
         else:
             got = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
         if len(run) < 64:
@@ -59,11 +63,9 @@ class Ids(dict):
 
     def fill(self, runs: set[str]) -> None:
         """Learn the words among ``runs`` in few calls: words in one text, apart by a digit, which is a token of its own."""
-        new = runs - self.keys()
-        if len(self) + len(new) > CACHED:
+        if len(self) + len(runs) > CACHED:
             self.clear()
-            new = runs
-        words = {r[:-1] if _word_and_mark(r) else r for r in new}
+        words = {_split(r)[0] or r for r in runs}
         words = [w for w in words if w.isalpha() and len(w) < 64 and w not in self]
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
@@ -74,13 +76,14 @@ class Ids(dict):
 
     def runs(self, text: str) -> list[str]:
         text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-        if text.isascii() and "<|" not in text:  # special strings are matched as written, before lower-casing
-            text = text.lower()
+        if "<|" not in text:  # special strings are matched as written, before lower-casing
+            try:
+                text.encode("latin-1")  # letters that every lower-casing maps one to one, and that need no composing
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
         return text.split(" ")
 
-    def of(self, runs: list[str]) -> bytes:
-        return b"".join([self[run] for run in runs])
-
 
 _IDS: dict[str, Ids] = {}
 
@@ -92,30 +95,43 @@ def ids_of(path: str) -> Ids:
     return _IDS[path]
 
 
-def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """(d, piece, start, length, ids_crc32): the pieces of every document, end id included."""
+def encoder(path: str):
+    """Texts to their ids, little-endian; words that are new are learned for many texts at once."""
 
     def encoded(texts: pd.Series) -> Iterator[bytes]:
         ids = ids_of(path)
-        held: list[list[str]] = []
-        seen: set[str] = set()
+        held: list[tuple[list[str], list]] = []
+        new: set[str] = set()
         size = 0
+
+        def give() -> Iterator[bytes]:
+            ids.fill(new)
+            for runs, got in held:
+                yield b"".join(got if None not in got else [ids[r] if g is None else g for r, g in zip(runs, got)])
+
         for t in texts:
-            held.append(ids.runs(t) if t else [])
-            seen.update(held[-1])
+            runs = ids.runs(t) if t else []
+            got = list(map(ids.get, runs))
+            if None in got:
+                new.update([r for r, g in zip(runs, got) if g is None])
+            held.append((runs, got))
             size += len(t or "")
             if size > AT_ONCE:
-                ids.fill(seen)
-                yield from map(ids.of, held)
-                held, seen, size = [], set(), 0
-        ids.fill(seen)
-        yield from map(ids.of, held)
+                yield from give()
+                held, new, size = [], set(), 0
+        yield from give()
+
+    return encoded
+
+
+def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+    """(d, piece, start, length, ids_crc32): the pieces of every document, end id included."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for d, got in zip(batch["d"], encoded(batch["t"])):
+            for d, got in zip(batch["d"], encoder(path)(batch["t"])):
                 got += end
                 for p, at in enumerate(range(0, len(got), 4 * capacity)):
                     part = got[at : at + 4 * capacity]
