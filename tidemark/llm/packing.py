@@ -69,7 +69,7 @@ class Ids(dict):
         words = [w for w in words if w.isalpha() and len(w) < 64 and w not in self]
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(" 0 ".join(part) + " 0", add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" 0 ".join(part) + " 0"], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(ids == self.digit)
             for w, a, b in zip(part, [0, *(stops[:-1] + 1).tolist()], stops.tolist(), strict=True):
                 self[w] = ids[a:b].tobytes()
