@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from tidemark.session import cut_lineage
 
 SAMPLE = 4096
-BLOCK = 4096
-QUERY_CHUNK = 512
+BLOCK = 16_384
+QUERY_CHUNK = 256
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
