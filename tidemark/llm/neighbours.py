@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from tidemark.session import cut_lineage
 
 SAMPLE = 4096
-BLOCK = 16_384
-QUERY_CHUNK = 256
+BLOCK = 4096
+QUERY_CHUNK = 512
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -120,22 +120,23 @@ def _ordered(rows: DataFrame, fitted: Curves, length: int) -> DataFrame:
     return placed.join(F.broadcast(before), "part").select("curve", "id", "query", "vector", (F.col("before") + F.col("n")).alias("rank"))
 
 
-def _best(scores: np.ndarray, own: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, qvec: np.ndarray, k: int):
-    """(query, id, score) of each query's k best columns, scored row by row so that equal vectors score the same."""
+def _best(scores: np.ndarray, own: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, qvec: np.ndarray, k: int, least):
+    """(query, id, score) of each query's k best columns that reach ``least``, scored row by row so that equal vectors
+    score the same."""
     for i in range(len(queries)):
         s = np.where(ids == own[i], -np.inf, scores[i])
         near = np.arange(len(s)) if len(s) <= k else np.flatnonzero(s >= np.partition(s, -k)[-k] - 1e-9)
-        near = near[s[near] > -np.inf]
+        near = near[s[near] > (-np.inf if least is None else least[i] - 1e-9)]
         exact = (vectors[near] * qvec[i]).sum(axis=1)
         first = np.lexsort((ids[near], -exact))[:k]
         yield from zip([int(queries[i])] * len(first), ids[near][first].tolist(), exact[first].tolist())
 
 
-def _search(left: np.ndarray, ids: np.ndarray, qvec: np.ndarray, qid: np.ndarray, k: int) -> pd.DataFrame:
+def _search(left: np.ndarray, ids: np.ndarray, qvec: np.ndarray, qid: np.ndarray, k: int, least: np.ndarray | None = None) -> pd.DataFrame:
     rows = []
     for a in range(0, len(qid), QUERY_CHUNK):
         part = slice(a, a + QUERY_CHUNK)
-        rows += _best(qvec[part] @ left.T, qid[part], qid[part], ids, left, qvec[part], k)
+        rows += _best(qvec[part] @ left.T, qid[part], qid[part], ids, left, qvec[part], k, None if least is None else least[part])
     return pd.DataFrame(rows, columns=["query_id", "id", "score"]).astype({"query_id": "int64", "id": "int64", "score": "float64"})
 
 
@@ -198,7 +199,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = 3,
     blocks = ranked.where("NOT query").select("curve", "id", "vector", F.floor(here / BLOCK).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _search(_matrix(left["vector"], length), left["id"].to_numpy(np.int64), _matrix(right["vector"], length), right["id"].to_numpy(np.int64), k)
-
-    found = blocks.groupBy("curve", "block", "chunk").cogroup(visits.groupBy("curve", "block", "chunk")).applyInPandas(compare, "query_id long, id long, score double")
+        return _search(_matrix(left["vector"], length), left["id"].to_numpy(np.int64), _matrix(right["vector"], length),
+                       right["id"].to_numpy(np.int64), k, right["least"].to_numpy(np.float64))
+
+    def along(which: Column, least: DataFrame | None) -> DataFrame:
+        asked = visits.where(which)
+        lowest = F.lit(float("-inf"))
+        asked = asked.withColumn("bound", lowest) if least is None else asked.join(least.withColumnRenamed("query_id", "id"), "id", "left")
+        asked = asked.select("curve", "block", "chunk", "id", "vector", F.coalesce("bound", lowest).alias("least"))
+        return blocks.where(which).groupBy("curve", "block", "chunk").cogroup(asked.groupBy("curve", "block", "chunk")).applyInPandas(
+            compare, "query_id long, id long, score double")
+
+    # what the first curve finds bounds each query's k-th score, so the other curves only give what is at least as good
+    found = cut_lineage(_merge(along(F.col("curve") == 0, None), k).select("query_id", "id", "score"))
+    if curves > 1:
+        bound = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bound"))
+        found = found.unionByName(along(F.col("curve") > 0, bound))
     return _merge(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")
