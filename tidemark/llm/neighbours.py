@@ -199,15 +199,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = 3,
     blocks = ranked.where("NOT query").select("curve", "id", "vector", F.floor(here / BLOCK).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _search(_matrix(left["vector"], length), left["id"].to_numpy(np.int64), _matrix(right["vector"], length),
-                       right["id"].to_numpy(np.int64), k, right["least"].to_numpy(np.float64))
+        return _search(_matrix(left["vector"], length), left["id"].to_numpy(np.int64), _matrix(right["q_vector"], length),
+                       right["q_id"].to_numpy(np.int64), k, right["least"].to_numpy(np.float64))
 
     def along(which: Column, least: DataFrame | None) -> DataFrame:
         asked = visits.where(which)
         lowest = F.lit(float("-inf"))
         asked = asked.withColumn("bound", lowest) if least is None else asked.join(least.withColumnRenamed("query_id", "id"), "id", "left")
-        asked = asked.select("curve", "block", "chunk", "id", "vector", F.coalesce("bound", lowest).alias("least"))
-        return blocks.where(which).groupBy("curve", "block", "chunk").cogroup(asked.groupBy("curve", "block", "chunk")).applyInPandas(
+        asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("curve", "block", "chunk", "id", "vector")], F.coalesce("bound", lowest).alias("least"))
+        return blocks.where(which).groupBy("curve", "block", "chunk").cogroup(asked.groupBy("q_curve", "q_block", "q_chunk")).applyInPandas(
             compare, "query_id long, id long, score double")
 
     # what the first curve finds bounds each query's k-th score, so the other curves only give what is at least as good

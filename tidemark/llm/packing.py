@@ -214,7 +214,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, per_partition: int = 20_000
     done, rows = [], parts.where(F.col("length") < capacity)
     n = rows.count()
     for turn in range(rounds):
-        groups = max(1, -(-n // per_partition))
+        # fewer tasks each round, or what lies alone in a bin would never meet
+        groups = max(1, -(-n // per_partition) if not turn else min(-(-n // per_partition), groups // 4))
         spread = rows.withColumn("p", F.pmod(F.xxhash64(F.lit(turn), "d", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
         got = cut_lineage(spread.groupBy("p").applyInPandas(_pack(capacity), PACKED))
         got = got.withColumn("sequence_id", F.lit(turn).cast("long") * F.lit(1 << 58) + F.col("p").cast("long") * F.lit(1 << 32) + F.col("bin"))
