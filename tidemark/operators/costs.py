@@ -21,9 +21,9 @@ def price_table(spark) -> DataFrame:
 def with_cost(calls: DataFrame, prices: DataFrame | None = None) -> DataFrame:
     """Token counts times the model's price per million; unknown models cost 0.
 
-    The price table is a literal of four rows, hence the broadcast.
+    The default price table is a literal of four rows, hence its broadcast; a table of the caller is joined as Spark sees fit.
     """
-    prices = F.broadcast(price_table(calls.sparkSession) if prices is None else prices)
+    prices = F.broadcast(price_table(calls.sparkSession)) if prices is None else prices
     cost = (F.col("input_tokens") / F.lit(1e6)) * F.col("input_price") + (
         F.col("output_tokens") / F.lit(1e6)) * F.col("output_price")
     return calls.join(prices, "model", "left").withColumn("cost", F.coalesce(cost, F.lit(0.0))).drop(

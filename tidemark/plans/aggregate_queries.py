@@ -48,13 +48,12 @@ query(
 for _iv, _unit, _step, _shift, _kind in (("1H", "hour", "1 HOUR", 0, "hourly"), ("1D", "day", "1 DAY", 0, "daily"), ("1W", "week", "7 DAYS", 6, "hourly")):
     query(
         f"a06_by_interval_{_iv.lower()}", "symbol time interval_type | score_mean score_std score_min score_max sentiment_index | score_count positive_count",
-        ctes=NEWS + f""", sp AS (SELECT * FROM news WHERE source <> 'src3'),
-g AS (SELECT symbol, CAST(date_trunc('{_unit}', time) AS TIMESTAMP) AS b, avg(score) AS score_mean, stddev_samp(score) AS score_std, min(score) AS score_min, max(score) AS score_max,
-  count(score) AS score_count, count_if(label = 'positive') AS positive_count FROM sp GROUP BY 1, 2),
+        ctes=NEWS + f""", g AS (SELECT symbol, CAST(date_trunc('{_unit}', time) AS TIMESTAMP) AS b, avg(score) AS score_mean, stddev_samp(score) AS score_std, min(score) AS score_min, max(score) AS score_max,
+  count(score) AS score_count, count_if(label = 'positive') AS positive_count FROM news GROUP BY 1, 2),
 cal AS (SELECT symbol, unnest(generate_series(min(b), max(b), INTERVAL {_step})) AS b FROM g GROUP BY symbol)""",
         sql=f"""SELECT symbol, b + INTERVAL {_shift} DAYS AS time, '{_kind}' AS interval_type, score_mean, score_std, score_min, score_max, (score_mean + 1) * 50 AS sentiment_index,
   coalesce(score_count, 0) AS score_count, coalesce(positive_count, 0) AS positive_count FROM cal LEFT JOIN g USING (symbol, b)""",
-    )(lambda s, d, iv=_iv: SE.by_interval(V.news(s, d).where("source <> 'src3'"), iv))
+    )(lambda s, d, iv=_iv: SE.by_interval(V.news(s, d), iv))
 ASOF = "2024-01-07 12:00:00"
 LBL = "CASE WHEN {0} > 0.2 THEN 'positive' WHEN {0} < -0.2 THEN 'negative' ELSE 'neutral' END"
 DASH_TAIL = """l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time DESC) AS back, least(count(*) OVER (PARTITION BY symbol), 10) AS m FROM news),

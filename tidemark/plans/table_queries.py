@@ -277,8 +277,8 @@ query("u04_except_keys", "url", ctes=NEWS, sql="SELECT url FROM news EXCEPT ALL
 query("u05_distinct_keywords", "doc_id keywords", sql=f"SELECT doc_id, {hit_list('text')} AS keywords FROM documents")(
     lambda s, d: V.table(s, d, "documents").select("doc_id", X.extract_keywords(F.col("text"), WORDS).alias("keywords")))
 query("k02_rank_by_abs_corr", "symbol | correlation | place", dp=4, ctes=DAILY + ", cc AS (SELECT a.symbol, round(corr(a.close, g.close), 4) AS correlation FROM daily a JOIN daily g ON a.time = g.time AND g.symbol = 'Brand#11' GROUP BY 1)",
-      sql="SELECT symbol, correlation, row_number() OVER (ORDER BY abs(correlation) DESC, symbol) AS place FROM cc ORDER BY place LIMIT 10")(
-    lambda s, d: P.corr_with(V.daily(s, d), "Brand#11").orderBy(F.abs("correlation").desc(), "symbol").limit(10).withColumn(
+      sql="SELECT symbol, correlation, row_number() OVER (ORDER BY abs(correlation) DESC, symbol) AS place FROM cc")(
+    lambda s, d: P.corr_with(V.daily(s, d), "Brand#11").withColumn(
         "place", F.row_number().over(Window.orderBy(F.abs("correlation").desc(), "symbol"))))
 query("k03_news_newest_first", "doc_id time", ctes=NEWS, sql="SELECT doc_id, time FROM news ORDER BY time DESC")(lambda s, d: RW.newest(V.news(s, d)))
 query("k09_tail", "symbol time | close | back", ctes=BARS, sql="SELECT symbol, time, close, back FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time DESC) AS back FROM bars) z WHERE back <= 20")(

@@ -135,15 +135,16 @@ def upsert_batch(path: str, keys=("symbol", "time"), day: str = "date", time: st
 
     def batch(delta: DataFrame, _id: int):
         spark = delta.sparkSession
-        delta = delta.withColumn(day, F.to_date(time)).dropDuplicates(list(keys))
-        try:
-            base = spark.read.parquet(path)
-        except Exception:
-            base = None
-        if base is None:
+        delta = delta.withColumn(day, F.to_date(time))
+        newest = delta.groupBy(*keys).agg(F.max_by(F.struct("*"), F.col(time)).alias("row"))
+        delta = newest.select("row.*")
+        # only a missing table counts as empty; every other error rises, or the rewrite would lose stored days
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
             merged = delta
         else:
-            days = F.broadcast(delta.select(day).distinct())
+            base = spark.read.parquet(path)
+            days = delta.select(day).distinct()
             merged = upsert(base.join(days, day, "left_semi").select(*delta.columns), delta, (*keys, day))
         merged = cut_lineage(merged)
         (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path))
