@@ -188,3 +188,13 @@ def test_sources(spark, tmp_path):
         RW.adhoc_select(spark, "drop table x")
     valid, bad = RW.quarantine(RW.valid_quote(spark.createDataFrame([("A", 1.0, "t"), ("A", -1.0, "t")], "symbol string, price double, timestamp string")))
     assert (valid.count(), bad.count()) == (1, 1)
+
+
+def test_compounding_through_total_loss_and_beyond(spark):
+    from tidemark.operators.flows import drawdown
+
+    rows = [("a", i, r) for i, r in enumerate([0.1, -1.0, 0.5])] + [("b", i, r) for i, r in enumerate([None, -3.0, 0.5, -2.0])]
+    frame = spark.createDataFrame(rows, "symbol string, time int, returns double")
+    got = {(r["symbol"], r["time"]): (r["cumulative"], r["drawdown"]) for r in drawdown(frame).collect()}
+    assert [round(got["a", i][0], 9) for i in range(3)] == [1.1, 0.0, 0.0] and round(got["a", 2][1], 9) == -1.0
+    assert [round(got["b", i][0], 9) for i in range(4)] == [1.0, -2.0, -3.0, 3.0]

@@ -152,8 +152,7 @@ def trend_forecast(df: DataFrame, n: int = 30, ahead: int = 7, col: str = "close
 @series_operator(0)
 def drawdown(s: Series, col: str = "returns") -> Series:
     """Running product of 1 + return, its running maximum and the distance below it."""
-    s = S.running(s, _x_log=("sum", F.log1p(F.col(col))))
-    s = s.add(cumulative=F.exp(F.coalesce("_x_log", F.lit(0.0))))
+    s = S.compounded(s, "cumulative", F.col(col), "_x")
     s = S.running(s, _x_peak=("max", F.col("cumulative")))
     return s.add(drawdown=S.ratio(F.col("cumulative") - F.col("_x_peak"), F.col("_x_peak")))
 

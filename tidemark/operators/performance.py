@@ -32,8 +32,8 @@ def signal_backtest(df: DataFrame, signal: str = "direction", slippage: float =
               bar_return=F.coalesce(S.change(s, close), F.lit(0.0)))
     cost = slippage + commission
     s = s.add(strategy_return=F.col("position") * F.col("bar_return") - F.col("turnover") * cost)
-    s = S.running(s, _log=("sum", F.log1p("strategy_return")))
-    return s.add(equity=F.exp("_log")).close("_held", "_log", "target")
+    s = S.compounded(s, "equity", F.col("strategy_return"), "_e")
+    return s.close("_held", "_e_log", "_e_neg", "_e_zero", "target")
 
 
 def performance_metrics(curve: DataFrame, trades: DataFrame | None = None, initial: float = 1.0,

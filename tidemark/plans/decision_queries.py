@@ -235,7 +235,7 @@ b1 AS (SELECT *, coalesce(greatest(last_value(CASE WHEN direction <> 0 THEN CAST
 b2 AS (SELECT *, coalesce(lag(target) OVER ({{p}}), 0) AS position, coalesce(close / lag(close) OVER ({{p}}) - 1, 0) AS bar_return FROM b1),
 b3 AS (SELECT *, abs(position - coalesce(lag(position) OVER ({{p}}), 0)) AS turnover FROM b2),
 b4 AS (SELECT *, position * bar_return - turnover * 0.002 AS strategy_return FROM b3),
-bt AS (SELECT *, exp(sum(ln(1 + strategy_return)) OVER ({{p}})) AS equity FROM b4)"""
+bt AS (SELECT *, product(1 + strategy_return) OVER ({{p}}) AS equity FROM b4)"""
 MAS = f"SELECT symbol, time, close, CASE WHEN count(close) OVER {win(51)} >= 50 THEN CASE WHEN {avg('close', 20)} > avg(close) OVER {win(51)} THEN 1 WHEN {avg('close', 20)} < avg(close) OVER {win(51)} THEN -1 ELSE 0 END END AS direction FROM bars"
 BACK = BARS + "," + BT.format(k="", src=MAS, p=PT)
 PERF = """pr AS (SELECT *, CASE WHEN abs(equity / lag(equity) OVER (PARTITION BY {g} ORDER BY time) - 1) < 1e-12 THEN 0 ELSE equity / lag(equity) OVER (PARTITION BY {g} ORDER BY time) - 1 END AS r, equity / max(equity) OVER (PARTITION BY {g} ORDER BY time) - 1 AS dd FROM bt),

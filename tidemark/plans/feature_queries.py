@@ -372,7 +372,7 @@ ic AS (SELECT symbol, period, factor, corr(rx, ry) AS ic FROM r2 GROUP BY symbol
 # --- drawdown and forecast -------------------------------------------------------------
 
 DD = BARS + f""", r AS (SELECT symbol, time, {chg('close')} / 10 AS returns FROM bars),
-c AS (SELECT symbol, time, exp(coalesce(sum(ln(1 + returns)) OVER ({P}), 0)) AS cumulative FROM r),
+c AS (SELECT symbol, time, coalesce(product(1 + returns) OVER ({P}), 1) AS cumulative FROM r),
 dd AS (SELECT *, cumulative / max(cumulative) OVER ({P}) - 1 AS drawdown FROM c)"""
 
 

@@ -305,6 +305,16 @@ _RUN = {
 }
 
 
+def compounded(s: Series, name: str, change: Column, prefix: str) -> Series:
+    """Running product of 1 + change: logarithms of the sizes, a count of negative factors for the sign, and zero from the
+    first factor that is zero. Null changes count as none."""
+    x = F.lit(1.0) + change
+    s = running(s, **{f"{prefix}_log": ("sum", F.when(x != 0, F.log(F.abs(x)))), f"{prefix}_neg": ("sum", F.when(x < 0, 1.0).otherwise(0.0)),
+                      f"{prefix}_zero": ("max", F.when(x == 0, 1.0).otherwise(0.0))})
+    sign = F.when(F.col(f"{prefix}_neg") % 2 == 1, -1.0).otherwise(1.0)
+    return s.add(**{name: F.when(F.col(f"{prefix}_zero") > 0, 0.0).otherwise(sign * F.exp(F.coalesce(f"{prefix}_log", F.lit(0.0))))})
+
+
 def running(s: Series, **what: tuple[str, Column]) -> Series:
     """Add running aggregates from the first row of the key to the current row.
 
