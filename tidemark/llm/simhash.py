@@ -29,6 +29,7 @@ from tidemark.session import cut_lineage
 
 RADIUS = 4
 BLOCK = 1024
+HOT = 1000
 
 
 def fingerprint_of(text: str | None, width: int = 4) -> int:
@@ -135,12 +136,17 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """(key, fp, root, component_id) per document; root is the class's least fingerprint (signed)."""
     marked = cut_lineage(docs.select(F.col(key).alias("d"), fingerprint(F.col(text)).alias("fp")))
-    fps = marked.groupBy("fp").agg(F.min("d").alias("least"))
+    fps = marked.groupBy("fp").agg(F.min("d").alias("least"), F.count(F.lit(1)).alias("copies"))
     nodes = cut_lineage(components(cut_lineage(links(fps.select("fp"), radius))).withColumnRenamed("node", "fp"))
-    rooted = fps.join(nodes, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = fps.join(nodes, "fp", "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
     linked = nodes.join(fps, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    shared = rooted.join(linked, "root", "left").select("fp", "root", F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(shared, "fp").select(F.col("d").alias(key), "fp", "root", "component_id")
+    shared = cut_lineage(rooted.join(linked, "root", "left").select("fp", "root", F.coalesce("component_id", "least").alias("component_id"), "copies"))
+    # a fingerprint of many copies would gather them in one task; fewer than HOT can have over a HOT-th of the rows each
+    rows = shared.agg(F.sum("copies")).first()[0] or 0
+    often = F.col("copies") * HOT > rows
+    hot, rest = F.broadcast(shared.where(often).drop("copies")), shared.where(~often).drop("copies")
+    found = marked.join(hot, "fp").unionByName(marked.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(rest, "fp"))
+    return found.select(F.col("d").alias(key), "fp", "root", "component_id")
 
 
 def hexed(fp: Column) -> Column:
