@@ -198,3 +198,20 @@ def test_compounding_through_total_loss_and_beyond(spark):
     got = {(r["symbol"], r["time"]): (r["cumulative"], r["drawdown"]) for r in drawdown(frame).collect()}
     assert [round(got["a", i][0], 9) for i in range(3)] == [1.1, 0.0, 0.0] and round(got["a", 2][1], 9) == -1.0
     assert [round(got["b", i][0], 9) for i in range(4)] == [1.0, -2.0, -3.0, 3.0]
+
+
+def test_consensus_keeps_the_order_of_strategies(spark):
+    from tidemark.operators import signals as SG
+
+    rows = [("a", 1, "Zeta", "BUY", 1.0, 0), ("a", 1, "Alpha", "SELL", 0.5, 1), ("a", 1, "Mid", "HOLD", 0.0, 2)]
+    got = SG.consensus(spark.createDataFrame(rows, "symbol string, time int, strategy string, signal string, strength double, position int")).first()
+    assert got["reasoning"] == "Consensus from 2 strategies: Zeta (buy); Alpha (sell)"
+
+
+def test_insert_ignore_keeps_the_first_of_a_new_key(spark):
+    from tidemark.sources import tables as TB
+
+    base = spark.createDataFrame([(1, "stored")], "k int, v string")
+    delta = spark.createDataFrame([(1, "x", 0), (2, "a", 9), (2, "z", 3), (None, "n", 1)], "k int, v string, at int")
+    got = {tuple(r) for r in TB.insert_ignore(base, delta, ["k"], ["at"]).collect()}
+    assert got == {(1, "stored"), (2, "z"), (None, "n")}

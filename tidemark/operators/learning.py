@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -55,14 +56,26 @@ def top_features(importance: DataFrame, n: int = 20) -> DataFrame:
 def walk_forward_scores(df: DataFrame, fit, score, n_splits: int = 5, test: int = 20, gap: int = 0,
                         method: str = "expanding", **layout) -> list[float]:
     """``fit(train) -> model`` and ``score(model, test) -> float`` on each fold in time order."""
+    return scores_of_fits(df, [fit], score, n_splits, test, gap, method, **layout)[0]
+
+
+def scores_of_fits(df: DataFrame, fits, score, n_splits: int = 5, test: int = 20, gap: int = 0,
+                   method: str = "expanding", at_once: int = 8, **layout) -> list[list[float]]:
+    """The scores of several ``fits`` on the same folds, which are made once; ``at_once`` of the fits run side by side."""
     folds = walk_forward_splits(df, n_splits, test, gap, method, **layout).persist()
-    out = []
-    for i in range(n_splits):
+
+    def scored(job):
+        fit, i = job
         part = folds.where(F.col("fold") == i)
-        train, held = part.where("role = 'train'"), part.where("role = 'test'")
-        out.append(score(fit(train), held))
-    folds.unpersist()
-    return out
+        return score(fit(part.where("role = 'train'")), part.where("role = 'test'"))
+
+    try:
+        folds.count()
+        with ThreadPoolExecutor(at_once) as pool:
+            got = list(pool.map(scored, itertools.product(fits, range(n_splits))))
+    finally:
+        folds.unpersist()
+    return [got[i * n_splits : (i + 1) * n_splits] for i in range(len(fits))]
 
 
 def summarize_scores(scores) -> dict[str, float]:
@@ -85,22 +98,21 @@ def auc(model, rows: DataFrame) -> float:
 
 
 CLASSIFIERS = {
-    "gbt": lambda: GBTClassifier(labelCol="label", maxIter=5, maxDepth=3, seed=42),
-    "forest": lambda: RandomForestClassifier(labelCol="label", numTrees=10, maxDepth=5, seed=42),
-    "logistic": lambda: LogisticRegression(labelCol="label", maxIter=20),
+    "gbt": lambda: GBTClassifier(labelCol="label", maxIter=100, maxDepth=5, stepSize=0.1, seed=42),
+    "forest": lambda: RandomForestClassifier(labelCol="label", numTrees=100, maxDepth=5, seed=42),
+    "logistic": lambda: LogisticRegression(labelCol="label", maxIter=100),
 }
-REGRESSORS = {"gbt": lambda: GBTRegressor(labelCol="target", maxIter=5, maxDepth=3, seed=42),
-              "linear": lambda: LinearRegression(labelCol="target", maxIter=20)}
+REGRESSORS = {"gbt": lambda: GBTRegressor(labelCol="target", maxIter=100, maxDepth=5, stepSize=0.1, seed=42),
+              "linear": lambda: LinearRegression(labelCol="target", maxIter=100)}
 
 
-def compare_models(df: DataFrame, cols, models=None, n_splits: int = 3, **kw) -> DataFrame:
+def compare_models(df: DataFrame, cols, models=None, n_splits: int = 5, **kw) -> DataFrame:
     """Walk-forward accuracy of several classifiers, best mean first."""
     models = models or CLASSIFIERS
     df = df.withColumn("label", F.col("label").cast("double"))
-    rows = []
-    for name, make in models.items():
-        s = summarize_scores(walk_forward_scores(df, lambda t, m=make: _pipeline(cols, m()).fit(t), accuracy, n_splits, **kw))
-        rows.append((name, s["mean_score"], s["std_score"]))
+    fits = [lambda t, m=make: _pipeline(cols, m()).fit(t) for make in models.values()]
+    sums = map(summarize_scores, scores_of_fits(df, fits, accuracy, n_splits, **kw))
+    rows = [(name, s["mean_score"], s["std_score"]) for name, s in zip(models, sums)]
     out = df.sparkSession.createDataFrame(rows, "model string, mean_score double, std_score double")
     return rank_models(out)
 
@@ -110,13 +122,12 @@ def rank_models(scores: DataFrame) -> DataFrame:
     return scores.withColumn("place", F.row_number().over(Window.orderBy(F.col("mean_score").desc(), "model")))
 
 
-def param_search(df: DataFrame, cols, make, grid: dict[str, list], n_splits: int = 2, **kw) -> DataFrame:
+def param_search(df: DataFrame, cols, make, grid: dict[str, list], n_splits: int = 5, **kw) -> DataFrame:
     """Walk-forward accuracy for every combination of the grid; ``make(**params)`` is an estimator."""
     df = df.withColumn("label", F.col("label").cast("double"))
-    names, rows = list(grid), []
-    for values in itertools.product(*grid.values()):
-        params = dict(zip(names, values))
-        s = summarize_scores(walk_forward_scores(df, lambda t, p=params: _pipeline(cols, make(**p)).fit(t), accuracy, n_splits, **kw))
-        rows.append((*[float(v) for v in values], s["mean_score"], s["std_score"]))
+    names, points = list(grid), list(itertools.product(*grid.values()))
+    fits = [lambda t, p=dict(zip(names, values)): _pipeline(cols, make(**p)).fit(t) for values in points]
+    sums = map(summarize_scores, scores_of_fits(df, fits, accuracy, n_splits, **kw))
+    rows = [(*[float(v) for v in values], s["mean_score"], s["std_score"]) for values, s in zip(points, sums)]
     schema = ", ".join(f"{n} double" for n in names) + ", mean_score double, std_score double"
     return df.sparkSession.createDataFrame(rows, schema).orderBy(F.col("mean_score").desc())

@@ -58,23 +58,26 @@ SIGNAL_COLUMNS = ["symbol", "time", "strategy", "signal", "strength", "close"]
 
 
 def run_strategies(bars: DataFrame, strategies: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """Union of user strategies: functions from bars to rows with SIGNAL_COLUMNS."""
+    """Union of user strategies: functions from bars to rows with SIGNAL_COLUMNS; ``position`` is the strategy's place."""
     out = None
-    for fn in strategies:
-        part = fn(bars).select(*SIGNAL_COLUMNS)
+    for i, fn in enumerate(strategies):
+        part = fn(bars).select(*SIGNAL_COLUMNS, F.lit(i).alias("position"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def consensus(signals: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """Weighted vote of all strategies per symbol and time."""
+    """Weighted vote of all strategies per symbol and time. The reasoning names them by ``position`` where the rows have
+    one, then by name."""
     weights = weights or {}
     lookup = F.create_map(*[F.lit(x) for k, v in (weights or {"": 1.0}).items() for x in (k, float(v))])
     weight = F.coalesce(F.try_element_at(lookup, F.col("strategy")), F.lit(1.0))
     votes = F.create_map(*[F.lit(x) for k, v in SCORES.items() for x in (k, v)])
     scored = signals.withColumn("_w", weight).withColumn(
         "_v", F.coalesce("strength", F.lit(0.0)) * F.try_element_at(votes, F.col("signal")) * F.col("_w"))
-    active = F.when(F.col("signal") != "HOLD", F.concat("strategy", F.lit(" ("), "signal", F.lit(")")))
+    place = F.col("position") if "position" in signals.columns else F.lit(0)
+    said = F.concat("strategy", F.lit(" ("), F.lower("signal"), F.lit(")"))
+    active = F.when(F.col("signal") != "HOLD", F.struct(place.alias("i"), F.col("strategy").alias("s"), said.alias("t")))
     got = scored.groupBy("symbol", "time").agg(
         F.coalesce(S.ratio(F.sum("_v"), F.sum("_w")), F.lit(0.0)).alias("consensus_score"),
         F.array_sort(F.collect_list(active)).alias("_a"))
@@ -85,7 +88,7 @@ def consensus(signals: DataFrame, weights: dict[str, float] | None = None) -> Da
         .otherwise("HOLD").alias("signal"),
         F.least(F.abs(x) / 2, F.lit(1.0)).alias("strength"),
         F.when(F.size("_a") > 0, F.concat(
-            F.lit("Consensus from "), F.size("_a").cast("string"), F.lit(" strategies: "), F.array_join("_a", "; ")))
+            F.lit("Consensus from "), F.size("_a").cast("string"), F.lit(" strategies: "), F.array_join(F.col("_a")["t"], "; ")))
         .otherwise("No clear signals from any strategy").alias("reasoning"))
 
 

@@ -13,7 +13,7 @@ from tidemark.operators import performance as PF
 from tidemark.operators import risk as R
 from tidemark.operators import signals as SG
 from tidemark.plans import views as V
-from tidemark.plans.feature_queries import small_returns
+from tidemark.plans.feature_queries import hourly_returns
 from tidemark.plans.registry import query
 from tidemark.plans.sqlparts import TR, avg, chg, gains, lag, rsi, sd, win
 from tidemark.plans.views import BARS, DAILY, FLOWS
@@ -42,7 +42,7 @@ query(
     "d03_consensus", "symbol time signal reasoning | consensus_score strength",
     ctes=BARS + "," + TS + "," + MR + f""", un AS (SELECT symbol, time, 'Trend Following' AS strategy, {TSX}, 2.0 AS wt FROM ts UNION ALL SELECT symbol, time, 'Mean Reversion', {MRX}, 1.0 FROM mr),
 co AS (SELECT symbol, time, sum(strength * CASE signal WHEN 'BUY' THEN 1 WHEN 'SELL' THEN -1 ELSE 0 END * wt) / sum(wt) AS x,
-  list(concat(strategy, ' (', signal, ')') ORDER BY strategy) FILTER (signal <> 'HOLD') AS act FROM un GROUP BY 1, 2)""",
+  list(concat(strategy, ' (', lower(signal), ')') ORDER BY strategy DESC) FILTER (signal <> 'HOLD') AS act FROM un GROUP BY 1, 2)""",
     sql="""SELECT symbol, time, x AS consensus_score, least(abs(x) / 2, 1) AS strength, CASE WHEN x >= 1.5 THEN 'STRONG_BUY' WHEN x >= 0.5 THEN 'BUY' WHEN x <= -1.5 THEN 'STRONG_SELL' WHEN x <= -0.5 THEN 'SELL' ELSE 'HOLD' END AS signal,
   CASE WHEN len(act) > 0 THEN concat('Consensus from ', len(act), ' strategies: ', array_to_string(act, '; ')) ELSE 'No clear signals from any strategy' END AS reasoning FROM co""",
 )(lambda s, d: SG.consensus(_both(s, d), {"Trend Following": 2.0, "Mean Reversion": 1.0}))
@@ -150,14 +150,14 @@ for _n, _types in (("t17_price_breakout_rule", ["PRICE_BREAKOUT"]), ("t18_percen
         lambda s, d, t=_types: A.check_rules(_joined(s, d)).where(F.col("alert_type").isin(t)))
 
 # --- risk -----------------------------------------------------------------------------------
-RET = DAILY + f", rt AS (SELECT * FROM (SELECT symbol, time, {chg('close')} / 10 AS returns FROM daily) q WHERE returns IS NOT NULL)"
+RET = DAILY + f", rt AS (SELECT * FROM (SELECT symbol, time, {chg('close')} AS returns FROM daily) q WHERE returns IS NOT NULL)"
 
 
 def _ret(s, d):
     from tidemark import series as S
 
     x = S.open_series(V.daily(s, d), back=1, max_rows=V.days_bound(s, d))
-    return x.add(returns=S.change(x, "close") / 10).close().where("returns IS NOT NULL")
+    return x.add(returns=S.change(x, "close")).close().where("returns IS NOT NULL")
 
 
 Z = NormalDist().inv_cdf(0.05)
@@ -294,7 +294,7 @@ query(
     sql="""SELECT symbol, printf('%.2f%%', total_return) AS total_return_text, printf('%.2f%%', max_drawdown) AS max_drawdown_text, printf('%.2f%%', volatility) AS volatility_text, start_equity, end_equity, peak, trough
   FROM pa JOIN (SELECT symbol, arg_min(equity, time) AS start_equity, arg_max(equity, time) AS end_equity, max(equity) AS peak, min(equity) AS trough FROM bt GROUP BY symbol) q USING (symbol)""",
 )(lambda s, d: PF.formatted_report(PF.performance_metrics(_curve(s, d), max_rows=V.hours_bound(s, d)), _curve(s, d)))
-FASTS, SLOWS = (5, 10, 15, 20), (20, 30, 40)
+FASTS, SLOWS = (5, 10, 15, 20), (20, 30, 40, 50, 60)
 SWEEP = BARS + ", sm AS (SELECT symbol, time, close, " + ", ".join(f"{avg('close', n)} AS m{n}" for n in sorted({*FASTS, *SLOWS})) + " FROM bars), sp AS (" + " UNION ALL ".join(
     f"SELECT symbol, {a} AS fast, {b} AS slow, time, close, sign(m{a} - m{b}) AS direction FROM sm" for a in FASTS for b in SLOWS if a < b) + "), " + BT.format(
     k="fast, slow, ", src="SELECT * FROM sp", p="PARTITION BY symbol, fast, slow ORDER BY time") + "," + PERF.format(g="symbol, fast, slow") + \
@@ -310,7 +310,7 @@ query("d24_param_sweep", "symbol | sharpe_ratio total_return max_drawdown | fast
 query("k06_best_worst_params", "symbol | best_metric worst_metric | best_fast best_slow worst_fast worst_slow n_combinations", dp=4, ctes=SWEEP,
       sql="""SELECT symbol, max(sharpe_ratio) AS best_metric, min(sharpe_ratio) AS worst_metric, arg_max(fast, sharpe_ratio) AS best_fast, arg_max(slow, sharpe_ratio) AS best_slow,
   arg_min(fast, sharpe_ratio) AS worst_fast, arg_min(slow, sharpe_ratio) AS worst_slow, count(*) AS n_combinations FROM pa GROUP BY symbol""")(lambda s, d: PF.best_and_worst(_sweep(s, d)))
-query("a15_pivot_grid", "| s20 s30 s40 | fast", dp=4, ctes=SWEEP,
+query("a15_pivot_grid", "| " + " ".join(f"s{n}" for n in SLOWS) + " | fast", dp=4, ctes=SWEEP,
       sql="SELECT fast, " + ", ".join(f"avg(CASE WHEN slow = {n} THEN sharpe_ratio END) AS s{n}" for n in SLOWS) + " FROM pa GROUP BY fast")(
     lambda s, d: PF.pivot_grid(_sweep(s, d), "fast", "slow", SLOWS, "sharpe_ratio").withColumnsRenamed({str(n): f"s{n}" for n in SLOWS}))
 WF = BARS + """, wr AS (SELECT symbol, time, row_number() OVER (PARTITION BY symbol ORDER BY time) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM bars),
@@ -322,9 +322,9 @@ for _n, _m, _st in (("d25_walk_forward_expanding", "expanding", "0"), ("d25_walk
 query("d26_chrono_split", "symbol time is_test | | row", ctes=BARS,
       sql=f"SELECT symbol, time, row_number() OVER ({PT}) AS row, row_number() OVER ({PT}) > count(*) OVER (PARTITION BY symbol) - ceil(count(*) OVER (PARTITION BY symbol) * 0.2) AS is_test FROM bars")(
     lambda s, d: PF.chrono_split(V.bars(s, d), max_rows=V.hours_bound(s, d)))
-query("t23_forecast_direction", "symbol time direction | predicted_price confidence", ctes=BARS + f", fd AS (SELECT symbol, time, close, {chg('close')} / 100 AS r, (high - low) / close / 20 AS u FROM bars)",
+query("t23_forecast_direction", "symbol time direction | predicted_price confidence", ctes=BARS + f", fd AS (SELECT symbol, time, close, {chg('close')} AS r, (high - low) / close / 20 AS u FROM bars)",
       sql="SELECT symbol, time, CASE WHEN r > 0.005 THEN 'up' WHEN r < -0.005 THEN 'down' ELSE 'neutral' END AS direction, close * (1 + r) AS predicted_price, greatest(0, least(1, 1 - u * 10)) AS confidence FROM fd")(
-    lambda s, d: PF.forecast_direction(small_returns(s, d).withColumn("r", F.col("returns") / 10).withColumn("u", (F.col("high") - F.col("low")) / F.col("close") / 20), "r", "u", "close"))
+    lambda s, d: PF.forecast_direction(hourly_returns(s, d).withColumn("r", F.col("returns")).withColumn("u", (F.col("high") - F.col("low")) / F.col("close") / 20), "r", "u", "close"))
 LOSS = {"a": 0.1, "b": 0.2, "c": 0.4}
 INV = {k: 1 / (v + 1e-6) for k, v in LOSS.items()}
 WT = {k: v / sum(INV.values()) for k, v in INV.items()}

@@ -328,67 +328,74 @@ SCALE = {
     "min_max": "({c} - min({c}) OVER p) / nullif(max({c}) OVER p - min({c}) OVER p, 0)",
     "rank": "CASE WHEN {c} IS NOT NULL THEN (rank() OVER (PARTITION BY symbol ORDER BY {c}) + (count(*) OVER (PARTITION BY symbol, {c}) - 1) / CAST(2 AS DOUBLE)) / count({c}) OVER p END",
 }
-NORMED = ["return_1m", "return_3m", "rsi", "bb_position", "volume_surge", "volatility_20d"]
+NORMED = ALL
 
 
 def _norm(method, cols):
     def one(c):
         x = SCALE[method].format(c=c)
-        return x if method == "rank" else f"CASE WHEN {c} IS NOT NULL THEN greatest(least({x}, 3), -3) END"
+        return x if method == "rank" else f"CASE WHEN {x} IS NOT NULL THEN greatest(least({x}, 3), -3) END"
 
     return ", ".join(f"{one(c)} AS {c}" for c in cols)
 
 
+ROUNDED = FACT + ", xr AS (SELECT symbol, time, " + ", ".join(f"round({c}, 7) AS {c}" for c in ALL) + " FROM x)"
+
+
+def _rounded(s, d):
+    """Factors at seven decimals, so that both engines see the same ties and constants (gold against itself)."""
+    return fact(s, d).select("symbol", "time", *[F.round(c, 7).alias(c) for c in ALL])
+
+
 for _m in ("z_score", "min_max"):
     query(
-        f"w60_normalize_{_m}", "symbol time | " + " ".join(NORMED), ctes=FACT, dp=5,
-        sql=f"SELECT symbol, time, {_norm(_m, NORMED)} FROM x WINDOW p AS (PARTITION BY symbol)",
-    )(lambda s, d, m=_m: FA.normalize_factors(fact(s, d), NORMED, m))
-RANKED = ["close", "volume"]
+        f"w60_normalize_{_m}", "symbol time | " + " ".join(NORMED), ctes=ROUNDED, dp=5,
+        sql=f"SELECT symbol, time, {_norm(_m, NORMED)} FROM xr WINDOW p AS (PARTITION BY symbol)",
+    )(lambda s, d, m=_m: FA.normalize_factors(_rounded(s, d), NORMED, m))
 query(
-    "w60_normalize_rank", "symbol time | close volume", ctes=BARS,
-    sql=f"SELECT symbol, time, {_norm('rank', RANKED)} FROM bars WINDOW p AS (PARTITION BY symbol)",
-)(lambda s, d: FA.normalize_factors(V.bars(s, d), RANKED, "rank", max_rows=V.hours_bound(s, d)))
+    "w60_normalize_rank", "symbol time | " + " ".join(ALL), ctes=ROUNDED,
+    sql=f"SELECT symbol, time, {_norm('rank', ALL)} FROM xr WINDOW p AS (PARTITION BY symbol)",
+)(lambda s, d: FA.normalize_factors(_rounded(s, d), ALL, "rank", max_rows=V.days_bound(s, d)))
 WEIGHT = {n: (w, k) for n, w, k in FA.FACTORS}
 USED = FA.PRICE_FACTORS + FA.GOLD_FACTORS
 query(
     "w61_composite_score", "symbol time | composite_score", ctes=FACT, dp=5,
     sql="SELECT symbol, time, " + " + ".join(f"{c} * {WEIGHT[c][0] * WEIGHT[c][1]}" for c in USED) + " AS composite_score FROM x",
 )(lambda s, d: FA.composite_score(fact(s, d)))
-IC = ["rsi", "bb_position", "volume_surge"]
+PERIODS = (5, 10, 20)
 IC_ROWS = " UNION ALL ".join(
-    f"SELECT symbol, {p} AS period, '{c}' AS factor, {c} AS xv, {lead('return_1m', p)} AS yv FROM x" for p in (5, 10) for c in IC)
+    f"SELECT symbol, {p} AS period, '{c}' AS factor, {c} AS xv, {lead('return_1m', p)} AS yv FROM xr" for p in PERIODS for c in ALL)
 PF = "PARTITION BY symbol, period, factor"
 query(
     "w62_factor_ic", "symbol | ic_mean ic_std ic_ir ic_positive_ratio | period", dp=5,
-    ctes=FACT + f""", r0 AS ({IC_ROWS}), r1 AS (SELECT * FROM r0 WHERE xv IS NOT NULL AND yv IS NOT NULL),
+    ctes=ROUNDED + f""", r0 AS ({IC_ROWS}), r1 AS (SELECT * FROM r0 WHERE xv IS NOT NULL AND yv IS NOT NULL),
 r2 AS (SELECT *, rank() OVER ({PF} ORDER BY xv) + (count(*) OVER ({PF}, xv) - 1) / CAST(2 AS DOUBLE) AS rx,
   rank() OVER ({PF} ORDER BY yv) + (count(*) OVER ({PF}, yv) - 1) / CAST(2 AS DOUBLE) AS ry FROM r1),
-ic AS (SELECT symbol, period, factor, corr(rx, ry) AS ic FROM r2 GROUP BY symbol, period, factor)""",
+ic AS (SELECT symbol, period, factor, CASE WHEN stddev_samp(rx) > 0 AND stddev_samp(ry) > 0 THEN corr(rx, ry) END AS ic FROM r2 GROUP BY symbol, period, factor)""",
     sql="""SELECT symbol, period, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, avg(ic) / stddev_samp(ic) AS ic_ir,
-  sum(CASE WHEN ic > 0 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) AS ic_positive_ratio FROM ic GROUP BY symbol, period""",
-)(lambda s, d: FA.factor_ic(fact(s, d), IC, "return_1m", (5, 10), max_rows=V.days_bound(s, d)))
+  sum(CASE WHEN ic > 0 THEN 1 ELSE 0 END) / CAST(""" + str(len(ALL)) + """ AS DOUBLE) AS ic_positive_ratio FROM ic GROUP BY symbol, period""",
+)(lambda s, d: FA.factor_ic(_rounded(s, d), ALL, "return_1m", PERIODS, max_rows=V.days_bound(s, d)))
 
 # --- drawdown and forecast -------------------------------------------------------------
 
-DD = BARS + f""", r AS (SELECT symbol, time, {chg('close')} / 10 AS returns FROM bars),
+DD = BARS + f""", r AS (SELECT symbol, time, {chg('close')} AS returns FROM bars),
 c AS (SELECT symbol, time, coalesce(product(1 + returns) OVER ({P}), 1) AS cumulative FROM r),
 dd AS (SELECT *, cumulative / max(cumulative) OVER ({P}) - 1 AS drawdown FROM c)"""
 
 
-def small_returns(s, d):
-    """Hourly returns, damped: the test prices jump by factors."""
+def hourly_returns(s, d):
+    """Hourly returns."""
     from tidemark import series as S
 
     x = S.open_series(V.bars(s, d), back=1, max_rows=V.hours_bound(s, d))
-    return x.add(returns=S.change(x, "close") / 10).close()
+    return x.add(returns=S.change(x, "close")).close()
 
 
 query("w63_drawdown", "symbol time | drawdown", ctes=DD, sql="SELECT symbol, time, drawdown FROM dd")(
-    lambda s, d: FL.drawdown(small_returns(s, d), max_rows=V.hours_bound(s, d)))
+    lambda s, d: FL.drawdown(hourly_returns(s, d), max_rows=V.hours_bound(s, d)))
 query("w63_max_drawdown", "symbol | max_drawdown", ctes=DD,
       sql="SELECT symbol, min(drawdown) AS max_drawdown FROM dd GROUP BY symbol")(
-    lambda s, d: FL.max_drawdown(small_returns(s, d), max_rows=V.hours_bound(s, d)))
+    lambda s, d: FL.max_drawdown(hourly_returns(s, d), max_rows=V.hours_bound(s, d)))
 query(
     "w64_trend_forecast", "symbol | forecast | step",
     ctes=BARS + """, l AS (SELECT *, 30 - row_number() OVER (PARTITION BY symbol ORDER BY time DESC) AS x, count(*) OVER (PARTITION BY symbol) AS n FROM bars),
@@ -398,12 +405,12 @@ f AS (SELECT symbol, avg(close) AS ma, regr_slope(close, x) AS slope FROM l WHER
 
 # --- flow tables --------------------------------------------------------------------------
 
-B3 = ["Brand#1", "Brand#2", "Brand#3"]
+BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 query(
-    "a13_pivot_flows", "time | b1 b2 b3", dp=2, ctes=FLOWS,
-    sql="SELECT time, " + ", ".join(f"sum(CASE WHEN symbol = '{b}' THEN net_flow END) AS b{i + 1}" for i, b in enumerate(B3))
+    "a13_pivot_flows", "time | " + " ".join(f"b{i + 1}" for i in range(len(BRANDS))), dp=2, ctes=FLOWS,
+    sql="SELECT time, " + ", ".join(f"sum(CASE WHEN symbol = '{b}' THEN net_flow END) AS b{i + 1}" for i, b in enumerate(BRANDS))
         + " FROM flows WHERE time IN (SELECT DISTINCT time FROM flows ORDER BY time DESC LIMIT 20) GROUP BY time",
-)(lambda s, d: FL.pivot_flows(V.flows(s, d), B3).withColumnsRenamed({b: f"b{i + 1}" for i, b in enumerate(B3)}))
+)(lambda s, d: FL.pivot_flows(V.flows(s, d), BRANDS).withColumnsRenamed({b: f"b{i + 1}" for i, b in enumerate(BRANDS)}))
 query(
     "a09_flow_summary", "symbol | total_flow_30d avg_daily_flow last_flow | flow_count", dp=5, ctes=FLOWS,
     sql="""SELECT symbol, sum(net_flow) AS total_flow_30d, avg(net_flow) AS avg_daily_flow, arg_max(net_flow, time) AS last_flow, count(*) AS flow_count

@@ -16,6 +16,7 @@ from tidemark.plans import views as V
 from tidemark.plans.registry import query
 from tidemark.plans.sqlparts import avg
 from tidemark.plans.views import BARS, NEWS, VECTORS
+from tidemark.session import cut_lineage
 from tidemark.sources import tables as TB
 
 # --- titles -------------------------------------------------------------------------
@@ -114,7 +115,7 @@ def training(s, d):
     x = FE.direction_features(V.bars(s, d), max_rows=bound)
     y = FE.direction_label(V.bars(s, d), max_rows=bound).select("symbol", "time", "label")
     t = FE.training_target(V.bars(s, d), max_rows=bound).select("symbol", "time", "target")
-    return PF.chrono_split(FE.align(FE.align(x, y), t), max_rows=bound).persist()
+    return cut_lineage(PF.chrono_split(FE.align(FE.align(x, y), t), max_rows=bound))
 
 
 COLS = FE.DIRECTION_COLUMNS
@@ -131,24 +132,26 @@ query("m02_predict", "symbol time | prediction probability_up")(lambda s, d: (la
 
 
 def _regressor(s, d):
-    return ML.return_regressor(training(s, d), COLS, trees=3, depth=3)
-
-
-query("m03_return_regressor", "symbol | rmse")(lambda s, d: _regressor(s, d).transform(training(s, d).where("is_test")).groupBy("symbol").agg(
-    F.sqrt(F.avg((F.col("prediction") - F.col("target")) ** 2)).alias("rmse")))
-query("k05_top_features", "feature | importance")(lambda s, d: ML.top_features(ML.feature_importance(_regressor(s, d), COLS, s), 10))
+    """Fitted on the training part, whose own last fifth decides when to stop, so the test rows stay unseen."""
+    rows = training(s, d)
+    inner = PF.chrono_split(rows.where("not is_test").drop("is_test", "row"), max_rows=V.hours_bound(s, d))
+    return ML.return_regressor(inner, COLS, trees=3, depth=3), rows.where("is_test")
 
 
+query("m03_return_regressor", "symbol | rmse")(lambda s, d: (lambda m, t: m.transform(t).groupBy("symbol").agg(
+    F.sqrt(F.avg((F.col("prediction") - F.col("target")) ** 2)).alias("rmse")))(*_regressor(s, d)))
+query("k05_top_features", "feature | importance")(lambda s, d: ML.top_features(ML.feature_importance(_regressor(s, d)[0], COLS, s), 10))
 def _light():
+    """Fewer steps than the operators' defaults, whose 100 trees take minutes of job starts on the smallest tables."""
     return {"logistic": lambda: ML.LogisticRegression(labelCol="label", maxIter=3), "tree": lambda: ML.RandomForestClassifier(labelCol="label", numTrees=2, maxDepth=3, seed=1)}
 
 
 query("m04_cross_validate", "| mean_score std_score")(lambda s, d: s.createDataFrame([ML.summarize_scores(ML.walk_forward_scores(
-    training(s, d).withColumn("label", F.col("label").cast("double")), lambda t: ML._pipeline(COLS, _light()["logistic"]()).fit(t), ML.accuracy, 2, max_rows=V.hours_bound(s, d)))]))
-query("m05_compare_models", "model | mean_score std_score | place")(lambda s, d: ML.compare_models(training(s, d), COLS, _light(), 2, max_rows=V.hours_bound(s, d)))
-query("k08_rank_models", "model | mean_score | place")(lambda s, d: ML.rank_models(ML.compare_models(training(s, d), COLS, _light(), 2, max_rows=V.hours_bound(s, d)).drop("place")))
+    training(s, d).withColumn("label", F.col("label").cast("double")), lambda t: ML._pipeline(COLS, _light()["logistic"]()).fit(t), ML.accuracy, max_rows=V.hours_bound(s, d)))]))
+query("m05_compare_models", "model | mean_score std_score | place")(lambda s, d: ML.compare_models(training(s, d), COLS, _light(), max_rows=V.hours_bound(s, d)))
+query("k08_rank_models", "model | mean_score | place")(lambda s, d: ML.rank_models(ML.compare_models(training(s, d), COLS, _light(), max_rows=V.hours_bound(s, d)).drop("place")))
 query("m06_param_search", "| maxDepth mean_score std_score")(lambda s, d: ML.param_search(
-    training(s, d), COLS, lambda maxDepth: GBTClassifier(labelCol="label", maxIter=2, maxDepth=maxDepth, seed=1), {"maxDepth": [2, 3]}, 2, max_rows=V.hours_bound(s, d)))
+    training(s, d), COLS, lambda maxDepth: GBTClassifier(labelCol="label", maxIter=2, maxDepth=maxDepth, seed=42), {"maxDepth": [2, 3]}, max_rows=V.hours_bound(s, d)))
 
 # --- hooks -----------------------------------------------------------------------------------
 SMA_SIG = f"CASE WHEN {avg('close', 5)} > {avg('close', 20)} THEN 'BUY' WHEN {avg('close', 5)} < {avg('close', 20)} THEN 'SELL' ELSE 'HOLD' END"

@@ -235,12 +235,18 @@ def _delta(s, d):
     return b.withColumns({"close": F.col("close") + 1, "volume": F.col("volume") * 2, "source": F.lit("new")})
 
 
+def _arrivals(s, d):
+    """Every row twice, the later one with another price."""
+    rows = _delta(s, d).withColumn("arrival", F.lit(1))
+    return rows.withColumns({"arrival": F.lit(2), "close": F.lit(0.0), "source": F.lit("again")}).unionByName(rows)
+
+
 query("s13_upsert", "symbol time source | close open volume", dp=8, ctes=UPD,
       sql="SELECT symbol, time, coalesce(b.source, x.source) AS source, coalesce(x.close, b.close) AS close, coalesce(x.open, b.open) AS open, coalesce(x.volume, b.volume) AS volume FROM base b FULL OUTER JOIN delta x USING (symbol, time)")(
     lambda s, d: TB.upsert(_base(s, d), _delta(s, d)))
 query("s14_insert_ignore", "symbol time source | close volume", dp=8, ctes=UPD,
       sql="SELECT symbol, time, source, close, volume FROM base UNION ALL SELECT symbol, time, source, close, volume FROM delta WHERE (symbol, time) NOT IN (SELECT (symbol, time) FROM base)")(
-    lambda s, d: TB.insert_ignore(_base(s, d), _delta(s, d), ["symbol", "time"]))
+    lambda s, d: TB.insert_ignore(_base(s, d), _arrivals(s, d), ["symbol", "time"], ["arrival"]))
 query("s15_save_new_articles", "doc_id url", ctes=NEWS + ", inc AS (SELECT doc_id, CASE WHEN language = 'fr' THEN NULL ELSE url END AS url FROM news)",
       sql="SELECT doc_id, url FROM inc WHERE url IS NULL OR url NOT IN (SELECT url FROM news WHERE label = 'positive')")(
     lambda s, d: TB.new_articles(V.news(s, d).select("doc_id", F.when(F.col("language") != "fr", F.col("url")).alias("url")), V.news(s, d).where("label = 'positive'")))

@@ -78,10 +78,13 @@ def upsert(base: DataFrame, delta: DataFrame, keys=("symbol", "time"), update=PR
     return joined.select(*keys, *cols)
 
 
-def insert_ignore(base: DataFrame, delta: DataFrame, keys) -> DataFrame:
-    """Rows with unknown keys are added, one per key."""
-    fresh = exclude_existing(delta, base, keys).dropDuplicates(list(keys))
-    return base.unionByName(fresh)
+def insert_ignore(base: DataFrame, delta: DataFrame, keys, order=()) -> DataFrame:
+    """Rows with unknown keys are added, one per key: the first by the ``order`` columns, which need not be columns of
+    ``base``. Without ``order`` the least row is taken."""
+    rest = [c for c in base.columns if c not in keys]
+    fresh = exclude_existing(delta, base, keys).groupBy(*keys).agg(
+        F.min(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.struct(*rest).alias("_row"))).alias("_f"))
+    return base.unionByName(fresh.select(*keys, "_f._row.*"))
 
 
 def exclude_existing(delta: DataFrame, base: DataFrame, keys) -> DataFrame:
