@@ -110,42 +110,51 @@ def _with_normals(df: DataFrame, n: int, seed: int) -> DataFrame:
         .alias(f"z{j}") for j in range(n)])
 
 
-def _simulated(stats: DataFrame, draw: Column, normals: int, n: int, seed: int, scale: float = 1.0,
-               shift: float = 1.0) -> DataFrame:
-    """n draws for every key: ``draw`` scaled by the key's deviation plus its mean.
+def _tail(draw: Column, normals: int, n: int, level: float, seed: int, spark) -> DataFrame:
+    """One row over n standard draws: least, percentile, mean of the draws at or below it, and their share.
 
-    Every key uses the same n standard draws, so they are made once, spread over
-    the cluster, and attached as one array of n numbers (n is a parameter).
+    Every key uses the same draws, scaled by its deviation and shifted by its mean, and scaling keeps their order. So the
+    figures of the standard draws give those of every key; no key has draws of its own.
     """
-    ids = stats.sparkSession.range(n).withColumnRenamed("id", "draw")
-    standard = _with_normals(ids, normals, seed).select(draw.alias("x"))
-    keyed = stats.withColumn("_x", F.explode(standard.agg(F.collect_list("x")).scalar()))
-    return keyed.withColumn("x", F.col("_m") * shift + F.col("_s") * scale * F.col("_x")).drop("_m", "_s", "_x")
+    ids = spark.range(n).withColumnRenamed("id", "draw")
+    standard = _with_normals(ids, normals, seed).select(F.lit(0).alias("_one"), draw.alias("z"))
+    rows = with_quantiles(standard, "z", {"q": 1 - level}, ("_one",), max_rows=n)
+    low = F.col("z") <= F.col("q")
+    return rows.agg(F.min("z").alias("_least"), F.max("q").alias("_q"), F.avg(F.when(low, F.col("z"))).alias("_low"),
+                    S.ratio(F.count_if(low), F.count(F.lit(1))).alias("_share"))
+
+
+def _scaled(df: DataFrame, tail: DataFrame, col: str, by) -> DataFrame:
+    """Mean and deviation per key beside the one row of ``tail``."""
+    stats = df.where(F.col(col).isNotNull()).groupBy(*by).agg(F.avg(col).alias("_m"), F.stddev_samp(col).alias("_s"))
+    row = tail.select(F.struct("*").alias("_t")).scalar()
+    return stats.withColumn("_t", row).select(*by, "_m", "_s", "_t.*")
 
 
 def monte_carlo_var(df: DataFrame, level: float = 0.95, n: int = 10000, horizon: int = 1, seed: int = 42,
                     col: str = "returns", by=("symbol",)) -> DataFrame:
-    """Percentile and tail mean of n normal draws per key."""
-    stats = df.where(F.col(col).isNotNull()).groupBy(*by).agg(F.avg(col).alias("_m"), F.stddev_samp(col).alias("_s"))
-    sims = _simulated(stats, F.col("z0"), 1, n, seed, math.sqrt(horizon), horizon).withColumnRenamed("x", "returns")
-    return historical_var(sims, level, "returns", by, max_rows=n)
+    """Percentile and tail mean of n normal draws per key; null for a key of one row."""
+    rows = _scaled(df, _tail(F.col("z0"), 1, n, level, seed, df.sparkSession), col, by)
+    mean, width = F.col("_m") * horizon, F.col("_s") * math.sqrt(horizon)
+    return rows.select(*by, (mean + width * F.col("_q")).alias("var"), (mean + width * F.col("_low")).alias("cvar"))
 
 
 def monte_carlo_stress(df: DataFrame, level: float = 0.99, n: int = 10000, dof: int = 5, seed: int = 42,
                        col: str = "returns", by=("symbol",)) -> DataFrame:
-    """Worst draw, percentile, shortfall and tail share of n Student t draws per key."""
-    stats = df.where(F.col(col).isNotNull()).groupBy(*by).agg(F.avg(col).alias("_m"), F.stddev_samp(col).alias("_s"))
+    """Worst draw, percentile, shortfall and tail share of n Student t draws per key; all draws of a key without spread
+    are its mean, so all are in its tail. Null for a key of one row."""
     chi = F.pow("z1", 2)
     for j in range(2, dof + 1):
         chi = chi + F.pow(f"z{j}", 2)
     t = F.col("z0") / F.sqrt(chi / dof)
-    sims = _simulated(stats, t, dof + 1, n, seed)
-    rows = with_quantiles(sims.select(*by, "x"), "x", {"worst_percentile": 1 - level}, by, max_rows=n)
-    tail = F.col("x") <= F.col("worst_percentile")
-    return rows.groupBy(*by).agg(
-        F.min("x").alias("worst_case"), F.max("worst_percentile").alias("worst_percentile"),
-        F.avg(F.when(tail, F.col("x"))).alias("expected_shortfall"),
-        S.ratio(F.count_if(tail), F.count(F.lit(1))).alias("extreme_loss_probability"))
+    rows = _scaled(df, _tail(t, dof + 1, n, level, seed, df.sparkSession), col, by)
+
+    def at(figure: str) -> Column:
+        return F.col("_m") + F.col("_s") * F.col(figure)
+
+    return rows.select(
+        *by, at("_least").alias("worst_case"), at("_q").alias("worst_percentile"), at("_low").alias("expected_shortfall"),
+        F.when(F.col("_s") == 0, 1.0).when(F.col("_s").isNotNull(), F.col("_share")).alias("extreme_loss_probability"))
 
 
 def compare_var_methods(df: DataFrame, level: float = 0.95, by=("symbol",), **kw) -> DataFrame:
