@@ -169,7 +169,15 @@ query("d12_historical_var", "symbol | var cvar", ctes=RET + ", qv AS (SELECT sym
 query("d13_parametric_var_normal", "symbol | var cvar", ctes=RET,
       sql=f"SELECT symbol, avg(returns) + {ZD} * stddev_samp(returns) AS var, avg(returns) - stddev_samp(returns) * CAST({PDF!r} AS DOUBLE) AS cvar FROM rt GROUP BY symbol")(
     lambda s, d: R.parametric_var(_ret(s, d)))
-query("d14_parametric_var_t", "symbol | dof var cvar")(lambda s, d: R.parametric_var(_ret(s, d), distribution="t_student"))
+# Student t quantile: the density integrated by Simpson's rule after t = sqrt(dof) tan(a), bisected
+STEPS = 2000
+TQ = f"""mo AS (SELECT symbol, avg(returns) AS m, stddev_samp(returns) AS s, CAST(greatest(6 / greatest(kurtosis(returns), 0.1) + 4, 5) AS DOUBLE) AS dof FROM rt GROUP BY symbol),
+bi AS (SELECT symbol, dof, CAST(-50 AS DOUBLE) AS lo, CAST(0 AS DOUBLE) AS hi, 0 AS i FROM mo
+  UNION ALL SELECT symbol, dof, CASE WHEN p < 0.05 THEN mid ELSE lo END, CASE WHEN p < 0.05 THEN hi ELSE mid END, i + 1 FROM (SELECT *, 0.5 - exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(pi()) * top / {3 * STEPS}
+    * list_sum(list_transform(range({STEPS + 1}), lambda k: CASE WHEN k IN (0, {STEPS}) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(cos(top * k / {STEPS}), dof - 1))) AS p
+    FROM (SELECT *, (lo + hi) / 2 AS mid, atan(-(lo + hi) / 2 / sqrt(dof)) AS top FROM bi WHERE i < 50) z) y),
+tv AS (SELECT symbol, dof, m + (lo + hi) / 2 * s * sqrt((dof - 2) / dof) AS var FROM mo JOIN bi USING (symbol, dof) WHERE i = 50)"""
+query("d14_parametric_var_t", "symbol | dof var cvar", ctes="RECURSIVE " + RET + "," + TQ, sql="SELECT symbol, dof, var, var * 1.2 AS cvar FROM tv")(lambda s, d: R.parametric_var(_ret(s, d), distribution="t_student"))
 query("d15_parametric_var_cornish_fisher", "symbol | var cvar", ctes=RET + f", cfv AS (SELECT symbol, avg(returns) + ({ZD} + ({ZD} * {ZD} - 1) * skewness(returns) / 6 + (pow({ZD}, 3) - 3 * {ZD}) * (kurtosis(returns) - 3) / 24) * stddev_samp(returns) AS var FROM rt GROUP BY symbol)",
       sql="SELECT symbol, var, var * 1.15 AS cvar FROM cfv")(lambda s, d: R.parametric_var(_ret(s, d), distribution="skewed_t"))
 
@@ -191,7 +199,13 @@ query("d17_monte_carlo_stress", "symbol | worst_case worst_percentile expected_s
       ctes=RET + "," + MCS + f", dr AS (SELECT draw, {_z(0, 0)} / sqrt(({CHI}) / 5) AS z FROM range(10000) t(draw)), sm AS (SELECT symbol, m + s * z AS x FROM st, dr), qv AS (SELECT symbol, quantile_cont(x, CAST(0.01 AS DOUBLE)) AS q FROM sm GROUP BY symbol)",
       sql="SELECT symbol, min(x) AS worst_case, max(q) AS worst_percentile, avg(CASE WHEN x <= q THEN x END) AS expected_shortfall, count_if(x <= q) / CAST(count(*) AS DOUBLE) AS extreme_loss_probability FROM sm JOIN qv USING (symbol) GROUP BY symbol")(
     lambda s, d: R.monte_carlo_stress(_ret(s, d)))
-query("d18_compare_var_methods", "symbol method | var cvar var_pct cvar_pct")(lambda s, d: R.compare_var_methods(_ret(s, d)))
+FOUR = f"""qh AS (SELECT symbol, quantile_cont(returns, CAST(0.05 AS DOUBLE)) AS q FROM rt GROUP BY symbol),
+dr AS (SELECT draw, {_z(0, 0)} AS z FROM range(10000) t(draw)), sm AS (SELECT symbol, m + s * z AS x FROM mo, dr), qm AS (SELECT symbol, quantile_cont(x, CAST(0.05 AS DOUBLE)) AS q FROM sm GROUP BY symbol),
+fo AS (SELECT symbol, 'Historical' AS method, max(q) AS var, avg(CASE WHEN returns <= q THEN returns END) AS cvar FROM rt JOIN qh USING (symbol) GROUP BY symbol
+  UNION ALL SELECT symbol, 'Parametric Normal', m + {ZD} * s, m - s * CAST({PDF!r} AS DOUBLE) FROM mo UNION ALL SELECT symbol, 'Parametric t-Student', var, var * 1.2 FROM tv
+  UNION ALL SELECT symbol, 'Monte Carlo', max(q), avg(CASE WHEN x <= q THEN x END) FROM sm JOIN qm USING (symbol) GROUP BY symbol)"""
+query("d18_compare_var_methods", "symbol method | var cvar var_pct cvar_pct", ctes="RECURSIVE " + RET + "," + TQ + "," + FOUR,
+      sql="SELECT symbol, method, var, cvar, var * 100 AS var_pct, cvar * 100 AS cvar_pct FROM fo")(lambda s, d: R.compare_var_methods(_ret(s, d)))
 
 ASSETS = ["GLD", "SPY", "GDX", "goldfund", "miningco", "XYZ"]
 SCN = ", ".join(

@@ -17,12 +17,17 @@ from tidemark.streaming.stateful import apply_stream, apply_table
 ORDER = ["time", "event_id"]
 
 
-def stream_of(s, d, name):
-    """The table as a file stream, timestamps in UTC."""
-    schema = s.read.parquet(f"{d}/{name}.parquet").schema
-    df = SF.file_stream(s, d, schema, f"{name}.parquet")
-    naive = [f.name for f in schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
-    return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
+def played(s, d, make, name, mode="append", table="events", late=False, batch=None):
+    """What ``make`` emits over the table as a stream that comes in four parts, by time. With ``late`` a third of the rows
+    of the last half hour of a part comes with the next one."""
+    t = V.table(s, d, table)
+    at, key = (F.unix_seconds("ts"), "event_id") if table == "events" else (F.col("doc_id"), "doc_id")
+    come = SF.arrivals(t, at, late=F.col(key) % 3 == 0 if late else None, by=1800.0)
+    return SF.replay(make(SF.file_stream(s, come.folder, t.schema)), mode, name, come, batch)
+
+
+def _ruled(s, d, rule, by, name):
+    return played(s, d, lambda x: apply_stream(_ticks(x), rule, [by], ["event_id", by], ORDER), name)
 
 
 def _ticks(df):
@@ -43,7 +48,7 @@ N = f"count(price) OVER {W.format(19)}"
 both(
     "r01_price_features", "event_id symbol signal | returns ma_short volatility momentum ma_long",
     lambda s, d: SR.price_features_table(_ticks(V.table(s, d, "events")), order=tuple(ORDER)),
-    lambda s, d: SF.replay(apply_stream(_ticks(stream_of(s, d, "events")), SR.price_features(), ["symbol"], ["event_id", "symbol"], ORDER), name="r01"),
+    lambda s, d: _ruled(s, d, SR.price_features(), "symbol", "r01"),
     f"""SELECT * FROM (SELECT event_id, symbol, {N} AS n, (price / lag(price) OVER (PARTITION BY symbol ORDER BY time, event_id) - 1) * 100 AS returns, avg(price) OVER {W.format(4)} AS ma_short,
   CASE WHEN {N} >= 5 THEN stddev_pop(price) OVER {W.format(19)} ELSE 0 END AS volatility, CASE WHEN {N} >= 5 THEN price - first_value(price) OVER {W.format(19)} ELSE 0 END AS momentum,
   CASE WHEN {N} >= 20 THEN avg(price) OVER {W.format(19)} END AS ma_long, CASE WHEN {N} >= 20 THEN CASE WHEN avg(price) OVER {W.format(4)} > avg(price) OVER {W.format(19)} THEN 'bullish' ELSE 'bearish' END END AS signal FROM ticks) z WHERE n >= 2""",
@@ -53,7 +58,7 @@ SC = "sc AS (SELECT event_id, event_type AS symbol, ts AS time, value / CAST(53
 both(
     "r02_sentiment_ewma", "event_id symbol | current_sentiment | message_count",
     lambda s, d: SR.sentiment_ewma_table(_ticks(V.table(s, d, "events")), order=tuple(ORDER)),
-    lambda s, d: SF.replay(apply_stream(_ticks(stream_of(s, d, "events")), SR.sentiment_ewma(), ["symbol"], ["event_id", "symbol"], ORDER), name="r02"),
+    lambda s, d: _ruled(s, d, SR.sentiment_ewma(), "symbol", "r02"),
     "SELECT event_id, symbol, pow(0.95, k) * sum(score * CASE WHEN k = 0 THEN 1 ELSE 0.05 END * pow(0.95, -k)) OVER (PARTITION BY symbol ORDER BY k) AS current_sentiment, k + 1 AS message_count FROM sc",
     ctes=SC,
 )
@@ -63,7 +68,7 @@ cd AS (SELECT event_id, symbol, k, t AS last, true AS fired FROM ev WHERE k = 1
 both(
     "r05_cooldown", "event_id symbol fired",
     lambda s, d: apply_table(_ticks(V.table(s, d, "events")), SR.cooldown(10800), ["symbol"], ["event_id", "symbol"], ORDER),
-    lambda s, d: SF.replay(apply_stream(_ticks(stream_of(s, d, "events")), SR.cooldown(10800), ["symbol"], ["event_id", "symbol"], ORDER), name="r05"),
+    lambda s, d: _ruled(s, d, SR.cooldown(10800), "symbol", "r05"),
     "SELECT event_id, symbol, fired FROM cd WHERE fired", ctes=COOL,
 )
 RATE = """RECURSIVE rv AS (SELECT event_id, user_id AS client, epoch_us(CAST(ts AS TIMESTAMP)) / CAST(1000000 AS DOUBLE) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
@@ -75,7 +80,7 @@ LIMIT = dict(per_window=3, window=86400.0, per_period=12, period=604800.0)
 both(
     "r07_rate_violations", "event_id client allowed | | remaining",
     lambda s, d: apply_table(_ticks(V.table(s, d, "events")), SR.rate_limit(**LIMIT), ["client"], ["event_id", "client"], ORDER),
-    lambda s, d: SF.replay(apply_stream(_ticks(stream_of(s, d, "events")), SR.rate_limit(**LIMIT), ["client"], ["event_id", "client"], ORDER), name="r07"),
+    lambda s, d: _ruled(s, d, SR.rate_limit(**LIMIT), "client", "r07"),
     "SELECT event_id, client, allowed, remaining FROM rl", ctes=RATE,
 )
 query("r07_requests_in_window", "event_id | | recent", sql="SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(CAST(ts AS TIMESTAMP)) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS recent FROM events")(
@@ -92,9 +97,24 @@ PROCESSORS = {
     "prices": lambda r: r.select("key", F.when(F.get_json_object("value", "$.value").cast("double") > 50, F.upper("key")).alias("value")),
     "news": lambda r: r.select("key", F.lower("key").alias("value")),
 }
-query("r03_topic_router", "topic key value | | n",
-      sql="SELECT 'prices-processed' AS topic, event_type AS key, upper(event_type) AS value, count(*) AS n FROM events WHERE value > 50 GROUP BY 2 UNION ALL SELECT 'news-processed', event_type, lower(event_type), count(*) FROM events GROUP BY 2")(
-    lambda s, d: SF.route_batch(_enriched(V.table(s, d, "events")), PROCESSORS).groupBy("topic", "key", "value").agg(F.count(F.lit(1)).alias("n")))
+ROUTED = "SELECT 'prices-processed' AS topic, event_type AS key, upper(event_type) AS value, count(*) AS n FROM events WHERE value > 50 GROUP BY 2 UNION ALL SELECT 'news-processed', event_type, lower(event_type), count(*) FROM events GROUP BY 2"
+
+
+def _routed(s, d):
+    """Every batch of the stream goes through the router into a table."""
+    from tidemark.sources.tables import scratch_path
+
+    path = scratch_path(s, "r03-out")
+    write = SF.router(PROCESSORS, lambda df: df.write.mode("append").parquet(path))
+    played(s, d, _enriched, "r03", batch=write)
+    return _per_key(s.read.parquet(path))
+
+
+def _per_key(routed):
+    return routed.groupBy("topic", "key", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+both("r03_topic_router", "topic key value | | n", lambda s, d: _per_key(SF.route_batch(_enriched(V.table(s, d, "events")), PROCESSORS)), _routed, ROUTED, ctes="")
 
 
 def _quotes(df):
@@ -114,7 +134,7 @@ def _rules(s, d):
 both(
     "r04_alert_rules", "event_id rule_id alert_type severity",
     lambda s, d: SF.alert_rules_stream(_quotes(V.table(s, d, "events")), _rules(s, d)),
-    lambda s, d: SF.replay(SF.alert_rules_stream(_quotes(stream_of(s, d, "events")), _rules(s, d)).select("event_id", "rule_id", "alert_type", "severity"), name="r04"),
+    lambda s, d: played(s, d, lambda x: SF.alert_rules_stream(_quotes(x), _rules(s, d)).select("event_id", "rule_id", "alert_type", "severity"), "r04"),
     """SELECT event_id, 'b' AS rule_id, 'PRICE_BREAKOUT' AS alert_type, 'MEDIUM' AS severity FROM events WHERE value >= 90
   UNION ALL SELECT event_id, 'p', 'PERCENT_CHANGE', CASE WHEN abs(value - 50) >= 30 THEN 'HIGH' ELSE 'MEDIUM' END FROM events WHERE value - 50 >= 20
   UNION ALL SELECT event_id, 'c', 'CORRELATION_DIVERGENCE', 'MEDIUM' FROM events WHERE value - 50 > 0 AND value - 50 + 3 >= 5
@@ -124,7 +144,7 @@ query(
     "r06_continuous_ohlcv_stream", "symbol bucket | open high low close volume", ctes=TICKS,
     sql="""SELECT symbol, date_trunc('hour', time) AS bucket, first(price ORDER BY time, event_id) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY time, event_id) AS close, sum(volume) AS volume
   FROM ticks GROUP BY 1, 2 HAVING date_trunc('hour', time) + INTERVAL 1 HOUR <= (SELECT max(time) FROM ticks) - INTERVAL 3 HOURS""",
-)(lambda s, d: SF.replay(SF.bars_stream(_ticks(stream_of(s, d, "events"))), name="r06"))
+)(lambda s, d: played(s, d, lambda x: SF.bars_stream(_ticks(x)), "r06", late=True))
 
 
 def _news(df):
@@ -136,35 +156,39 @@ def _news(df):
 
 query("r06_continuous_sentiment_stream", "symbol bucket | avg_sentiment | news_count positive_count", ctes=NEWS,
       sql="SELECT symbol, CAST(date_trunc('day', time) AS TIMESTAMP) AS bucket, count(*) AS news_count, avg(score) AS avg_sentiment, count_if(label = 'positive') AS positive_count FROM news GROUP BY 1, 2 HAVING CAST(date_trunc('day', time) AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(time) FROM news) - INTERVAL 3 DAYS")(
-    lambda s, d: SF.replay(SF.sentiment_stream(_news(stream_of(s, d, "documents"))), name="r06s"))
+    lambda s, d: played(s, d, lambda x: SF.sentiment_stream(_news(x)), "r06s", table="documents"))
 LIVE = """st AS (SELECT symbol, time_bucket(INTERVAL 1 HOUR, time) AS b, count(*) AS n, sum(score) AS x, count_if(label = 'positive') AS p, count_if(label = 'negative') AS q FROM news GROUP BY 1, 2),
 ws AS (SELECT symbol, b + INTERVAL 1 HOUR + to_hours(CAST(h AS INT)) AS until, sum(n) AS n, sum(x) AS x, sum(p) AS p, sum(q) AS q FROM st, range(24) r(h) GROUP BY 1, 2)"""
 LIVEX = """SELECT symbol, until, n AS news_volume_24h, x / n AS current_sentiment, CASE WHEN x / n > 0.2 THEN 'positive' WHEN x / n < -0.2 THEN 'negative' ELSE 'neutral' END AS sentiment_label, p / CAST(n AS DOUBLE) AS bullish_ratio, q / CAST(n AS DOUBLE) AS bearish_ratio,
   greatest(0, least(100, ((x / n + 1) * 50 * 0.6 + p / CAST(n AS DOUBLE) * 100 * 0.4) * least(1.5, greatest(0.5, n / CAST(10 AS DOUBLE))))) AS heat_index FROM ws"""
+DONE = " WHERE until <= (SELECT max(time) FROM news) - INTERVAL 10 MINUTES"
 LSPEC = "symbol until sentiment_label | current_sentiment bullish_ratio bearish_ratio heat_index | news_volume_24h"
 query("r08_live_dashboard", LSPEC, ctes=NEWS + "," + LIVE, sql=LIVEX)(lambda s, d: SF.live_dashboard(_news(V.table(s, d, "documents")), every="1 hour"))
+query("r08_live_dashboard_stream", LSPEC, ctes=NEWS + "," + LIVE, sql=LIVEX + DONE)(
+    lambda s, d: played(s, d, lambda x: SF.live_dashboard(_news(x), every="1 hour"), "r08", table="documents"))
 both(
     "r09_live_quotes", "symbol time | price",
     lambda s, d: SF.live_quotes(_ticks(V.table(s, d, "events"))),
-    lambda s, d: SF.replay(SF.live_quotes(_ticks(stream_of(s, d, "events"))), "complete", "r09"),
+    lambda s, d: played(s, d, lambda x: SF.live_quotes(_ticks(x)), "r09", "complete", late=True),
     "SELECT symbol, arg_max(time, (time, event_id)) AS time, arg_max(price, (time, event_id)) AS price FROM ticks GROUP BY symbol",
 )
 query("r10_stream_dedupe", "| | client symbols", sql="SELECT user_id AS client, count(DISTINCT event_type) AS symbols FROM events GROUP BY 1")(
-    lambda s, d: SF.replay(SF.dedupe_stream(_ticks(stream_of(s, d, "events")), ["client", "symbol"], delay="1 hour"), name="r10")
+    lambda s, d: played(s, d, lambda x: SF.dedupe_stream(_ticks(x), ["client", "symbol"]), "r10", late=True)
     .groupBy("client").agg(F.count(F.lit(1)).alias("symbols")))
 
 
 def _upserted(s, d):
+    """The last price of each user, symbol and day; days that two parts of the stream share are merged."""
     from tidemark.sources.tables import scratch_path
 
-    root = scratch_path(s, "r11")
-    (_ticks(stream_of(s, d, "events")).select("event_id", "symbol", "time", "price").withColumnRenamed("price", "close")
-     .writeStream.foreachBatch(SF.upsert_batch(f"{root}/table", keys=("event_id",))).option("checkpointLocation", f"{root}/state")
-     .trigger(availableNow=True).start().awaitTermination())
-    return s.read.parquet(f"{root}/table")
+    path = scratch_path(s, "r11-table")
+    write = SF.upsert_batch(path, keys=("client", "symbol"))
+    played(s, d, lambda x: _ticks(x).select("client", "symbol", "time", F.col("price").alias("close")), "r11", batch=write)
+    return s.read.parquet(path)
 
 
-query("r11_stream_upsert", "event_id symbol date | close", ctes=TICKS, sql="SELECT event_id, symbol, CAST(time AS DATE) AS date, price AS close FROM ticks")(_upserted)
+query("r11_stream_upsert", "client symbol date | close", ctes=TICKS,
+      sql="SELECT user_id AS client, event_type AS symbol, CAST(ts AS DATE) AS date, arg_max(value + 1, ts) AS close FROM events GROUP BY 1, 2, 3")(_upserted)
 
 
 def _usage(df):
@@ -177,7 +201,7 @@ query("r12_daily_budget", "date exceeded | spent | calls", ctes="us AS (SELECT C
     lambda s, d: SF.budget_stream(_usage(V.table(s, d, "events")), 0.57))
 query("r12_daily_budget_stream", "date exceeded | spent | calls", ctes="us AS (SELECT CAST(ts AS DATE) AS date, CAST(CASE event_type WHEN 'click' THEN 0.002 WHEN 'view' THEN 0.003 ELSE 0.001 END AS DOUBLE) AS c FROM events)",
       sql="SELECT date, count(*) AS calls, sum(c) AS spent, sum(c) > 0.57 AS exceeded FROM us GROUP BY date")(
-    lambda s, d: SF.replay(SF.budget_stream(_usage(stream_of(s, d, "events")), 0.57), "complete", "r12"))
+    lambda s, d: played(s, d, lambda x: SF.budget_stream(_usage(x), 0.57), "r12", "complete", late=True))
 
 
 def _record_high():
@@ -194,6 +218,6 @@ def _record_high():
 both(
     "x04_stream_processor", "event_id symbol | record",
     lambda s, d: apply_table(_ticks(V.table(s, d, "events")), _record_high(), ["symbol"], ["event_id", "symbol"], ORDER),
-    lambda s, d: SF.replay(apply_stream(_ticks(stream_of(s, d, "events")), _record_high(), ["symbol"], ["event_id", "symbol"], ORDER), name="x04"),
+    lambda s, d: _ruled(s, d, _record_high(), "symbol", "x04"),
     "SELECT event_id, symbol, price AS record FROM (SELECT *, max(price) OVER (PARTITION BY symbol ORDER BY time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM ticks) z WHERE best IS NULL OR price > best",
 )

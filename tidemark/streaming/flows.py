@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.ordering import first_by, last_by
@@ -78,7 +79,11 @@ def live_quotes(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("symbol").agg(newest.alias("_q")).select("symbol", "_q.*")
 
 
-def dedupe_stream(df: DataFrame, keys, time: str = "time", delay: str = "1 hour") -> DataFrame:
+def dedupe_stream(df: DataFrame, keys, time: str = "time", delay: str | None = None) -> DataFrame:
+    """The first row of each key. Without ``delay`` keys are never forgotten, so the answer does not depend on the
+    micro-batches and the state grows with the number of keys; with it a key may come again after that time."""
+    if delay is None:
+        return df.dropDuplicates(list(keys))
     return df.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
@@ -118,6 +123,8 @@ def route_batch(records: DataFrame, processors: dict[str, Callable[[DataFrame],
 
 
 def router(processors, write: Callable[[DataFrame], None]):
+    """foreachBatch function that hands a batch's routed records to ``write``."""
+
     def batch(df, _id):
         held = df.persist()
         write(route_batch(held, processors))
@@ -130,13 +137,13 @@ def upsert_batch(path: str, keys=("symbol", "time"), day: str = "date", time: st
     """foreachBatch function that upserts into a table partitioned by day.
 
     Only the days of the batch are read and rewritten; replaying a batch gives the
-    same table. The newest row of a key wins inside a batch.
+    same table. The newest row of a key and day wins inside a batch.
     """
 
     def batch(delta: DataFrame, _id: int):
         spark = delta.sparkSession
         delta = delta.withColumn(day, F.to_date(time))
-        newest = delta.groupBy(*keys).agg(F.max_by(F.struct("*"), F.col(time)).alias("row"))
+        newest = delta.groupBy(*dict.fromkeys((*keys, day))).agg(F.max_by(F.struct("*"), F.col(time)).alias("row"))
         delta = newest.select("row.*")
         # only a missing table counts as empty; every other error rises, or the rewrite would lose stored days
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -152,23 +159,56 @@ def upsert_batch(path: str, keys=("symbol", "time"), day: str = "date", time: st
     return batch
 
 
-def replay(stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
-    """Run a stream over all available input and return what it emitted."""
+@dataclass(frozen=True)
+class Arrivals:
+    """A table that comes in parts: each part is added to ``folder`` once the stream has taken those before it."""
+
+    folder: str
+    parts: tuple[DataFrame, ...]
+
+
+def arrivals(table: DataFrame, at: Column, parts: int = 4, late: Column | None = None, by: float = 0.0) -> Arrivals:
+    """``table`` in parts of about equal size by the number ``at``; rows with ``late`` come as if ``at`` were greater by
+    ``by``, so that those near the end of a part come with the next one."""
+    cuts = table.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
+    when = at if late is None else at + F.when(late, F.lit(by)).otherwise(0.0)
+    part = F.lit(0)
+    for c in cuts:
+        part = part + F.coalesce(when > c, F.lit(False)).cast("int")
+    folder = scratch_path(table.sparkSession, "arrivals")
+    table.where("false").write.parquet(folder)  # a stream needs its folder from the start
+    return Arrivals(folder, tuple(table.where(part == i) for i in range(len(cuts) + 1)))
+
+
+def replay(stream: DataFrame, mode: str = "append", name: str = "stream", come: Arrivals | None = None,
+           batch: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
+    """Run a stream over all available input and return what it emitted; with ``batch`` it gets the batches instead.
+
+    With ``come`` the stream runs once for each part, on from its state.
+    """
+    if mode == "update":
+        raise ValueError("what a stream emits in update mode is no table; pass a batch function that merges it")
     spark = stream.sparkSession
     root = scratch_path(spark, name)
     old = {k: spark.conf.get(k) for k in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions")}
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     shards = min(int(old["spark.sql.shuffle.partitions"]), 2 * spark.sparkContext.defaultParallelism)
     spark.conf.set("spark.sql.shuffle.partitions", str(shards))
+
+    def whole(df, _id):
+        df.write.mode("overwrite").parquet(f"{root}/out")
+
     try:
         writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{root}/state")
-        if mode == "append":
-            query = writer.format("parquet").option("path", f"{root}/out").start()
+        if batch is not None or mode != "append":
+            writer = writer.foreachBatch(batch or whole)
         else:
-            query = writer.foreachBatch(
-                lambda df, i: df.write.mode("overwrite").parquet(f"{root}/out")).start()
-        query.awaitTermination()
+            writer = writer.format("parquet").option("path", f"{root}/out")
+        for part in come.parts if come else (None,):
+            if part is not None:
+                part.write.mode("append").parquet(come.folder)
+            writer.start().awaitTermination()
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
-    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+    return None if batch is not None else spark.read.schema(stream.schema).parquet(f"{root}/out")
