@@ -215,3 +215,16 @@ def test_insert_ignore_keeps_the_first_of_a_new_key(spark):
     delta = spark.createDataFrame([(1, "x", 0), (2, "a", 9), (2, "z", 3), (None, "n", 1)], "k int, v string, at int")
     got = {tuple(r) for r in TB.insert_ignore(base, delta, ["k"], ["at"]).collect()}
     assert got == {(1, "stored"), (2, "z"), (None, "n")}
+
+
+def test_simulated_risk_without_spread(spark):
+    from tidemark.operators import risk
+
+    df = spark.createDataFrame([("flat", 0.02), ("flat", 0.02), ("one", 0.5), ("none", None)], "symbol string, returns double")
+    var = {r["symbol"]: r for r in risk.monte_carlo_var(df, n=200).collect()}
+    assert var["flat"]["var"] == var["flat"]["cvar"] == 0.02
+    assert var["one"]["var"] is None and var["one"]["cvar"] is None and "none" not in var
+    stress = {r["symbol"]: r for r in risk.monte_carlo_stress(df, n=200).collect()}
+    assert stress["flat"]["worst_case"] == stress["flat"]["expected_shortfall"] == 0.02
+    assert stress["flat"]["extreme_loss_probability"] == 1.0 and stress["one"]["extreme_loss_probability"] is None
+    assert risk.monte_carlo_var(df.where("false"), n=200).count() == 0

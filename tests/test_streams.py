@@ -94,3 +94,37 @@ def test_dedupe_and_router(spark, events):
 def test_topic_names():
     assert K.physical("prices") == "precious-metals-prices"
     assert K.physical("other") == "other"
+
+
+def test_arrivals_keep_every_row_and_send_late_ones_on(spark, events):
+    t = table(spark, events)
+    at = F.unix_seconds("time")
+    plain, late = SF.arrivals(t, at), SF.arrivals(t, at, late=F.col("event_id") % 3 == 0, by=1e5)
+    for come in (plain, late):
+        ids = sorted(r["event_id"] for part in come.parts for r in part.select("event_id").collect())
+        assert len(come.parts) == 4 and ids == list(range(343))
+    ends = [[part.agg(F.min(at).alias("a"), F.max(at).alias("b")).first() for part in come.parts] for come in (plain, late)]
+    assert all(x["b"] < y["a"] for x, y in zip(ends[0], ends[0][1:]))
+    assert any(x["b"] > y["a"] for x, y in zip(ends[1], ends[1][1:]))
+    assert sum(p.count() for p in SF.arrivals(t.where("false"), at).parts) == 0
+
+
+def test_first_rows_do_not_depend_on_the_parts(spark, events):
+    t = table(spark, events)
+    for parts in (1, 4):
+        come = SF.arrivals(t, F.unix_seconds("time"), parts)
+        got = SF.replay(SF.dedupe_stream(SF.file_stream(spark, come.folder, t.schema), ["symbol"]), come=come)
+        assert got.count() == 3
+
+
+def test_update_mode_is_refused(spark, events):
+    with pytest.raises(ValueError, match="update"):
+        SF.replay(SF.live_quotes(stream(spark, events)), "update")
+
+
+def test_upsert_keeps_each_day_of_a_batch(spark, tmp_path):
+    path = str(tmp_path / "days")
+    rows = spark.createDataFrame([("A", "2024-01-01 10:00:00", 1.0), ("A", "2024-01-01 11:00:00", 2.0), ("A", "2024-01-02 10:00:00", 3.0)],
+                                 "symbol string, time string, close double").withColumn("time", F.to_timestamp("time"))
+    SF.upsert_batch(path, keys=("symbol",))(rows, 0)
+    assert sorted((str(r["date"]), r["close"]) for r in spark.read.parquet(path).collect()) == [("2024-01-01", 2.0), ("2024-01-02", 3.0)]
