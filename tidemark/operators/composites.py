@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import series as S
-from tidemark.operators import momentum, trend
+from tidemark.functions.stats import attach
+from tidemark.operators import bars, momentum, trend
 from tidemark.operators.base import series_operator
 from tidemark.series import Series
 
@@ -27,6 +28,13 @@ def technical_analysis(s: Series, col: str = "close") -> Series:
     )
 
 
+def with_fibonacci(df: DataFrame, col: str = "close", by=("symbol",)) -> DataFrame:
+    """Retracement levels and extensions of each key's whole price range, one column each (level_236, ext_1618, ...)."""
+    span = F.col("_hi") - F.col("_lo")
+    wide = attach(df, bars._range(df, col, by), by)
+    return wide.withColumns({n: F.col("_hi") - span * r for n, r in bars.RETRACE} | {n: F.col("_hi") + span * r for n, r in bars.EXTEND}).drop("_hi", "_lo")
+
+
 @series_operator(lambda **_: 51)
 def price_indicators(s: Series) -> Series:
     s = s.add(returns=S.change(s, "close"))

@@ -182,6 +182,13 @@ TA_SQL = (
 )
 TA_COLS = "sma_20 sma_50 ema_12 rsi macd macd_signal macd_hist bb_upper bb_middle bb_lower bb_width bb_position"
 bar_query("w30_technical_analysis", TA_COLS, composites.technical_analysis, ", ".join(TA_COLS.split()), TA_SQL, "tb")
+LEVELS = composites.bars.RETRACE + [(n, -r) for n, r in composites.bars.EXTEND]
+query(
+    "w30_technical_fibonacci", "symbol time | sma_20 rsi " + " ".join(n for n, _ in LEVELS), ctes=BARS + "," + TA_SQL,
+    sql="SELECT symbol, time, sma_20, rsi, " + ", ".join(
+        f"max(close) OVER k - (max(close) OVER k - min(close) OVER k) * CAST({r} AS DOUBLE) AS {n}" for n, r in LEVELS)
+    + " FROM tb WINDOW k AS (PARTITION BY symbol)",
+)(lambda s, d: composites.with_fibonacci(composites.technical_analysis(V.bars(s, d), max_rows=V.hours_bound(s, d))))
 PI = "returns ma_5 ma_20 ma_50 volatility_20 rsi_14 bb_upper bb_middle bb_lower"
 bar_query(
     "w31_price_indicators", PI, composites.price_indicators,
