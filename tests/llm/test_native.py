@@ -167,3 +167,23 @@ def test_mix_nears_targets(spark):
     taken = Counter((r["doc_id"], r["source"]) for r in got for _ in range(r["times"]))
     assert Counter((r["doc_id"], r["source"]) for r in out.collect()) == taken
     assert mixing.mix(frame.limit(0)).count() == 0
+
+
+def test_mix_goes_on_after_a_long_document(spark):
+    """One document of half a source: no free document that fits under the target is left."""
+    rows = [(i, " ".join(["w"] * (3 + i % 17)), f"s{i % 6}") for i in range(1800)]
+    for s in range(6):
+        n = sum(len(t.split()) for _, t, x in rows if x == f"s{s}")
+        rows.append((5000 + s, "w " * n, f"s{s}"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(frame).collect()
+    assert len(got) == len(rows)
+    for s in {r["source"] for r in got}:
+        part = [r for r in got if r["source"] == s]
+        target, size = part[0]["target"], part[0]["source_size"]
+        whole = min(int(target // size), 3)
+        missing = round(target) - sum(r["taken"] for r in part)
+        assert missing >= 0 and all(whole <= r["times"] <= whole + 1 for r in part)
+        assert not [r for r in part if r["times"] == whole < 3 and 0 < r["size"] <= missing]
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(key, got)) == sorted(map(key, mixing.mix(frame.repartition(7)).collect()))

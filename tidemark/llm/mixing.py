@@ -5,9 +5,10 @@ is shared among the others by weight until all fit. Sorted by size per weight th
 of the water follows from running sums over the table of sources.
 
 A source takes every document as often as its target holds it whole; the rest is taken from its documents in the order of a
-seeded digest, up to the target. The document at the border is left out, and what is missing is filled by the largest
-later documents that fit. Running sums go over blocks of the digest, and only the block with the border is sorted, so a
-source with most of the rows is not sorted in one task.
+seeded digest, up to the target. The document at the border is left out, and what is missing is filled by the ``fill`` largest
+later documents that fit, one after the other, and then in digest order again by documents no larger than what is still
+missing, until no document fits: a source's part is never short by as much as one of its free documents. Running sums go over
+blocks of the digest, and only the block with the border is sorted, so a source with most of the rows is not sorted in one task.
 
 All of it is DataFrame expressions. Texts are read once, for their sizes; later steps use narrow rows.
 
@@ -18,6 +19,8 @@ columns are not read. The same rows give the same mix.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,16 +61,8 @@ def _attach(rows: DataFrame, per_source: DataFrame, sources: int) -> DataFrame:
     return rows.join(F.broadcast(small) if sources <= MOST_SOURCES else small, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), epochs: int = 3, seed: int = 11, fill: int = 2, key: str = "doc_id",
-        source: str = "source", text: str = "text", digest: bool = False) -> DataFrame:
-    """(key, source, size, source_size, target, times, taken) per document: taken = times x size words; with ``digest``
-    also a hash of the text."""
-    rows = cut_lineage(_sized(docs, key, source, text, seed).withColumn("b", F.conv(F.substring("h", 1, 2), 16, 10).cast("int")))
-    blocks = cut_lineage(rows.groupBy("source", "b").agg(F.sum("size").alias("n")))  # sources x BLOCKS rows
-    per = targets(blocks.groupBy("source").agg(F.sum("n").alias("source_size")), weights, epochs)
-    per = per.withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(epochs))).otherwise(0).cast("int"))
-    per = cut_lineage(per.withColumn("part", F.greatest(F.lit(0), F.round(F.col("target") - F.col("whole") * F.col("source_size"))).cast("long")))
-    n = per.count()
+def _prefix(rows: DataFrame, blocks: DataFrame, per: DataFrame, n: int) -> DataFrame:
+    """``rows`` with the columns of ``per`` and more: 1 as long as the running size in digest order is within the part."""
     upto = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     run = blocks.select("source", "b", "n", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
     run = _attach(run, per.select("source", "part"), n)
@@ -82,9 +77,23 @@ def mix(docs: DataFrame, weights=(5, 2, 1), epochs: int = 3, seed: int = 11, fil
     inside = inside.withColumn("more", ((F.col("part") > 0) & (F.col("run") <= F.col("part"))).cast("int")).drop("run")
     outside = full.where(F.col("at").isNull() | (F.col("b") != F.col("at")))
     outside = outside.withColumn("more", (F.col("at").isNull() | (F.col("b") < F.col("at"))).cast("int"))
-    chosen = cut_lineage(inside.unionByName(outside).drop("at", "at_before"))
+    return inside.unionByName(outside).drop("at", "at_before")
+
+
+def mix(docs: DataFrame, weights=(5, 2, 1), epochs: int = 3, seed: int = 11, fill: int = 2, key: str = "doc_id",
+        source: str = "source", text: str = "text", digest: bool = False) -> DataFrame:
+    """(key, source, size, source_size, target, times, taken) per document: taken = times x size words; with ``digest``
+    also a hash of the text."""
+    rows = cut_lineage(_sized(docs, key, source, text, seed).withColumn("b", F.conv(F.substring("h", 1, 2), 16, 10).cast("int")))
+    blocks = cut_lineage(rows.groupBy("source", "b").agg(F.sum("size").alias("n")))  # sources x BLOCKS rows
+    per = targets(blocks.groupBy("source").agg(F.sum("n").alias("source_size")), weights, epochs)
+    per = per.withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(epochs))).otherwise(0).cast("int"))
+    per = cut_lineage(per.withColumn("part", F.greatest(F.lit(0), F.round(F.col("target") - F.col("whole") * F.col("source_size"))).cast("long")))
+    n = per.count()
+    chosen = cut_lineage(_prefix(rows, blocks, per, n))
     for _ in range(fill):
         chosen = cut_lineage(_fill(chosen, n))
+    chosen = _pass_on(chosen, n)
     times = F.col("whole") + F.col("more")
     return chosen.select(F.col("k").alias(key), F.col("source").alias(source), "size", F.col("source_size").cast("long").alias("source_size"), "target",
                          times.alias("times"), (F.col("size") * times).cast("long").alias("taken"), *(["digest"] if digest else []))
@@ -100,6 +109,26 @@ def _fill(chosen: DataFrame, n: int) -> DataFrame:
     return with_best.withColumn("more", F.when((F.col("more") == 0) & (F.struct("size", "h", "k", "r") == F.col("best")), 1).otherwise(F.col("more"))).drop("best")
 
 
+def _pass_on(chosen: DataFrame, n: int) -> DataFrame:
+    """Repeat the prefix over the free documents no larger than what is missing, until none fits. A pass ends at a document
+    larger than what it leaves missing, so later passes go over fewer and smaller documents."""
+    marked, taken = chosen, []
+    while True:
+        state = marked.groupBy("source").agg((F.max("part") - F.sum(F.col("size") * F.col("more"))).alias("part"),
+                                             F.min(F.when((F.col("more") == 0) & (F.col("size") > 0), F.col("size"))).alias("least"))
+        live = cut_lineage(state.where(F.col("least") <= F.col("part")).drop("least"))
+        if live.isEmpty():
+            break
+        free = marked.where((F.col("more") == 0) & (F.col("size") > 0)).select("source", "k", "size", "h", "r", "b")
+        free = _attach(free, live, n).where(F.col("size") <= F.col("part")).drop("part")
+        blocks = free.groupBy("source", "b").agg(F.sum("size").alias("n"))
+        marked = cut_lineage(_prefix(free, blocks, live, n))
+        taken.append(marked.where(F.col("more") == 1).select("r", F.lit(1).alias("plus")))
+    if not taken:
+        return chosen
+    return chosen.join(reduce(DataFrame.unionByName, taken), "r", "left").withColumn("more", F.coalesce("plus", "more")).drop("plus")
+
+
 def mix_documents(docs: DataFrame, weights=(5, 2, 1), epochs: int = 3, seed: int = 11, key: str = "doc_id",
                   source: str = "source", text: str = "text") -> DataFrame:
     """Every document as often as the mix takes it; columns unchanged. Rows and decisions meet by key, source and a digest
