@@ -54,6 +54,18 @@ def test_templates_leave_out_what_all_pages_repeat(spark):
     assert markup.extract(frame.limit(0)).count() == 0
 
 
+def test_copies_keep_their_text(spark):
+    same = page("<article><h1>H</h1><p>one</p><p>two</p></article>")
+    rows = [(i, "http://copies.com/", same) for i in range(25)]
+    rows += [(100 + i, "http://shared.com/", page("<article><h1>H</h1><p>one</p></article>", i)) for i in range(25)]
+    rows += [(200 + i, "http://plain.com/", "<html><body><div><h2>H</h2></div><div><p>one</p></div></body></html>") for i in range(8)]
+    rows += [(300 + i, "http://h.com/", page(f"<article><p>Read on</p><p>own {i // 2}</p></article>", i)) for i in range(50)]
+    got = {r["page_id"]: r["text"] for r in markup.extract(spark.createDataFrame(rows, "page_id int, url string, html string").repartition(5)).collect()}
+    assert all(got[i] == "H\none\ntwo" and got[100 + i] == "H\none" for i in range(25))
+    assert all(got[200 + i] == "H\none" for i in range(8))
+    assert all(got[300 + i] == f"own {i // 2}" for i in range(50))  # what distinct articles repeat is still template
+
+
 def brute_nearest(ids, x, queries, k):
     out = {}
     for q in queries:

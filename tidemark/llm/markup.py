@@ -6,11 +6,12 @@ page digests, so that it is as large for a host with most of the pages as for an
 Tokens with equal vectors form a class. Classes that are large and frequent enough make up the host's template; a class is
 valid on a page if its tokens stand there in the template's order, and classes nest by the positions that they span.
 What stands in the slots between template tokens is the page's data; slots in menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments are left out, the rest is the main text. Inside an article
-only blocks that every page of a host of at least ``SURE`` pages repeats count as template.
+notices, adverts, forms, scripts, styles and reader comments are left out, the rest is the main text. Pages of a host
+whose main blocks are all the same are copies and count as one page. Inside an article only blocks that every page of a
+host of at least ``SURE`` distinct pages repeats count as template.
 
 Defined results: null html has empty text; a null url, or one without a host, belongs to the host ''; pages of any length are
-read whole; repeated rows are pages of their own; a host with few pages has no template, and its pages are read by their
+read whole; repeated rows have results of their own; a host with few pages has no template, and its pages are read by their
 markup alone; empty tables give empty results; other columns are not read. A line break tag is white space inside its block.
 """
 
@@ -21,6 +22,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -144,46 +146,60 @@ def main_text(page: str | None, template: dict[int, tuple[int, float, bool]]) ->
             return False
         return template[b.token][2] or not b.inside
 
-    slots = [b for b in found if b.text is not None and not b.outside]
-    if any(b.inside for b in slots):
-        slots = [b for b in slots if b.inside]
-    return "\n".join(b.text for b in slots if not constant(b))
+    return "\n".join(b.text for b in _slots(found) if not constant(b))
 
 
 OCCURRENCE = "host string, token long, pages long, a long, b long, most int, place double, is_text boolean"
+FORM = "host string, body long, mark long, tokens binary"
+COUNTED = np.dtype([("token", "<i8"), ("n", "<i4"), ("place", "<f4"), ("is_text", "?")])
 
 
-def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each token's occurrences, summed over the pages of a host in a batch."""
+def _slots(found: list[Block]) -> list[Block]:
+    """Text blocks that may be main text: those of an article, or without one all in no region that is left out."""
+    slots = [b for b in found if b.text is not None and not b.outside]
+    return [b for b in slots if b.inside] or slots
+
+
+def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per page the digest of its main blocks, which copies share, and its tokens with their counts."""
     for batch in batches:
-        sums: dict[tuple[str, int], list] = {}
+        out: dict[tuple[str, int], tuple[int, bytes]] = {}
         for host, page in zip(batch["host"], batch["html"]):
             found = blocks(page or "")
-            count: dict[int, int] = {}
-            first: dict[int, float] = {}
-            kind: dict[int, bool] = {}
+            key, mark = (host, _digest(*[str(b.token) for b in _slots(found)])), _digest(page or "")
+            if key in out and out[key][0] <= mark:
+                continue
+            count: dict[int, list] = {}
             for i, b in enumerate(found):
-                count[b.token] = count.get(b.token, 0) + 1
-                first.setdefault(b.token, i / len(found))
-                kind[b.token] = b.text is not None
-            mark = page or ""
-            salt = _digest(mark)
-            for token, n in count.items():
-                h = _digest(f"{salt} {n}")
-                s = sums.setdefault((host, token), [0, 0, 0, 0, 0.0, kind[token]])
+                count.setdefault(b.token, [b.token, 0, i / len(found), b.text is not None])[1] += 1
+            out[key] = mark, np.array([tuple(v) for v in count.values()], COUNTED).tobytes()
+        yield pd.DataFrame([(*k, *v) for k, v in out.items()], columns=["host", "body", "mark", "tokens"])
+
+
+def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each token's occurrences, summed over the distinct pages of a host in a batch."""
+    for batch in batches:
+        sums: dict[tuple[str, int], list] = {}
+        for host, body, tokens in zip(batch["host"], batch["body"], batch["tokens"]):
+            for token, n, place, is_text in np.frombuffer(tokens, COUNTED).tolist():
+                h = _digest(f"{body} {n}")
+                s = sums.setdefault((host, token), [0, 0, 0, 0, 0.0, is_text])
                 s[0] += 1
                 s[1] += h & 0x3FFFFFFF
                 s[2] += h >> 32 & 0x3FFFFFFF
                 s[3] = max(s[3], n)
-                s[4] += first[token]
+                s[4] += place
         yield pd.DataFrame([(h, t, *v) for (h, t), v in sums.items()], columns=["host", "token", "pages", "a", "b", "most", "place", "is_text"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): the tokens of each host's valid classes as (token, class, place, sure). A token is kept if it
-    is on at least half of the host's pages, so a template is no longer than two pages."""
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("all_pages"))
-    found = pages.select("host", "html").mapInPandas(_occurrences, OCCURRENCE).groupBy("host", "token").agg(
+    """(host, template): the tokens of each host's valid classes as (token, class, place, sure). Pages with the same main
+    blocks count once, so copies make no template of what they share. A token is kept if it is on at least half of the
+    host's distinct pages, so a template is no longer than two pages."""
+    forms = pages.select("host", "html").mapInPandas(_forms, FORM).groupBy("host", "body").agg(F.min(F.struct("mark", "tokens")).alias("m"))
+    forms = cut_lineage(forms.select("host", "body", "m.tokens"))
+    sizes = forms.groupBy("host").agg(F.count(F.lit(1)).alias("all_pages"))
+    found = forms.mapInPandas(_occurrences, OCCURRENCE).groupBy("host", "token").agg(
         F.sum("pages").alias("pages"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.max("most").alias("most"),
         (F.sum("place") / F.sum("pages")).alias("place"), F.max("is_text").alias("is_text")).where(F.col("pages") >= LEAST_PAGES)
     often = found.join(sizes, "host").where(F.col("pages") >= SHARE * F.col("all_pages"))
