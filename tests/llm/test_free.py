@@ -66,6 +66,17 @@ def test_copies_keep_their_text(spark):
     assert all(got[300 + i] == f"own {i // 2}" for i in range(50))  # what distinct articles repeat is still template
 
 
+def test_what_stands_twice_is_template(spark):
+    bar = "<div><span>Home</span></div><div><span>News</span></div>"
+    rows = [(i, "http://bars.com/", f"<html><body>{bar}<div><p>own {i}</p></div>{bar}</body></html>") for i in range(12)]
+    rows += [(100 + i, "http://captions.com/", f"<html><body><div><p>Photo</p><p>own {i}</p><p>Photo</p>{'<p>x%d</p>' % i * (i % 3)}</div></body></html>") for i in range(12)]
+    rows += [(200 + i, "http://varying.com/", f"<html><body><div><p>own {i}</p>{'<p>Again</p>' * (1 + i % 4)}</div></body></html>") for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in markup.extract(spark.createDataFrame(rows, "page_id int, url string, html string").repartition(5)).collect()}
+    assert all(got[i] == f"own {i}" for i in range(12))
+    assert all(got[100 + i] == "\n".join([f"own {i}"] + [f"x{i}"] * (i % 3)) for i in range(12))
+    assert all(got[200 + i] == "\n".join([f"own {i}"] + ["Again"] * (1 + i % 4)) for i in range(12))
+
+
 def brute_nearest(ids, x, queries, k):
     out = {}
     for q in queries:

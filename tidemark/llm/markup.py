@@ -3,8 +3,10 @@
 Every page falls into tokens: container tags and text blocks, each with the path of containers that it stands in. Tokens of a
 host that occur equally often on every one of its pages have one occurrence vector; the vector is kept as two sums of
 page digests, so that it is as large for a host with most of the pages as for any other, and is summed before the shuffle.
+Every occurrence in a page is a token of its own (the n-th of its kind), so a class may interleave what stands twice or more.
 Tokens with equal vectors form a class. Classes that are large and frequent enough make up the host's template; a class is
-valid on a page if its tokens stand there in the template's order, and classes nest by the positions that they span.
+valid on a page if its tokens stand there in the template's order. A class of texts alone that stand equally often, more than
+once, nests in a slot of a class of single tokens; other classes need a container tag.
 What stands in the slots between template tokens is the page's data; slots in menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments are left out, the rest is the main text. Pages of a host
 whose main blocks are all the same are copies and count as one page. Inside an article only blocks that every page of a
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -128,28 +131,40 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def _numbered(found: list[Block]) -> list[int]:
+    """Per block its token, from the second occurrence in the page on a digest of token and number."""
+    seen: dict[int, int] = {}
+    out = []
+    for b in found:
+        n = seen[b.token] = seen.get(b.token, 0) + 1
+        out.append(b.token if n == 1 else _digest(f"{b.token} {n}"))
+    return out
+
+
 def main_text(page: str | None, template: dict[int, tuple[int, float, bool]]) -> str:
     """Text of the slots that are no template. ``template``: token -> (class, place, on every page)."""
     found = blocks(page or "")
     # a class counts on this page only if its tokens stand in the template's order
     last: dict[int, float] = {}
     broken: set[int] = set()
-    for b in found:
-        if b.token in template:
-            cls, place, _ = template[b.token]
+    numbered = _numbered(found)
+    for token in numbered:
+        if token in template:
+            cls, place, _ = template[token]
             if place < last.get(cls, -1.0):
                 broken.add(cls)
             last[cls] = max(place, last.get(cls, -1.0))
 
-    def constant(b: Block) -> bool:
-        if b.token not in template or template[b.token][0] in broken:
+    def constant(token: int, b: Block) -> bool:
+        if token not in template or template[token][0] in broken:
             return False
-        return template[b.token][2] or not b.inside
+        return template[token][2] or not b.inside
 
-    return "\n".join(b.text for b in _slots(found) if not constant(b))
+    at = {id(b): token for token, b in zip(numbered, found)}
+    return "\n".join(b.text for b in _slots(found) if not constant(at[id(b)], b))
 
 
-OCCURRENCE = "host string, token long, pages long, a long, b long, most int, place double, is_text boolean"
+OCCURRENCE = "host string, token long, pages long, a long, b long, most int, least int, place double, is_text boolean"
 FORM = "host string, body long, mark long, tokens binary"
 COUNTED = np.dtype([("token", "<i8"), ("n", "<i4"), ("place", "<f4"), ("is_text", "?")])
 
@@ -169,10 +184,9 @@ def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             key, mark = (host, _digest(*[str(b.token) for b in _slots(found)])), _digest(page or "")
             if key in out and out[key][0] <= mark:
                 continue
-            count: dict[int, list] = {}
-            for i, b in enumerate(found):
-                count.setdefault(b.token, [b.token, 0, i / len(found), b.text is not None])[1] += 1
-            out[key] = mark, np.array([tuple(v) for v in count.values()], COUNTED).tobytes()
+            count = Counter(b.token for b in found)
+            rows = [(t, count[b.token], i / len(found), b.text is not None) for i, (t, b) in enumerate(zip(_numbered(found), found))]
+            out[key] = mark, np.array(rows, COUNTED).tobytes()
         yield pd.DataFrame([(*k, *v) for k, v in out.items()], columns=["host", "body", "mark", "tokens"])
 
 
@@ -183,13 +197,14 @@ def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for host, body, tokens in zip(batch["host"], batch["body"], batch["tokens"]):
             for token, n, place, is_text in np.frombuffer(tokens, COUNTED).tolist():
                 h = _digest(f"{body} {n}")
-                s = sums.setdefault((host, token), [0, 0, 0, 0, 0.0, is_text])
+                s = sums.setdefault((host, token), [0, 0, 0, n, n, 0.0, is_text])
                 s[0] += 1
                 s[1] += h & 0x3FFFFFFF
                 s[2] += h >> 32 & 0x3FFFFFFF
                 s[3] = max(s[3], n)
-                s[4] += place
-        yield pd.DataFrame([(h, t, *v) for (h, t), v in sums.items()], columns=["host", "token", "pages", "a", "b", "most", "place", "is_text"])
+                s[4] = min(s[4], n)
+                s[5] += place
+        yield pd.DataFrame([(h, t, *v) for (h, t), v in sums.items()], columns=["host", "token", "pages", "a", "b", "most", "least", "place", "is_text"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -200,16 +215,23 @@ def templates(pages: DataFrame) -> DataFrame:
     forms = cut_lineage(forms.select("host", "body", "m.tokens"))
     sizes = forms.groupBy("host").agg(F.count(F.lit(1)).alias("all_pages"))
     found = forms.mapInPandas(_occurrences, OCCURRENCE).groupBy("host", "token").agg(
-        F.sum("pages").alias("pages"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.max("most").alias("most"),
+        F.sum("pages").alias("pages"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.max("most").alias("most"), F.min("least").alias("least"),
         (F.sum("place") / F.sum("pages")).alias("place"), F.max("is_text").alias("is_text")).where(F.col("pages") >= LEAST_PAGES)
     often = found.join(sizes, "host").where(F.col("pages") >= SHARE * F.col("all_pages"))
     classed = often.withColumn("class", F.xxhash64("pages", "a", "b"))
-    whole = (F.col("pages") == F.col("all_pages")) & (F.col("most") == 1) & (F.col("all_pages") >= SURE)
-    # classes that hold no container tag, or one token alone, frame nothing
-    members = classed.groupBy("host", "class").agg(F.collect_list(F.struct("token", "class", "place", whole.alias("sure"))).alias("m"),
-                                                   F.max((~F.col("is_text")).cast("int")).alias("frames"))
-    valid = members.where((F.size("m") > 1) & (F.col("frames") == 1))
-    return valid.groupBy("host").agg(F.flatten(F.collect_list("m")).alias("template"))
+    whole = (F.col("pages") == F.col("all_pages")) & (F.col("most") == F.col("least")) & (F.col("all_pages") >= SURE)
+    # a class that holds a container tag and another token frames slots
+    members = classed.groupBy("host", "class").agg(
+        F.collect_list(F.struct("token", "class", "place", whole.alias("sure"))).alias("m"), F.max((~F.col("is_text")).cast("int")).alias("frames"),
+        F.max("most").alias("most"), F.min("least").alias("least"), F.max("pages").alias("pages"), F.min("place").alias("start"))
+    members = cut_lineage(members.where(F.size("m") > 1))
+    valid = members.where("frames = 1")
+    # texts that stand equally often on their pages, more than once, nest in a class of single tokens that starts before them
+    outer = valid.where("most = 1").groupBy("host").agg(F.collect_list(F.struct("pages", "start")).alias("outer"))
+    nested = members.where("frames = 0 AND least > 1 AND least = most").join(outer, "host")
+    nested = nested.where(F.exists("outer", lambda o: (o["pages"] >= F.col("pages")) & (o["start"] < F.col("start"))))
+    both = valid.select("host", "m").unionByName(nested.select("host", "m"))
+    return both.groupBy("host").agg(F.flatten(F.collect_list("m")).alias("template"))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
