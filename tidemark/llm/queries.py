@@ -181,3 +181,80 @@ def _op3(spark, folder):
     from tidemark.llm.markup import extract
 
     return extract(table(spark, folder, "pages"))
+
+
+# --- 11: cross-tokenizer alignment ------------------------------------------------------
+@_query("op11_cross_tokenizer_alignment")
+def _op11(spark, folder):
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.alignment import align
+
+    got = align(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return got.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+# --- 12: conversation repair ------------------------------------------------------------
+# the checksum is computed from its polynomial; a node is (cost, audit, rows) for each of the four grammar states
+OP12_SQL = r"""WITH RECURSIVE z AS (SELECT list(list_reduce(range(9), lambda c, k: CASE WHEN k = 0 THEN c WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS crc FROM range(256) AS t(b)),
+a AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+b AS (SELECT *, xor(list_reduce(list_transform(string_split(name, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, x: xor(c >> 8, crc[xor(c, x) % 256 + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS fate FROM a, z),
+d AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM b, range(2) AS t(copy) WHERE fate <> 0 AND (copy = 0 OR fate = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+f AS (SELECT *, left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+    NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut FROM o),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+    count(*) FILTER (cut AND NOT again AND NOT blank) AS truncated, count(*) FILTER (before || ini NOT IN ('su', 'ua', 'au')) AS illegal,
+    list({'ini': ini, 'gone': blank OR again, 'cut': CAST(cut AS INTEGER), 'role': role, 'text': text} ORDER BY i) AS said FROM f GROUP BY 1),
+r AS (SELECT conv_id, len(said) AS i, said, {'c': 0, 'a': '', 't': CAST([] AS VARCHAR[])} AS f, {'c': 4, 'a': 'II', 't': ['user:', 'assistant:']} AS s,
+        {'c': 2, 'a': 'I', 't': ['assistant:']} AS u, {'c': 0, 'a': '', 't': CAST([] AS VARCHAR[])} AS a FROM c
+    UNION ALL SELECT conv_id, i - 1, said, list_min([e.f, {'c': 2 + e.u.c, 'a': 'I' || e.u.a, 't': list_prepend('user:', e.u.t)}]),
+        list_min([e.s, {'c': 2 + e.u.c, 'a': 'I' || e.u.a, 't': list_prepend('user:', e.u.t)}]), e.u, e.a
+    FROM (SELECT conv_id, i, said, {'f': p.f, 's': p.s,
+            'u': list_min([p.u, {'c': 2 + p.a.c, 'a': 'I' || p.a.a, 't': list_prepend('assistant:', p.a.t)}]),
+            'a': list_min([p.a, {'c': 2 + p.u.c, 'a': 'I' || p.u.a, 't': list_prepend('user:', p.u.t)}])} AS e
+        FROM (SELECT conv_id, i, said, {
+            'f': list_min([{'c': 3 + f.c, 'a': 'D' || f.a, 't': f.t}, CASE WHEN NOT x.gone THEN {'c': 2 + x.cut + u.c, 'a': 'R' || u.a, 't': list_prepend('user:' || x.text, u.t)} END,
+                CASE WHEN NOT x.gone AND x.ini = 's' THEN {'c': x.cut + s.c, 'a': 'K' || s.a, 't': list_prepend(x.role || ':' || x.text, s.t)}
+                    WHEN NOT x.gone AND x.ini = 'u' THEN {'c': x.cut + u.c, 'a': 'K' || u.a, 't': list_prepend(x.role || ':' || x.text, u.t)} END]),
+            's': list_min([{'c': 3 + s.c, 'a': 'D' || s.a, 't': s.t}, CASE WHEN NOT x.gone THEN {'c': 2 + x.cut + u.c, 'a': 'R' || u.a, 't': list_prepend('user:' || x.text, u.t)} END,
+                CASE WHEN NOT x.gone AND x.ini = 'u' THEN {'c': x.cut + u.c, 'a': 'K' || u.a, 't': list_prepend(x.role || ':' || x.text, u.t)} END]),
+            'u': list_min([{'c': 3 + u.c, 'a': 'D' || u.a, 't': u.t}, CASE WHEN NOT x.gone THEN {'c': 2 + x.cut + a.c, 'a': 'R' || a.a, 't': list_prepend('assistant:' || x.text, a.t)} END,
+                CASE WHEN NOT x.gone AND x.ini = 'a' THEN {'c': x.cut + a.c, 'a': 'K' || a.a, 't': list_prepend(x.role || ':' || x.text, a.t)} END]),
+            'a': list_min([{'c': 3 + a.c, 'a': 'D' || a.a, 't': a.t}, CASE WHEN NOT x.gone THEN {'c': 2 + x.cut + u.c, 'a': 'R' || u.a, 't': list_prepend('user:' || x.text, u.t)} END,
+                CASE WHEN NOT x.gone AND x.ini = 'u' THEN {'c': x.cut + u.c, 'a': 'K' || u.a, 't': list_prepend(x.role || ':' || x.text, u.t)} END])} AS p
+            FROM (SELECT *, said[i] AS x FROM r WHERE i > 0) AS q1) AS q2) AS q3)
+SELECT k.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated,
+    coalesce(c.illegal, 0) AS illegal, CAST(coalesce(r.f.c, 0) AS BIGINT) AS cost, coalesce(r.f.a, '') AS audit, sha256(coalesce(array_to_string(r.f.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS k LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM k.conv_id AND r.i = 0"""
+
+
+@_query("op12_conversation_repair", OP12_SQL)
+def _op12(spark, folder):
+    from tidemark.llm.repair import report
+
+    return report(table(spark, folder, "conversations"))
+
+
+# --- 13: web archives -------------------------------------------------------------------
+OP13_SQL = r"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest, min(page_id) OVER (PARTITION BY html) AS least FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM least THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM least THEN least END AS refers_to FROM d"""
+
+
+@_query("op13_warc", OP13_SQL)
+def _op13(spark, folder):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.warc import archived
+
+    def key(name):
+        return F.regexp_extract(name, "^<urn:record:(-?[0-9]+)>$", 1).try_cast("long")
+
+    read = archived(table(spark, folder, "pages"))
+    return read.select(key("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", key("refers_to").alias("refers_to"))
