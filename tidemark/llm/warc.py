@@ -2,8 +2,8 @@
 
 Writing. Every task writes its own archives: a leading skippable frame with the dictionary, then one frame per record. Spark's own
 text writer puts the bytes into the shared store, so any file system that Spark writes to will do; its line end is set to
-an empty skippable frame, which readers of Zstandard pass over. The dictionary is trained on at most ``SAMPLE`` pages of least
-hash, 16 KB of each; tables too small to train one get archives without.
+an empty skippable frame, which readers of Zstandard pass over. The dictionary is trained on some ``SAMPLE`` pages (twice
+as many at most) drawn by key hash, 16 KB of each; tables too small to train one get archives without.
 
 Of records with equal payloads of at least ``least`` bytes, the one with the smallest id is a response; the others are
 revisits, which hold the response's http header and refer to its record. Only digests are compared; a digest of many copies
@@ -204,10 +204,11 @@ def frames(data: bytes) -> Iterator[tuple[int, bytes | None, str | None]]:
 
 
 # --- archives ---------------------------------------------------------------------------
-def dictionary(pages: DataFrame, key: str = "page_id", payload: str = "html") -> bytes | None:
-    """A dictionary of whole records of the pages with the least key hash; None where they are too few to train one."""
+def dictionary(pages: DataFrame, rows: int, key: str = "page_id", payload: str = "html") -> bytes | None:
+    """A dictionary of records of some ``SAMPLE`` of the ``rows`` pages, drawn by key hash; None where they are too few to train one."""
     some = pages.select(F.col(key).cast("string").alias("k"), F.encode(F.substring(F.coalesce(payload, F.lit("")), 1, HEAD), "utf-8").alias("p"))
-    some = some.orderBy(F.xxhash64("k"), "k").limit(SAMPLE).collect()
+    drawn = F.pmod(F.xxhash64("k"), F.lit(1 << 40)) <= (SAMPLE << 40) // max(1, rows)
+    some = some.where(drawn).limit(2 * SAMPLE).collect()  # more than drawn only where very many rows share a key
     records = [record(r["k"], "http://example.com/", bytes(r["p"]), "0" * 64, "response", None) for r in some]
     try:
         return zstandard.train_dictionary(DICTIONARY, records).as_bytes()
@@ -230,8 +231,8 @@ def planned(pages: DataFrame, key: str = "page_id", url: str = "url", payload: s
 
 def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST, date: str = DATE, level: int = 3) -> None:
     """Write a folder of archives: each task its own ones, of as many records as have some ``ARCHIVE`` bytes on average."""
-    held = dictionary(pages, key, payload)
     rows, total = pages.agg(F.count(F.lit(1)), F.sum(F.octet_length(payload))).first()
+    held = dictionary(pages, rows, key, payload)
     records = 1 + ARCHIVE // max(1, (total or 0) // max(1, rows))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
