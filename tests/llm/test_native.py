@@ -3,7 +3,9 @@
 import hashlib
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,3 +189,72 @@ def test_mix_goes_on_after_a_long_document(spark):
         assert not [r for r in part if r["times"] == whole < 3 and 0 < r["size"] <= missing]
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(map(key, got)) == sorted(map(key, mixing.mix(frame.repartition(7)).collect()))
+
+
+def plain_mix(rows, weights=(5, 2, 1), epochs=3, seed=11):
+    """Times per (doc_id, source, size) by the rule as the operator's docstring states it, one document after the other."""
+    size, by = Counter(), defaultdict(list)
+    for k, source, text in rows:
+        n = len(words(text))
+        size[source] += n
+        by[source].append((hashlib.md5(f"{seed}:{'' if k is None else k}".encode()).hexdigest(), -1 if k is None else k, n))
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    open_, target, total = set(order), {}, Fraction(sum(size.values()))
+    while open_:  # cap what stands above the level, share the rest anew
+        level = (total - sum(target.values())) / sum(w[s] for s in open_)
+        over = {s for s in open_ if level * w[s] > epochs * size[s]}
+        if not over:
+            target |= {s: level * w[s] for s in open_}
+            break
+        target |= {s: Fraction(epochs * size[s]) for s in over}
+        open_ -= over
+    out = []
+    for s, docs_ in by.items():
+        docs_.sort()
+        whole = min(int(target[s] // size[s]), epochs) if size[s] else 0
+        part = max(0, round(float(target[s]) - whole * size[s]))
+        taken, run = [False] * len(docs_), 0
+        for i, (_, _, n) in enumerate(docs_):
+            run += n
+            if part == 0 or run > part:
+                break
+            taken[i] = True
+        gap = part - sum(n for (_, _, n), x in zip(docs_, taken) if x)
+        for _ in range(2):
+            fits = [(n, i) for i, (_, _, n) in enumerate(docs_) if not taken[i] and 0 < n <= gap]
+            if fits:
+                n, i = max(fits)
+                taken[i], gap = True, gap - n
+        while True:
+            fits = [(i, n) for i, (_, _, n) in enumerate(docs_) if not taken[i] and 0 < n <= gap]
+            if not fits:
+                break
+            run = 0
+            for i, n in fits:
+                run += n
+                if run > gap:
+                    break
+                taken[i] = True
+            gap = part - sum(n for (_, _, n), x in zip(docs_, taken) if x)
+        out += [(k, s, n, whole + x) for (_, k, n), x in zip(docs_, taken)]
+    return sorted(out, key=str)
+
+
+def test_mix_by_plain_rule_and_sql(spark, sf):
+    from tidemark.llm.queries import OP9_SQL
+
+    given = [(r["doc_id"], r["source"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    planted = given + [(5000 + i, f"src{i}", "w " * 4000) for i in range(0, 20, 3)] + [(6000 + i, "src1", "") for i in range(40)]
+    empties = [(i, "a", "w " * 30) for i in range(3)] + [(10 + i, "a", "") for i in range(60)] + [(100 + i, "b", "x " * 300) for i in range(40)] + [(200, None, "y"), (201, "c", None)]
+    for rows in (given, planted, empties):
+        frame = spark.createDataFrame(rows, "doc_id long, source string, text string")
+        got = mixing.mix(frame).collect()
+        assert sorted(((r["doc_id"], r["source"], r["size"], r["times"]) for r in got), key=str) == plain_mix(rows)
+        assert max(r["times"] for r in got) <= 3
+        copies = Counter(r["doc_id"] for r in mixing.mix_documents(frame).collect())
+        assert max(copies.values()) <= 3 and copies == Counter({r["doc_id"]: r["times"] for r in got if r["times"]})
+        con = duckdb.connect()
+        con.register("documents", frame.toPandas())
+        want = con.execute(OP9_SQL).fetchall()
+        assert sorted((r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"]) for r in got) == sorted(want)

@@ -76,7 +76,7 @@ def _prefix(rows: DataFrame, blocks: DataFrame, per: DataFrame, n: int) -> DataF
     inside = inside.withColumn("run", F.col("at_before") + F.sum("size").over(place.rowsBetween(Window.unboundedPreceding, 0)))
     inside = inside.withColumn("more", ((F.col("part") > 0) & (F.col("run") <= F.col("part"))).cast("int")).drop("run")
     outside = full.where(F.col("at").isNull() | (F.col("b") != F.col("at")))
-    outside = outside.withColumn("more", (F.col("at").isNull() | (F.col("b") < F.col("at"))).cast("int"))
+    outside = outside.withColumn("more", ((F.col("part") > 0) & (F.col("at").isNull() | (F.col("b") < F.col("at")))).cast("int"))
     return inside.unionByName(outside).drop("at", "at_before")
 
 

@@ -103,7 +103,8 @@ def _op7(spark, folder):
 
 
 # --- 9: mixing --------------------------------------------------------------------------
-OP9_SQL = r"""WITH d AS (SELECT doc_id AS k, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) AS BIGINT) AS size,
+# prefix in digest order, twice the largest document that fits, then passes over the free documents that fit until none does
+OP9_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id AS k, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) AS BIGINT) AS size,
     md5('11:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h, row_number() OVER () AS r FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY 1),
 k AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM s),
@@ -115,17 +116,18 @@ t AS (SELECT source, n, CASE WHEN capped THEN CAST(n * 3 AS DOUBLE)
     ELSE least((SELECT level FROM c WHERE NOT capped ORDER BY ratio, before LIMIT 1) * w, CAST(n * 3 AS DOUBLE)) END AS target FROM c),
 e AS (SELECT *, CASE WHEN n > 0 THEN least(CAST(floor(target / n) AS BIGINT), 3) ELSE 0 END AS whole FROM t),
 p AS (SELECT *, greatest(0, CAST(round(target - whole * n) AS BIGINT)) AS part FROM e),
-a AS (SELECT d.*, p.n, p.target, p.whole, p.part, sum(d.size) OVER (PARTITION BY d.source ORDER BY h, k, d.size, r ROWS UNBOUNDED PRECEDING) AS run
-    FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-b AS (SELECT *, part > 0 AND (run <= part) AS m0 FROM a),
-g1 AS (SELECT source, max(part) - coalesce(sum(size) FILTER (m0), 0) AS gap FROM b GROUP BY 1),
-f1 AS (SELECT b.source, r, row_number() OVER (PARTITION BY b.source ORDER BY size DESC, h DESC, k DESC, r DESC) AS z FROM b JOIN g1
-    ON b.source IS NOT DISTINCT FROM g1.source WHERE NOT m0 AND size > 0 AND size <= gap),
-b1 AS (SELECT b.*, m0 OR r IN (SELECT r FROM f1 WHERE z = 1) AS m1 FROM b),
-g2 AS (SELECT source, max(part) - coalesce(sum(size) FILTER (m1), 0) AS gap FROM b1 GROUP BY 1),
-f2 AS (SELECT b1.source, r, row_number() OVER (PARTITION BY b1.source ORDER BY size DESC, h DESC, k DESC, r DESC) AS z FROM b1 JOIN g2
-    ON b1.source IS NOT DISTINCT FROM g2.source WHERE NOT m1 AND size > 0 AND size <= gap)
-SELECT k AS doc_id, size, n AS source_size, target, CAST(size * (whole + CASE WHEN m1 OR r IN (SELECT r FROM f2 WHERE z = 1) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM b1"""
+a AS (SELECT d.k, d.source, d.size, d.h, d.r, p.n, p.target, p.whole, p.part, CAST(row_number() OVER (PARTITION BY d.source ORDER BY h, k, d.size, r) AS BIGINT) AS o,
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY h, k, d.size, r ROWS UNBOUNDED PRECEDING) AS run FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+b0 AS (SELECT *, part > 0 AND run <= part AS m FROM a),
+g0 AS (SELECT *, part - coalesce(sum(size) FILTER (m) OVER (PARTITION BY source), 0) AS gap FROM b0),
+b1 AS (SELECT * REPLACE (m OR (gap >= size AND size > 0 AND row_number() OVER (PARTITION BY source, m, size > 0 AND size <= gap ORDER BY size DESC, o DESC) = 1) AS m) FROM g0),
+g1 AS (SELECT * REPLACE (part - coalesce(sum(size) FILTER (m) OVER (PARTITION BY source), 0) AS gap) FROM b1),
+b2 AS (SELECT * REPLACE (m OR (gap >= size AND size > 0 AND row_number() OVER (PARTITION BY source, m, size > 0 AND size <= gap ORDER BY size DESC, o DESC) = 1) AS m) FROM g1),
+g2 AS (SELECT * REPLACE (CAST(part - coalesce(sum(size) FILTER (m) OVER (PARTITION BY source), 0) AS BIGINT) AS gap) FROM b2),
+y AS (SELECT source, r, size, o, gap, FALSE AS now FROM g2 WHERE NOT m AND size > 0
+    UNION ALL SELECT source, r, size, o, gap, sum(size) OVER (PARTITION BY source ORDER BY o ROWS UNBOUNDED PRECEDING) <= gap
+    FROM (SELECT source, r, size, o, now, CAST(gap - coalesce(sum(size) FILTER (now) OVER (PARTITION BY source), 0) AS BIGINT) AS gap FROM y) AS z WHERE NOT now AND size <= gap)
+SELECT k AS doc_id, size, n AS source_size, target, CAST(size * (whole + CASE WHEN m OR r IN (SELECT r FROM y WHERE now) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM g2"""
 
 
 @_query("op9_mixing", OP9_SQL)
@@ -205,8 +207,10 @@ d AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role
     CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM b, range(2) AS t(copy) WHERE fate <> 0 AND (copy = 0 OR fate = 3)),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
 f AS (SELECT *, left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
-    NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
-    NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut FROM o),
+    NOT regexp_matches(text, '[^ 	-
+]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS cut FROM o),
 c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
     count(*) FILTER (cut AND NOT again AND NOT blank) AS truncated, count(*) FILTER (before || ini NOT IN ('su', 'ua', 'au')) AS illegal,
     list({'ini': ini, 'gone': blank OR again, 'cut': CAST(cut AS INTEGER), 'role': role, 'text': text} ORDER BY i) AS said FROM f GROUP BY 1),
