@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,58 +9,102 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 
-MOST_QUERIES = 2_000
+BLOCK = 1024  # queries of a block
+ROWS = 4096  # stored vectors of a block
+SENT = 8  # query blocks that are broadcast; the others meet the vectors by a join
+CELLS = 256
+
+
+def _kind(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
+
+
+def _packed(rows: DataFrame, key: str, vec: str) -> DataFrame:
+    """Blocks of vectors: names, the matrix as bytes and its width. Vectors that are null are left out."""
+
+    def pack(batches):
+        for pdf in batches:
+            pdf = pdf[pdf[vec].notna()]
+            for i in range(0, len(pdf), ROWS):
+                part = pdf.iloc[i : i + ROWS]
+                m = np.stack([np.asarray(v, dtype=float) for v in part[vec]])
+                yield pd.DataFrame({"names": [part[key].to_numpy()], "stored": [m.tobytes()], "width": [m.shape[1]]})
+
+    return rows.select(key, vec).mapInPandas(pack, f"names array<{_kind(rows, key)}>, stored binary, width int")
+
+
+def _query_blocks(queries: DataFrame, key: str, vec: str) -> tuple[DataFrame, Column]:
+    """Query blocks (g, ids, points) of some ``BLOCK`` queries by a hash of their key, and the number of blocks. Both are
+    part of the plan: nothing is counted or collected before it runs."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.lit(1.0) * queries.agg(F.count(F.lit(1))).scalar() / BLOCK)).cast("int")
+    dealt = queries.select(F.col(key).alias("id"), F.col(vec).alias("vec")).withColumn("g", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    held = dealt.where("vec is not null").groupBy("g").agg(F.sort_array(F.collect_list(F.struct("id", "vec"))).alias("qs"))
+    held = held.select("g", F.col("qs.id").alias("ids"), F.col("qs.vec").alias("vecs"))
+
+    def pack(batches):
+        for pdf in batches:
+            m = [np.stack([np.asarray(v, dtype=float) for v in vs]) for vs in pdf["vecs"]]
+            yield pd.DataFrame({"g": pdf["g"], "ids": pdf["ids"], "points": [x.tobytes() for x in m]})
+
+    return held.mapInPandas(pack, f"g int, ids array<{_kind(queries, key)}>, points binary"), blocks
+
+
+def _distances(stored: np.ndarray, points: np.ndarray, metric: str) -> np.ndarray:
+    """Distance of the vectors in the same row."""
+    if metric == "l2":
+        return ((stored - points) ** 2).sum(axis=1)
+    norm = np.linalg.norm(stored, axis=1) * np.linalg.norm(points, axis=1)
+    return 1 - (stored * points).sum(axis=1) / np.where(norm == 0, np.nan, norm)
 
 
-def _distances(batch: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+def _best_of(names: np.ndarray, stored: np.ndarray, ids: np.ndarray, points: np.ndarray, k: int, metric: str) -> pd.DataFrame:
+    """The k nearest of one block for each of its queries. A matrix product finds all that can be among them within its
+    rounding error; their distances are then taken from the differences."""
+    product = stored @ points.T
+    a, b = (stored**2).sum(axis=1), (points**2).sum(axis=1)
     if metric == "l2":
-        return ((batch - q) ** 2).sum(axis=1)
-    norm = np.linalg.norm(batch, axis=1) * np.linalg.norm(q)
-    return 1 - (batch * q).sum(axis=1) / np.where(norm == 0, np.nan, norm)
+        rough = a[:, None] + b[None, :] - 2 * product
+        slack = 1e-12 * (a.max() + b)
+    else:
+        norm = np.sqrt(a[:, None] * b[None, :])
+        rough = np.where(norm == 0, np.inf, 1 - product / np.where(norm == 0, 1, norm))
+        slack = np.full(len(b), 1e-12)
+    if len(stored) > k:
+        rows, cols = np.nonzero(rough <= np.partition(rough, k - 1, axis=0)[k - 1] + slack)
+    else:
+        rows, cols = np.divmod(np.arange(rough.size), len(points))
+    found = pd.DataFrame({"q": cols, "d": _distances(stored[rows], points[cols], metric), "n": names[rows]})
+    found = found.sort_values(["q", "d", "n"], kind="stable")
+    found = found[found.groupby("q").cumcount() < k]
+    return pd.DataFrame({"q": ids[found["q"].to_numpy()], "n": found["n"].to_numpy(), "d": found["d"].to_numpy()})
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", key: str = "vec_id",
             vec: str = "embedding", query_key: str = "query_id", query_vec: str = "query") -> DataFrame:
     """The k nearest stored vectors per query: query_id, key, distance, rank.
 
-    Every task scans its vectors once, keeps k candidates per query and sends only
-    those. The queries are counted first: up to ``MOST_QUERIES`` go to the tasks
-    with the function, more are taken in that many per pass by a hash of their key.
-    Squared Euclidean distance by default.
+    Vectors are packed into blocks where they are read, queries into blocks by a hash of their key. Every pair of blocks
+    is one matrix product, which keeps k candidates per query; only those are shuffled. The first ``SENT`` query
+    blocks are broadcast, so that the vectors are scanned once and not moved; further ones meet them in
+    cells of a shuffled grid. Squared Euclidean distance by default.
     """
-    passes = max(1, math.ceil(queries.count() / MOST_QUERIES))
-    out = None
-    for i in range(passes):
-        part = queries if passes == 1 else queries.where(F.pmod(F.xxhash64(query_key), F.lit(passes)) == i)
-        got = _nearest_pass(vectors, part.select(query_key, query_vec).collect(), k, metric, key, vec, query_key,
-                            queries.schema[query_key].dataType.simpleString())
-        out = got if out is None else out.unionByName(got)
-    w = Window.partitionBy(query_key).orderBy("distance", key)
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _nearest_pass(vectors, rows, k, metric, key, vec, query_key, query_type):
-    ids = [r[0] for r in rows]
-    points = [np.asarray(r[1], dtype=float) for r in rows]
+    schema = f"{query_key} {_kind(queries, query_key)}, {key} {_kind(vectors, key)}, distance double"
 
-    def scan(batches):
-        best = {i: (np.empty(0), np.empty(0, dtype=object)) for i in range(len(ids))}
+    def search(batches):
         for pdf in batches:
-            pdf = pdf[pdf[vec].notna()]
-            if pdf.empty:
-                continue
-            stored, names = np.stack([np.asarray(v, dtype=float) for v in pdf[vec]]), pdf[key].to_numpy()
-            for i, q in enumerate(points):
-                d = np.concatenate([best[i][0], _distances(stored, q, metric)])
-                n = np.concatenate([best[i][1], names])
-                top = np.lexsort((n, d))[:k]
-                best[i] = d[top], n[top]
-        for i, (d, n) in best.items():
-            if len(d):
-                yield pd.DataFrame({query_key: [ids[i]] * len(d), key: list(n), "distance": d})
-
-    kind = vectors.schema[key].dataType.simpleString()
-    return vectors.select(key, vec).mapInPandas(scan, f"{query_key} {query_type}, {key} {kind}, distance double")
+            for names, stored, width, ids, points in zip(pdf["names"], pdf["stored"], pdf["width"], pdf["ids"], pdf["points"]):
+                m, q = (np.frombuffer(x, dtype=float).reshape(-1, width) for x in (stored, points))
+                yield _best_of(np.asarray(names), m, np.asarray(ids), q, k, metric).set_axis([query_key, key, "distance"], axis=1)
+
+    blocks, count = _query_blocks(queries, query_key, query_vec)
+    columns = ["names", "stored", "width", "ids", "points"]
+    near = _packed(vectors, key, vec).crossJoin(F.broadcast(blocks.where(F.col("g") < SENT))).select(*columns)
+    rest = _packed(vectors.where(count > SENT), key, vec).withColumn("cell", F.pmod(F.xxhash64("stored"), F.lit(CELLS)).cast("int"))
+    rest = rest.withColumn("g", F.explode(F.sequence(F.lit(SENT), count - 1)))
+    late = blocks.where(F.col("g") >= SENT).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))))
+    found = near.unionByName(rest.join(late, ["g", "cell"]).select(*columns)).mapInPandas(search, schema)
+    w = Window.partitionBy(query_key).orderBy("distance", key)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def candidates(n: int, cap: int) -> int:

@@ -70,7 +70,13 @@ def _decayed(s, d):
 
 
 query("v04_decay_rerank", "query_id vec_id | distance original_distance | rank", dp=5, ctes=DEC, sql="SELECT query_id, vec_id, distance, original_distance, rank FROM dr")(_decayed)
-query("v05_mmr", "query_id vec_id | distance | pick", dp=5)(lambda s, d: RT.mmr(_decayed(s, d), 10, 0.5))
+# one row is picked per step from at most 20 per query: the best mix of closeness and distance from the rows picked before
+MMR = "RECURSIVE " + DEC + """, ml AS (SELECT query_id, list({'k': rank, 'v': vec_id, 'd': distance} ORDER BY rank) AS f FROM dr GROUP BY 1),
+mp AS (SELECT query_id, f, CAST([1] AS BIGINT[]) AS got FROM ml
+  UNION ALL SELECT query_id, f, list_append(got, list_sort(list_transform(list_filter(f, lambda x: NOT list_contains(got, x.k)),
+      lambda x: {'s': -(0.5 * (1 - x.d) + (1 - 0.5) * list_min(list_transform(got, lambda j: abs(x.d - f[j].d)))), 'k': x.k}))[1].k) FROM mp WHERE len(got) < least(10, len(f))),
+mx AS (SELECT query_id, f, unnest(got) AS k, unnest(range(1, len(got) + 1)) AS pick FROM mp WHERE len(got) = least(10, len(f)))"""
+query("v05_mmr", "query_id vec_id | distance | pick", dp=5, ctes=MMR, sql="SELECT query_id, f[k].v AS vec_id, f[k].d AS distance, pick FROM mx")(lambda s, d: RT.mmr(_decayed(s, d), 10, 0.5))
 
 
 def _collection(s, d):
