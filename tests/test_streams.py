@@ -10,7 +10,7 @@ from tests.test_layout import walk
 from tidemark.sources import kafka as K
 from tidemark.streaming import flows as SF
 from tidemark.streaming import rules as SR
-from tidemark.streaming.stateful import apply_stream, apply_table
+from tidemark.streaming.stateful import Rule, RuleProcessor, apply_stream, apply_table
 
 ORDER = ["time", "event_id"]
 
@@ -128,3 +128,106 @@ def test_upsert_keeps_each_day_of_a_batch(spark, tmp_path):
                                  "symbol string, time string, close double").withColumn("time", F.to_timestamp("time"))
     SF.upsert_batch(path, keys=("symbol",))(rows, 0)
     assert sorted((str(r["date"]), r["close"]) for r in spark.read.parquet(path).collect()) == [("2024-01-01", 2.0), ("2024-01-02", 3.0)]
+
+
+class Store:
+    """State of one key in memory, with the calls that the processor makes."""
+
+    def __init__(self):
+        self.maps, self.value, self.timers = {}, None, []
+
+    def getValueState(self, name, schema):
+        store = self
+
+        class Value:
+            exists = staticmethod(lambda: store.value is not None)
+            get = staticmethod(lambda: store.value)
+
+            def update(self, v):
+                store.value = v
+
+        return Value()
+
+    def getMapState(self, name, key, value):
+        held = self.maps.setdefault(name, {})
+
+        class Map:
+            keys = staticmethod(lambda: iter(list(held)))
+            containsKey = staticmethod(lambda k: k in held)
+            getValue = staticmethod(lambda k: held[k])
+            removeKey = staticmethod(lambda k: held.pop(k))
+            updateValue = staticmethod(lambda k, v: held.__setitem__(k, v))
+
+        return Map()
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+def in_order():
+    """Emits a row's number if it is not older than all before."""
+    return Rule(lambda: [0, -1.0], lambda s, t: ([s[0] + 1, max(s[1], float(t))], (s[0] + 1, float(t) >= s[1])), ("epoch",), (("number", "long"), ("ordered", "boolean")))
+
+
+def shuffled(n, seed=3, size=10_000, days=10):
+    at = pd.Series(range(n)) * (days * 86400 / n)
+    pdf = pd.DataFrame({"event_id": range(n), "symbol": "HOT", "epoch": at, "time": pd.Timestamp("2024-01-01") + pd.to_timedelta(at, unit="s")})
+    pdf = pdf.sample(frac=1, random_state=seed)
+    return [pdf.iloc[i : i + size] for i in range(0, n, size)]
+
+
+def test_a_million_rows_of_a_key_in_bounded_memory(monkeypatch):
+    seen = []
+    plain = RuleProcessor._run
+    monkeypatch.setattr(RuleProcessor, "_run", lambda self, pdf: seen.append(len(pdf)) or plain(self, pdf))
+    p, store = RuleProcessor(in_order(), ["event_id"], ORDER), Store()
+    p.init(store)
+    out = pd.concat(p.handleInputRows("HOT", iter(shuffled(1_000_000)), None))
+    assert len(out) == 1_000_000 and out["ordered"].all() and list(out["event_id"]) == list(range(1_000_000))
+    assert max(seen) <= 5_000 and not store.maps["held"] and not store.maps["runs"]
+
+
+def test_timed_rows_wait_for_the_watermark():
+    p, store = RuleProcessor(in_order(), ["event_id"], ORDER, timed=True), Store()
+    p.init(store)
+    first, *rest = shuffled(60_000, size=20_000, days=5)
+    assert list(p.handleInputRows("HOT", iter([first]), None)) == [] and len(store.timers) == 120
+
+    class Mark:
+        def __init__(self, hours):
+            self.ms = (1704067200 + hours * 3600) * 1000
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    early = pd.concat(p.handleExpiredTimer("HOT", Mark(10), None))
+    assert (early["event_id"] < 5_000).all()
+    assert list(p.handleExpiredTimer("HOT", Mark(10), None)) == []
+    later = [x[x["epoch"] >= 36_000] for x in rest]  # what is older would be dropped before it gets here
+    assert list(p.handleInputRows("HOT", iter(later), None)) == []
+    done = pd.concat(p.handleExpiredTimer("HOT", Mark(120), None))
+    assert done["ordered"].all() and list(done["event_id"]) == list(range(5_000, 60_000)) and not store.maps["held"]
+
+
+def test_hot_key_in_a_stream(spark, tmp_path):
+    """One key with 300,000 rows in one micro-batch, out of order."""
+    whole = pd.concat(shuffled(300_000))
+    spark.createDataFrame(whole).coalesce(1).write.parquet(f"{tmp_path}/in")
+    frame = table(spark, f"{tmp_path}/in")
+    got = SF.replay(apply_stream(SF.file_stream(spark, f"{tmp_path}/in", frame.schema), in_order(), ["symbol"], ["event_id"], ORDER))
+    row = got.agg(F.count("*").alias("n"), F.min("ordered").alias("ordered"), F.max(F.abs(F.col("number") - 1 - F.col("event_id"))).alias("off")).first()
+    assert row["n"] == 300_000 and row["ordered"] and row["off"] == 0
+
+
+def test_late_rows_find_their_place(spark, events):
+    """A third of the rows comes one part late; with a delay the stream still equals the table."""
+    t = table(spark, events).select("event_id", "symbol", "time", "price", "score", "epoch")
+    for rule in (SR.price_features(), SR.sentiment_ewma()):
+        come = SF.arrivals(t, F.col("epoch"), late=F.col("event_id") % 3 == 0, by=5 * 3600.0)
+        stream_ = SF.file_stream(spark, come.folder, t.schema)
+        got = SF.replay(apply_stream(stream_, rule, ["symbol"], ["event_id", "symbol"], ORDER, delay="2 days"), come=come)
+        newest = t.agg(F.max("epoch")).first()[0]
+        upto = (newest - 2 * 86400) // 3600 * 3600
+        want = apply_table(t, rule, ["symbol"], ["event_id", "symbol"], ORDER).join(t.where(F.col("epoch") < upto).select("event_id"), "event_id")
+        equal(got, want.select(got.columns), ["event_id"])
+        assert got.count() > 50

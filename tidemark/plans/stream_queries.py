@@ -62,6 +62,9 @@ both(
     "SELECT event_id, symbol, pow(0.95, k) * sum(score * CASE WHEN k = 0 THEN 1 ELSE 0.05 END * pow(0.95, -k)) OVER (PARTITION BY symbol ORDER BY k) AS current_sentiment, k + 1 AS message_count FROM sc",
     ctes=SC,
 )
+query("r02_sentiment_ewma_late_stream", "event_id symbol | current_sentiment | message_count", ctes=SC,
+      sql="SELECT event_id, symbol, pow(0.95, k) * sum(score * CASE WHEN k = 0 THEN 1 ELSE 0.05 END * pow(0.95, -k)) OVER (PARTITION BY symbol ORDER BY k) AS current_sentiment, k + 1 AS message_count FROM sc QUALIFY time < date_trunc('hour', (SELECT max(time) FROM sc) - INTERVAL 3 HOURS)")(
+    lambda s, d: played(s, d, lambda x: apply_stream(_ticks(x), SR.sentiment_ewma(), ["symbol"], ["event_id", "symbol"], ORDER, delay="3 hours"), "r02l", late=True))
 COOL = """RECURSIVE ev AS (SELECT event_id, event_type AS symbol, epoch_us(CAST(ts AS TIMESTAMP)) / CAST(1000000 AS DOUBLE) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events),
 cd AS (SELECT event_id, symbol, k, t AS last, true AS fired FROM ev WHERE k = 1
   UNION ALL SELECT e.event_id, e.symbol, e.k, CASE WHEN e.t - c.last < 10800 THEN c.last ELSE e.t END, e.t - c.last >= 10800 FROM cd c JOIN ev e ON e.symbol = c.symbol AND e.k = c.k + 1)"""

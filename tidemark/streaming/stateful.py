@@ -7,6 +7,7 @@ outputs)``; outputs of None emit nothing. The state must survive JSON.
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -27,18 +28,78 @@ class Rule:
     outputs: tuple[tuple[str, str], ...]
 
 
+CHUNK = 50_000  # rows of a key that are held in memory before they go to the state store
+
+
 class RuleProcessor(StatefulProcessor):
-    """Applies a rule per key. A micro-batch's rows of one key are sorted first;
-    their number is bounded by the source's rows-per-trigger setting."""
+    """Applies a rule per key, in order of time.
 
-    def __init__(self, rule: Rule, keep: Sequence[str], order: Sequence[str]):
+    Rows come in runs that know no order. Up to ``chunk`` of them are sorted in memory; beyond that they go to the state
+    store by ``grain`` of time, and are taken from it one grain after the other. So a key may have any number of rows
+    in a micro-batch; those of one grain must fit into memory. With ``timed`` every row waits for the watermark to
+    pass its grain, and late rows find their place.
+    """
+
+    def __init__(self, rule: Rule, keep: Sequence[str], order: Sequence[str], grain: float = 3600.0, timed: bool = False, chunk: int = CHUNK):
         self.rule, self.keep, self.order = rule, list(keep), list(order)
+        self.grain, self.timed, self.chunk = int(grain * 1000), timed, chunk
 
     def init(self, handle):
+        self.handle = handle
         self.state = handle.getValueState("state", "body string")
+        self.runs = handle.getMapState("runs", "grain long", "n long")
+        self.held = handle.getMapState("held", "grain long, run long", "body binary")
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows)).sort_values(self.order, kind="mergesort")
+        waiting, n = [], 0
+        for pdf in rows:
+            if not len(pdf):
+                continue
+            waiting.append(pdf)
+            n += len(pdf)
+            if self.timed or n > self.chunk:
+                self._hold(waiting)
+                waiting, n = [], 0
+        if self.timed:
+            return
+        if any(True for _ in self.runs.keys()):
+            if waiting:
+                self._hold(waiting)
+            yield from self._drain(None)
+        elif waiting:
+            got = self._run(pd.concat(waiting))
+            if len(got):
+                yield got
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from self._drain(timerValues.getCurrentWatermarkInMs())
+
+    def _hold(self, frames):
+        pdf = pd.concat(frames)
+        stamp = pd.to_datetime(pdf[self.order[0]])
+        stamp = (stamp.dt.tz_localize(None) if stamp.dt.tz is not None else stamp).to_numpy().astype("datetime64[ms]").astype("int64")
+        for grain, part in pdf.groupby(stamp // self.grain):
+            grain = int(grain)
+            run = self.runs.getValue((grain,))[0] if self.runs.containsKey((grain,)) else 0
+            if run == 0 and self.timed:
+                self.handle.registerTimer((grain + 1) * self.grain)
+            self.held.updateValue((grain, run), (pickle.dumps(part, protocol=5),))
+            self.runs.updateValue((grain,), (run + 1,))
+
+    def _drain(self, upto):
+        ready = sorted(g for (g,) in self.runs.keys() if upto is None or (g + 1) * self.grain <= upto)
+        for grain in ready:
+            n = self.runs.getValue((grain,))[0]
+            rows = pd.concat([pickle.loads(bytes(self.held.getValue((grain, i))[0])) for i in range(n)])
+            got = self._run(rows)
+            if len(got):
+                yield got
+            for i in range(n):
+                self.held.removeKey((grain, i))
+            self.runs.removeKey((grain,))
+
+    def _run(self, pdf):
+        pdf = pdf.sort_values(self.order, kind="mergesort")
         state = json.loads(self.state.get()[0]) if self.state.exists() else self.rule.make_state()
         emitted, made = [], []
         for i, vals in enumerate(zip(*[pdf[c] for c in self.rule.inputs])):
@@ -48,9 +109,10 @@ class RuleProcessor(StatefulProcessor):
                 made.append(out)
         self.state.update((json.dumps(state),))
         got = pdf.iloc[emitted][self.keep].reset_index(drop=True)
+        got = got.astype({c: object for c in got if pd.api.types.is_string_dtype(got[c])})  # rows from the store come in several Arrow chunks
         for j, (name, _) in enumerate(self.rule.outputs):
             got[name] = [m[j] for m in made]
-        yield got
+        return got
 
     def close(self):
         pass
@@ -61,10 +123,17 @@ def _schema(df: DataFrame, keep, rule: Rule) -> T.StructType:
         T.StructField(n, T._parse_datatype_string(t)) for n, t in rule.outputs])
 
 
-def apply_stream(df: DataFrame, rule: Rule, by: Sequence[str], keep: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The rule as a stateful stream operator (needs the RocksDB state store)."""
+def apply_stream(df: DataFrame, rule: Rule, by: Sequence[str], keep: Sequence[str], order: Sequence[str],
+                 delay: str | None = None, grain: float = 3600.0) -> DataFrame:
+    """The rule as a stateful stream operator (needs the RocksDB state store).
+
+    Without ``delay`` rows count when they arrive, in order inside a micro-batch. With it they count in order of time
+    (the first of ``order``, a timestamp) once the watermark has passed their ``grain`` seconds, whenever they arrived before.
+    """
+    if delay is not None:
+        df = df.withWatermark(order[0], delay)
     return df.groupBy(*by).transformWithStateInPandas(
-        RuleProcessor(rule, keep, order), _schema(df, keep, rule), "Append", "None")
+        RuleProcessor(rule, keep, order, grain, delay is not None), _schema(df, keep, rule), "Append", "None" if delay is None else "EventTime")
 
 
 def apply_table(df: DataFrame, rule: Rule, by: Sequence[str], keep: Sequence[str], order: Sequence[str],
