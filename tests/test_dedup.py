@@ -51,8 +51,33 @@ def titles():
     return out
 
 
-@pytest.mark.parametrize("most", [2, 1000])
-def test_greedy_is_exact(spark, titles, most):
+@pytest.mark.parametrize("block", [2, 512])
+def test_greedy_is_exact(spark, titles, block):
     df = spark.createDataFrame(list(enumerate(titles)), "doc_id long, title string")
-    got = sorted(r["doc_id"] for r in DD.tfidf_dedup(df, most=most).collect())
+    got = sorted(r["doc_id"] for r in DD.tfidf_dedup(df, block=block).collect())
     assert got == brute(titles)
+
+
+def crowd(n):
+    """n unlike titles that share a term heavy enough for their index, and a tenth as many near copies of one title."""
+    rows = ["common " * 16 + f"own{i}" for i in range(n)]
+    return rows + ["alpha beta gamma delta epsilon zeta eta theta iota kappa lambda " + ("sigma" if i % 2 else "omega") for i in range(n // 10)]
+
+
+def test_crowded_term_of_unlike_titles(spark):
+    jobs = {}
+    for n in (200, 5000):
+        rows = crowd(n)
+        df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, title string").repartition(8)
+        spark.sparkContext.setJobGroup(f"crowd-{n}", "titles")
+        got = sorted(r["doc_id"] for r in DD.tfidf_dedup(df, block=256).collect())
+        jobs[n] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"crowd-{n}"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert got == (brute(rows) if n == 200 else [*range(n), n])
+    assert jobs[5000] <= jobs[200] + 10
+
+
+def test_ids_need_not_be_numbers(spark, titles):
+    names = [f"t{i:04d}" for i in range(len(titles))]
+    df = spark.createDataFrame(list(zip(names, titles)), "doc_id string, title string")
+    assert sorted(r["doc_id"] for r in DD.tfidf_dedup(df).collect()) == [names[i] for i in brute(titles)]

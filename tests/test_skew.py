@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_layout import same, walk
+from tidemark import series as S
 from tidemark.functions import stats as ST
 from tidemark.operators import factors as FA
 from tidemark.operators import features as FE
@@ -136,3 +137,28 @@ def test_pair_correlation_matches_pandas(spark, kw):
     for (a, b), r in got.items():
         assert a < b and r["n"] == int((wide[a].notna() & wide[b].notna()).sum())
         assert r["correlation"] is None if "E" in (a, b) else abs(r["correlation"] - want.loc[a, b]) < 1e-9
+
+
+def test_a_rule_that_forgets_nothing(spark, tmp_path):
+    """Every block's true entry state differs from its guess: runs of a block stay bounded, rows are written once."""
+    n, block = 4000, 100
+    frame = spark.createDataFrame([("HOT", i, (i * 7919) % 101) for i in range(n)] + [(None, i, i) for i in range(500)], "symbol string, time long, x long").repartition(6)
+    log = str(tmp_path / "runs")
+
+    def step(state, x):
+        state = [(state[0] * 31 + int(x)) % 1_000_003, state[1] + 1]
+        if state[1] % block == 1:
+            with open(log, "a") as f:
+                f.write(f"{state[1]}\n")
+        return state, (state[0],)
+
+    got = S.scan(frame, ["symbol"], ["time"], lambda: [1, 0], step, ["x"], [("code", "long")], warm=10, block_rows=block)
+    want, state = {}, {"HOT": [1, 0], None: [1, 0]}
+    for k, xs in (("HOT", [(i * 7919) % 101 for i in range(n)]), (None, range(500))):
+        c = 1
+        for i, x in enumerate(xs):
+            c = (c * 31 + x) % 1_000_003
+            want[k, i] = c
+    assert {(r["symbol"], r["time"]): r["code"] for r in got.collect()} == want and got.count() == len(want)
+    # for each block a first run (and its warm rows), at most two guesses, one sure run and the two writes above
+    assert sum(1 for _ in open(log)) <= 7 * (n + 500) // block

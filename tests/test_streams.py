@@ -1,6 +1,7 @@
 """Streams over several micro-batches give the rows of the table version."""
 
 import uuid
+from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
@@ -231,3 +232,20 @@ def test_late_rows_find_their_place(spark, events):
         want = apply_table(t, rule, ["symbol"], ["event_id", "symbol"], ORDER).join(t.where(F.col("epoch") < upto).select("event_id"), "event_id")
         equal(got, want.select(got.columns), ["event_id"])
         assert got.count() > 50
+
+
+@pytest.mark.parametrize("seconds", [0, 1, 300, 3600, 10800])
+def test_cooldown_by_jumps(spark, seconds):
+    import random
+
+    rng = random.Random(seconds)
+    rows = [(i, k, datetime(2024, 1, 1) + timedelta(microseconds=rng.randrange(3_000) * 10_000_000 + rng.choice([0, 0, 1]))) for i in range(900) for k in [rng.choice(["HOT"] * 8 + ["B", None])]]
+    frame = spark.createDataFrame(rows, "event_id long, symbol string, time timestamp").withColumn("alert_type", F.lit("x")).repartition(5)
+    got = SR.cooldown_table(SR.with_periods(frame, {"x": seconds}), ["symbol", "alert_type"])
+    want, last = set(), {}
+    for i, k, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        if k not in last or t - last[k] >= timedelta(seconds=seconds):
+            last[k] = t
+            want.add(i)
+    assert sorted(r["event_id"] for r in got.collect()) == sorted(want)
+    assert SR.cooldown_table(SR.with_periods(frame.limit(0), {"x": 5}), ["symbol"]).count() == 0

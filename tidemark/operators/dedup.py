@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidemark.session import cut_lineage
 
@@ -62,44 +65,74 @@ def tfidf_vectors(df: DataFrame, order: str, text: str, stop_words=tuple(STOP_WO
 
 
 def _index(weights: DataFrame, threshold: float) -> DataFrame:
-    """The rare terms of each vector: two vectors above the threshold share one of these.
+    """The rare terms of each vector with the squared norm that is left from each one on.
 
     Terms are ordered rarest first; once the remaining terms have a norm below the
-    threshold they cannot reach it alone.
+    threshold they cannot reach it alone. So two vectors above the threshold have their first
+    common term in both indexes, and the norms left there, multiplied, reach it too.
     """
     w = Window.partitionBy("lead").orderBy("df", "term")
     before = F.coalesce(F.sum(F.col("w") * F.col("w")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = 1 - before
-    return weights.withColumn("_rest", rest).where(F.col("_rest") >= threshold * threshold - 1e-9).select("term", "lead")
-
-
-def _similar(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose cosine exceeds the threshold."""
-    left = vectors.select(F.col("lead").alias("a"), F.col("vec").alias("_va"))
-    right = vectors.select(F.col("lead").alias("b"), F.col("vec").alias("_vb"))
-    dot = F.aggregate(
-        F.map_entries("_va"), F.lit(0.0),
-        lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at("_vb", e["key"]), F.lit(0.0)))
-    return pairs.join(left, "a").join(right, "b").where(dot > threshold).select("a", "b")
-
-
-def _decide_by_leaders(index, vectors, threshold, most):
-    """Rounds for crowded index terms: the first text of all its terms is kept and
-    removes its similar texts. Each term compares against at most one leader per
-    round, so no group is paired with itself. Ends when no term holds over ``most``."""
-    kept = []
-    while True:
-        sizes = index.groupBy("term").agg(F.min("lead").alias("first"), F.count(F.lit(1)).alias("n"))
-        if (sizes.agg(F.max("n")).first()[0] or 0) <= most:
-            return kept, index
-        placed = cut_lineage(index.join(sizes.select("term", "first"), "term"))
-        leaders = cut_lineage(
-            placed.groupBy("lead").agg(F.min(F.col("lead") == F.col("first")).alias("_all")).where("_all").select("lead"))
-        near = placed.join(leaders.withColumnRenamed("lead", "first"), "first", "left_semi").where("lead <> first")
-        gone = _similar(near.select(F.col("first").alias("a"), F.col("lead").alias("b")).distinct(), vectors, threshold)
-        done = leaders.union(gone.select(F.col("b").alias("lead"))).distinct()
-        index = cut_lineage(index.join(done, "lead", "left_anti"))
-        kept.append(leaders)
+    return weights.withColumn("rest", 1 - before).where(F.col("rest") >= threshold * threshold - 1e-9).select("term", "lead", "rest")
+
+
+@F.pandas_udf(DoubleType())
+def _dot(ta: pd.Series, wa: pd.Series, tb: pd.Series, wb: pd.Series) -> pd.Series:
+    out = []
+    for xs, us, ys, vs in zip(ta, wa, tb, wb):
+        held = dict(zip(ys, vs))
+        out.append(sum(u * held.get(x, 0.0) for x, u in zip(xs, us)))
+    return pd.Series(out, dtype=float)
+
+
+def _first_of_all(index: DataFrame, vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Texts that come first in all their index terms: nothing before them is similar, so they are kept. Returned with
+    what they remove; each text is compared with one of them per index term, so a group of near copies costs its size."""
+    sizes = index.groupBy("term").agg(F.min("lead").alias("first"))
+    placed = cut_lineage(index.select("term", "lead").join(sizes, "term"))
+    leaders = cut_lineage(placed.groupBy("lead").agg(F.min(F.col("lead") == F.col("first")).alias("_all")).where("_all").select("lead"))
+    near = placed.join(leaders.withColumnRenamed("lead", "first"), "first", "left_semi").where("lead <> first")
+    near = near.select(F.col("first").alias("a"), F.col("lead").alias("b")).distinct()
+    left = vectors.select(F.col("lead").alias("a"), F.col("terms").alias("_ta"), F.col("ws").alias("_wa"))
+    right = vectors.select(F.col("lead").alias("b"), F.col("terms").alias("_tb"), F.col("ws").alias("_wb"))
+    gone = near.join(left, "a").join(right, "b").where(_dot("_ta", "_wa", "_tb", "_wb") > threshold)
+    return leaders, cut_lineage(gone.select(F.col("b").alias("lead")).distinct())
+
+
+def _run_edges(lead: np.ndarray, rest: np.ndarray, side: np.ndarray, terms: list, ws: list, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Similar pairs of a run: between its two blocks, or within its only one."""
+    ids, _ = pd.factorize(np.concatenate([np.asarray(t, dtype=object) for t in terms]))
+    owner = np.repeat(np.arange(len(lead)), [len(t) for t in terms])
+    shared = np.bincount(ids) > 1  # a term of one vector adds to no product
+    column = np.cumsum(shared) - 1
+    held = shared[ids]
+    m = np.zeros((len(lead), int(shared.sum())))
+    m[owner[held], column[ids[held]]] = np.concatenate([np.asarray(w, dtype=float) for w in ws])[held]
+    x = np.flatnonzero(side == 0)
+    y = np.flatnonzero(side == 1) if (side == 1).any() else x
+    like = (m[x] @ m[y].T > threshold) & (rest[x][:, None] * rest[y][None, :] > threshold * threshold - 1e-9)
+    i, j = np.nonzero(like)
+    u, v = lead[x[i]], lead[y[j]]
+    keep = u < v if y is x else u != v
+    return np.minimum(u, v)[keep], np.maximum(u, v)[keep]
+
+
+def _edges(index: DataFrame, vectors: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(a, b) of all similar pairs. The texts of a term are cut into blocks by a salt and every pair of blocks is a run of
+    its own; candidate pairs are compared by a matrix product inside a run and never become rows."""
+    sizes = index.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("g"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    placed = index.join(sizes.drop("n"), "term").withColumn("i", F.pmod(F.xxhash64("lead"), F.col("g")).cast("int"))
+    dealt = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    runs = dealt.select("term", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), (F.col("i") > F.col("j")).cast("int").alias("side"), "lead", "rest")
+    runs = runs.join(vectors, "lead")
+    kind = vectors.schema["lead"].dataType.simpleString()
+
+    def compare(key, pdf):
+        lead = pdf["lead"].to_numpy()
+        a, b = _run_edges(lead, pdf["rest"].to_numpy(), pdf["side"].to_numpy(), list(pdf["terms"]), list(pdf["ws"]), threshold)
+        return pd.DataFrame({"a": a, "b": b})
+
+    return runs.groupBy("term", "lo", "hi").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
 
 
 def _decide_by_edges(nodes, edges):
@@ -120,24 +153,21 @@ def _decide_by_edges(nodes, edges):
 
 
 def tfidf_dedup(df: DataFrame, order: str = "doc_id", text: str = "title", threshold: float = 0.8,
-                stop_words=tuple(STOP_WORDS), most: int = 200) -> DataFrame:
+                stop_words=tuple(STOP_WORDS), block: int = 512) -> DataFrame:
     """Rows kept by scanning in order and dropping what is similar to a kept row.
 
     Exact: same result as the scan over the full similarity matrix. Texts without
-    terms are similar to nothing and all stay.
+    terms are similar to nothing and all stay. A run of the similarity join has two blocks of
+    some ``block`` texts; a fixed number of jobs finds all similar pairs.
     """
     groups, weights = tfidf_vectors(df, order, text, stop_words)
     weights = cut_lineage(weights)
-    vectors = cut_lineage(weights.groupBy("lead").agg(
-        F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("vec")))
+    held = F.sort_array(F.collect_list(F.struct("term", "w")))
+    vectors = cut_lineage(weights.groupBy("lead").agg(held.alias("v")).select("lead", F.col("v.term").alias("terms"), F.col("v.w").alias("ws")))
     index = cut_lineage(_index(weights, threshold))
-    kept, index = _decide_by_leaders(index, vectors, threshold, most)
-    pairs = (
-        index.withColumnRenamed("lead", "a").join(index.withColumnRenamed("lead", "b"), "term")
-        .where("a < b").select("a", "b").distinct()
-    )
-    edges = _similar(pairs, vectors, threshold)
-    kept += _decide_by_edges(index.select("lead").distinct(), edges)
+    leaders, gone = _first_of_all(index, vectors, threshold)
+    open_ = cut_lineage(index.join(leaders.union(gone), "lead", "left_anti"))
+    kept = [leaders, *_decide_by_edges(open_.select("lead").distinct(), _edges(open_, vectors, threshold, block))]
     out = kept[0]
     for k in kept[1:]:
         out = out.union(k)

@@ -74,6 +74,32 @@ both(
     lambda s, d: _ruled(s, d, SR.cooldown(10800), "symbol", "r05"),
     "SELECT event_id, symbol, fired FROM cd WHERE fired", ctes=COOL,
 )
+# the periods of price rules (60 minutes), divergence (180 minutes) and of the service monitor (300 seconds)
+PERIODS = {A.BREAKOUT: 60.0 * A.COOLDOWN_MINUTES[A.BREAKOUT], A.DIVERGENCE: 60.0 * A.COOLDOWN_MINUTES[A.DIVERGENCE], "Monitor": 300.0}
+
+
+def _raised(df):
+    """Alerts of three rule types on the events of each symbol."""
+    v = F.col("value")
+    kinds = F.array(F.when(v >= 30, A.BREAKOUT), F.when(v >= 10, A.DIVERGENCE), F.lit("Monitor"))
+    raised = df.select("event_id", F.col("event_type").alias("symbol"), F.col("ts").alias("time"), F.explode(F.array_compact(kinds)).alias("alert_type"))
+    return SR.with_periods(raised, PERIODS)
+
+
+BY_RULE = ["symbol", "alert_type"]
+COOLED = """RECURSIVE al AS (SELECT event_id, event_type AS symbol, epoch_us(CAST(ts AS TIMESTAMP)) AS t, 'PriceBreakoutRule' AS alert_type, 3600000000 AS p, ts FROM events WHERE value >= 30
+  UNION ALL SELECT event_id, event_type, epoch_us(CAST(ts AS TIMESTAMP)), 'CorrelationDivergenceRule', 10800000000, ts FROM events WHERE value >= 10
+  UNION ALL SELECT event_id, event_type, epoch_us(CAST(ts AS TIMESTAMP)), 'Monitor', 300000000, ts FROM events),
+ak AS (SELECT *, row_number() OVER (PARTITION BY symbol, alert_type ORDER BY ts, event_id) AS k FROM al),
+ac AS (SELECT event_id, symbol, alert_type, k, t AS last, true AS fired FROM ak WHERE k = 1
+  UNION ALL SELECT e.event_id, e.symbol, e.alert_type, e.k, CASE WHEN e.t - c.last < e.p THEN c.last ELSE e.t END, e.t - c.last >= e.p
+  FROM ac c JOIN ak e ON e.symbol = c.symbol AND e.alert_type = c.alert_type AND e.k = c.k + 1)"""
+both(
+    "r05_cooldown_by_rule", "event_id symbol alert_type fired",
+    lambda s, d: SR.cooldown_table(_raised(V.table(s, d, "events")), BY_RULE, ORDER),
+    lambda s, d: played(s, d, lambda x: apply_stream(_raised(x), SR.cooldown_by_period(), BY_RULE, ["event_id", *BY_RULE], ORDER), "r05r"),
+    "SELECT event_id, symbol, alert_type, fired FROM ac WHERE fired", ctes=COOLED,
+)
 RATE = """RECURSIVE rv AS (SELECT event_id, user_id AS client, epoch_us(CAST(ts AS TIMESTAMP)) / CAST(1000000 AS DOUBLE) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 rl AS (SELECT event_id, client, k, [t] AS times, 1 AS used, t + 604800 AS reset, true AS allowed, 3 AS remaining FROM rv WHERE k = 1
   UNION ALL SELECT event_id, client, k, CASE WHEN len(lt) < 3 AND u < 12 THEN list_append(lt, t) ELSE lt END, CASE WHEN len(lt) < 3 AND u < 12 THEN u + 1 ELSE u END, rs, len(lt) < 3 AND u < 12, greatest(0, 3 - len(lt))

@@ -24,6 +24,7 @@ from __future__ import annotations
 import functools
 import json
 import math
+import uuid
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, replace
 
@@ -31,11 +32,12 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, shared_folder
 
 BLOCK_ROWS = 1_000_000
 # Buckets are drawn finer than blocks so that busy hours still fit into a task.
 BUCKETS_PER_BLOCK = 16
+PARTS = 64  # folders of a scan's blocks
 POS, BLOCK, OWN, BUCKET, OFFSET = "_pos", "_block", "_own", "_bucket", "_offset"
 
 
@@ -446,58 +448,93 @@ def ordered_scan(
 def scan(
     df: DataFrame, by: Sequence[str], order: Sequence[str], make_state: Callable, step: Callable,
     inputs: Sequence[str], outputs: Sequence[tuple[str, str]], warm: int = 1000,
-    max_rows: int | None = None, block_rows: int | None = None,
+    max_rows: int | None = None, block_rows: int | None = None, guesses: int = 2,
 ) -> DataFrame:
     """A sequential rule over every key, in parallel inside large keys too.
 
-    Small keys go through ``ordered_scan``. A large key is cut into blocks that all
-    start at once, each from a fresh state ``warm`` rows early: such rules soon
-    forget where they started. A block's start state is then compared with the end
-    state of the block before; blocks that differ run again from that state until
-    none differs, so the result is the sequential one whatever the rule.
+    Small keys go through ``ordered_scan``. A large key is cut into blocks, and a block is summed up by the state it
+    ends in for a state it starts from. All blocks are first run from a fresh state ``warm`` rows early: such rules
+    soon forget where they started. The summaries of a key are then composed from its first block on; where the state that a
+    block is reached in has no summary yet, the block is run from that state, and blocks behind it from the likeliest one,
+    ``guesses`` times at most. Only states are kept until the whole way is known, so rows are written once, and a block is
+    run a bounded number of times whatever the rule: the result is the sequential one.
     """
     s = open_series(df, by, order, back=warm, max_rows=max_rows, block_rows=block_rows)
     if not s.blocked:
         return ordered_scan(df, by, order, make_state, step, inputs, outputs)
-    inputs, names = list(inputs), [n for n, _ in outputs]
+    by, inputs, names, key_names = list(by), list(inputs), [n for n, _ in outputs], list(s.keys)
     have = [f for f in s.df.schema.fields if f.name != OWN]
-    out = T.StructType(have + [T.StructField(n, T._parse_datatype_string(t)) for n, t in outputs] + [
-        T.StructField(n, T.StringType()) for n in ("_entry", "_exit")])
+    keys = T.StructType([s.df.schema[k] for k in s.keys])
+    text = T.StringType()
 
-    def run(pdf):
+    def started(pdf):
+        """The state before the block's own rows, and those rows."""
         pdf = pdf.sort_values(POS)
         own = pdf[pdf[OWN]]
-        if own.empty:
-            return own.reindex(columns=out.fieldNames())
         start = pdf["_start"].iloc[0]
         if isinstance(start, str):
-            state = json.loads(start)
-        else:
-            state = make_state()
-            for row in zip(*[pdf[~pdf[OWN]][c] for c in inputs]):
-                state, _ = step(state, *row)
-        entry, made = json.dumps(state), []
+            return json.loads(start), own
+        state = make_state()
+        for row in zip(*[pdf[~pdf[OWN]][c] for c in inputs]):
+            state, _ = step(state, *row)
+        return state, own
+
+    def summed(pdf):
+        state, own = started(pdf)
+        got = own.iloc[:1][key_names].copy()
+        got["_entry"] = json.dumps(state)
+        for row in zip(*[own[c] for c in inputs]):
+            state, _ = step(state, *row)
+        got["_exit"] = json.dumps(state)
+        return got
+
+    def composed(pdf):
+        """The way through a key's blocks: the state each one is reached in, if known, and what to run next."""
+        known: dict = {}
+        for block, entry, leave in zip(pdf[BLOCK], pdf["_entry"], pdf["_exit"]):
+            known.setdefault(int(block), {})[entry] = leave
+        rows, sure, state = [], True, None
+        for block in sorted(known):
+            each = known[block]
+            if state is None:
+                state = next(iter(each))  # the first block starts fresh
+            run = state not in each and (sure or len(each) <= guesses)
+            rows.append((block, state if sure else None, state if run else None))
+            sure = sure and state in each
+            state = each[state] if state in each else list(each.values())[-1]
+        got = pdf.iloc[[0] * len(rows)][by].reset_index(drop=True)
+        got[BLOCK] = [r[0] for r in rows]
+        got["_sure"], got["_start"] = [r[1] for r in rows], [r[2] for r in rows]
+        return got
+
+    # blocks lie in parts of their own, so that a later round reads the parts with open blocks only
+    path = f"{shared_folder(df.sparkSession)}/blocks-{uuid.uuid4().hex}"
+    s.df.withColumn("_part", F.pmod(F.col(BLOCK), F.lit(PARTS)).cast("int")).write.partitionBy("_part").parquet(path)
+    rows = df.sparkSession.read.schema(T.StructType([*s.df.schema.fields, T.StructField("_part", T.IntegerType())])).parquet(path)
+    summary = T.StructType([*keys.fields, T.StructField("_entry", text), T.StructField("_exit", text)])
+    way = T.StructType([*keys.fields, T.StructField("_sure", text), T.StructField("_start", text)])
+    held = cut_lineage(rows.drop("_part").withColumn("_start", F.lit(None).cast("string")).groupBy(*s.keys).applyInPandas(summed, summary))
+    while True:
+        walk = cut_lineage(held.groupBy(*by).applyInPandas(composed, way))
+        todo = walk.where(F.col("_start").isNotNull()).select(*s.keys, "_start")
+        parts = [r[0] for r in todo.select(F.pmod(F.col(BLOCK), F.lit(PARTS)).cast("int")).distinct().collect()]  # PARTS at most
+        if not parts:
+            break
+        again = join_null_safe(rows.where(F.col("_part").isin(parts)).drop("_part"), todo, s.keys).where(F.col("_start").isNotNull())
+        held = cut_lineage(held.unionByName(again.groupBy(*s.keys).applyInPandas(summed, summary)))
+
+    def written(pdf):
+        state, own = started(pdf)
+        made = []
         for row in zip(*[own[c] for c in inputs]):
             state, vals = step(state, *row)
             made.append(vals)
         own = own[[f.name for f in have]].copy()
         for i, n in enumerate(names):
             own[n] = [m[i] for m in made]
-        own["_entry"], own["_exit"] = None, None
-        own.iloc[0, own.columns.get_loc("_entry")] = entry
-        own.iloc[0, own.columns.get_loc("_exit")] = json.dumps(state)
         return own
 
-    rows = cut_lineage(s.df)
-    done = cut_lineage(rows.withColumn("_start", F.lit(None).cast("string")).groupBy(*s.keys).applyInPandas(run, out))
-    while True:
-        states = done.where(F.col("_entry").isNotNull()).select(*s.keys, "_entry", "_exit")
-        before = states.select(*by, (F.col(BLOCK) + 1).alias(BLOCK), F.col("_exit").alias("_start"))
-        wrong = cut_lineage(
-            join_null_safe(states, before, s.keys).where("_start <> _entry").select(*s.keys, "_start"))
-        if wrong.isEmpty():
-            return done.drop(POS, BLOCK, "_entry", "_exit")
-        again = join_null_safe(rows, wrong, s.keys).where(F.col("_start").isNotNull())
-        again = again.groupBy(*s.keys).applyInPandas(run, out)
-        right = join_null_safe(done, wrong, s.keys).where(F.col("_start").isNull()).drop("_start")
-        done = cut_lineage(right.unionByName(again))
+    out = T.StructType(have + [T.StructField(n, T._parse_datatype_string(t)) for n, t in outputs])
+    starts = walk.select(*s.keys, F.col("_sure").alias("_start"))
+    done = join_null_safe(rows.drop("_part"), starts, s.keys).groupBy(*s.keys).applyInPandas(written, out)
+    return done.drop(POS, BLOCK)

@@ -27,6 +27,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="run-ckpt-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of this session's checkpoints, for tables that several jobs read."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def cut_lineage(df):
     """Reliable checkpoint: the files outlive a lost executor."""
     ensure_checkpoint_dir(df.sparkSession)
