@@ -103,9 +103,11 @@ def average_rank(df: DataFrame, value: str, by: Sequence[str], out: str,
     """
     by = list(by)
     if _small(df, by, max_rows, block_rows):
-        order = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
-        return df.withColumn(out, F.when(F.col(value).isNotNull(), F.rank().over(order) + (ties - 1) / 2))
+        # nulls rank among themselves, so ranks and ties need the same sort
+        keyed = df.withColumn("_some", F.col(value).isNotNull())
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*by, "_some", value))
+        place = F.rank().over(Window.partitionBy(*by, "_some").orderBy(value))
+        return keyed.withColumn(out, F.when(F.col("_some"), place + (ties - 1) / 2)).drop("_some")
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_k"))
     s = S.open_series(counts, by, (value,), max_rows=max_rows, block_rows=block_rows)
     s = S.running(s, _upto=("sum", F.col("_k")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import series as S
@@ -30,15 +30,21 @@ GOLD_FACTORS = ["gold_correlation", "gold_beta", "correlation_stability"]
 PASSED = ("pe_ratio", "pb_ratio", "dividend_yield", "roe")
 
 
+def with_reference(prices: DataFrame, symbol: str, by: str = "symbol", on: str = "time", col: str = "close", out: str = "gold_price") -> DataFrame:
+    """Adds the reference symbol's price at the same time, taken from the same rows: the prices are built once."""
+    return prices.withColumn(out, F.max(F.when(F.col(by) == symbol, F.col(col))).over(Window.partitionBy(on)))
+
+
 def calculate_factors(prices: DataFrame, gold: DataFrame | None = None, by=("symbol",), order=("time",),
                       max_rows: int | None = None, block_rows: int | None = None) -> DataFrame:
     """Factor columns for every row.
 
-    ``gold`` has one row per time with ``gold_price``. Fundamental columns of
-    ``prices`` pass through; revenue and earnings give their change over 4 rows.
+    ``gold`` has one row per time with ``gold_price``; the column may be in ``prices`` already
+    (``with_reference``). Fundamental columns of ``prices`` pass through; revenue and earnings give their change over 4 rows.
     """
     if gold is not None:
         prices = attach(prices, gold.select(order[0], "gold_price"), [order[0]])
+    gold = "gold_price" in prices.columns
     s = S.open_series(prices, by, order, back=max(trend.macd.reach(), 253), max_rows=max_rows,
                       block_rows=block_rows)
     spans = {"return_1m": 21, "return_3m": 63, "return_6m": 126, "return_12m": 252}
@@ -54,7 +60,7 @@ def calculate_factors(prices: DataFrame, gold: DataFrame | None = None, by=("sym
         volatility_20d=S.std(s, "_r", 20) * YEAR,
     )
     kept += ["rsi", "bb_position", "volume_surge", "volatility_20d", "macd_signal"]
-    if gold is not None:
+    if gold:
         s = s.add(_g=S.change(s, "gold_price"))
         corr, cov, var = S.frame_corr(s, "_r", "_g", 60)
         gold_var = S.full(s, F.var_samp, "_g", 60)
@@ -95,14 +101,21 @@ def normalize_factors(df: DataFrame, cols, method: str = "z_score", by=("symbol"
 
 
 def _rank_all(df, cols, by, max_rows, block_rows):
-    """Average-tie percent ranks of all factors."""
-    sizes = df.groupBy(*by).agg(*[F.count(c).alias(f"_n_{c}") for c in cols])
-    out = df
-    for c in cols:
-        out = average_rank(out, c, by, f"_r_{c}", max_rows, block_rows)
-    out = attach(out, sizes, by)
-    out = out.withColumns({c: S.ratio(f"_r_{c}", f"_n_{c}") for c in cols})
-    return out.drop(*[f"{p}{c}" for c in cols for p in ("_r_", "_n_")])
+    """Average-tie percent ranks of all factors: one row per value, one sort for all factors, one regrouping."""
+    rest = [c for c in df.columns if c not in cols and c not in by]
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    melted = numbered.select(*by, "_row", F.posexplode(F.array(*[F.col(c).cast("double") for c in cols])).alias("_f", "_v"),
+                             F.struct(F.lit(0).alias("_"), *rest).alias("_rest"))
+    # other columns travel with one factor's row only
+    melted = melted.withColumn("_rest", F.when(F.col("_f") == 0, F.col("_rest")))
+    ranked = average_rank(melted, "_v", [*by, "_f"], "_r", max_rows, block_rows)
+    if max_rows is not None and max_rows <= (block_rows or S.BLOCK_ROWS):
+        sized = ranked.withColumn("_n", F.count("_v").over(Window.partitionBy(*by, "_f")))
+    else:
+        sized = attach(ranked, melted.groupBy(*by, "_f").agg(F.count("_v").alias("_n")), [*by, "_f"])
+    value = S.ratio("_r", "_n")
+    out = sized.groupBy(*by, "_row").agg(F.first("_rest", ignorenulls=True).alias("_rest"), *[F.max(F.when(F.col("_f") == i, value)).alias(c) for i, c in enumerate(cols)])
+    return out.select(*[F.col(f"_rest.{c}").alias(c) if c in rest else c for c in df.columns])
 
 
 def composite_score(df: DataFrame, weights: dict[str, float] | None = None, out: str = "composite_score"):
@@ -128,12 +141,12 @@ def factor_ic(df: DataFrame, cols, returns: str = "forward_return", periods=(5,
     ])
     key = [*by, "period", "factor"]
     rows = s.close().select(*by, F.explode(pairs).alias("_p")).select(*by, "_p.*")
-    every = rows.select(*key).distinct()
-    rows = rows.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    # rows without a pair keep their factor in the count but have no rank
+    some = F.col("x").isNotNull() & F.col("y").isNotNull()
+    rows = rows.withColumns({"x": F.when(some, F.col("x")), "y": F.when(some, F.col("y"))})
     rows = average_rank(rows, "x", key, "rx", max_rows, block_rows)
     rows = average_rank(rows, "y", key, "ry", max_rows, block_rows)
     ic = rows.groupBy(*key).agg(safe_corr(F.col("rx"), F.col("ry")).alias("ic"))
-    ic = attach(every, ic, key)
     return (
         ic.groupBy(*by, "period")
         .agg(

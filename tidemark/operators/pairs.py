@@ -58,8 +58,8 @@ def safe_corr(x: Column, y: Column) -> Column:
     """Pearson correlation as a mergeable aggregate; null when a side is constant."""
     both = x.isNotNull() & y.isNotNull()
     x, y = F.when(both, x), F.when(both, y)
-    sx, sy = F.stddev_pop(x), F.stddev_pop(y)
-    return F.when((sx > 1e-12) & (sy > 1e-12), S.ratio(F.covar_pop(x, y), sx * sy))
+    moves = (F.max(x) > F.min(x)) & (F.max(y) > F.min(y))
+    return F.when(moves, S.ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def corr_with(df: DataFrame, ref: str, col: str = "close", by: str = "symbol", on: str = "time",
@@ -135,7 +135,9 @@ def pair_correlation(df: DataFrame, col: str, by: str = "symbol", on: str = "tim
     va = F.col("_saa") / n - F.pow(F.col("_sa") / n, 2)
     vb = F.col("_sbb") / n - F.pow(F.col("_sb") / n, 2)
     cov = F.col("_sab") / n - F.col("_sa") / n * (F.col("_sb") / n)
-    return total.select("a", "b", "n", F.when((va > 1e-24) & (vb > 1e-24), S.ratio(cov, F.sqrt(va * vb))).alias("correlation"))
+    # sums of squares leave rounding errors of their own size, so a variance counts from a share of the mean square on
+    moves = (va > F.col("_saa") / n * 1e-14) & (vb > F.col("_sbb") / n * 1e-14)
+    return total.select("a", "b", "n", F.when(moves, S.ratio(cov, F.sqrt(va * vb))).alias("correlation"))
 
 
 def corr_matrix(df: DataFrame, symbols: list[str], col: str = "close", by: str = "symbol",

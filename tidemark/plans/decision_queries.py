@@ -76,7 +76,7 @@ RVX = "SELECT 'flow_reversal' AS alert_type, 'high' AS severity, symbol, concat(
 query("d09_flow_reversal", COLS, dp=2, ctes=FLOWS + "," + RV, sql=RVX)(lambda s, d: A.flow_reversals(V.flows(s, d), floor=1000.0))
 CF = """cdt AS (SELECT DISTINCT time FROM flows ORDER BY time DESC LIMIT 20), rc AS (SELECT * FROM flows WHERE time IN (SELECT time FROM cdt)),
 fv AS (SELECT symbol, sum(net_flow) AS f FROM rc WHERE time IN (SELECT time FROM cdt ORDER BY time DESC LIMIT 5) GROUP BY symbol),
-cr AS (SELECT x.symbol AS a, y.symbol AS b, CASE WHEN stddev_pop(x.net_flow) > 1e-12 AND stddev_pop(y.net_flow) > 1e-12 THEN corr(x.net_flow, y.net_flow) END AS c FROM rc x JOIN rc y ON x.time = y.time AND x.symbol < y.symbol GROUP BY 1, 2)"""
+cr AS (SELECT x.symbol AS a, y.symbol AS b, CASE WHEN max(x.net_flow) > min(x.net_flow) AND max(y.net_flow) > min(y.net_flow) THEN corr(x.net_flow, y.net_flow) END AS c FROM rc x JOIN rc y ON x.time = y.time AND x.symbol < y.symbol GROUP BY 1, 2)"""
 CFX = """SELECT 'correlated_flow' AS alert_type, 'medium' AS severity, concat(a, '/', b) AS symbol, concat('Correlated Flows - ', a, ' & ', b) AS title, c AS value, 0.8 AS threshold
   FROM cr JOIN fv fa ON fa.symbol = a JOIN fv fb ON fb.symbol = b WHERE abs(c) > 0.8 AND abs(fa.f) > 10000 AND abs(fb.f) > 10000"""
 query("d10_correlated_flows", COLS, dp=2, ctes=FLOWS + "," + CF, sql=CFX)(lambda s, d: A.correlated_flows(V.flows(s, d), floor=10000.0))

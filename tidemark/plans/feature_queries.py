@@ -317,9 +317,7 @@ ALL = FA.PRICE_FACTORS + FA.GOLD_FACTORS
 
 
 def fact(s, d):
-    daily = V.daily(s, d)
-    gold = daily.where(F.col("symbol") == GOLD).select("time", F.col("close").alias("gold_price"))
-    return FA.calculate_factors(daily, gold, max_rows=V.days_bound(s, d))
+    return FA.calculate_factors(FA.with_reference(V.daily(s, d), GOLD), max_rows=V.days_bound(s, d))
 
 
 query("w59_calculate_factors", "symbol time | " + " ".join(ALL), ctes=FACT, sql="SELECT * FROM x", dp=5)(fact)
