@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,33 @@ GOLD_FACTORS = ["gold_correlation", "gold_beta", "correlation_stability"]
 PASSED = ("pe_ratio", "pb_ratio", "dividend_yield", "roe")
 
 
+def _frames(values: np.ndarray, n: int):
+    """(first row, frames) of n values each, some rows at a time."""
+    step = max(1, 4_000_000 // n)
+    for i in range(0, len(values) - n + 1, step):
+        yield i, np.lib.stride_tricks.sliding_window_view(values[i : i + step + n - 1], n)
+
+
+def _gold_columns(pdf, n: int = 60) -> dict:
+    """Correlation with gold over n complete pairs, its beta, and how steady the correlation was over n rows. A frame in
+    which a side does not move has no correlation. In the pandas pass a frame costs n products, not n aggregate updates."""
+    x, g = (pdf[c].to_numpy(dtype=float, na_value=np.nan) for c in ("_r", "_g"))
+    gone = np.isnan(x) | np.isnan(g)
+    both = np.where(gone, np.nan, x), np.where(gone, np.nan, g)
+    corr, beta, steady = (np.full(len(x), np.nan) for _ in range(3))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for (i, a), (_, b) in zip(_frames(both[0], n), _frames(both[1], n)):
+            rows = slice(i + n - 1, i + n - 1 + len(a))
+            da, db = a - a.mean(axis=1)[:, None], b - b.mean(axis=1)[:, None]
+            cov, va, vb = (da * db).sum(axis=1), (da * da).sum(axis=1), (db * db).sum(axis=1)
+            moves_a, moves_b = a.max(axis=1) > a.min(axis=1), b.max(axis=1) > b.min(axis=1)
+            corr[rows] = np.where(moves_a & moves_b, cov / np.sqrt(va * vb), np.nan)
+            beta[rows] = np.where(moves_b, cov / vb, np.nan)
+        for i, c in _frames(corr, n):
+            steady[i + n - 1 : i + n - 1 + len(c)] = -c.std(axis=1, ddof=1)
+    return dict(zip(GOLD_FACTORS, (corr, beta, steady)))
+
+
 def with_reference(prices: DataFrame, symbol: str, by: str = "symbol", on: str = "time", col: str = "close", out: str = "gold_price") -> DataFrame:
     """Adds the reference symbol's price at the same time, taken from the same rows: the prices are built once."""
     return prices.withColumn(out, F.max(F.when(F.col(by) == symbol, F.col(col))).over(Window.partitionBy(on)))
@@ -61,11 +89,7 @@ def calculate_factors(prices: DataFrame, gold: DataFrame | None = None, by=("sym
     )
     kept += ["rsi", "bb_position", "volume_surge", "volatility_20d", "macd_signal"]
     if gold:
-        s = s.add(_g=S.change(s, "gold_price"))
-        corr, cov, var = S.frame_corr(s, "_r", "_g", 60)
-        gold_var = S.full(s, F.var_samp, "_g", 60)
-        s = s.add(gold_correlation=corr, gold_beta=S.ratio(cov, gold_var))
-        s = s.add(correlation_stability=-S.std(s, "gold_correlation", 60))
+        s = s.add(_g=S.change(s, "gold_price")).later(_gold_columns, [(c, "double") for c in GOLD_FACTORS])
         kept += GOLD_FACTORS
     for src, out in (("revenue", "revenue_growth_yoy"), ("earnings", "earnings_growth_yoy")):
         if src in s.df.columns:
