@@ -26,6 +26,6 @@ def test_twin(spark, sf, con, name):
     assert normal(got) == normal(want)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SQL and not n.startswith(("m0", "k08"))])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SQL])
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0

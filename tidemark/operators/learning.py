@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 from concurrent.futures import ThreadPoolExecutor
@@ -18,6 +19,18 @@ from pyspark.sql import functions as F
 from tidemark.operators.performance import walk_forward_splits
 
 
+ROWS_PER_TASK = 50_000
+
+
+def _fit(cols, estimator, train: DataFrame):
+    """Fit with as many tasks as the rows fill: trees run a job per level, and a job over near-empty partitions is all overhead."""
+    held = train.coalesce(max(1, math.ceil(train.count() / ROWS_PER_TASK))).persist()
+    try:
+        return _pipeline(cols, estimator).fit(held)
+    finally:
+        held.unpersist()
+
+
 def _pipeline(cols, estimator) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="skip"), estimator])
 
@@ -25,7 +38,7 @@ def _pipeline(cols, estimator) -> Pipeline:
 def direction_classifier(train: DataFrame, cols, trees: int = 100, depth: int = 5, rate: float = 0.1, seed: int = 42):
     """Boosted trees on the direction features; ``train`` has a 0/1 ``label``."""
     gbt = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed)
-    return _pipeline(cols, gbt).fit(train.withColumn("label", F.col("label").cast("double")))
+    return _fit(cols, gbt, train.withColumn("label", F.col("label").cast("double")))
 
 
 def predict(model, rows: DataFrame) -> DataFrame:
@@ -41,7 +54,7 @@ def return_regressor(train: DataFrame, cols, target: str = "target", trees: int
     gbt = GBTRegressor(labelCol=target, maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed)
     if validation:
         gbt = gbt.setValidationIndicatorCol(validation)
-    return _pipeline(cols, gbt).fit(train)
+    return _fit(cols, gbt, train)
 
 
 def feature_importance(model, cols, spark) -> DataFrame:
@@ -110,7 +123,7 @@ def compare_models(df: DataFrame, cols, models=None, n_splits: int = 5, **kw) ->
     """Walk-forward accuracy of several classifiers, best mean first."""
     models = models or CLASSIFIERS
     df = df.withColumn("label", F.col("label").cast("double"))
-    fits = [lambda t, m=make: _pipeline(cols, m()).fit(t) for make in models.values()]
+    fits = [lambda t, m=make: _fit(cols, m(), t) for make in models.values()]
     sums = map(summarize_scores, scores_of_fits(df, fits, accuracy, n_splits, **kw))
     rows = [(name, s["mean_score"], s["std_score"]) for name, s in zip(models, sums)]
     out = df.sparkSession.createDataFrame(rows, "model string, mean_score double, std_score double")
@@ -122,12 +135,61 @@ def rank_models(scores: DataFrame) -> DataFrame:
     return scores.withColumn("place", F.row_number().over(Window.orderBy(F.col("mean_score").desc(), "model")))
 
 
-def param_search(df: DataFrame, cols, make, grid: dict[str, list], n_splits: int = 5, **kw) -> DataFrame:
-    """Walk-forward accuracy for every combination of the grid; ``make(**params)`` is an estimator."""
+# The declared spaces. A kind is "int" or "float" (both ends included), "log" (uniform in the logarithm) or "choice".
+SPACES = {
+    "gbt": {"maxIter": ("int", 100, 1000), "maxDepth": ("int", 3, 10), "stepSize": ("log", 0.01, 0.3),
+            "subsamplingRate": ("float", 0.6, 1.0), "columns": ("float", 0.6, 1.0)},
+    "logistic": {"regParam": ("log", 1e-8, 10.0), "elasticNetParam": ("float", 0.0, 1.0)},
+}
+MAKERS = {
+    "gbt": lambda columns=1.0, **p: GBTClassifier(labelCol="label", seed=42, featureSubsetStrategy=str(columns), **p),
+    "logistic": lambda **p: LogisticRegression(labelCol="label", maxIter=100, **p),
+}
+
+
+def drawn(space: dict[str, tuple], trials: int, seed: int = 42) -> list[dict]:
+    """``trials`` points of a space. A value comes from a digest of (seed, trial, name), so it is the same everywhere, and more
+    trials go on where fewer have ended."""
+    points = []
+    for trial in range(trials):
+        point = {}
+        for name, (kind, *limits) in space.items():
+            u = int(hashlib.md5(f"{seed}:{trial}:{name}".encode()).hexdigest()[:13], 16) / (1 << 52)
+            if kind == "choice":
+                point[name] = limits[0][int(u * len(limits[0]))]
+            elif kind == "int":
+                point[name] = limits[0] + int(u * (limits[1] - limits[0] + 1))
+            elif kind == "float":
+                point[name] = limits[0] + u * (limits[1] - limits[0])
+            elif kind == "log":
+                point[name] = math.exp(math.log(limits[0]) + u * (math.log(limits[1]) - math.log(limits[0])))
+            else:
+                raise ValueError(f"{name}: unknown kind {kind}")
+        points.append(point)
+    return points
+
+
+def grid(values: dict[str, list]) -> list[dict]:
+    return [dict(zip(values, point)) for point in itertools.product(*values.values())]
+
+
+def param_search(df: DataFrame, cols, make, points: list[dict], n_splits: int = 5, **kw) -> DataFrame:
+    """Walk-forward accuracy for every point (``grid`` or ``drawn``), best mean first; ``make(**point)`` is an estimator."""
     df = df.withColumn("label", F.col("label").cast("double"))
-    names, points = list(grid), list(itertools.product(*grid.values()))
-    fits = [lambda t, p=dict(zip(names, values)): _pipeline(cols, make(**p)).fit(t) for values in points]
+    fits = [lambda t, p=point: _fit(cols, make(**p), t) for point in points]
     sums = map(summarize_scores, scores_of_fits(df, fits, accuracy, n_splits, **kw))
-    rows = [(*[float(v) for v in values], s["mean_score"], s["std_score"]) for values, s in zip(points, sums)]
-    schema = ", ".join(f"{n} double" for n in names) + ", mean_score double, std_score double"
-    return df.sparkSession.createDataFrame(rows, schema).orderBy(F.col("mean_score").desc())
+    rows = [(i, *[float(v) for v in point.values()], s["mean_score"], s["std_score"]) for i, (point, s) in enumerate(zip(points, sums))]
+    schema = "trial long, " + ", ".join(f"{n} double" for n in points[0]) + ", mean_score double, std_score double"
+    return df.sparkSession.createDataFrame(rows, schema).orderBy(F.col("mean_score").desc(), "trial")
+
+
+def threshold_search(df: DataFrame, points: list[dict], moves: dict[int, str], returns: str = "next_return") -> DataFrame:
+    """Accuracy of "up after a move above the threshold" for every point (lookback, threshold) over all rows in one pass.
+
+    ``moves`` gives the column with the move over each lookback; the points are a literal array.
+    """
+    each = F.array(*[F.struct(F.lit(i).alias("trial"), F.lit(p["lookback"]).alias("lookback"), F.lit(p["threshold"]).alias("threshold"),
+                              F.col(moves[p["lookback"]]).alias("move")) for i, p in enumerate(points)])
+    rows = df.where(F.col(returns).isNotNull()).select(returns, F.explode(each).alias("p")).where("p.move is not null")
+    hit = ((F.col("p.move") > F.col("p.threshold")) == (F.col(returns) > 0)).cast("double")
+    return rows.groupBy("p.trial", "p.lookback", "p.threshold").agg(F.avg(hit).alias("accuracy"), F.count(F.lit(1)).alias("n"))

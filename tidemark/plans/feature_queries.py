@@ -244,20 +244,36 @@ query(
 )(lambda s, d: FE.join_macro(V.daily(s, d), _macro_day(s, d), max_rows=V.days_bound(s, d)))
 
 
+def _side(s, d):
+    """Flows of the events, and a macro series with gaps: a rate on every day with an even number of events."""
+    events = V.table(s, d, "events")
+    flows = events.select(F.col("ts").alias("time"), (F.col("value") - 50).alias("net_flow"))
+    day = F.to_date("ts").alias("date")
+    return flows, events.groupBy(day).agg(F.when(F.count(F.lit(1)) % 2 == 0, F.max("value")).alias("rate"))
+
+
+SIDE = """fl AS (SELECT CAST(ts AS DATE) AS date, avg(value - 50) AS net_flow FROM events GROUP BY 1),
+mdy AS (SELECT CAST(ts AS DATE) AS date, CASE WHEN count(*) % 2 = 0 THEN max(value) END AS rate FROM events GROUP BY 1),
+mfl AS (SELECT date, last_value(rate IGNORE NULLS) OVER (ORDER BY date) AS rate FROM mdy),
+mjn AS (SELECT symbol, time, last_value(m.rate IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY time) AS rate FROM bars b LEFT JOIN mfl m ON CAST(b.time AS DATE) = m.date)"""
+
+
 def _all(s, d):
-    return FE.all_features(V.bars(s, d), _sent(s, d), None, None, max_rows=V.hours_bound(s, d))
+    return FE.all_features(V.bars(s, d), _sent(s, d), *_side(s, d), max_rows=V.hours_bound(s, d))
 
 
 query(
-    "w48_all_features", "symbol time | ma_50_ratio rsi_21 atr_ratio parkinson_vol day_sin sentiment_score bullish_ratio | high_volatility_regime week_of_year",
-    ctes=BARS + "," + TECH_CTE + "," + VOL_CTE + "," + NEWS + "," + SENT,
+    "w48_all_features", "symbol time | ma_50_ratio rsi_21 atr_ratio parkinson_vol day_sin sentiment_score bullish_ratio net_flow rate | high_volatility_regime week_of_year",
+    ctes=BARS + "," + TECH_CTE + "," + VOL_CTE + "," + NEWS + "," + SENT + "," + SIDE,
     sql=f"""SELECT p.symbol, p.time, ma_50_ratio, rsi_21, atr_ratio, parkinson_vol, sin(2 * pi() * (isodow(p.time) - 1) / 7) AS day_sin,
-  coalesce(sentiment_score, 0) AS sentiment_score, coalesce(bullish_ratio, 0.5) AS bullish_ratio, high_volatility_regime, weekofyear(p.time) AS week_of_year
+  coalesce(sentiment_score, 0) AS sentiment_score, coalesce(bullish_ratio, 0.5) AS bullish_ratio,
+  coalesce(f.net_flow, 0) AS net_flow, j.rate AS rate, high_volatility_regime, weekofyear(p.time) AS week_of_year
   FROM (SELECT symbol, time, close / {avg('close', 50)} AS ma_50_ratio FROM bars) p
   JOIN (SELECT symbol, time, {_rsi_eps(21)} AS rsi_21, {avg('tr', 14)} / close AS atr_ratio FROM t) q USING (symbol, time)
   JOIN (SELECT symbol, time, sqrt({avg('hl2', 20)} / (4 * ln(2))) * sqrt(252) AS parkinson_vol,
     CASE WHEN volatility_20d > med THEN 1 ELSE 0 END AS high_volatility_regime FROM v3) v USING (symbol, time)
-  LEFT JOIN sent s ON CAST(p.time AS DATE) = s.date""",
+  JOIN mjn j USING (symbol, time)
+  LEFT JOIN sent s ON CAST(p.time AS DATE) = s.date LEFT JOIN fl f ON CAST(p.time AS DATE) = f.date""",
 )(_all)
 
 # --- sentiment series --------------------------------------------------------------

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier
+import functools
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import dedup as DD
@@ -127,9 +128,16 @@ def training(s, d):
 COLS = FE.DIRECTION_COLUMNS
 
 
+@functools.lru_cache(maxsize=4)
+def _trained(s, d):
+    """Rows of the learning queries; the queries of a session share them and the models fitted on them."""
+    return training(s, d)
+
+
+@functools.lru_cache(maxsize=4)
 def _fitted(s, d):
-    rows = training(s, d)
-    return ML.direction_classifier(rows.where("not is_test"), COLS, trees=3, depth=3), rows.where("is_test")
+    rows = _trained(s, d)
+    return ML.direction_classifier(rows.where("not is_test"), COLS), rows.where("is_test")
 
 
 query("m01_direction_classifier", "symbol | accuracy | n")(
@@ -137,27 +145,49 @@ query("m01_direction_classifier", "symbol | accuracy | n")(
 query("m02_predict", "symbol time | prediction probability_up")(lambda s, d: (lambda m, t: ML.predict(m, t))(*_fitted(s, d)))
 
 
+@functools.lru_cache(maxsize=4)
 def _regressor(s, d):
     """Fitted on the training part, whose own last fifth decides when to stop, so the test rows stay unseen."""
-    rows = training(s, d)
+    rows = _trained(s, d)
     inner = PF.chrono_split(rows.where("not is_test").drop("is_test", "row"), max_rows=V.hours_bound(s, d))
-    return ML.return_regressor(inner, COLS, trees=3, depth=3), rows.where("is_test")
+    return ML.return_regressor(inner, COLS), rows.where("is_test")
 
 
 query("m03_return_regressor", "symbol | rmse")(lambda s, d: (lambda m, t: m.transform(t).groupBy("symbol").agg(
     F.sqrt(F.avg((F.col("prediction") - F.col("target")) ** 2)).alias("rmse")))(*_regressor(s, d)))
 query("k05_top_features", "feature | importance")(lambda s, d: ML.top_features(ML.feature_importance(_regressor(s, d)[0], COLS, s), 10))
-def _light():
-    """Fewer steps than the operators' defaults, whose 100 trees take minutes of job starts on the smallest tables."""
-    return {"logistic": lambda: ML.LogisticRegression(labelCol="label", maxIter=3), "tree": lambda: ML.RandomForestClassifier(labelCol="label", numTrees=2, maxDepth=3, seed=1)}
+
+
+@functools.lru_cache(maxsize=4)
+def _compared(s, d):
+    return ML.compare_models(_trained(s, d), COLS, max_rows=V.hours_bound(s, d))
 
 
 query("m04_cross_validate", "| mean_score std_score")(lambda s, d: s.createDataFrame([ML.summarize_scores(ML.walk_forward_scores(
-    training(s, d).withColumn("label", F.col("label").cast("double")), lambda t: ML._pipeline(COLS, _light()["logistic"]()).fit(t), ML.accuracy, max_rows=V.hours_bound(s, d)))]))
-query("m05_compare_models", "model | mean_score std_score | place")(lambda s, d: ML.compare_models(training(s, d), COLS, _light(), max_rows=V.hours_bound(s, d)))
-query("k08_rank_models", "model | mean_score | place")(lambda s, d: ML.rank_models(ML.compare_models(training(s, d), COLS, _light(), max_rows=V.hours_bound(s, d)).drop("place")))
-query("m06_param_search", "| maxDepth mean_score std_score")(lambda s, d: ML.param_search(
-    training(s, d), COLS, lambda maxDepth: GBTClassifier(labelCol="label", maxIter=2, maxDepth=maxDepth, seed=42), {"maxDepth": [2, 3]}, max_rows=V.hours_bound(s, d)))
+    _trained(s, d).withColumn("label", F.col("label").cast("double")), lambda t: ML.direction_classifier(t, COLS), ML.accuracy, max_rows=V.hours_bound(s, d)))]))
+query("m05_compare_models", "model | mean_score std_score | place")(_compared)
+query("k08_rank_models", "model | mean_score | place")(lambda s, d: ML.rank_models(_compared(s, d).drop("place")))
+query("m06_param_search", "| stepSize mean_score std_score | trial")(lambda s, d: ML.param_search(
+    _trained(s, d), COLS, lambda stepSize: ML.CLASSIFIERS["gbt"]().setStepSize(stepSize), ML.grid({"stepSize": [0.03, 0.1]}), max_rows=V.hours_bound(s, d)))
+query("m06_random_search", "| regParam elasticNetParam mean_score std_score | trial")(lambda s, d: ML.param_search(
+    _trained(s, d), COLS, ML.MAKERS["logistic"], ML.drawn(ML.SPACES["logistic"], 8), max_rows=V.hours_bound(s, d)))
+RULE_SPACE = {"lookback": ("choice", [1, 2, 3, 5, 8]), "threshold": ("log", 0.001, 0.2)}
+DRAWN = BARS + """, u AS (SELECT t AS trial, CAST('0x' || substr(md5('7:' || t || ':lookback'), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS a,
+  CAST('0x' || substr(md5('7:' || t || ':threshold'), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS b FROM range(40) r(t)),
+pt AS (SELECT trial, [1, 2, 3, 5, 8][CAST(floor(a * 5) AS INT) + 1] AS lookback, exp(ln(0.001) + b * (ln(0.2) - ln(0.001))) AS threshold FROM u),
+mv AS (SELECT symbol, time, k, close / lag(close, k) OVER (PARTITION BY symbol, k ORDER BY time) - 1 AS move, lead(close) OVER (PARTITION BY symbol, k ORDER BY time) / close - 1 AS nx FROM bars, (SELECT unnest([1, 2, 3, 5, 8]) AS k) q)"""
+
+
+def _moves(s, d):
+    from tidemark import series as S
+
+    x = S.open_series(V.bars(s, d), back=8, ahead=1, max_rows=V.hours_bound(s, d))
+    return x.add(**{f"move_{k}": S.change(x, "close", k) for k in (1, 2, 3, 5, 8)}, next_return=S.ratio(S.lead(x, "close"), F.col("close")) - 1).close()
+
+
+query("m06_random_rule", "| threshold accuracy | trial lookback n", ctes=DRAWN,
+      sql="SELECT trial, lookback, threshold, avg(CASE WHEN (move > threshold) = (nx > 0) THEN 1 ELSE 0 END) AS accuracy, count(*) AS n FROM pt JOIN mv ON k = lookback WHERE move IS NOT NULL AND nx IS NOT NULL GROUP BY 1, 2, 3")(
+    lambda s, d: ML.threshold_search(_moves(s, d), ML.drawn(RULE_SPACE, 40, seed=7), {k: f"move_{k}" for k in (1, 2, 3, 5, 8)}))
 
 # --- hooks -----------------------------------------------------------------------------------
 SMA_SIG = f"CASE WHEN {avg('close', 5)} > {avg('close', 20)} THEN 'BUY' WHEN {avg('close', 5)} < {avg('close', 20)} THEN 'SELL' ELSE 'HOLD' END"

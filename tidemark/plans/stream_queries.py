@@ -217,7 +217,7 @@ def _upserted(s, d):
 
 
 query("r11_stream_upsert", "client symbol date | close", ctes=TICKS,
-      sql="SELECT user_id AS client, event_type AS symbol, CAST(ts AS DATE) AS date, arg_max(value + 1, ts) AS close FROM events GROUP BY 1, 2, 3")(_upserted)
+      sql="SELECT user_id AS client, event_type AS symbol, CAST(ts AS DATE) AS date, arg_max(value + 1, (ts, value)) AS close FROM events GROUP BY 1, 2, 3")(_upserted)
 
 
 def _usage(df):

@@ -50,6 +50,7 @@ def local_session(app: str = "tidemark", cores: str = "8", shuffle: int = 8) ->
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-ckpt-"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config(
             "spark.sql.streaming.stateStore.providerClass",

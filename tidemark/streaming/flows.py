@@ -137,13 +137,14 @@ def upsert_batch(path: str, keys=("symbol", "time"), day: str = "date", time: st
     """foreachBatch function that upserts into a table partitioned by day.
 
     Only the days of the batch are read and rewritten; replaying a batch gives the
-    same table. The newest row of a key and day wins inside a batch.
+    same table. The newest row of a key and day wins inside a batch; of several with the newest time, the one with the
+    greatest values in the order of the columns.
     """
 
     def batch(delta: DataFrame, _id: int):
         spark = delta.sparkSession
         delta = delta.withColumn(day, F.to_date(time))
-        newest = delta.groupBy(*dict.fromkeys((*keys, day))).agg(F.max_by(F.struct("*"), F.col(time)).alias("row"))
+        newest = delta.groupBy(*dict.fromkeys((*keys, day))).agg(F.max_by(F.struct("*"), F.struct(F.col(time).alias("_newest"), *delta.columns)).alias("row"))
         delta = newest.select("row.*")
         # only a missing table counts as empty; every other error rises, or the rewrite would lose stored days
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
