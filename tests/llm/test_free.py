@@ -235,8 +235,9 @@ def test_packing(spark):
     rows = packing.pack_documents(frame, WORD).collect()
     floor = -(-sum(k[3] * n for k, n in pieces_of(list(enumerate(texts))).items()) // 4096)
     assert hold(rows, list(enumerate(texts))) <= floor + 1
-    many = packing.pack(packing.pieces(frame, WORD), per_partition=40)
-    assert hold(many.collect(), list(enumerate(texts))) <= floor + 2
+    for few in (40, 2):  # few: hundreds of partitions, more rounds than four
+        many = packing.pack(packing.pieces(frame, WORD), per_partition=few)
+        assert hold(many.collect(), list(enumerate(texts))) <= floor + 2
     assert packing.pack_documents(docs(spark, []), WORD).count() == 0
 
 
@@ -263,3 +264,27 @@ def test_pipeline(spark, sf):
     assert max(Counter(texts).values()) <= 3
     hold(stages["best_fit_packing"](spark, mixed, sf).collect(), texts)
     assert corpus_pipeline.run(spark, sf).count() == sum(pieces_of(texts).values())
+
+
+def test_pipeline_edge_rows(spark, sf):
+    """Null, empty and very long texts, repeated rows, null keys and sources, clashing columns, an empty table."""
+    good = " ".join(f"word{i}" for i in range(40))
+    names = ["size", "times", "fp", "root", "target", "taken", "kept", "piece", "length", "bin", "source_size"]
+    texts = [None, "", " \n", good, good, good + " more", " ".join(f"other{i}" for i in range(60)), " ".join(f"long{i}" for i in range(60_000)), "x" * 100_000, "a b c"]
+    rows = [(None if i == 9 else i, t, "en", None if i % 3 == 0 else "s", len(t or ""), *[f"own{i}"] * len(names)) for i, t in enumerate(texts)] * 2
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    for held in (rows, []):
+        frame = spark.createDataFrame(held, schema)
+        kept = frame
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before = Counter(kept.collect())
+            kept = stage(spark, kept, sf)
+            assert kept.columns == frame.columns, name
+            after = Counter(kept.collect())
+            assert set(after) <= set(before), name  # rows come out as they went in
+            if name == "simhash_near_dedup":
+                assert sum(after.values()) == len({r["text"] for r in after}) == (4 if held else 0)
+            kept = spark.createDataFrame([r for r, n in after.items() for _ in range(n)], schema)
+        packed = corpus_pipeline.STAGES[-1][1](spark, kept, sf)
+        assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
+        assert (packed.count() > 0) == bool(held)

@@ -15,6 +15,7 @@ rows are documents of their own; null keys stay null; empty tables give empty re
 from __future__ import annotations
 
 import zlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -207,13 +208,17 @@ def _pack(capacity: int):
     return run
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, per_partition: int = 20_000, rounds: int = 4) -> DataFrame:
-    """``parts`` (see ``pieces``) with sequence_id and offset. Full pieces are sequences of their own."""
-    top = F.lit(rounds + 1).cast("long") * F.lit(1 << 58)
+def pack(parts: DataFrame, capacity: int = CAPACITY, per_partition: int = 20_000) -> DataFrame:
+    """``parts`` (see ``pieces``) with sequence_id and offset. Full pieces are sequences of their own.
+
+    Rounds end when fewer than two bins are loose, when all loose bins have met in one partition, or when a round
+    saves nothing; each has at most a quarter of the partitions of the one before.
+    """
+    top = F.lit(31 << 58)  # rounds count up from 0 and are fewer than 31, as partitions are fewer than 4^31
     full = parts.where(F.col("length") == capacity).select("*", (top + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     done, rows = [], parts.where(F.col("length") < capacity)
     n = rows.count()
-    for turn in range(rounds):
+    for turn in itertools.count():
         # fewer tasks each round, or what lies alone in a bin would never meet
         groups = max(1, -(-n // per_partition) if not turn else min(-(-n // per_partition), groups // 4))
         spread = rows.withColumn("p", F.pmod(F.xxhash64(F.lit(turn), "d", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
@@ -224,7 +229,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, per_partition: int = 20_000
         if turn and spent >= before:  # the exchange saved nothing: keep the packing that gave these rows up
             done.append(given)
             break
-        if groups == 1 or loose < 2 or turn == rounds - 1:
+        if groups == 1 or loose < 2:
             done.append(got)
             break
         done.append(got.where(~F.col("loose")))
