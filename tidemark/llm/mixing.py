@@ -135,11 +135,11 @@ def mix_documents(docs: DataFrame, weights=(5, 2, 1), epochs: int = 3, seed: int
     of the text, and repeated rows by their number among those."""
     order = Window.partitionBy("__k", "__s", "__t")
     decided = mix(docs, weights, epochs, seed, key=key, source=source, text=text, digest=True)
-    decided = decided.select(F.col(key).alias("__k"), F.col(source).alias("__s"), F.col("digest").alias("__t"), "times")
-    decided = decided.withColumn("__n", F.row_number().over(order.orderBy(F.desc("times")))).where("times > 0").withColumnsRenamed(
+    decided = decided.select(F.col(key).alias("__k"), F.col(source).alias("__s"), F.col("digest").alias("__t"), F.col("times").alias("__times"))
+    decided = decided.withColumn("__n", F.row_number().over(order.orderBy(F.desc("__times")))).where("__times > 0").withColumnsRenamed(
         {"__k": "__dk", "__s": "__ds", "__t": "__dt", "__n": "__dn"})
     rows = docs.withColumns({"__k": F.col(key), "__s": F.col(source), "__t": F.xxhash64(text)})
     rows = rows.withColumn("__n", F.row_number().over(order.orderBy(F.lit(1))))
     same = [F.col(f"__{c}").eqNullSafe(F.col(f"__d{c}")) for c in "kst"] + [F.col("__n") == F.col("__dn")]
     taken = rows.join(decided, same)
-    return taken.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return taken.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
