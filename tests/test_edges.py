@@ -172,7 +172,8 @@ def test_nearest_in_passes(spark, monkeypatch):
     v = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(20)], "vec_id long, embedding array<float>")
     q = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(5)], "query_id long, query array<double>")
     one = RT.nearest(v, q, 3).collect()
-    monkeypatch.setattr(RT, "MOST_QUERIES", 2)
+    for name, value in (("BLOCK", 2), ("SENT", 1)):
+        monkeypatch.setattr(RT, name, value)
     assert sorted(one) == sorted(RT.nearest(v, q, 3).collect())
 
 
