@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import series as S
@@ -130,14 +130,68 @@ def dashboard(news: DataFrame, asof, by=("symbol",), order=("time",)) -> DataFra
     def pick(c):
         return F.coalesce(f"r_{c}", f"t_{c}")
 
-    change = F.col("_new") - F.col("_old")
-    return out.select(
-        *by, pick("avg").alias("current_sentiment"), label_by_threshold(pick("avg")).alias("sentiment_label"),
-        F.when(F.col("_m") < 5, "stable").when(change > 0.05, "improving").when(change < -0.05, "declining")
-        .otherwise("stable").alias("trend"),
-        pick("n").alias("news_volume_24h"), pick("bull").alias("bullish_ratio"), pick("bear").alias("bearish_ratio"),
-        composite_index(pick("avg"), pick("bull"), pick("n")).alias("heat_index"),
-    )
+    return out.select(*by, *dashboard_columns(pick("n"), pick("avg"), pick("bull"), pick("bear"), F.col("_m"), F.col("_new"), F.col("_old")))
+
+
+def dashboard_columns(n: Column, avg: Column, bullish: Column, bearish: Column, held: Column, newer: Column, older: Column) -> list[Column]:
+    """The figures of a dashboard row. The trend compares the mean scores of the newest and the oldest five of the last ten
+    rows; with fewer than five rows ``held`` it is stable."""
+    change = newer - older
+    trend = F.when(held < 5, "stable").when(change > 0.05, "improving").when(change < -0.05, "declining").otherwise("stable")
+    return [avg.alias("current_sentiment"), label_by_threshold(avg).alias("sentiment_label"), trend.alias("trend"),
+            n.alias("news_volume_24h"), bullish.alias("bullish_ratio"), bearish.alias("bearish_ratio"),
+            composite_index(avg, bullish, n).alias("heat_index")]
+
+
+STEP, SPAN = 300, 86_400  # seconds between two dashboards, and of the news that one of them shows
+LAST = 10
+
+
+def live_dashboards(news: DataFrame, every: int = STEP, span: int = SPAN, by=("symbol",), order=("time",), **layout) -> DataFrame:
+    """The dashboard of each key at the end of every step, ``until``, from the news before it.
+
+    A key is shown from its first news on at each step with news in the last ``span`` seconds, and at the first step
+    without any: from there its last ten rows hold until the next news. Rows are added up per step; a step owns the ends
+    up to the next step with news, so nothing is copied to the windows it falls into, and the sliding sums see one row per
+    end, however many news a key has. Rows without a time are left out; null scores count in volumes only.
+    """
+    by, order = list(by), list(order)
+    width = span // every
+    news = news.where(F.col(order[0]).isNotNull())
+    s = S.open_series(news, by, order, back=LAST, **layout)
+    s = s.add(_last=F.collect_list(F.struct("score", "label")).over(s.rows(LAST)))
+    step = F.floor(F.unix_micros(F.col(order[0]).cast("timestamp")) / (every * 1_000_000)).cast("long")
+    steps = s.close().groupBy(*by, step.alias("_b")).agg(
+        F.count(F.lit(1)).alias("_n"), F.count("score").alias("_s"), F.sum("score").alias("_x"),
+        F.count_if(F.col("label") == "positive").alias("_p"), F.count_if(F.col("label") == "negative").alias("_q"),
+        F.max_by("_last", F.struct(*order)).alias("_last"))
+    later = F.lead("_b").over(Window.partitionBy(*by).orderBy("_b"))
+    ends = steps.withColumn("_to", F.least(F.coalesce(later, F.col("_b") + width + 1), F.col("_b") + width + 1))
+    ends = ends.withColumn("_u", F.explode(F.sequence(F.col("_b") + 1, F.col("_to"))))
+    inside = Window.partitionBy(*by).orderBy("_u").rangeBetween(-(width - 1), 0)
+    first = F.col("_u") == F.col("_b") + 1
+    sums = ends.withColumns({f"{c}w": F.coalesce(F.sum(F.when(first, F.col(c))).over(inside), F.lit(0)) for c in ("_n", "_s", "_x", "_p", "_q")})
+
+    def share(name):
+        return F.size(F.filter("_last", lambda r: r["label"] == name))
+
+    def mean(rows):
+        return F.aggregate(rows, F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("n")),
+                           lambda a, r: F.struct((a["x"] + F.coalesce(r["score"], F.lit(0.0))).alias("x"),
+                                                 (a["n"] + F.when(r["score"].isNull(), 0.0).otherwise(1.0)).alias("n")),
+                           lambda a: S.ratio(a["x"], a["n"]))
+
+    held, live = F.size("_last"), F.col("_nw") > 0
+
+    def pick(wide, last):
+        return F.when(live, F.col(wide)).otherwise(last)
+
+    n = pick("_nw", held).cast("long")
+    return sums.select(
+        *by, F.timestamp_seconds(F.col("_u") * every).alias("until"),
+        *dashboard_columns(n, F.when(live, S.ratio("_xw", "_sw")).otherwise(mean(F.col("_last"))), S.ratio(pick("_pw", share("positive")), n),
+                           S.ratio(pick("_qw", share("negative")), n), held,
+                           mean(F.slice("_last", F.greatest(held - 4, F.lit(1)), 5)), mean(F.slice("_last", 1, 5))))
 
 
 def score_dashboard(scores: DataFrame, symbols: DataFrame, asof, days: int = 30, by: str = "symbol") -> DataFrame:

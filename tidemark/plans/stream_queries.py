@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators import alerts as A
+from tidemark.operators import sentiment as SE
 from tidemark.plans import views as V
 from tidemark.plans.registry import query
 from tidemark.plans.views import NEWS, TICKS
 from tidemark.sources import kafka as K
 from tidemark.streaming import flows as SF
 from tidemark.streaming import rules as SR
+from tidemark.streaming.dashboard import live_dashboard
 from tidemark.streaming.stateful import apply_stream, apply_table
 
 ORDER = ["time", "event_id"]
@@ -186,15 +188,32 @@ def _news(df):
 query("r06_continuous_sentiment_stream", "symbol bucket | avg_sentiment | news_count positive_count", ctes=NEWS,
       sql="SELECT symbol, CAST(date_trunc('day', time) AS TIMESTAMP) AS bucket, count(*) AS news_count, avg(score) AS avg_sentiment, count_if(label = 'positive') AS positive_count FROM news GROUP BY 1, 2 HAVING CAST(date_trunc('day', time) AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(time) FROM news) - INTERVAL 3 DAYS")(
     lambda s, d: played(s, d, lambda x: SF.sentiment_stream(_news(x)), "r06s", table="documents"))
-LIVE = """st AS (SELECT symbol, time_bucket(INTERVAL 1 HOUR, time) AS b, count(*) AS n, sum(score) AS x, count_if(label = 'positive') AS p, count_if(label = 'negative') AS q FROM news GROUP BY 1, 2),
-ws AS (SELECT symbol, b + INTERVAL 1 HOUR + to_hours(CAST(h AS INT)) AS until, sum(n) AS n, sum(x) AS x, sum(p) AS p, sum(q) AS q FROM st, range(24) r(h) GROUP BY 1, 2)"""
-LIVEX = """SELECT symbol, until, n AS news_volume_24h, x / n AS current_sentiment, CASE WHEN x / n > 0.2 THEN 'positive' WHEN x / n < -0.2 THEN 'negative' ELSE 'neutral' END AS sentiment_label, p / CAST(n AS DOUBLE) AS bullish_ratio, q / CAST(n AS DOUBLE) AS bearish_ratio,
-  greatest(0, least(100, ((x / n + 1) * 50 * 0.6 + p / CAST(n AS DOUBLE) * 100 * 0.4) * least(1.5, greatest(0.5, n / CAST(10 AS DOUBLE))))) AS heat_index FROM ws"""
-DONE = " WHERE until <= (SELECT max(time) FROM news) - INTERVAL 10 MINUTES"
-LSPEC = "symbol until sentiment_label | current_sentiment bullish_ratio bearish_ratio heat_index | news_volume_24h"
-query("r08_live_dashboard", LSPEC, ctes=NEWS + "," + LIVE, sql=LIVEX)(lambda s, d: SF.live_dashboard(_news(V.table(s, d, "documents")), every="1 hour"))
-query("r08_live_dashboard_stream", LSPEC, ctes=NEWS + "," + LIVE, sql=LIVEX + DONE)(
-    lambda s, d: played(s, d, lambda x: SF.live_dashboard(_news(x), every="1 hour"), "r08", table="documents"))
+
+
+def _bursts(df):
+    """The news with two quiet days after every forty, so that the last ten rows are shown too."""
+    quiet = F.expr("make_dt_interval(CAST(2 * (doc_id DIV 40) AS INT))")
+    return _news(df).withColumn("time", F.col("time") + quiet)
+
+
+BURSTS = NEWS + """, bu AS (SELECT doc_id, symbol, time + to_days(CAST(2 * (doc_id // 40) AS INT)) AS time, score, label FROM news),
+gr AS (SELECT DISTINCT symbol, time_bucket(INTERVAL 5 MINUTES, time) + to_minutes(CAST(5 * k AS INT)) AS until FROM bu, range(1, 290) r(k)),
+wd AS (SELECT g.symbol, g.until, avg(score) AS a, count(*) AS n, avg(CASE WHEN label = 'positive' THEN 1.0 ELSE 0.0 END) AS bull, avg(CASE WHEN label = 'negative' THEN 1.0 ELSE 0.0 END) AS bear
+  FROM gr g JOIN bu USING (symbol) WHERE bu.time >= g.until - INTERVAL 24 HOURS AND bu.time < g.until GROUP BY 1, 2),
+ra AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time, doc_id) AS k FROM bu),
+la AS (SELECT x.symbol, x.time, count(*) AS m, avg(y.score) AS a, avg(CASE WHEN y.label = 'positive' THEN 1.0 ELSE 0.0 END) AS bull, avg(CASE WHEN y.label = 'negative' THEN 1.0 ELSE 0.0 END) AS bear,
+  avg(CASE WHEN x.k - y.k < 5 THEN y.score END) - avg(CASE WHEN y.k - greatest(x.k - 10, 0) <= 5 THEN y.score END) AS change
+  FROM ra x JOIN ra y ON x.symbol = y.symbol AND y.k BETWEEN x.k - 9 AND x.k GROUP BY 1, 2),
+lz AS (SELECT g.symbol, g.until, m, change, coalesce(w.a, la.a) AS a, coalesce(w.n, m) AS n, coalesce(w.bull, la.bull) AS bull, coalesce(w.bear, la.bear) AS bear
+  FROM gr g ASOF JOIN la ON g.symbol = la.symbol AND g.until > la.time LEFT JOIN wd w ON w.symbol = g.symbol AND w.until = g.until)"""
+LIVEX = """SELECT symbol, until, a AS current_sentiment, CASE WHEN a > 0.2 THEN 'positive' WHEN a < -0.2 THEN 'negative' ELSE 'neutral' END AS sentiment_label,
+  CASE WHEN m < 5 THEN 'stable' WHEN change > 0.05 THEN 'improving' WHEN change < -0.05 THEN 'declining' ELSE 'stable' END AS trend, n AS news_volume_24h, bull AS bullish_ratio, bear AS bearish_ratio,
+  greatest(0, least(100, ((a + 1) * 50 * 0.6 + bull * 100 * 0.4) * least(1.5, greatest(0.5, n / CAST(10 AS DOUBLE))))) AS heat_index FROM lz"""
+DONE = " WHERE until <= (SELECT max(time) FROM bu) - INTERVAL 7 MINUTES"
+LSPEC = "symbol until sentiment_label trend | current_sentiment bullish_ratio bearish_ratio heat_index | news_volume_24h"
+query("r08_live_dashboard", LSPEC, ctes=BURSTS, sql=LIVEX)(lambda s, d: SE.live_dashboards(_bursts(V.table(s, d, "documents")), order=("time", "doc_id")))
+query("r08_live_dashboard_stream", LSPEC, ctes=BURSTS, sql=LIVEX + DONE)(
+    lambda s, d: played(s, d, lambda x: live_dashboard(_bursts(x), tie=F.col("doc_id"), delay="7 minutes"), "r08", table="documents"))
 both(
     "r09_live_quotes", "symbol time | price",
     lambda s, d: SF.live_quotes(_ticks(V.table(s, d, "events"))),

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.ordering import first_by, last_by
 from tidemark.operators import alerts as A
 from tidemark.operators.costs import unit_cost
-from tidemark.operators.sentiment import composite_index, label_by_threshold
 from tidemark.session import cut_lineage
 from tidemark.sources.kafka import physical
 from tidemark.sources.tables import scratch_path, upsert
@@ -52,27 +51,6 @@ def sentiment_stream(news: DataFrame, delay: str = "3 days") -> DataFrame:
     )
 
 
-def live_dashboard(news: DataFrame, span: str = "24 hours", every: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Sliding-window state per symbol.
-
-    Rows are first added up per step; only those sums are copied to the windows
-    they fall into, so the copies do not grow with the number of articles.
-    """
-    step = (
-        news.withWatermark("time", delay).groupBy("symbol", F.window("time", every).alias("_s"))
-        .agg(F.count(F.lit(1)).alias("_n"), F.sum("score").alias("_x"),
-             F.count_if(F.col("label") == "positive").alias("_p"), F.count_if(F.col("label") == "negative").alias("_q"))
-    )
-    wide = step.groupBy("symbol", F.window(F.window_time("_s"), span, every).alias("_w")).agg(
-        F.sum("_n").alias("news_volume_24h"), F.sum("_x").alias("_x"), F.sum("_p").alias("_p"), F.sum("_q").alias("_q"))
-    n = F.col("news_volume_24h")
-    avg, bull = F.col("_x") / n, F.col("_p") / n
-    return wide.select(
-        "symbol", F.col("_w.end").alias("until"), "news_volume_24h", avg.alias("current_sentiment"),
-        label_by_threshold(avg).alias("sentiment_label"), bull.alias("bullish_ratio"), (F.col("_q") / n).alias("bearish_ratio"),
-        composite_index(avg, bull, n).alias("heat_index"))
-
-
 def live_quotes(ticks: DataFrame) -> DataFrame:
     """Latest price per symbol; run in update or complete mode."""
     newest = F.max_by(F.struct("time", "price"), F.struct("time", "event_id"))
