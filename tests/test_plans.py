@@ -1,9 +1,12 @@
 """Shapes of the physical plans: shuffles, pushed filters, read columns."""
 
+from pyspark.sql import functions as F
+
 from tidemark.functions import rows as RW
 from tidemark.functions.stats import tail
-from tidemark.operators import composites, features, trend, volatility
+from tidemark.operators import alerts, composites, features, holders, trend, volatility
 from tidemark.plans import views as V
+from tidemark.session import cut_lineage
 
 
 def plan(df):
@@ -39,3 +42,21 @@ def test_tail_limits_before_the_shuffle(spark, sf):
 
 def test_bars_combine_before_the_shuffle(spark, sf):
     assert "partial_max" in plan(V.bars(spark, sf)).split("Exchange hashpartitioning")[1]
+
+
+def test_detections_and_holders_scan_once(spark, sf):
+    flows, held = V.flows(spark, sf), V.holders(spark, sf).withColumn("pct_held", F.col("shares"))
+
+    def scans(df):
+        return plan(df).count("FileScan")
+
+    one = scans(flows)
+    near = alerts._recent(flows, 60, 20, "net_flow", "time", *alerts._scored("_f", "net_flow", 60), *alerts._sides(5, "net_flow"))
+    assert scans(near) == one and "WindowGroupLimit" in plan(near)
+    assert plan(near).count("Sort [") <= 3  # one for the window and its group limit, the rest for the merge of the view
+    assert scans(alerts.run_all(flows, flows)) == 0 and scans(alerts.correlated_flows(flows)) == 0  # all read the checkpoint
+    base = scans(held)
+    snaps = holders.snapshot(held)
+    assert scans(snaps) == base
+    assert scans(holders.holder_diff(held, snapshots=cut_lineage(snaps))) == base
+    assert scans(holders.smart_money(held)) == 0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import series as S
 from tidemark.functions.stats import attach
+from tidemark.session import cut_lineage
 
 # Names that mark a holder as notable.
 NOTABLE = [
@@ -24,30 +25,31 @@ def top_holders(df: DataFrame, n: int = 20) -> DataFrame:
 
 
 def snapshot(df: DataFrame) -> DataFrame:
-    """Totals, holder count, top-20 list and top-10 share of each snapshot."""
-    totals = df.groupBy(*SNAP).agg(
-        F.sum("shares").alias("total_shares"), F.sum("pct_held").alias("total_pct"),
-        F.count(F.lit(1)).alias("num_holders"))
-    tops = top_holders(df, 20).groupBy(*SNAP).agg(
-        F.sum(F.when(F.col("rank") <= 10, F.col("shares"))).alias("_top10"),
-        F.array_sort(F.collect_list(F.struct("rank", "name", "shares"))).alias("_list"))
+    """Totals, holder count, top-20 list and top-10 share of each snapshot, in one pass."""
+    rank = F.row_number().over(Window.partitionBy(*SNAP).orderBy(F.col("shares").desc(), "name"))
     return (
-        attach(totals, tops, SNAP)
+        df.withColumn("rank", rank).groupBy(*SNAP).agg(
+            F.sum("shares").alias("total_shares"), F.sum("pct_held").alias("total_pct"), F.count(F.lit(1)).alias("num_holders"),
+            F.sum(F.when(F.col("rank") <= 10, F.col("shares"))).alias("_top10"),
+            F.array_sort(F.collect_list(F.when(F.col("rank") <= 20, F.struct("rank", "name")))).alias("_list"))
         .withColumn("concentration", F.col("_top10") / (F.col("total_shares") + 1e-10) * 100)
         .withColumn("top_holders", F.transform("_list", lambda x: x["name"]))
         .drop("_top10", "_list")
     )
 
 
-def holder_diff(df: DataFrame, notable=tuple(NOTABLE)) -> DataFrame:
-    """Changes of each holder against the previous snapshot's top 20."""
-    dates = df.select(*SNAP).distinct()
-    w = Window.partitionBy("symbol").orderBy("report_date")
-    steps = dates.withColumn("prev_date", F.lag("report_date").over(w)).where(F.col("prev_date").isNotNull())
-    prev = top_holders(df, 20).select(
-        "symbol", F.col("report_date").alias("prev_date"), "name", F.col("shares").alias("prev_shares"))
-    now = df.join(steps, list(SNAP))
-    joined = now.join(prev, ["symbol", "prev_date", "name"], "left")
+def holder_diff(df: DataFrame, notable=tuple(NOTABLE), snapshots: DataFrame | None = None) -> DataFrame:
+    """Changes of each holder against the previous snapshot's top 20.
+
+    Snapshots of a symbol are numbered, and a holder's row looks one number back among its own rows, so nothing is joined
+    but the numbers. ``snapshots``, if at hand, gives the dates without another scan.
+    """
+    dates = (df if snapshots is None else snapshots).select(*SNAP).distinct()
+    steps = dates.withColumn("_step", F.row_number().over(Window.partitionBy("symbol").orderBy("report_date")).cast("long"))
+    rank = F.row_number().over(Window.partitionBy(*SNAP).orderBy(F.col("shares").desc(), "name"))
+    before = Window.partitionBy("symbol", "name").orderBy("_step").rangeBetween(-1, -1)
+    joined = df.withColumn("_rank", rank).join(steps, list(SNAP)).withColumn(
+        "prev_shares", F.max(F.when(F.col("_rank") <= 20, F.col("shares"))).over(before)).where(F.col("_step") > 1)
     is_new = F.col("prev_shares").isNull()
     name = F.lower("name")
     known = F.exists(F.array(*[F.lit(n.lower()) for n in notable]), lambda n: F.contains(name, n))
@@ -85,6 +87,12 @@ def recent_changes(changes: DataFrame, asof, days: int = 90, symbol: str | None
     return out.orderBy(F.col("report_date").desc())
 
 
+def smart_money(df: DataFrame, notable=tuple(NOTABLE)) -> DataFrame:
+    """``smart_money_flow`` from the positions: they are read once for the snapshots and once for the changes."""
+    snapshots = cut_lineage(snapshot(df))
+    return smart_money_flow(cut_lineage(holder_diff(df, notable, snapshots)), snapshots)
+
+
 def smart_money_flow(changes: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Direction of all recorded changes and the first five notable moves each way."""
     net = changes.groupBy("symbol").agg(F.sum("change_shares").alias("_net"))

@@ -140,6 +140,50 @@ def pair_correlation(df: DataFrame, col: str, by: str = "symbol", on: str = "tim
     return total.select("a", "b", "n", F.when(moves, S.ratio(cov, F.sqrt(va * vb))).alias("correlation"))
 
 
+def vector_pairs(df: DataFrame, limit: float, by: str = "symbol", groups: int = 16) -> DataFrame:
+    """Pairs whose vectors ``_v`` (one length, nulls allowed) correlate beyond ``limit`` either way over their shared places.
+
+    Vectors are whole in a row, so a pair of groups is complete in its task: it multiplies them ``TILE`` by ``TILE`` and
+    sends the pairs found only. More ``groups`` make smaller tasks for more symbols; each vector is sent once per group.
+    """
+    df = df.where(F.col(by).isNotNull()).withColumn("_g", F.pmod(F.xxhash64(by), F.lit(groups)))
+    tiles = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda h: F.struct(F.least("_g", h).alias("i"), F.greatest("_g", h).alias("j")))
+    dealt = df.select(by, "_v", "_g", F.inline(tiles))
+
+    def found(pdf):
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        pdf = pdf.sort_values(by)
+        x = np.array([[np.nan if v is None else v for v in row] for row in pdf["_v"]], dtype=float).reshape(len(pdf), -1)
+        seen = ~np.isnan(x)
+        rows = np.maximum(seen.sum(1, keepdims=True), 1)
+        x = np.where(seen, x, 0.0)
+        x = np.where(seen, x - x.sum(1, keepdims=True) / rows, 0.0)  # centred values keep their digits
+        m, names, group = seen.astype(float), pdf[by].to_numpy(dtype=object), pdf["_g"].to_numpy()
+        out = []
+        left, right = np.nonzero(group == i)[0], np.nonzero(group == j)[0]
+        for p in range(0, len(left), TILE):
+            for q in range(0, len(right), TILE):
+                l, r = left[p:p + TILE], right[q:q + TILE]
+                n = m[l] @ m[r].T
+                k = np.maximum(n, 1)
+                sa, sb = x[l] @ m[r].T / k, m[l] @ x[r].T / k
+                aa, bb = (x[l] ** 2) @ m[r].T / k, m[l] @ (x[r] ** 2).T / k
+                va, vb, cov = aa - sa ** 2, bb - sb ** 2, x[l] @ x[r].T / k - sa * sb
+                # as in pair_correlation, a variance counts from a share of the mean square on
+                c = np.where((va > aa * 1e-14) & (vb > bb * 1e-14), cov / np.sqrt(np.maximum(va * vb, 1e-300)), 0.0)
+                hit = np.abs(c) > limit
+                hit &= (names[l][:, None] < names[r][None, :]) if i == j else True
+                a, b = np.nonzero(hit)
+                one, two = names[l][a], names[r][b]
+                swap = one > two
+                out.append((np.where(swap, two, one), np.where(swap, one, two), n[a, b], c[a, b]))
+        a, b, n, c = (np.concatenate(col) for col in zip(*out)) if out else ([], [], [], [])
+        return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object), "n": np.asarray(n, dtype="int64"),
+                             "correlation": np.asarray(c, dtype=float)})
+
+    return dealt.groupBy("i", "j").applyInPandas(found, "a string, b string, n long, correlation double")
+
+
 def corr_matrix(df: DataFrame, symbols: list[str], col: str = "close", by: str = "symbol",
                 on: str = "time") -> DataFrame:
     """All-pairs correlation over the times at which every listed symbol has a row."""

@@ -182,7 +182,7 @@ nt AS (SELECT symbol, sum(change_shares) AS net FROM chg GROUP BY symbol), la AS
     sql="""SELECT symbol, CASE WHEN k < 2 THEN 'unknown' WHEN coalesce(net, 0) > 0 THEN 'increasing' WHEN coalesce(net, 0) < 0 THEN 'decreasing' ELSE 'stable' END AS direction,
   coalesce(net, 0) AS net_change_shares, c AS current_concentration, n AS num_holders, coalesce(up, []) AS notable_increases, coalesce(down, []) AS notable_decreases
   FROM la LEFT JOIN nt USING (symbol) LEFT JOIN mn USING (symbol)""",
-)(lambda s, d: H.smart_money_flow(H.holder_diff(_hold(s, d), NOTE), H.snapshot(_hold(s, d))))
+)(lambda s, d: H.smart_money(_hold(s, d), NOTE))
 
 # --- costs -------------------------------------------------------------------------------
 COST = CALLS + """, pr AS (SELECT * FROM (VALUES ('gpt-4o', 2.5, 10.0), ('gpt-4o-mini', 0.15, 0.6), ('gpt-4-turbo', 10.0, 30.0), ('gpt-3.5-turbo', 0.5, 1.5)) v(model, i, o)),

@@ -81,10 +81,16 @@ CFX = """SELECT 'correlated_flow' AS alert_type, 'medium' AS severity, concat(a,
   FROM cr JOIN fv fa ON fa.symbol = a JOIN fv fb ON fb.symbol = b WHERE abs(c) > 0.8 AND abs(fa.f) > 10000 AND abs(fb.f) > 10000"""
 query("d10_correlated_flows", COLS, dp=2, ctes=FLOWS + "," + CF, sql=CFX)(lambda s, d: A.correlated_flows(V.flows(s, d), floor=10000.0))
 VAX = "SELECT 'unusual_volume' AS alert_type, CASE WHEN (v - m) / s > 3.5 THEN 'high' ELSE 'medium' END AS severity, symbol, concat('Unusual Volume - ', symbol) AS title, v AS value, m + 2.5 * s AS threshold FROM zv WHERE n >= 20 AND s > 0 AND (v - m) / s > 2.5"
+
+
+def _detections(flows):
+    return A.run_all(flows, flows, reversal_floor=1000.0, pair_floor=10000.0)
+
+
 query(
     "d11_run_all_detections", COLS, dp=2, ctes=LF + "," + RV + "," + CF + "," + ZS.format(c="volume", t="flows", n=20).replace("zs AS", "zv AS"),
     sql=" UNION ALL ".join([LFX.format(z=2.0), RVX, CFX, VAX]),
-)(lambda s, d: A.run_all(V.flows(s, d), V.flows(s, d), reversal_floor=1000.0, pair_floor=10000.0))
+)(lambda s, d: _detections(V.flows(s, d)))
 
 ALERTS = "al AS (SELECT event_id AS alert_id, event_type AS symbol, ['low','medium','high'][CAST(event_id % 3 AS INT) + 1] AS severity, CAST(ts AS TIMESTAMP) AS time, event_id % 4 = 0 AS is_read FROM events)"
 
