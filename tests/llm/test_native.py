@@ -1,12 +1,15 @@
 """Quality rules, url filters, chat formatting, sharding and mixing: edge rows and brute force."""
 
 import hashlib
+import math
+import struct
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
 import duckdb
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat, mixing, quality, shards, urls
@@ -127,6 +130,42 @@ def test_shards(spark):
     assert shards.shard_documents(frame.limit(0), 8).count() == 0
 
 
+def test_shards_by_plain_hashing(spark):
+    """Every shard, slot block and moved record computed anew from the hashes."""
+
+    def h(number, text):
+        first = xxhash.xxh64_intdigest(struct.pack("<i", number), 42)
+        value = xxhash.xxh64_intdigest(text.encode(), first)
+        return value - (1 << 64) if value >> 63 else value
+
+    def best(text, n):
+        return max(range(n), key=lambda i: (h(i, text), -i))
+
+    rows = [(i * 37 - 500, f"t{i}") for i in range(600)] + [(None, "x"), (None, None), (11, "again"), (11, "again")]
+    got = shards.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 12).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        key = "" if r["doc_id"] is None else str(r["doc_id"])
+        assert (r["shard"], r["grown_shard"], r["law"]) == (best(key, 12), best(key, 13), "key")
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    weights = [1.0, 2.5, 0.5]
+
+    def score(text, i):
+        u = (((h(i, text) % (1 << 64)) >> 11) + 0.5) / (1 << 53)
+        return math.log(u) / weights[i]
+
+    clear = 0
+    for r in shards.shard(spark.createDataFrame(rows[:600], "doc_id long, text string"), weights).collect():
+        scores = sorted((score(str(r["doc_id"]), i), i) for i in range(3))
+        if scores[2][0] - scores[1][0] > 1e-12:  # logarithms may differ in the last digit
+            assert r["shard"] == scores[2][1]
+            clear += 1
+    assert clear > 590
+
+
 def water(sizes, weights, cap=3):
     total, open_, out = sum(sizes), set(range(len(sizes))), [0.0] * len(sizes)
     left = total
