@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import series as S
@@ -66,15 +66,16 @@ def corr_with(df: DataFrame, ref: str, col: str = "close", by: str = "symbol", o
               min_rows: int = 10, dp: int | None = 4) -> DataFrame:
     """Correlation of every symbol's price level with the reference symbol's.
 
-    Joining needs no knowledge of key sizes: the join key is the time, so a huge
-    symbol spreads over all tasks, and the correlation combines on the map side.
+    The reference's price comes from the rows of the same time, so the table is read once; a symbol has one row per time.
+    A huge symbol spreads over all tasks, since rows are sent by time, and the correlation combines on the map side.
     """
-    gold = df.where(F.col(by) == ref).select(on, F.col(col).alias("_ref"))
+    here = F.max(F.when(F.col(by) == ref, F.col(col))).over(Window.partitionBy(on))
+    known = F.max((F.col(by) == ref).cast("int")).over(Window.partitionBy(on))
     value = safe_corr(F.col(col), F.col("_ref"))
     if dp is not None:
         value = F.round(value, dp)
     return (
-        df.join(gold, on)
+        df.select(by, on, col).where(F.col(on).isNotNull()).withColumns({"_ref": here, "_known": known}).where("_known = 1")
         .groupBy(by)
         .agg(F.count(F.lit(1)).alias("n"), value.alias("_c"))
         .select(by, "n", F.when(F.col("n") >= min_rows, F.col("_c")).alias("correlation"))

@@ -17,6 +17,7 @@ from tidemark.plans.feature_queries import hourly_returns
 from tidemark.plans.registry import query
 from tidemark.plans.sqlparts import TR, avg, chg, gains, lag, rsi, sd, win
 from tidemark.plans.views import BARS, DAILY, FLOWS
+from tidemark.session import cut_lineage
 
 PT = "PARTITION BY symbol ORDER BY time"
 # --- signals ---------------------------------------------------------------------------
@@ -134,7 +135,7 @@ def _quotes(s, d):
 def _joined(s, d):
     kinds = [("r1", A.BREAKOUT, "above"), ("r2", A.PERCENT, "both"), ("r3", A.DIVERGENCE, None), ("r4", A.RSI, None),
              ("r5", A.BREAKOUT, "below")]
-    q = _quotes(s, d)
+    q = cut_lineage(_quotes(s, d))  # a row per symbol, read for the quotes and for the reference
     each = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.lit(t).alias("type"), F.lit(w).cast("string").alias("direction")) for r, t, w in kinds])
     none = F.lit(None).cast("double")
     rules = V.table(s, d, "part").select(F.col("p_brand").alias("symbol")).distinct().withColumn("_r", F.explode(each)).select(

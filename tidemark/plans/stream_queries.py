@@ -223,6 +223,12 @@ both(
 query("r10_stream_dedupe", "| | client symbols", sql="SELECT user_id AS client, count(DISTINCT event_type) AS symbols FROM events GROUP BY 1")(
     lambda s, d: played(s, d, lambda x: SF.dedupe_stream(_ticks(x), ["client", "symbol"]), "r10", late=True)
     .groupBy("client").agg(F.count(F.lit(1)).alias("symbols")))
+both(
+    "r10_first_of_key", "event_id client symbol",
+    lambda s, d: apply_table(_ticks(V.table(s, d, "events")), SR.first_of_key(), ["client", "symbol"], ["event_id", "client", "symbol"], ORDER),
+    lambda s, d: played(s, d, lambda x: apply_stream(_ticks(x), SR.first_of_key(), ["client", "symbol"], ["event_id", "client", "symbol"], ORDER), "r10f"),
+    "SELECT event_id, user_id AS client, event_type AS symbol FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1", ctes="",
+)
 
 
 def _upserted(s, d):

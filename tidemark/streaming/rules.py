@@ -176,3 +176,12 @@ def requests_in_window(df: DataFrame, seconds: int = 60, by=("client",), time: s
     w = Window.partitionBy(*by, "_part").orderBy(at).rangeBetween(-(span - 1), 0)
     counted = rows.withColumn("recent", F.count(F.lit(1)).over(w))
     return counted.where(F.col("_part") == F.col("_home")).drop("_home", "_part")
+
+
+def first_of_key(order: str = "time") -> Rule:
+    """Passes the first row of a key. On a stream the first in the declared order of the rows that come together."""
+
+    def step(seen, _):
+        return True, (None if seen else ())
+
+    return Rule(lambda: False, step, (order,), ())
