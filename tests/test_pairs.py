@@ -36,3 +36,13 @@ def test_vector_pairs(spark, monkeypatch, groups):
 def test_vector_pairs_of_nothing(spark):
     df = spark.createDataFrame([], "symbol string, _v array<double>")
     assert pairs.vector_pairs(df, 0.5).count() == 0
+
+
+def test_partial_sums_stay_below_the_rows():
+    for rows, symbols in [(10**6, 20), (10**9, 700), (10**9, 5_000), (10**12, 100_000), (10**12, 30)]:
+        blocks, groups = pairs.pair_layout(rows, symbols)
+        tiles = groups * (groups + 1) // 2
+        per_group = -(-symbols // groups)
+        sent = blocks * (groups * per_group * (per_group - 1) // 2 + (tiles - groups) * per_group**2)
+        assert blocks == 1 or sent <= rows * groups
+        assert rows * min(1.0, 2 / groups) / blocks <= pairs.PAIR_ROWS

@@ -83,7 +83,14 @@ def corr_with(df: DataFrame, ref: str, col: str = "close", by: str = "symbol", o
 
 
 PAIR_ROWS = 500_000
-TILE = 1_000
+TILE = 700  # a block of PAIR_ROWS rows sends TILE * TILE pairs at most, so fewer rows than it reads
+
+
+def pair_layout(rows: int, symbols: int, block_rows: int = PAIR_ROWS, tile: int = TILE) -> tuple[int, int]:
+    """(blocks of times, groups of symbols): two groups of symbols meet in blocks of about ``block_rows`` of their rows, however
+    many symbols there are, so what is sent never outgrows the rows that the groups are dealt."""
+    groups = max(1, math.ceil(symbols / tile))
+    return max(1, math.ceil(rows * min(1.0, 2 / groups) / block_rows)), groups
 
 
 def pair_correlation(df: DataFrame, col: str, by: str = "symbol", on: str = "time", block_rows: int = PAIR_ROWS,
@@ -96,7 +103,7 @@ def pair_correlation(df: DataFrame, col: str, by: str = "symbol", on: str = "tim
     """
     rows = df.where(F.col(col).isNotNull()).select(by, on, F.col(col).cast("double").alias("_x"))
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(by).alias("k")).first()
-    blocks, groups = max(1, math.ceil(size["n"] / block_rows)), max(1, math.ceil(size["k"] / tile))
+    blocks, groups = pair_layout(size["n"], size["k"], block_rows, tile)
     # correlation does not change with a shift; centred values keep their digits
     mean = rows.groupBy(by).agg(F.avg("_x").alias("_m"))
     rows = S.join_null_safe(rows, mean, [by]).withColumn("_x", F.col("_x") - F.col("_m")).drop("_m")
