@@ -242,17 +242,14 @@ def test_packing(spark):
 
 
 def test_pipeline(spark, sf):
-    from tests.llm.test_native import measures
+    from tests.llm.test_native import rejected
 
     frame = spark.read.parquet(f"{sf}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
     kept = stages["quality_rules"](spark, frame, sf)
     passed = {r["doc_id"] for r in kept.collect()}
     for r in frame.collect():
-        n, chars, symbols, dup, repeat = measures(r["text"])
-        lines = len([x for x in (r["text"] or "").split("\n") if words(x)])
-        fails = n < 20 or 100 * repeat > 30 * n or chars < 2 * n or chars > 15 * n or 5 * symbols > n or 2 * dup > lines
-        assert fails == (r["doc_id"] not in passed)
+        assert rejected(r["text"]) == (r["doc_id"] not in passed)
     rows = kept.collect()
     one = stages["simhash_near_dedup"](spark, kept, sf)
     ids = [r["doc_id"] for r in rows]

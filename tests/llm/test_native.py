@@ -9,13 +9,15 @@ from fractions import Fraction
 
 import duckdb
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat, mixing, quality, shards, urls
 
 TEXTS = [None, "", "   \n\t ", "one", "a b c d e f g h " * 40, "x " * 5000, "w" * 20000, "\n".join(["the same line"] * 30),
-         " ".join(f"w{i}" for i in range(25)), "$$ ## " * 30, "éß漢 " * 30, "dup dup", "dup dup"]
+         " ".join(f"w{i}" for i in range(25)), "$$ ## " * 30, " ".join(f"--{i}--..??" for i in range(30)),
+         " ".join(f"de la{'' if i % 3 else i} {i}x" for i in range(60)), " ".join(f"an {i}th an {i}nd" for i in range(40)), "éß漢 " * 30, "dup dup", "dup dup"]
 
 
 def docs(spark, texts=TEXTS):
@@ -44,19 +46,42 @@ def measures(t):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(covered)
 
 
+def rejected(t):
+    """Whether any rule rejects a text, from the plain measures."""
+    n, chars, symbols, dup, repeat = measures(t)
+    lines = len([x for x in (t or "").split("\n") if words(x)])
+    letters = len(regex.findall(r"[\p{L}\p{M}\p{N}]", t or ""))
+    top = max(Counter(words(t)).values(), default=0)
+    return (n < 20 or 100 * repeat > 30 * n or chars < 2 * n or chars > 15 * n or 5 * symbols > n or 2 * dup > lines
+            or 2 * letters < chars or 5 * top > 2 * n)
+
+
 def test_quality_measures_and_order(spark):
     got = {r["doc_id"]: r for r in quality.measured(docs(spark)).collect()}
     for i, t in enumerate(TEXTS):
         n = measures(t)
         assert tuple(got[i])[1:6] == n
         assert got[i]["base_failed"] == (n[0] < 20 or 100 * n[4] > 30 * n[0])
-        assert not (got[i]["kept"] and got[i]["base_failed"])
+        assert got[i]["kept"] != rejected(t)
     kept = {r["doc_id"] for r in got.values() if r["kept"]}
     for figures in ([(r.name, 1.0, 0.1 * i) for i, r in enumerate(quality.RULES)], [(r.name, 1.0, -0.1 * i) for i, r in enumerate(quality.RULES)]):
         out = quality.quality_filter(docs(spark), figures=figures)
         assert out.columns == docs(spark).columns
         assert {r["doc_id"] for r in out.collect()} == kept
     assert quality.measured(docs(spark, [])).count() == 0
+    assert {c for _, c, _ in quality.estimate(docs(spark, []))} == {0.0}
+
+
+def test_rejected_documents_are_not_measured_further(spark):
+    """Short circuit: the measures of later rules are null once a rule has rejected, in the report's cascade too."""
+    figures = [(r.name, 1.0, 0.9 - 0.1 * i) for i, r in enumerate(quality.RULES)]
+    for always in ((), quality.REPORTED):
+        out = quality.cascade(docs(spark), figures=figures, always=always).collect()
+        assert {r["__q_rejected_by"] for r in out} >= {None, "few_words", "repeated_words"}
+        for r in out:
+            assert (r["__q_top_word"] is None) == (r["__q_rejected_by"] not in (None, "one_word"))
+            assert (r["__q_n_letters"] is None) == (r["__q_rejected_by"] not in (None, "one_word", "few_letters"))
+            assert not always or all(r[f"__q_{m}"] is not None for m in always)
 
 
 def test_url_cascade_is_exact(spark):

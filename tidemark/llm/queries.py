@@ -31,17 +31,18 @@ OP1_SQL = r"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS ls FROM documents),
 m AS (SELECT doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-    len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, ws FROM w),
+    len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, ws,
+    length(regexp_replace(t, '[^\p{L}\p{M}\p{N}]', '', 'g')) AS n_letters, coalesce(list_max(map_values(list_aggregate(ws, 'histogram'))), 0) AS top_word FROM w),
 p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM m WHERE len(ws) > 8),
 h AS (SELECT doc_id, i, array_to_string(ws[i : i + 7], ' ') AS x FROM p),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM h) z WHERE n > 1),
 g AS (SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS k FROM r),
 c AS (SELECT doc_id, CAST(sum(k) AS BIGINT) AS n_repeat_words FROM g GROUP BY 1),
-a AS (SELECT m.doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM m LEFT JOIN c USING (doc_id))
+a AS (SELECT m.doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_letters, top_word, coalesce(n_repeat_words, 0) AS n_repeat_words FROM m LEFT JOIN c USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
     NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
-         OR 5 * n_symbols > n_words OR 2 * n_dup_lines > n_lines) AS kept FROM a"""
+         OR 5 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR 2 * n_letters < word_chars OR 5 * top_word > 2 * n_words) AS kept FROM a"""
 
 
 @_query("op1_quality_rules", OP1_SQL)
