@@ -1,5 +1,7 @@
 """Block-wise nearest vectors against brute force, and the plan they have."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -51,3 +53,20 @@ def test_nearest_runs_no_job_before_its_plan_does(spark, sf):
         assert "BroadcastNestedLoopJoin BuildRight" in plan and "CartesianProduct" not in plan
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_distances_and_weights_have_the_doubles_of_the_sql(spark):
+    """Scores of the diverse selection tie by nature, so the last bits decide what is picked."""
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(300, 64)).astype("float32").astype(float), rng.normal(size=(300, 64)).round(6)
+    got, want = RT._distances(a, b, "l2"), []
+    for x, y in zip((a - b).tolist(), range(300)):
+        total = 0.0
+        for v in x:
+            total = math.fma(v, v, total)
+        want.append(math.pow(math.sqrt(total), 2.0))
+    assert got.tolist() == want
+    x = [-k / 30 for k in range(400)] + [float("nan"), -800.0]
+    rows = spark.createDataFrame(list(enumerate(x)), "i long, x double").select("i", RT._exp(F.col("x")).alias("e")).collect()
+    e = [r["e"] for r in sorted(rows, key=lambda r: r["i"])]
+    assert e[:400] == [math.exp(v) for v in x[:400]] and (e[400] is None or e[400] != e[400]) and e[401] == 0.0

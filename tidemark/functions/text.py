@@ -188,11 +188,11 @@ def robust_json(text: Column) -> Column:
     return F.coalesce(valid(text), valid(F.when(fenced != "", fenced)), valid(braces))
 
 
-def time_decay(ts: Column, asof, days: float = 30.0) -> Column:
-    """exp(-whole days of age / days); 0.5 for text that is no timestamp."""
+def time_decay(ts: Column, asof, days: float = 30.0, exp=F.exp) -> Column:
+    """exp(-whole days of age / days); 0.5 for text that is no timestamp. ``exp`` may be a closer one than the JVM's."""
     when = F.try_to_timestamp(ts.cast("string"))
     age = F.floor((F.unix_seconds(F.lit(asof).cast("timestamp")) - F.unix_seconds(when)) / 86400)
-    return F.coalesce(F.exp(-age / F.lit(float(days))), F.lit(0.5))
+    return F.coalesce(exp(-age / F.lit(float(days))), F.lit(0.5))
 
 
 def mask(value: Column, n: int = 4) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -49,10 +51,25 @@ def _query_blocks(queries: DataFrame, key: str, vec: str) -> tuple[DataFrame, Co
     return held.mapInPandas(pack, f"g int, ids array<{_kind(queries, key)}>, points binary"), blocks
 
 
+def _fused_square(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """x * x + c rounded once: the errors of the product and of the sum are added last."""
+    p = x * x
+    t = 134217729.0 * x
+    hi = t - (t - x)
+    lo = x - hi
+    s = p + c
+    z = s - p
+    return s + (((p - (s - z)) + (c - z)) + (((hi * hi - p) + 2 * hi * lo) + lo * lo))
+
+
 def _distances(stored: np.ndarray, points: np.ndarray, metric: str) -> np.ndarray:
-    """Distance of the vectors in the same row."""
+    """Distance of the vectors in the same row. The squared one is the square of the root of fused sums in the order of the
+    dimensions, which are the doubles of the SQL: scores of ``mmr`` tie by nature, and the last bit decides."""
     if metric == "l2":
-        return ((stored - points) ** 2).sum(axis=1)
+        apart, total = (stored - points).T, np.zeros(len(stored))
+        for x in apart:
+            total = _fused_square(x, total)
+        return np.array([math.pow(r, 2.0) for r in np.sqrt(total).tolist()], dtype=float)
     norm = np.linalg.norm(stored, axis=1) * np.linalg.norm(points, axis=1)
     return 1 - (stored * points).sum(axis=1) / np.where(norm == 0, np.nan, norm)
 
@@ -112,10 +129,19 @@ def candidates(n: int, cap: int) -> int:
     return min(2 * n, cap)
 
 
+def _exp(x: Column) -> Column:
+    """The C library's exponential. The JVM's differs from it in the last bit of every tenth value, and ``mmr`` ties on last bits."""
+
+    def each(values: pd.Series) -> pd.Series:
+        return pd.Series([math.exp(v) if v < 709 else float(np.exp(v)) for v in values], dtype=float)
+
+    return F.pandas_udf(each, "double")(x)
+
+
 def decay_rerank(found: DataFrame, ts: Column, asof, days: float, query_key: str = "query_id", key: str = "vec_id"):
     """Distance divided by the age weight + 0.1; ranked again. 30 days for reports, 7 for news."""
     out = found.withColumnRenamed("distance", "original_distance")
-    weight = X.time_decay(ts, asof, days)
+    weight = X.time_decay(ts, asof, days, _exp)
     out = out.withColumn("distance", F.col("original_distance") / (weight + 0.1))
     w = Window.partitionBy(query_key).orderBy("distance", key)
     return out.withColumn("rank", F.row_number().over(w))
