@@ -249,3 +249,13 @@ def test_cooldown_by_jumps(spark, seconds):
             want.add(i)
     assert sorted(r["event_id"] for r in got.collect()) == sorted(want)
     assert SR.cooldown_table(SR.with_periods(frame.limit(0), {"x": 5}), ["symbol"]).count() == 0
+
+
+def test_equal_prices_are_no_trend(spark):
+    """Means of 5 and of 20 equal prices differ by their rounding only: no side, no deviation."""
+    rows = [(i, p, datetime(2024, 1, 1) + timedelta(minutes=i), price) for p in range(40) for i, price in enumerate([76.13 + 0.37 * p] * 30)]
+    t = spark.createDataFrame(rows, "event_id long, symbol long, time timestamp, price double")
+    rule = apply_table(t, SR.price_features(), ["symbol"], ["event_id", "symbol"], ORDER)
+    for got in (rule, SR.price_features_table(t, order=tuple(ORDER)), SR.price_features_table(t, order=tuple(ORDER), block_rows=25)):
+        seen = {(r["signal"], r["volatility"]) for r in got.select("signal", "volatility").collect()}
+        assert seen == {(None, 0.0), ("bearish", 0.0)}

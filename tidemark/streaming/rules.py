@@ -23,9 +23,10 @@ def price_features(n: int = 20) -> Rule:
         p = np.array(buffer)
         short = float(p[-5:].mean())
         wide = len(p) >= 5
+        flat = p.min() == p.max()  # means of equal prices differ by their rounding only
         full = float(p.mean()) if len(p) >= n else None
-        side = None if full is None else ("bullish" if short > full else "bearish")
-        return buffer, ((p[-1] / p[-2] - 1) * 100, short, float(p.std()) if wide else 0.0,
+        side = None if full is None else ("bullish" if short > full and not flat else "bearish")
+        return buffer, ((p[-1] / p[-2] - 1) * 100, short, float(p.std()) if wide and not flat else 0.0,
                         float(p[-1] - p[0]) if wide else 0.0, full, side)
 
     return Rule(list, step, ("price",), (
@@ -39,13 +40,14 @@ def price_features_table(s: Series, n: int = 20) -> Series:
     frame, short = s.rows(n), s.rows(5)
     s = s.add(_x_n=F.count("price").over(frame), returns=S.change(s, "price") * 100,
               ma_short=F.avg("price").over(short), _x_mean=F.avg("price").over(frame),
-              _x_sd=F.stddev_pop("price").over(frame), _x_first=F.first("price").over(frame))
+              _x_sd=F.stddev_pop("price").over(frame), _x_first=F.first("price").over(frame),
+              _x_flat=F.min("price").over(frame) == F.max("price").over(frame))
     wide, full = F.col("_x_n") >= 5, F.col("_x_n") >= n
     s = s.add(
-        volatility=F.when(wide, F.col("_x_sd")).otherwise(0.0),
+        volatility=F.when(wide & ~F.col("_x_flat"), F.col("_x_sd")).otherwise(0.0),
         momentum=F.when(wide, F.col("price") - F.col("_x_first")).otherwise(0.0),
         ma_long=F.when(full, F.col("_x_mean")),
-        signal=F.when(full, F.when(F.col("ma_short") > F.col("_x_mean"), "bullish").otherwise("bearish")))
+        signal=F.when(full, F.when((F.col("ma_short") > F.col("_x_mean")) & ~F.col("_x_flat"), "bullish").otherwise("bearish")))
     return s.with_df(s.df.where("_x_n >= 2"))
 
 
