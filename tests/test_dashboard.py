@@ -99,3 +99,52 @@ def test_state_holds_sums_only():
     out = list(_summed(["symbol"])(iter([pdf] * 20)))
     assert sum(len(x) for x in out) == 20
     assert all(len(x["last"].iloc[0]) == 10 and x["n"].iloc[0] == n for x in out)
+
+
+def test_a_key_has_one_timer_and_an_entry_per_day():
+    """1,000 steps of a key in one micro-batch: calls of the state follow the days, not the steps."""
+    from tests.test_streams import Store
+    from tidemark.streaming.dashboard import DashboardProcessor
+
+    values, timers = {}, set()
+
+    class Value:
+        def __init__(self, name):
+            self.name = name
+
+        def exists(self):
+            return self.name in values
+
+        def get(self):
+            return values[self.name]
+
+        def update(self, v):
+            values[self.name] = v
+
+        def clear(self):
+            values.pop(self.name, None)
+
+    store = Store()
+    store.getValueState = lambda name, schema: Value(name)
+    store.registerTimer, store.deleteTimer = timers.add, timers.discard
+    p = DashboardProcessor(["symbol"], 300, 86_400)
+    p.init(store)
+    steps = list(range(288_000, 289_000))
+    last = [[{"at": s * 300_000_000, "tie": 0, "score": 0.5, "label": 1}] for s in steps]
+    pdf = pd.DataFrame({"step": steps, "n": 1, "s": 1, "x": 0.5, "p": 1, "q": 0, "last": last})
+    assert list(p.handleInputRows(("A",), iter([pdf]), None)) == []
+    assert timers == {288_001 * 300_000} and len(store.maps["waiting"]) == 4
+
+    class Mark:
+        def __init__(self, step):
+            self.ms = step * 300_000
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    timers.clear()  # Spark takes a timer that has fired away
+    early = pd.concat(p.handleExpiredTimer(("A",), Mark(288_500), None))
+    assert len(early) == 500 and timers == {288_501 * 300_000} and len(store.maps["waiting"]) == 3
+    timers.clear()
+    rest = pd.concat(p.handleExpiredTimer(("A",), Mark(300_000), None))
+    assert len(rest) == 500 + 288 and rest["n"].max() == 288 and rest["n"].iloc[-1] == 10 and not store.maps["waiting"]

@@ -152,8 +152,8 @@ def live_dashboards(news: DataFrame, every: int = STEP, span: int = SPAN, by=("s
 
     A key is shown from its first news on at each step with news in the last ``span`` seconds, and at the first step
     without any: from there its last ten rows hold until the next news. Rows are added up per step; a step owns the ends
-    up to the next step with news, so nothing is copied to the windows it falls into, and the sliding sums see one row per
-    end, however many news a key has. Rows without a time are left out; null scores count in volumes only.
+    up to the next step with news, so nothing is copied to the windows it falls into, and the sliding sums see two rows per
+    step with news, however many news or ends a key has. Rows without a time are left out; null scores count in volumes only.
     """
     by, order = list(by), list(order)
     width = span // every
@@ -165,13 +165,6 @@ def live_dashboards(news: DataFrame, every: int = STEP, span: int = SPAN, by=("s
         F.count(F.lit(1)).alias("_n"), F.count("score").alias("_s"), F.sum("score").alias("_x"),
         F.count_if(F.col("label") == "positive").alias("_p"), F.count_if(F.col("label") == "negative").alias("_q"),
         F.max_by("_last", F.struct(*order)).alias("_last"))
-    later = F.lead("_b").over(Window.partitionBy(*by).orderBy("_b"))
-    ends = steps.withColumn("_to", F.least(F.coalesce(later, F.col("_b") + width + 1), F.col("_b") + width + 1))
-    ends = ends.withColumn("_u", F.explode(F.sequence(F.col("_b") + 1, F.col("_to"))))
-    inside = Window.partitionBy(*by).orderBy("_u").rangeBetween(-(width - 1), 0)
-    first = F.col("_u") == F.col("_b") + 1
-    sums = ends.withColumns({f"{c}w": F.coalesce(F.sum(F.when(first, F.col(c))).over(inside), F.lit(0)) for c in ("_n", "_s", "_x", "_p", "_q")})
-
     def share(name):
         return F.size(F.filter("_last", lambda r: r["label"] == name))
 
@@ -181,17 +174,35 @@ def live_dashboards(news: DataFrame, every: int = STEP, span: int = SPAN, by=("s
                                                  (a["n"] + F.when(r["score"].isNull(), 0.0).otherwise(1.0)).alias("n")),
                            lambda a: S.ratio(a["x"], a["n"]))
 
-    held, live = F.size("_last"), F.col("_nw") > 0
+    held = F.size("_last")
+    later = F.lead("_b").over(Window.partitionBy(*by).orderBy("_b"))
+    own = F.struct(F.least(F.coalesce(later, F.col("_b") + width + 1), F.col("_b") + width + 1).alias("to"), held.alias("held"), mean(F.col("_last")).alias("avg"),
+                   share("positive").alias("p"), share("negative").alias("q"),
+                   mean(F.slice("_last", F.greatest(held - 4, F.lit(1)), 5)).alias("newer"), mean(F.slice("_last", 1, 5)).alias("older"))
+    sums = ("_n", "_s", "_x", "_p", "_q")
+    steps = steps.select(*by, "_b", *sums, own.alias("_own"))
+    # figures change where a step comes in and where it leaves the span; between two such ends they stand
+    nothing = [F.lit(None).cast(steps.schema[c].dataType).alias(c) for c in (*sums, "_own")]
+    points = steps.select(*by, (F.col("_b") + 1).alias("_u"), *sums, "_own").unionByName(steps.select(*by, (F.col("_b") + width + 1).alias("_u"), *nothing))
+    points = points.groupBy(*by, "_u").agg(*[F.max(c).alias(c) for c in (*sums, "_own")])
+    w = Window.partitionBy(*by).orderBy("_u")
+    inside = w.rangeBetween(-(width - 1), 0)
+    points = points.withColumns({f"{c}w": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums} | {
+        "_own": F.last("_own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_next": F.lead("_u").over(w)})
+    live = F.col("_nw") > 0
 
     def pick(wide, last):
-        return F.when(live, F.col(wide)).otherwise(last)
-
-    n = pick("_nw", held).cast("long")
-    return sums.select(
-        *by, F.timestamp_seconds(F.col("_u") * every).alias("until"),
-        *dashboard_columns(n, F.when(live, S.ratio("_xw", "_sw")).otherwise(mean(F.col("_last"))), S.ratio(pick("_pw", share("positive")), n),
-                           S.ratio(pick("_qw", share("negative")), n), held,
-                           mean(F.slice("_last", F.greatest(held - 4, F.lit(1)), 5)), mean(F.slice("_last", 1, 5))))
+        return F.when(live, F.col(wide)).otherwise(F.col(last))
+
+    n = pick("_nw", "_own.held").cast("long")
+    figures = points.select(
+        *by, "_u", F.least(F.coalesce(F.col("_next") - 1, F.col("_own.to")), F.col("_own.to")).alias("_stop"),
+        *dashboard_columns(n, F.when(live, S.ratio("_xw", "_sw")).otherwise(F.col("_own.avg")), S.ratio(pick("_pw", "_own.p"), n),
+                           S.ratio(pick("_qw", "_own.q"), n), F.col("_own.held"), F.col("_own.newer"), F.col("_own.older")))
+    # few keys lie in few tasks; the ends are made in as many as there are
+    spread = figures.repartition(int(news.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "_u")
+    ends = spread.withColumn("_u", F.explode(F.sequence("_u", "_stop"))).withColumn("until", F.timestamp_seconds(F.col("_u") * every))
+    return ends.select(*by, "until", *[c for c in figures.columns if c not in (*by, "_u", "_stop")])
 
 
 def score_dashboard(scores: DataFrame, symbols: DataFrame, asof, days: int = 30, by: str = "symbol") -> DataFrame:
