@@ -259,3 +259,23 @@ def test_equal_prices_are_no_trend(spark):
     for got in (rule, SR.price_features_table(t, order=tuple(ORDER)), SR.price_features_table(t, order=tuple(ORDER), block_rows=25)):
         seen = {(r["signal"], r["volatility"]) for r in got.select("signal", "volatility").collect()}
         assert seen == {(None, 0.0), ("bearish", 0.0)}
+
+
+def test_keys_of_a_bucket_come_together(spark, tmp_path):
+    """Thousands of keys with few rows: a call and few state entries per bucket, each key with its own state."""
+    p, store = RuleProcessor(SR.rate_limit(2, 1e9, 9, 1e9), ["event_id", "client"], ORDER), Store()
+    p.init(store)
+    n = 4_000
+    for part in range(2):
+        pdf = pd.DataFrame({"event_id": range(2 * n), "client": [i % n for i in range(2 * n)], "epoch": [float(part)] * (2 * n), "time": pd.Timestamp("2024-01-01")})
+        pdf["rule_key"], pdf["rule_slot"] = pdf["client"].astype(str), (pdf["client"] % 16).astype("int32")
+        out = pd.concat(p.handleInputRows("bucket", iter([pdf]), None))
+        assert len(out) == 2 * n and out["allowed"].all() == (part == 0) and len(store.maps["states"]) == 16
+    rows = [(i, i % 700 if i % 11 else None, datetime(2024, 1, 1) + timedelta(seconds=i // 3)) for i in range(4_200)]
+    t = spark.createDataFrame(rows, "event_id long, client long, time timestamp")
+    come = SF.arrivals(t, F.unix_seconds("time"), 2)
+    got = SF.replay(apply_stream(SF.file_stream(spark, come.folder, t.schema), SR.first_of_key(), ["client"], ["event_id", "client"], ORDER), come=come)
+    first = {}
+    for i, client, _ in rows:
+        first.setdefault(client, i)
+    assert sorted(r["event_id"] for r in got.collect()) == sorted(first.values())

@@ -28,12 +28,16 @@ class Rule:
     outputs: tuple[tuple[str, str], ...]
 
 
-CHUNK = 50_000  # rows of a key that are held in memory before they go to the state store
+CHUNK = 50_000  # rows of a bucket that are held in memory before they go to the state store
+KEY, SLOT = "rule_key", "rule_slot"  # a leading underscore does not reach the processor
+BUCKETS, SLOTS = 256, 64  # keys share a bucket, which is one group of the stream; their states share the slots of its map
 
 
 class RuleProcessor(StatefulProcessor):
-    """Applies a rule per key, in order of time.
+    """Applies a rule per key, in order of time, to the rows of a bucket of keys.
 
+    A call per key and micro-batch costs milliseconds, so many keys with few rows come together; column ``KEY`` tells
+    them apart (without it all rows are of one key) and ``SLOT`` the entry of the map that holds a key's state.
     Rows come in runs that know no order. Up to ``chunk`` of them are sorted in memory; beyond that they go to the state
     store by ``grain`` of time, and are taken from it one grain after the other. So a key may have any number of rows
     in a micro-batch; those of one grain must fit into memory. With ``timed`` every row waits for the watermark to
@@ -46,9 +50,10 @@ class RuleProcessor(StatefulProcessor):
 
     def init(self, handle):
         self.handle = handle
-        self.state = handle.getValueState("state", "body string")
+        self.states = handle.getMapState("states", "slot int", "body string")
         self.runs = handle.getMapState("runs", "grain long", "n long")
         self.held = handle.getMapState("held", "grain long, run long", "body binary")
+        self.loaded, self.changed = {}, set()
 
     def handleInputRows(self, key, rows, timerValues):
         waiting, n = [], 0
@@ -74,6 +79,18 @@ class RuleProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         yield from self._drain(timerValues.getCurrentWatermarkInMs())
 
+    def _slot(self, slot):
+        """The states of a slot by key."""
+        if slot not in self.loaded:
+            self.loaded[slot] = json.loads(self.states.getValue((slot,))[0]) if self.states.containsKey((slot,)) else {}
+        return self.loaded[slot]
+
+    def _store(self):
+        """Before anything is given out: the bucket may be another one after that."""
+        for slot in self.changed:
+            self.states.updateValue((slot,), (json.dumps(self.loaded[slot]),))
+        self.loaded, self.changed = {}, set()
+
     def _hold(self, frames):
         pdf = pd.concat(frames)
         stamp = pd.to_datetime(pdf[self.order[0]])
@@ -100,14 +117,21 @@ class RuleProcessor(StatefulProcessor):
 
     def _run(self, pdf):
         pdf = pdf.sort_values(self.order, kind="mergesort")
-        state = json.loads(self.state.get()[0]) if self.state.exists() else self.rule.make_state()
-        emitted, made = [], []
-        for i, vals in enumerate(zip(*[pdf[c] for c in self.rule.inputs])):
-            state, out = self.rule.step(state, *vals)
+        keyed = KEY in pdf
+        keys, slots = (pdf[KEY], pdf[SLOT].tolist()) if keyed else ([""] * len(pdf), [0] * len(pdf))
+        emitted, made, now, home = [], [], {}, {}
+        for i, (key, slot, *vals) in enumerate(zip(keys, slots, *[pdf[c] for c in self.rule.inputs])):
+            if key not in now:
+                held = self._slot(slot)
+                now[key], home[key] = held[key] if key in held else self.rule.make_state(), slot
+            now[key], out = self.rule.step(now[key], *vals)
             if out is not None:
                 emitted.append(i)
                 made.append(out)
-        self.state.update((json.dumps(state),))
+        for key, state in now.items():
+            self.loaded[home[key]][key] = state
+        self.changed.update(home.values())
+        self._store()
         got = pdf.iloc[emitted][self.keep].reset_index(drop=True)
         got = got.astype({c: object for c in got if pd.api.types.is_string_dtype(got[c])})  # rows from the store come in several Arrow chunks
         for j, (name, _) in enumerate(self.rule.outputs):
@@ -130,9 +154,13 @@ def apply_stream(df: DataFrame, rule: Rule, by: Sequence[str], keep: Sequence[st
     Without ``delay`` rows count when they arrive, in order inside a micro-batch. With it they count in order of time
     (the first of ``order``, a timestamp) once the watermark has passed their ``grain`` seconds, whenever they arrived before.
     """
+    names = dict.fromkeys([*keep, *order, *rule.inputs])
+    code = F.xxhash64(*by)
+    rows = df.select(*names, F.to_json(F.array(*[F.col(c).cast("string") for c in by])).alias(KEY), F.pmod(code, F.lit(BUCKETS)).cast("int").alias("rule_bucket"),
+                     F.pmod(F.floor(code / BUCKETS), F.lit(SLOTS)).cast("int").alias(SLOT))
     if delay is not None:
-        df = df.withWatermark(order[0], delay)
-    return df.groupBy(*by).transformWithStateInPandas(
+        rows = rows.withWatermark(order[0], delay)
+    return rows.groupBy("rule_bucket").transformWithStateInPandas(
         RuleProcessor(rule, keep, order, grain, delay is not None), _schema(df, keep, rule), "Append", "None" if delay is None else "EventTime")
 
 
