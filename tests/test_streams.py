@@ -279,3 +279,17 @@ def test_keys_of_a_bucket_come_together(spark, tmp_path):
     for i, client, _ in rows:
         first.setdefault(client, i)
     assert sorted(r["event_id"] for r in got.collect()) == sorted(first.values())
+
+
+def test_a_rule_holds_its_columns_only(spark, events, monkeypatch):
+    from tidemark import series as S
+    from tidemark.streaming import stateful as ST
+
+    seen, plain, opened = [], ST.scan, S.open_series
+    monkeypatch.setattr(ST, "scan", lambda df, *a, **k: seen.append(df.columns) or plain(df, *a, **k))
+    monkeypatch.setattr(S, "open_series", lambda *a, **k: seen.append(k["block_rows"]) or opened(*a, **k))
+    t = table(spark, events)
+    got = apply_table(t, SR.cooldown(6 * 3600), ["symbol"], ["event_id", "symbol"], ORDER)
+    assert sorted(seen[0]) == ["epoch", "event_id", "symbol", "time"] and seen[1] == S.SCAN_ROWS < S.BLOCK_ROWS
+    small = apply_table(t, SR.cooldown(6 * 3600), ["symbol"], ["event_id", "symbol"], ORDER, block_rows=40)
+    equal(got, small, ["event_id"])

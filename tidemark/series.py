@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 from tidemark.session import cut_lineage, shared_folder
 
 BLOCK_ROWS = 1_000_000
+SCAN_ROWS = 250_000  # rows of a block that a rule in Python holds at once
 # Buckets are drawn finer than blocks so that busy hours still fit into a task.
 BUCKETS_PER_BLOCK = 16
 PARTS = 64  # folders of a scan's blocks
@@ -459,7 +460,8 @@ def scan(
     ``guesses`` times at most. Only states are kept until the whole way is known, so rows are written once, and a block is
     run a bounded number of times whatever the rule: the result is the sequential one.
     """
-    s = open_series(df, by, order, back=warm, max_rows=max_rows, block_rows=block_rows)
+    size = block_rows or min(SCAN_ROWS, int(df.sparkSession.conf.get("spark.tidemark.blockRows", str(BLOCK_ROWS))))
+    s = open_series(df, by, order, back=warm, max_rows=max_rows, block_rows=size)
     if not s.blocked:
         return ordered_scan(df, by, order, make_state, step, inputs, outputs)
     by, inputs, names, key_names = list(by), list(inputs), [n for n, _ in outputs], list(s.keys)

@@ -173,6 +173,7 @@ def apply_table(df: DataFrame, rule: Rule, by: Sequence[str], keep: Sequence[str
         state, out = rule.step(state, *vals)
         return state, (out is not None, *(silent if out is None else out))
 
+    df = df.select(*dict.fromkeys([*by, *keep, *order, *rule.inputs]))  # blocks are held in Python: no other columns
     scanned = scan(df, by, order, rule.make_state, step, rule.inputs,
                    [("_emitted", "boolean"), *rule.outputs], **layout)
     return scanned.where("_emitted").select(*keep, *[F.col(n) for n, _ in rule.outputs])
