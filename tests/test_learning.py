@@ -3,6 +3,8 @@
 import math
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from tidemark.operators import learning as ML
 
@@ -23,3 +25,18 @@ def test_points_are_within_their_space(spark):
 
 def test_grid():
     assert ML.grid({"a": [1, 2], "b": ["x"]}) == [{"a": 1, "b": "x"}, {"a": 2, "b": "x"}]
+
+
+def test_rows_of_a_fit_are_made_before_its_tasks(spark, monkeypatch):
+    """A task that makes all partitions of a shuffle holds their sorts and tables until its end."""
+    seen = {}
+
+    class Trees:
+        def fit(self, rows):
+            seen["plan"], seen["tasks"], seen["rows"] = rows._jdf.queryExecution().executedPlan().toString(), rows.rdd.getNumPartitions(), rows.count()
+
+    monkeypatch.setattr(ML, "_pipeline", lambda cols, estimator: Trees())
+    rows = spark.range(1000).selectExpr("id % 5 AS symbol", "CAST(id AS DOUBLE) AS x")
+    ML._fit(["x"], None, rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("symbol"))))
+    assert seen["tasks"] == 1 and seen["rows"] == 1000
+    assert "Exchange" not in seen["plan"] and "Window" not in seen["plan"]

@@ -17,14 +17,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.performance import walk_forward_splits
+from tidemark.session import cut_lineage
 
 
 ROWS_PER_TASK = 50_000
 
 
 def _fit(cols, estimator, train: DataFrame):
-    """Fit with as many tasks as the rows fill: trees run a job per level, and a job over near-empty partitions is all overhead."""
-    held = train.coalesce(max(1, math.ceil(train.count() / ROWS_PER_TASK))).persist()
+    """Fit with as many tasks as the rows fill: trees run a job per level, and a job over near-empty partitions is all overhead.
+    The rows are made before: a coalesced task would hold the sorts and tables of all partitions it makes until its end."""
+    made = cut_lineage(train)
+    held = made.coalesce(max(1, math.ceil(made.count() / ROWS_PER_TASK))).persist()
     try:
         return _pipeline(cols, estimator).fit(held)
     finally:
