@@ -251,6 +251,21 @@ def test_cooldown_by_jumps(spark, seconds):
     assert SR.cooldown_table(SR.with_periods(frame.limit(0), {"x": 5}), ["symbol"]).count() == 0
 
 
+def test_alerts_of_one_moment_are_one_row(spark, monkeypatch):
+    """Copies of a moment add nothing to the jumps, and only the first of them is let through."""
+    met, jumps = [], SR._allowed_next
+    monkeypatch.setattr(SR, "_allowed_next", lambda rows, by: met.append(rows.count()) or jumps(rows, by))
+    rows = [(c * 50 + i, "A", datetime(2024, 1, 1) + timedelta(seconds=10 * i)) for i in range(50) for c in range(40)]
+    rows += [(7, "B", datetime(2024, 1, 1))] * 2 + [(5, None, datetime(2024, 1, 1))]
+    frame = spark.createDataFrame(rows, "event_id long, symbol string, time timestamp").withColumn("alert_type", F.lit("x"))
+    alerts = SR.with_periods(frame, {"x": 25})
+    got = SR.cooldown_table(alerts, ["symbol", "alert_type"])
+    assert met == [52]
+    assert got.columns == [*alerts.columns, "fired"]
+    assert sorted(r["event_id"] for r in got.where("symbol = 'A'").collect()) == list(range(0, 50, 3))
+    assert [r["event_id"] for r in got.where("symbol = 'B' OR symbol IS NULL").orderBy("event_id").collect()] == [5, 7]
+
+
 def test_equal_prices_are_no_trend(spark):
     """Means of 5 and of 20 equal prices differ by their rounding only: no side, no deviation."""
     rows = [(i, p, datetime(2024, 1, 1) + timedelta(minutes=i), price) for p in range(40) for i, price in enumerate([76.13 + 0.37 * p] * 30)]

@@ -98,50 +98,52 @@ def with_periods(alerts: DataFrame, periods: dict[str, float], kind: str = "aler
 
 
 def _allowed_next(rows: DataFrame, by: list[str]) -> DataFrame:
-    """(by, o, nxt): for every row the first one at least its period later; o orders the rows of a key.
+    """(by, at, nxt): for every moment of a key the first one at least its period later; (by, at) is unique in ``rows``.
 
     Rows lie in stretches of one period, so the next row is in the stretch behind, found by one
     running pass per (key, stretch), or is the first row of a later one.
     """
     rows = rows.withColumn("b", F.expr("(at - pmod(at, period)) div period"))  # whole numbers, also before 1970
-    firsts = rows.groupBy(*by, "b").agg(F.min("o").alias("head"))
-    here = rows.select(*by, "b", F.col("at").alias("x"), F.lit(1).alias("k"), "o")
-    asking = rows.select(*by, (F.col("b") + 1).alias("b"), (F.col("at") + F.col("period")).alias("x"), F.lit(0).alias("k"), "o")
-    back = Window.partitionBy(*by, "b").orderBy(F.desc("x"), F.desc("k"), F.desc("o")).rowsBetween(Window.unboundedPreceding, 0)
-    found = here.unionByName(asking).withColumn("near", F.last(F.when(F.col("k") == 1, F.col("o")), ignorenulls=True).over(back)).where("k = 0")
+    firsts = rows.groupBy(*by, "b").agg(F.min("at").alias("head"))
+    here = rows.select(*by, "b", F.col("at").alias("x"), F.lit(1).alias("k"), "at")
+    asking = rows.select(*by, (F.col("b") + 1).alias("b"), (F.col("at") + F.col("period")).alias("x"), F.lit(0).alias("k"), "at")
+    back = Window.partitionBy(*by, "b").orderBy(F.desc("x"), F.desc("k"), F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
+    found = here.unionByName(asking).withColumn("near", F.last(F.when(F.col("k") == 1, F.col("at")), ignorenulls=True).over(back)).where("k = 0")
     # the stretches of a key, one row each: where the next one behind b + 1 begins
     spans = firsts.select(*by, "b", "head").unionByName(firsts.select(*by, (F.col("b") + 1).alias("b"), F.lit(None).cast(firsts.schema["head"].dataType).alias("head")))
     spans = spans.groupBy(*by, "b").agg(F.min("head").alias("head"))
     later = Window.partitionBy(*by).orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("far", F.last("head", ignorenulls=True).over(later)).select(*by, "b", "far")
-    return join_null_safe(found, spans, [*by, "b"]).select(*by, "o", F.coalesce("near", "far").alias("nxt"))
+    return join_null_safe(found, spans, [*by, "b"]).select(*by, "at", F.coalesce("near", "far").alias("nxt"))
 
 
 def cooldown_table(alerts: DataFrame, by, order=("time", "event_id")) -> DataFrame:
     """Alerts let through when the period since the last one let through is over (columns ``at`` and ``period`` as of
-    ``with_periods``; one period per key).
+    ``with_periods``; one period per key; ``order`` starts with the time that ``at`` is made of).
 
-    Every row points to the first row at least a period later, and the rows let through are those on the way from a
-    key's first row. Jumps are composed, so the way is found in as many rounds as its length has binary digits,
-    however many rows one key has.
+    Alerts of one moment wait for the same one, and only the first of them can be let through, so a moment of a key becomes
+    one row before the first shuffle. Every moment points to the first one at least a period later, and those let through
+    are on the way from a key's first one. Jumps are composed, so the way is found in as many rounds as its length has
+    binary digits, however many rows one key has.
     """
     by, order = list(by), list(order)
     held = F.col("period") > 0
-    rows = alerts.where(held).select(*by, "at", "period", F.struct("at", *order).alias("o"))
-    jumps = cut_lineage(_allowed_next(rows, by))
-    on = cut_lineage(jumps.groupBy(*by).agg(F.min("o").alias("o")))
-    # only rows that some row points to can be reached
-    reach = jumps.where("nxt is not null").select(*by, F.col("nxt").alias("o")).unionByName(on).distinct()
-    jumps = cut_lineage(join_null_safe(jumps, reach.withColumn("_in", F.lit(True)), [*by, "o"]).where("_in").drop("_in"))
+    row = F.struct(*[c for c in alerts.columns if c not in (*by, "at", "period")])
+    moments = cut_lineage(alerts.where(held).groupBy(*by, "at", "period").agg(F.min_by(row, F.struct(*order)).alias("_row")))
+    jumps = cut_lineage(_allowed_next(moments.drop("_row"), by))
+    on = cut_lineage(jumps.groupBy(*by).agg(F.min("at").alias("at")))
+    # only moments that some moment points to can be reached
+    reach = jumps.where("nxt is not null").select(*by, F.col("nxt").alias("at")).unionByName(on).distinct()
+    jumps = cut_lineage(join_null_safe(jumps, reach.withColumn("_in", F.lit(True)), [*by, "at"]).where("_in").drop("_in"))
     while True:
-        new = cut_lineage(join_null_safe(on, jumps, [*by, "o"]).where("nxt is not null").select(*by, F.col("nxt").alias("o")))
+        new = cut_lineage(join_null_safe(on, jumps, [*by, "at"]).where("nxt is not null").select(*by, F.col("nxt").alias("at")))
         if new.isEmpty():
             break
         on = cut_lineage(on.unionByName(new))
-        further = jumps.select(*by, F.col("o").alias("nxt"), F.col("nxt").alias("far"))
-        jumps = cut_lineage(join_null_safe(jumps, further, [*by, "nxt"]).select(*by, "o", F.col("far").alias("nxt")))
-    keyed = alerts.where(held).withColumn("o", F.struct("at", *order))
-    through = join_null_safe(keyed, on.withColumn("fired", F.lit(True)), [*by, "o"]).where("fired").drop("o")
+        further = jumps.select(*by, F.col("at").alias("nxt"), F.col("nxt").alias("far"))
+        jumps = cut_lineage(join_null_safe(jumps, further, [*by, "nxt"]).select(*by, "at", F.col("far").alias("nxt")))
+    through = join_null_safe(moments, on.withColumn("fired", F.lit(True)), [*by, "at"]).where("fired")
+    through = through.select("*", "_row.*").select(*alerts.columns, "fired")
     return through.unionByName(alerts.where(~held).withColumn("fired", F.lit(True)))
 
 
