@@ -241,6 +241,29 @@ def test_packing(spark):
     assert packing.pack_documents(docs(spark, []), WORD).count() == 0
 
 
+def test_ids_of_texts(monkeypatch):
+    """Odd texts have the library's ids, also while the table of words is full; a word is one row whatever stands behind it."""
+    library = Tokenizer.from_file(WORD)
+    texts = ["a, b. a. a! a", None, "", " ", "\t\r\n\n", "It's IT'S. don't! 'tis 'S", "(word) word) (word", "x" * 300 + ", " + "x" * 300, "3rd 42. 4,2 a1, 1a.",
+             "Été ÉTÉ, été. straße STRASSE ÿ µ ª º", "e\u0301t\u00e9 e\u0301, \u0301", "\u0130stanbul, \u0130. i\u0307", "\u039f\u0394\u039f\u03a3 \u039f\u0394\u039f\u03a3, \u0441\u043b\u043e\u0432\u043e. \u0421\u041b\u041e\u0412\u041e!",
+             "\u4e2d\u6587, \u4e2d. \U0001f600 Smile, SMILE. caf\u00e9\U0001f600", "<|endoftext|> <|ENDOFTEXT|> A<|startoftext|>B, Word", "non\u00a0breaking\u2003space\u0085next\u000bline\u2028x\u200bx",
+             "0 a 0 b0 0", "\ufb01ne \u212b \u1e9e \u01c5 \u0149x, \u01f0.", "@a #b $c ^d `e {f} [g]\\h ~i _j_ -k- '", "\x00 a\x00, \x1c\x1d", *noise(300, 11)]
+    ids, stops = packing.Ids(WORD), None
+    for held in (packing.CACHED, 40):
+        monkeypatch.setattr(packing, "CACHED", held)
+        for at in range(0, len(texts), 7 if held == 40 else len(texts)):
+            part = texts[at : at + 7] if held == 40 else texts
+            got, stops = ids.texts(part)
+            for t, a, b in zip(part, stops[:-1], stops[1:], strict=True):
+                assert got[a:b].tolist() == library.encode(t or "", add_special_tokens=False).ids, t
+    few = packing.Ids(WORD)
+    few.texts(["word, word. word! Word; word other, other."])
+    assert sorted(few.rows) == sorted(["word", "other", "", ",", ".", "!", ";"])
+    monkeypatch.setattr(packing, "CACHED", 5)
+    few.texts(["word new"])  # a full table keeps what is in use
+    assert sorted(few.rows) == sorted(["word", "new", ""])
+
+
 def test_pipeline(spark, sf):
     from tests.llm.test_native import rejected
 

@@ -5,8 +5,9 @@ partition runs best-fit decreasing and certifies its bin count by lower bounds f
 above their bound give up all bins that are not full, certified ones their emptiest bin; those documents are exchanged
 and packed again, as long as that saves sequences.
 
-The tokeniser of this file splits nothing across white space, so it is asked once for each distinct run of other characters
-and the ids are looked up; ``tests/llm`` compares the ids of whole texts with the library's.
+The tokeniser of this file splits nothing across white space, so the runs between are reduced to distinct ones, these to
+distinct words and the punctuation behind them, and the library is asked for words that are new; the ids of all runs are then
+gathered from one array. ``tests/llm`` compares the ids of whole texts with the library's.
 
 Defined results: a null or empty text is one piece with the end id alone; texts of any length are tokenised whole; repeated
 rows are documents of their own; null keys stay null; empty tables give empty results; other columns are not read.
@@ -20,6 +21,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,63 +30,122 @@ from tidemark.session import cut_lineage
 
 CAPACITY = 4096
 END_ID = 1
-CACHED = 1_300_000
-AT_ONCE = 1_000_000
+CACHED = 1_000_000
+AT_ONCE = 8_000_000
 #: ASCII punctuation but the apostrophe, which may start a token with the letters after it
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+WORD_AND_MARKS = r"(?s)^(?P<word>.*?)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 PIECE = "d long, piece int, start long, length long, ids_crc32 long"
 
 
-def _split(run: str) -> tuple[str, str]:
-    """Letters and the punctuation behind them, which the tokeniser parts before any merge; ('', run) where that is not
-    sure: other characters, or letters that lower-casing takes apart."""
-    word = run.rstrip(MARKS)
-    return (word, run[len(word) :]) if word.lower().isalpha() and max(word) < "\u2000" else ("", run)
+def _sure(word: str) -> bool:
+    """Letters, which the tokeniser parts from the punctuation behind them before any merge; not letters that lower-casing
+    takes apart."""
+    return word.isalpha() and (word.isascii() or (word.lower().isalpha() and max(word) < "\u2000"))
 
 
-class Ids(dict):
-    """Little-endian ids of a run of characters without space, tab or line break, as the library gives them; bounded."""
+def _lowered(text: str | None) -> str:
+    text = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ")
+    if "<|" not in text:  # special strings are matched as written, before lower-casing
+        try:
+            text.encode("latin-1")  # letters that every lower-casing maps one to one, and that need no composing
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+    return text
+
+
+class Ids:
+    """Ids of runs of characters without space, tab or line break, as the library gives them: a row for each run that is
+    known, with its place in one array of ids. Bounded."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.digit = self.tokenizer.encode("0", add_special_tokens=False).ids[0]
-
-    def __missing__(self, run: str) -> bytes:
-        if len(self) > CACHED:
-            self.clear()
-        word, marks = _split(run)
-        if word and marks:
-            got = self[word] + self[marks]
-        else:
-            got = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(run) < 64:
-            self[run] = got
-        return got
-
-    def fill(self, runs: set[str]) -> None:
-        """Learn the words among ``runs`` in few calls: words in one text, apart by a digit, which is a token of its own."""
-        if len(self) + len(runs) > CACHED:
-            self.clear()
-        words = {_split(r)[0] or r for r in runs}
-        words = [w for w in words if w.isalpha() and len(w) < 64 and w not in self]
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" 0 ".join(part) + " 0"], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.flatnonzero(ids == self.digit)
-            for w, a, b in zip(part, [0, *(stops[:-1] + 1).tolist()], stops.tolist(), strict=True):
-                self[w] = ids[a:b].tobytes()
-
-    def runs(self, text: str) -> list[str]:
-        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-        if "<|" not in text:  # special strings are matched as written, before lower-casing
-            try:
-                text.encode("latin-1")  # letters that every lower-casing maps one to one, and that need no composing
-                text = text.lower()
-            except UnicodeEncodeError:
-                pass
-        return text.split(" ")
+        # the same merges, for words that the file's normaliser and split leave as they are
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        names, last = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(max(names.values()) + 1, bool)  # the ids that end a word
+        self.ends[[i for name, i in names.items() if last and name.endswith(last)]] = True
+        self.rows: dict[str, int] = {}
+        self.ids, self.stops = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def _add(self, runs: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        if len(runs) != len(sizes):
+            raise ValueError("the tokeniser does not end every word by an id of its own")
+        self.rows.update(zip(runs, range(len(self.stops) - 1, len(self.stops) - 1 + len(runs))))
+        self.stops = np.concatenate([self.stops, self.stops[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _learn_words(self, words: list[str]) -> None:
+        """New words in few calls, many in one text: told apart by the ids that end a word, or by a digit, which is an id
+        of its own, where the normaliser has work to do."""
+        simple = [w for w in words if (w.isascii() and w.islower()) or (max(w) < "\u0100" and w == w.lower())]
+        if simple:
+            texts = [" ".join(simple[at : at + 4096]) for at in range(0, len(simple), 4096)]
+            ids = np.concatenate([np.array(self.plain.encode_batch_fast([t], add_special_tokens=False)[0].ids, "<u4") for t in texts])
+            self._add(simple, ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1))
+        if len(simple) < len(words):
+            others = list(set(words).difference(simple))
+            texts = [" 0 ".join(others[at : at + 4096]) + " 0" for at in range(0, len(others), 4096)]
+            ids = np.concatenate([np.array(self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, "<u4") for t in texts])
+            self._add(others, ids[ids != self.digit], np.diff(np.flatnonzero(ids == self.digit), prepend=-1) - 1)
+
+    def _learn_runs(self, runs: list[str]) -> None:
+        got = [np.array(self.tokenizer.encode(r, add_special_tokens=False).ids, "<u4") for r in runs]
+        self._add(runs, np.concatenate(got), np.array([len(g) for g in got]))
+
+    def _known(self, runs: list[str], learn) -> np.ndarray:
+        """The rows of distinct runs; new ones are learned."""
+        new = [r for r in runs if r not in self.rows]
+        if new:
+            learn(new)
+        return np.fromiter(map(self.rows.__getitem__, runs), np.int64, len(runs))
+
+    def _taken(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows one behind the other, and where each begins, with the end of the last."""
+        return _gather(self.ids, self.stops, rows)
+
+    def _forget(self, keep: list[str]) -> None:
+        """Of a full table only what is in use stays, and never a long run."""
+        keep = [r for r in keep if r in self.rows and len(r) < 64]
+        self.ids, self.stops = self._taken(np.fromiter(map(self.rows.__getitem__, keep), np.int64, len(keep)))
+        self.rows = dict(zip(keep, range(len(keep))))
+
+    def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one behind the other, and the places where each text begins, with the end of the last."""
+        split = pc.split_pattern(pa.array(map(_lowered, texts), pa.string()), " ")
+        runs = split.values.dictionary_encode()
+        parts = pc.extract_regex(runs.dictionary, WORD_AND_MARKS)
+        word, marks = (parts.field(n).dictionary_encode() for n in ("word", "marks"))
+        words = word.dictionary.to_pylist()
+        if len(self.rows) > CACHED or len(self.ids) > 8 * CACHED:
+            self._forget(words)
+        sure = np.fromiter(map(_sure, words), bool, len(words))
+        of_word = np.zeros(len(words), np.int64)
+        of_word[sure] = self._known(list(itertools.compress(words, sure)), self._learn_words)
+        of_marks = self._known(marks.dictionary.to_pylist(), self._learn_runs)
+        # a run is a word and the marks behind it, or, where that is not sure, a whole and nothing behind it
+        whole = np.flatnonzero(~sure[word.indices.to_numpy()])
+        pair = np.stack([of_word[word.indices.to_numpy()], of_marks[marks.indices.to_numpy()]], 1)
+        pair[whole, 0] = self._known(runs.dictionary.take(pa.array(whole)).to_pylist(), self._learn_runs)
+        pair[whole, 1] = self._known([""], self._learn_runs)
+        ids, stops = self._taken(pair.ravel())
+        ids, stops = _gather(ids, stops[::2], runs.indices.to_numpy())
+        return ids, stops[split.offsets.to_numpy()]
+
+
+def _gather(ids: np.ndarray, stops: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches ``rows`` of ``ids``, which end at ``stops[1:]``, one behind the other, and their own stops."""
+    sizes = np.diff(stops)[rows]
+    out = np.concatenate([[0], np.cumsum(sizes)])
+    places = np.repeat(stops[rows] - out[:-1], sizes)
+    places += np.arange(len(places))
+    return ids[places], out
 
 
 _IDS: dict[str, Ids] = {}
@@ -96,52 +158,34 @@ def ids_of(path: str) -> Ids:
     return _IDS[path]
 
 
-def encoder(path: str):
-    """Texts to their ids, little-endian; words that are new are learned for many texts at once."""
-
-    def encoded(texts: pd.Series) -> Iterator[bytes]:
-        ids = ids_of(path)
-        held: list[tuple[list[str], list]] = []
-        new: set[str] = set()
-        size = 0
-
-        def give() -> Iterator[bytes]:
-            ids.fill(new)
-            for runs, got in held:
-                yield b"".join(got if None not in got else [ids[r] if g is None else g for r, g in zip(runs, got)])
-
-        for t in texts:
-            runs = ids.runs(t) if t else []
-            got = list(map(ids.get, runs))
-            if None in got:
-                new.update([r for r, g in zip(runs, got) if g is None])
-            held.append((runs, got))
-            size += len(t or "")
-            if size > AT_ONCE:
-                yield from give()
-                held, new, size = [], set(), 0
-        yield from give()
-
-    return encoded
-
-
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(d, piece, start, length, ids_crc32): the pieces of every document, end id included."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            rows = []
-            for d, got in zip(batch["d"], encoder(path)(batch["t"])):
-                got += end
-                for p, at in enumerate(range(0, len(got), 4 * capacity)):
-                    part = got[at : at + 4 * capacity]
-                    rows.append((d, p, at // 4, len(part) // 4, zlib.crc32(part)))
-            frame = pd.DataFrame(rows, columns=["d", "piece", "start", "length", "ids_crc32"])
-            frame["d"] = frame["d"].astype("Int64")
-            yield frame
-
-    return docs.select(F.col(key).cast("long").alias("d"), F.col(text).alias("t")).mapInPandas(cut, PIECE)
+            for part in _slices(batch):
+                rows = []
+                ids, stops = ids_of(path).texts(part["t"].to_pylist())
+                for row, (a, b) in enumerate(zip(stops[:-1].tolist(), stops[1:].tolist())):
+                    got = ids[a:b].tobytes() + end
+                    for p, at in enumerate(range(0, len(got), 4 * capacity)):
+                        one = got[at : at + 4 * capacity]
+                        rows.append((row, p, at // 4, len(one) // 4, zlib.crc32(one)))
+                row, *made = zip(*rows)
+                yield pa.RecordBatch.from_arrays([part["d"].take(pa.array(row)), *map(pa.array, made, (pa.int32(), *3 * [pa.int64()]))],
+                                                 ["d", "piece", "start", "length", "ids_crc32"])
+
+    return docs.select(F.col(key).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(cut, PIECE)
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows in turn, some ``AT_ONCE`` bytes of text in each slice but for longer texts; every slice has a row."""
+    sizes = pc.fill_null(pc.binary_length(batch["t"]), 0).to_numpy().astype(np.int64)
+    cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // AT_ONCE)) + 1
+    for a, b in itertools.pairwise([0, *cuts.tolist(), len(sizes)]):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
