@@ -1,6 +1,7 @@
 """Edge rows: one row, constant, rising, zero volume, nulls, empty, calendar ends, odd texts."""
 
 import math
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from tidemark.functions import rows as RW
 from tidemark.functions import text as X
 from tidemark.operators import composites, momentum, pairs, trend, volatility, volume
 from tidemark.operators import features as FE
+from tidemark.operators import hooks as HK
 from tidemark.operators import retrieval as RT
 from tidemark.operators import risk as R
 from tidemark.operators import sentiment as SE
@@ -229,3 +231,14 @@ def test_simulated_risk_without_spread(spark):
     assert stress["flat"]["worst_case"] == stress["flat"]["expected_shortfall"] == 0.02
     assert stress["flat"]["extreme_loss_probability"] == 1.0 and stress["one"]["extreme_loss_probability"] is None
     assert risk.monte_carlo_var(df.where("false"), n=200).count() == 0
+
+
+def test_scored_texts_stay_in_arrow(spark):
+    """Other columns and nulls pass through; a score that is no number is null, as in pandas; no frame of all texts is made."""
+    rows = [(i, None if i % 5 == 0 else "a" * i, [i], datetime(2024, 1, 1)) for i in range(40)]
+    frame = spark.createDataFrame(rows, "id long, body string, more array<long>, at timestamp").coalesce(1)
+    got = HK.score_texts(frame, lambda texts: [(len(t), len(texts), float("nan") if len(t) == 7 else 0.5) for t in texts], "body", 16)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    want = [(*r, float(len(r[1] or "")), 16.0 if i < 32 else 8.0, None if i == 7 else 0.5) for i, r in enumerate(rows)]
+    assert [tuple(r) for r in got.orderBy("id").collect()] == want
+    assert HK.score_texts(frame.limit(0), lambda texts: [], "body").count() == 0

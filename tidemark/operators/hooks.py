@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,18 +32,21 @@ def apply_rules(rows: DataFrame, rules: list[Rule], key: str = "symbol", time: s
 
 def score_texts(df: DataFrame, scorer: Callable[[list[str]], Iterable[tuple[float, float, float]]],
                 text: str = "text", batch: int = 16) -> DataFrame:
-    """Append positive, negative and neutral from any Python scorer called on batches of texts."""
+    """Append positive, negative and neutral from any Python scorer called on batches of texts. Rows stay in Arrow, so only
+    one batch of texts at a time is a list in Python."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    names = ("positive", "negative", "neutral")
 
     def run(frames):
-        for pdf in frames:
-            got = []
-            texts = pdf[text].fillna("").tolist()
+        for rows in frames:
+            texts, scores = rows.column(text), [array("d") for _ in names]
             for i in range(0, len(texts), batch):
-                got.extend(scorer(texts[i:i + batch]))
-            yield pdf.assign(**{n: [float(g[j]) for g in got] for j, n in enumerate(("positive", "negative", "neutral"))})
+                for got in scorer([t or "" for t in texts.slice(i, batch).to_pylist()]):
+                    for held, score in zip(scores, got):
+                        held.append(float(score))
+            yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(np.asarray(x), from_pandas=True) for x in scores)], names=[*rows.schema.names, *names])
 
-    return df.mapInPandas(run, schema + ", positive double, negative double, neutral double")
+    return df.mapInArrow(run, schema + ", positive double, negative double, neutral double")
 
 
 def process_rows(df: DataFrame, fn: Callable[[dict], object], out: str = "result", kind: str = "double") -> DataFrame:
