@@ -81,3 +81,24 @@ def test_ids_need_not_be_numbers(spark, titles):
     names = [f"t{i:04d}" for i in range(len(titles))]
     df = spark.createDataFrame(list(zip(names, titles)), "doc_id string, title string")
     assert sorted(r["doc_id"] for r in DD.tfidf_dedup(df).collect()) == [names[i] for i in brute(titles)]
+
+
+def test_terms_are_counted_inside_their_bag(spark):
+    """Repeats, weights and the norm left behind each term, rarest first; terms are shuffled by term and by text only."""
+    titles = ["gold gold gold price gold", "price of gold", "", None, "the of", "silver gold silver gold silver", "price of gold"]
+    groups, weights = DD.tfidf_vectors(spark.createDataFrame(list(enumerate(titles)), "doc_id long, title string"), "doc_id", "title")
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3
+    bags = {i: [w for w in (t or "").split() if w not in DD.STOP_WORDS] for i, t in enumerate(titles)}
+    bags = {i: Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])]) for i, w in bags.items()}
+    df = Counter(t for bag in bags.values() for t in bag)
+    want = {}
+    for i in (0, 1, 5):
+        raw = {t: n * (math.log((1 + len(titles)) / (1 + df[t])) + 1) for t, n in bags[i].items()}
+        norm, left = sum(x * x for x in raw.values()), 1.0
+        for t in sorted(raw, key=lambda t: (df[t], t)):
+            want[i, t] = (df[t], raw[t] / math.sqrt(norm), left)
+            left -= raw[t] ** 2 / norm
+    got = {(r["lead"], r["term"]): (r["df"], r["w"], r["rest"]) for r in weights.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert groups.count() == 5

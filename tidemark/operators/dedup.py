@@ -40,28 +40,43 @@ def _with_pairs(words):
     return F.concat(words, pairs)
 
 
+def _counted(bag: str, starts: str):
+    """(term, tf) of a sorted bag; ``starts`` holds the places at which a term begins."""
+    def one(s, j):
+        return F.struct(F.get(bag, s).alias("term"), (F.coalesce(F.get(starts, j + 1), F.size(bag)) - s).cast("long").alias("tf"))
+
+    return F.transform(starts, one)
+
+
 def tfidf_vectors(df: DataFrame, order: str, text: str, stop_words=tuple(STOP_WORDS)) -> tuple[DataFrame, DataFrame]:
     """(groups, weights): texts with the same terms form one group led by the first in order.
 
     groups: lead, sig, and one row per distinct bag of terms; weights: lead, term,
-    df, w with unit length per lead. Document frequencies count every text.
+    df, w with unit length per lead, and rest, the squared norm that is left from the term on, rarest first.
+    Document frequencies count every text.
     """
     words = df.select(F.col(order).alias("_o"), terms(F.col(text), stop_words).alias("_w"))
-    bags = words.select("_o", F.array_sort(_with_pairs(F.col("_w"))).alias("_t"))
+    bags = words.select("_o", F.sort_array(_with_pairs(F.col("_w"))).alias("_t"))
     bags = bags.withColumn("sig", F.md5(F.array_join("_t", "\u0001")))
     # copies collapse before anything is paired: one row per bag leaves the map side
     groups = bags.groupBy("sig").agg(F.min("_o").alias("lead"), F.count(F.lit(1)).alias("copies"),
                                      F.first("_t").alias("_t"))
-    groups = cut_lineage(groups)
-    counted = groups.select("lead", "copies", F.explode("_t").alias("term")).groupBy("lead", "term").agg(
-        F.count(F.lit(1)).alias("tf"), F.first("copies").alias("copies"))
+    starts = F.array_compact(F.transform("_t", lambda t, i: F.when((i == 0) | (t != F.get("_t", i - 1)), i)))
+    # a bag is one row, so its terms are counted inside it
+    groups = cut_lineage(groups.withColumn("_s", starts).select("sig", "lead", "copies", _counted("_t", "_s").alias("_t")))
+    counted = groups.select("lead", "copies", F.explode("_t").alias("_t")).select("lead", "copies", "_t.term", "_t.tf")
     freq = counted.groupBy("term").agg(F.sum("copies").alias("df"))
     n = groups.agg(F.sum("copies").alias("n"))
     idf = freq.withColumn("idf", F.ln((n.scalar() + 1) / (F.col("df") + 1)) + 1)
     raw = counted.join(idf, "term").withColumn("_w", F.col("tf") * F.col("idf"))
-    norm = raw.groupBy("lead").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_n"))
-    weights = raw.join(norm, "lead").select("lead", "term", "df", (F.col("_w") / F.col("_n")).alias("w"))
-    return groups.select("sig", "lead", "_t"), weights
+    # norm and running norm share one shuffle and one sort
+    w = Window.partitionBy("lead").orderBy("df", "term")
+    square = F.sum(F.col("_w") * F.col("_w"))
+    before = F.coalesce(square.over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    normed = raw.select("lead", "term", "df", "_w", before.alias("_b"),
+                        square.over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_n"))
+    weights = normed.select("lead", "term", "df", (F.col("_w") / F.sqrt("_n")).alias("w"), (1 - F.col("_b") / F.col("_n")).alias("rest"))
+    return groups.select("sig", "lead"), weights
 
 
 def _index(weights: DataFrame, threshold: float) -> DataFrame:
@@ -71,9 +86,7 @@ def _index(weights: DataFrame, threshold: float) -> DataFrame:
     threshold they cannot reach it alone. So two vectors above the threshold have their first
     common term in both indexes, and the norms left there, multiplied, reach it too.
     """
-    w = Window.partitionBy("lead").orderBy("df", "term")
-    before = F.coalesce(F.sum(F.col("w") * F.col("w")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return weights.withColumn("rest", 1 - before).where(F.col("rest") >= threshold * threshold - 1e-9).select("term", "lead", "rest")
+    return weights.where(F.col("rest") >= threshold * threshold - 1e-9).select("term", "lead", "rest")
 
 
 @F.pandas_udf(DoubleType())
@@ -160,11 +173,11 @@ def tfidf_dedup(df: DataFrame, order: str = "doc_id", text: str = "title", thres
     terms are similar to nothing and all stay. A run of the similarity join has two blocks of
     some ``block`` texts; a fixed number of jobs finds all similar pairs.
     """
-    groups, weights = tfidf_vectors(df, order, text, stop_words)
+    _, weights = tfidf_vectors(df, order, text, stop_words)
     weights = cut_lineage(weights)
     held = F.sort_array(F.collect_list(F.struct("term", "w")))
     vectors = cut_lineage(weights.groupBy("lead").agg(held.alias("v")).select("lead", F.col("v.term").alias("terms"), F.col("v.w").alias("ws")))
-    index = cut_lineage(_index(weights, threshold))
+    index = _index(weights, threshold)
     leaders, gone = _first_of_all(index, vectors, threshold)
     open_ = cut_lineage(index.join(leaders.union(gone), "lead", "left_anti"))
     kept = [leaders, *_decide_by_edges(open_.select("lead").distinct(), _edges(open_, vectors, threshold, block))]
