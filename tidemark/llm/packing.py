@@ -30,8 +30,8 @@ from tidemark.session import cut_lineage
 
 CAPACITY = 4096
 END_ID = 1
-CACHED = 1_000_000
-AT_ONCE = 8_000_000
+CACHED = 600_000
+AT_ONCE = 2_000_000
 #: ASCII punctuation but the apostrophe, which may start a token with the letters after it
 WORD_AND_MARKS = r"(?s)^(?P<word>.*?)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 PIECE = "d long, piece int, start long, length long, ids_crc32 long"
